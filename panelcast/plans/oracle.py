@@ -44,8 +44,25 @@ flagged AS (
   FROM panel p CROSS JOIN mx
 )"""
 
-SUMS_SQL = "sums AS (SELECT *, " + ", ".join(
-    f"{_fwd(h)} AS obs_precip_{h.name}" for h in SPEC.horizons) + " FROM flagged)"
+def _trail(k: int) -> str:
+    f = frame(-(k - 1), 0)
+    return f"CASE WHEN station IS NOT NULL AND count(Rain_mm_Tot) OVER {f} = {k} THEN sum(Rain_mm_Tot) OVER {f} END"
+
+
+def _roll(fn: str, n: int) -> str:
+    f = frame(-(n - 1), 0)
+    return f"CASE WHEN station IS NOT NULL AND count(Rain_mm_Tot) OVER {f} = {n} THEN {fn}(Rain_mm_Tot) OVER {f} END"
+
+
+_WINDOWED = (
+    [f"{_fwd(h)} AS obs_precip_{h.name}" for h in SPEC.horizons]
+    + [f"{_trail(h.steps)} AS trail_{h.name}" for h in SPEC.horizons]
+    + [f"CASE WHEN station IS NOT NULL THEN lag(Rain_mm_Tot, {k}) OVER ({W}) END AS Rain_mm_Tot_lag_{k}"
+       for k in SPEC.lags]
+    + [x for n in SPEC.rolls for x in (f"{_roll('avg', n)} AS Rain_mm_Tot_rollmean_{n}",
+                                       f"{_roll('stddev_samp', n)} AS Rain_mm_Tot_rollstd_{n}")]
+)
+SUMS_SQL = "sums AS (SELECT *, " + ", ".join(_WINDOWED) + " FROM flagged)"
 
 TARGETS_SQL = "targets AS (SELECT *, " + ", ".join(
     f"{classify_sql(f'obs_precip_{h.name}', h.light_threshold)} AS obs_class_{h.name}"
@@ -63,7 +80,8 @@ def with_base(body: str, *extra_ctes: str) -> str:
 
 
 def r6(expr: str) -> str:
-    return f"round({expr}, 6)"
+    # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round never yields -0.0)
+    return f"(round({expr}, 6) + CAST(0.0 AS DOUBLE))"
 
 
 TARGET_OUT = ", ".join(
@@ -99,3 +117,260 @@ FROM (
         f"SELECT '{h.name}' AS horizon, obs_class_{h.name} AS obs_class FROM labelled" for h in SPEC.horizons) + """
   ) WHERE obs_class IS NOT NULL GROUP BY horizon, obs_class
 )""")
+
+
+# --- labelling variants, sorts, splits, summaries -------------------------------
+
+ORACLE["horizon_wide"] = ORACLE["complete_horizons"]
+
+ORACLE["horizon_dataset"] = with_base(
+    'SELECT station, "TIMESTAMP", Rain_mm_Tot, event_id, year, is_last_year, '
+    f"{r6('obs_precip_3h')} AS obs_precip_3h, obs_class_3h FROM labelled")
+
+LONG_TARGETS = "long_targets AS (" + " UNION ALL ".join(
+    f"SELECT event_id, station, \"TIMESTAMP\", is_last_year, '{h.name}' AS horizon, obs_precip_{h.name} AS obs_precip, "
+    f"obs_class_{h.name} AS obs_class FROM labelled" for h in SPEC.horizons) + ")"
+
+ORACLE["horizon_long"] = with_base(
+    f'SELECT event_id, station, "TIMESTAMP", horizon, {r6("obs_precip")} AS obs_precip, obs_class FROM long_targets',
+    LONG_TARGETS)
+
+ORACLE["csv_roundtrip"] = ORACLE["scan_observations"]
+
+ORACLE["sorted_panel"] = (f"WITH {PANEL_SQL}\nSELECT row_number() OVER (ORDER BY station ASC NULLS FIRST, {ORDER}) - 1 "
+                          'AS row_index, event_id, station, "TIMESTAMP" FROM panel')
+
+ORACLE["preview"] = with_base(
+    'SELECT "TIMESTAMP", station, ' + ", ".join(
+        f"{r6(f'obs_precip_{h.name}')} AS obs_precip_{h.name}, obs_class_{h.name}" for h in SPEC.horizons)
+    + ', is_last_year FROM labelled ORDER BY station ASC NULLS LAST, "TIMESTAMP" ASC NULLS LAST, event_id LIMIT 5')
+
+ORACLE["train_test_split"] = with_base(
+    "SELECT event_id, station, CASE WHEN is_last_year = 1 THEN 'test' ELSE 'train' END AS split FROM labelled "
+    "WHERE is_last_year IN (0, 1)")
+
+ORACLE["station_counts"] = with_base("SELECT station, count(*) AS n FROM labelled GROUP BY station")
+ORACLE["split_counts"] = with_base("SELECT is_last_year, count(*) AS n FROM labelled GROUP BY is_last_year")
+
+_N_MASTER_COLS = 12  # station, TIMESTAMP, Rain, event_id, year, is_last_year + 6 targets
+ORACLE["dataset_summary"] = with_base(f"""
+SELECT 'shape' AS section, 'master' AS item, CAST(count(*) AS DOUBLE) AS rows, CAST({_N_MASTER_COLS} AS DOUBLE) AS value FROM labelled
+UNION ALL """ + " UNION ALL ".join(
+    f"SELECT 'shape', 'dataset_{h.name}', CAST(count(*) AS DOUBLE), CAST({_N_MASTER_COLS - 2 * (len(SPEC.horizons) - 1)} AS DOUBLE) FROM labelled"
+    for h in SPEC.horizons) + """
+UNION ALL
+SELECT 'class_share', horizon || ':' || CAST(obs_class AS VARCHAR), CAST(n AS DOUBLE), n / sum(n) OVER (PARTITION BY horizon)
+FROM (SELECT horizon, obs_class, count(*) AS n FROM long_targets GROUP BY ALL)
+UNION ALL
+SELECT 'station', coalesce(station, 'nan'), CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM labelled GROUP BY station
+UNION ALL
+SELECT 'split', CAST(is_last_year AS VARCHAR), CAST(count(*) AS DOUBLE), CAST(count(*) AS DOUBLE) FROM labelled GROUP BY is_last_year
+""", LONG_TARGETS)
+
+
+# --- features ----------------------------------------------------------------------
+
+ORACLE["time_features"] = f"""WITH {PANEL_SQL}
+SELECT event_id, station, CAST(year("TIMESTAMP") AS INTEGER) AS year, CAST(hour("TIMESTAMP") AS INTEGER) AS hour,
+       CAST(isodow("TIMESTAMP") - 1 AS INTEGER) AS day_of_week, CAST(month("TIMESTAMP") AS INTEGER) AS month,
+       {r6('sin(CAST(2 * pi() AS DOUBLE) * hour("TIMESTAMP") / CAST(24.0 AS DOUBLE))')} AS hour_sin,
+       {r6('cos(CAST(2 * pi() AS DOUBLE) * hour("TIMESTAMP") / CAST(24.0 AS DOUBLE))')} AS hour_cos
+FROM panel"""
+
+ORACLE["rain_lags"] = with_base("SELECT event_id, station, " + ", ".join(
+    f"Rain_mm_Tot_lag_{k}" for k in SPEC.lags) + " FROM sums")
+
+ORACLE["rain_rolling"] = with_base("SELECT event_id, station, " + ", ".join(
+    f"{r6(f'Rain_mm_Tot_{s}_{n}')} AS Rain_mm_Tot_{s}_{n}" for n in SPEC.rolls for s in ("rollmean", "rollstd"))
+    + " FROM sums")
+
+CROSS_SQL = """
+grid AS (
+  SELECT station, time_bucket(INTERVAL '15 minutes', "TIMESTAMP") AS bucket_ts, sum(Rain_mm_Tot) AS Rain_mm_Tot
+  FROM panel WHERE "TIMESTAMP" IS NOT NULL GROUP BY ALL
+),
+cs AS (
+  SELECT station, bucket_ts, Rain_mm_Tot,
+         avg(Rain_mm_Tot) OVER b AS rain_allstations_mean_t,
+         max(Rain_mm_Tot) OVER b AS rain_allstations_max_t,
+         min(Rain_mm_Tot) OVER b AS rain_allstations_min_t,
+         stddev_samp(Rain_mm_Tot) OVER b AS rain_allstations_std_t,
+         sum(Rain_mm_Tot) OVER b AS rain_allstations_sum_t,
+         CASE WHEN Rain_mm_Tot IS NULL
+              THEN CASE WHEN count(Rain_mm_Tot) OVER b > 0 THEN sum(Rain_mm_Tot) OVER b / count(Rain_mm_Tot) OVER b END
+              ELSE CASE WHEN count(Rain_mm_Tot) OVER b > 1
+                        THEN (sum(Rain_mm_Tot) OVER b - Rain_mm_Tot) / (count(Rain_mm_Tot) OVER b - 1) END
+         END AS rain_otherstations_mean_t
+  FROM grid WHERE station IS NOT NULL
+  WINDOW b AS (PARTITION BY bucket_ts)
+)"""
+CROSS_COLS = ["rain_allstations_mean_t", "rain_allstations_max_t", "rain_allstations_min_t",
+              "rain_allstations_std_t", "rain_allstations_sum_t", "rain_otherstations_mean_t"]
+
+ORACLE["cross_station"] = with_base(
+    "SELECT station, bucket_ts, " + ", ".join(r6(c) + f" AS {c}" for c in ["Rain_mm_Tot", *CROSS_COLS]) + " FROM cs",
+    CROSS_SQL)
+
+FEATURES_SQL = """
+feat AS (
+  SELECT l.*, CAST(hour(l."TIMESTAMP") AS INTEGER) AS hour, CAST(isodow(l."TIMESTAMP") - 1 AS INTEGER) AS day_of_week,
+         CAST(month(l."TIMESTAMP") AS INTEGER) AS month,
+         sin(CAST(2 * pi() AS DOUBLE) * hour(l."TIMESTAMP") / CAST(24.0 AS DOUBLE)) AS hour_sin,
+         cos(CAST(2 * pi() AS DOUBLE) * hour(l."TIMESTAMP") / CAST(24.0 AS DOUBLE)) AS hour_cos,
+         """ + ", ".join(f"c.{c}" for c in CROSS_COLS) + """
+  FROM labelled l
+  LEFT JOIN cs c ON l.station = c.station
+   AND c.bucket_ts = time_bucket(INTERVAL '15 minutes', l."TIMESTAMP") - INTERVAL '15 minutes'
+)"""
+
+_FEATURE_NUMS = (["Rain_mm_Tot", "year", "is_last_year"] + [f"trail_{h.name}" for h in SPEC.horizons]
+                 + [f"Rain_mm_Tot_lag_{k}" for k in SPEC.lags]
+                 + [f"Rain_mm_Tot_{s}_{n}" for n in SPEC.rolls for s in ("rollmean", "rollstd")]
+                 + ["hour", "day_of_week", "month", "hour_sin", "hour_cos"] + CROSS_COLS)
+_INTS = {"year", "is_last_year", "hour", "day_of_week", "month"}
+ORACLE["feature_matrix"] = with_base(
+    "SELECT event_id, station, " + ", ".join(c if c in _INTS else f"{r6(c)} AS {c}" for c in _FEATURE_NUMS)
+    + ", obs_class_1h FROM feat", CROSS_SQL, FEATURES_SQL)
+
+
+# --- baselines, submission, metrics -----------------------------------------------
+
+_LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT event_id, station, \"TIMESTAMP\", is_last_year, '{h.name}' AS horizon, obs_precip_{h.name} AS obs_precip, "
+    f"obs_class_{h.name} AS obs_class, coalesce({classify_sql(f'trail_{h.name}', h.light_threshold)}, 0) AS persist_class "
+    "FROM labelled" for h in SPEC.horizons) + ")"
+
+
+def _probs(keys: str, src: str) -> str:
+    return (f"SELECT {keys}, " + ", ".join(
+        f"coalesce(max(CASE WHEN obs_class = {c} THEN p END), CAST(0.0 AS DOUBLE)) AS p{c}" for c in range(3))
+        + f" FROM (SELECT *, n / sum(n) OVER (PARTITION BY {keys}) AS p FROM {src}) GROUP BY {keys}")
+
+
+BASELINE_SQL = ",\n".join([
+    _LONG,
+    "pcounts AS (SELECT horizon, persist_class, obs_class, count(*) AS n FROM long WHERE is_last_year = 0 GROUP BY ALL)",
+    f"pfit AS ({_probs('horizon, persist_class', 'pcounts')})",
+    "ccounts AS (SELECT horizon, obs_class, count(*) AS n FROM long WHERE is_last_year = 0 GROUP BY ALL)",
+    f"cfit AS ({_probs('horizon', 'ccounts')})",
+    "cmajor AS (SELECT horizon, obs_class AS major_class FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY horizon ORDER BY n DESC, obs_class ASC) AS r FROM ccounts) WHERE r = 1)",
+    "pers AS (SELECT l.*, l.persist_class AS pred_class, " + ", ".join(
+        f"coalesce(f.p{c}, CASE WHEN l.persist_class = {c} THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END) AS p{c}"
+        for c in range(3)) + ", 'persistence' AS model FROM long l LEFT JOIN pfit f USING (horizon, persist_class))",
+    "clim AS (SELECT l.*, m.major_class AS pred_class, f.p0, f.p1, f.p2, 'climatology' AS model "
+    "FROM long l LEFT JOIN cfit f USING (horizon) LEFT JOIN cmajor m USING (horizon))",
+    "scored AS (SELECT *, CASE pred_class WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 END AS pred_prob, "
+    "CAST(1.0 AS DOUBLE) - p0 AS p_rain FROM (SELECT * FROM pers UNION ALL BY NAME SELECT * FROM clim))",
+    "test AS (SELECT * FROM scored WHERE is_last_year = 1)",
+])
+
+
+def metric_ctes(src: str, keys: str, prefix: str = "") -> list[str]:
+    p = prefix
+    return [
+        f"{p}conf AS (SELECT {keys}, obs_class AS label, pred_class AS pred, count(*) AS n FROM {src} "
+        f"WHERE obs_class IS NOT NULL AND pred_class IS NOT NULL GROUP BY ALL)",
+        f"{p}roles AS (SELECT {keys}, label AS cls, n AS t, 0 AS p, CASE WHEN label = pred THEN n ELSE 0 END AS tp "
+        f"FROM {p}conf UNION ALL SELECT {keys}, pred AS cls, 0 AS t, n AS p, 0 AS tp FROM {p}conf)",
+        f"{p}pc AS (SELECT {keys}, cls, sum(tp) AS tp, sum(t) AS support, sum(p) AS predicted, "
+        "CASE WHEN sum(p) > 0 THEN sum(tp) / sum(p) ELSE CAST(0.0 AS DOUBLE) END AS precision, "
+        "CASE WHEN sum(t) > 0 THEN sum(tp) / sum(t) ELSE CAST(0.0 AS DOUBLE) END AS recall, "
+        "CASE WHEN sum(t) + sum(p) > 0 THEN 2 * sum(tp) / (sum(t) + sum(p)) ELSE CAST(0.0 AS DOUBLE) END AS f1 "
+        f"FROM {p}roles GROUP BY ALL)",
+        f"{p}summ AS (SELECT {keys}, sum(tp) / sum(support) AS accuracy, avg(f1) AS f1_macro, "
+        "sum(f1 * support) / sum(support) AS f1_weighted, 2 * sum(tp) / (sum(support) + sum(predicted)) AS f1_micro, "
+        f"CAST(sum(support) AS BIGINT) AS n_rows FROM {p}pc GROUP BY ALL)",
+    ]
+
+
+def with_metrics(body: str, *extra: str) -> str:
+    return with_base(body, BASELINE_SQL, *metric_ctes("test", "model, horizon"), *extra)
+
+
+ORACLE["submission"] = with_base(
+    "SELECT horizon, strftime(\"TIMESTAMP\", '%Y-%m-%d %H:%M:%S') AS timestamp, station AS station_id, "
+    f"CAST(pred_class AS INTEGER) AS pred_class, {r6('pred_prob')} AS pred_prob, CAST(obs_class AS INTEGER) AS obs_class, "
+    f"{r6('obs_precip')} AS obs_precip_mm FROM test WHERE model = 'persistence'", BASELINE_SQL)
+
+ORACLE["pred_prob"] = with_base(
+    f"SELECT event_id, horizon, pred_class, {r6('list_extract([p0, p1, p2], pred_class + 1)')} AS pred_prob, "
+    f"{r6('p_rain')} AS p_rain FROM test WHERE model = 'persistence'", BASELINE_SQL)
+
+for _m in ("accuracy", "f1_macro", "f1_weighted", "f1_micro"):
+    ORACLE[_m] = with_metrics(f"SELECT model, horizon, {r6(_m)} AS {_m} FROM summ")
+
+ORACLE["baseline_results"] = with_metrics(
+    "SELECT model, horizon, " + ", ".join(f"{r6(c)} AS {c}" for c in ("accuracy", "f1_macro", "f1_weighted"))
+    + " FROM summ")
+
+ORACLE["metrics_rounded"] = with_metrics(
+    "SELECT model, horizon, round_even(accuracy, 4) AS accuracy, round_even(f1_macro, 4) AS f1_macro, "
+    "round_even(f1_weighted, 4) AS f1_weighted, CAST(round(round_even(accuracy, 4) * 100) AS INTEGER) AS accuracy_pct "
+    "FROM summ")
+
+ORACLE["classification_report"] = with_metrics("""
+SELECT model, horizon, CAST(cls AS VARCHAR) AS item, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM pc
+UNION ALL
+SELECT model, horizon, 'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), round(sum(tp) / sum(support), 6),
+       CAST(sum(support) AS BIGINT) FROM pc GROUP BY ALL
+UNION ALL
+SELECT model, horizon, 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       CAST(sum(support) AS BIGINT) FROM pc GROUP BY ALL
+UNION ALL
+SELECT model, horizon, 'weighted avg', round(sum(precision * support) / sum(support), 6),
+       round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+       CAST(sum(support) AS BIGINT) FROM pc GROUP BY ALL""")
+
+ORACLE["confusion_matrix"] = with_metrics("""
+SELECT l.model, l.horizon, l.cls AS obs_class, """ + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN c.pred = {k} THEN c.n END), 0) AS BIGINT) AS pred_{k}" for k in range(3)) + """
+FROM (SELECT DISTINCT model, horizon, label AS cls FROM conf UNION SELECT DISTINCT model, horizon, pred FROM conf) l
+LEFT JOIN conf c ON c.model = l.model AND c.horizon = l.horizon AND c.label = l.cls
+GROUP BY l.model, l.horizon, l.cls""")
+
+ORACLE["prediction_distribution"] = with_metrics("""
+SELECT model, horizon, pred_class, n, n / sum(n) OVER (PARTITION BY model, horizon) AS share
+FROM (SELECT model, horizon, pred_class, count(*) AS n FROM test WHERE pred_class IS NOT NULL GROUP BY ALL)""")
+
+ORACLE["overfitting_gap"] = with_base(
+    "SELECT s.model, s.horizon, " + ", ".join(f"{r6('s.' + c)} AS {c}" for c in ("accuracy", "f1_macro", "f1_micro", "f1_weighted"))
+    + f", {r6('t.f1_macro')} AS f1_macro_train, {r6('t.f1_macro - s.f1_macro')} AS overfitting_gap, s.n_rows AS test_rows "
+    "FROM summ s LEFT JOIN tr_summ t USING (model, horizon)",
+    BASELINE_SQL, *metric_ctes("test", "model, horizon"),
+    "train AS (SELECT * FROM scored WHERE is_last_year = 0)", *metric_ctes("train", "model, horizon", "tr_"))
+
+BEST_SQL = ("best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY f1_macro DESC, "
+            "model ASC) AS r FROM summ) WHERE r = 1)")
+
+ORACLE["best_model"] = with_metrics(f"SELECT horizon, model AS best_model, {r6('f1_macro')} AS f1_macro FROM best",
+                                    BEST_SQL)
+
+ORACLE["metric_card"] = with_metrics(
+    "SELECT horizon, round_even(accuracy, 4) AS accuracy, round_even(f1_weighted, 4) AS f1_weighted, "
+    "round_even(f1_macro, 4) AS f1_macro, model AS best_model, n_rows AS test_rows FROM best", BEST_SQL)
+
+
+# --- bootstrap -----------------------------------------------------------------------
+
+B_REPLICATES = 1000
+BOOT_SQL = [
+    "bt AS (SELECT horizon, obs_class AS label, pred_class AS pred, "
+    "row_number() OVER (PARTITION BY horizon ORDER BY \"TIMESTAMP\" ASC NULLS LAST, station ASC NULLS LAST, event_id ASC NULLS LAST) - 1 AS idx, "
+    "count(*) OVER (PARTITION BY horizon) AS n FROM test WHERE model = 'persistence')",
+    "sizes AS (SELECT DISTINCT horizon, n FROM bt)",
+    f"draws AS (SELECT s.horizon, r.b, CAST(('0x' || substr(md5(CAST(r.b AS VARCHAR) || ':' || CAST(j.j AS VARCHAR)), 1, 8)) "
+    f"AS BIGINT) % s.n AS idx FROM sizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
+    "bsrc AS (SELECT d.horizon, d.b, t.label AS obs_class, t.pred AS pred_class FROM draws d JOIN bt t USING (horizon, idx))",
+    *metric_ctes("bsrc", "horizon, b", "b_"),
+]
+
+ORACLE["bootstrap_macro_f1"] = with_base(f"SELECT horizon, b, {r6('f1_macro')} AS f1_macro FROM b_summ",
+                                         BASELINE_SQL, *BOOT_SQL)
+
+ORACLE["bootstrap_ci"] = with_base(
+    f"SELECT r.horizon, {r6('avg(f1_macro)')} AS macro_f1_mean, {r6('quantile_cont(f1_macro, 0.025)')} AS ci_2_5, "
+    f"{r6('quantile_cont(f1_macro, 0.975)')} AS ci_97_5, count(*) AS B, max(s.n) AS n_test "
+    "FROM b_summ r JOIN sizes s USING (horizon) GROUP BY r.horizon",
+    BASELINE_SQL, *BOOT_SQL)

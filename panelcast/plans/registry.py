@@ -26,7 +26,9 @@ def register(name: str):
 
 
 def r6(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Round to 6 digits for engine-independent comparison (sums and
+    transcendental functions differ in the last bits between engines)."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,3 +85,288 @@ def q_complete_horizons(spark, sf_dir):
 @register("class_distribution")
 def q_class_distribution(spark, sf_dir):
     return ds.class_distribution(labelled(spark, sf_dir), SPEC)
+
+
+# --- labelling variants, sorts, splits, summaries ------------------------------
+
+from ..operators import baselines as bl  # noqa: E402
+from ..operators import bootstrap as bs  # noqa: E402
+from ..operators import features as ft  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..operators import sequence as seq  # noqa: E402
+from ..session import shared_path  # noqa: E402
+from . import jobs  # noqa: E402
+
+KEEP = ["event_id", "station", "TIMESTAMP", "is_last_year"]
+B_REPLICATES = 1000   # the reference's B
+
+
+def lf(spark, sf_dir, **kw):
+    return jobs.labelled_features(panel(spark, sf_dir), SPEC, **kw)
+
+
+def scored(spark, sf_dir):
+    return jobs.scored_baselines(lf(spark, sf_dir, history=False, context=False), SPEC, keep=KEEP)
+
+
+def test_scored(spark, sf_dir):
+    return scored(spark, sf_dir).filter(F.col("is_last_year") == 1)
+
+
+@register("horizon_wide")
+def q_horizon_wide(spark, sf_dir):
+    """P5: the reference's way — K lead columns, their sum (missing if any
+    lead is missing), classes, then every ``*_lead_*`` column dropped."""
+    p = tg.with_holdout_flag(panel(spark, sf_dir), SPEC)
+    p = tg.with_leads(p, SPEC)
+    for h in SPEC.horizons:
+        total = None
+        for k in range(1, h.steps + 1):
+            c = F.col(f"Rain_mm_Tot_lead_{k}")
+            total = c if total is None else total + c
+        p = p.withColumn(f"obs_precip_{h.name}", total)
+        p = p.withColumn(f"obs_class_{h.name}", tg.classify_precip(f"obs_precip_{h.name}", h.light_threshold))
+    p = tg.drop_prefix(tg.complete_horizons(p, SPEC), "Rain_mm_Tot_lead_")
+    return p.select("event_id", "station", "TIMESTAMP", "Rain_mm_Tot", "year", "is_last_year", *target_out())
+
+
+@register("horizon_dataset")
+def q_horizon_dataset(spark, sf_dir):
+    """The 3 h data set keeps only its own target pair."""
+    d = ds.horizon_dataset(labelled(spark, sf_dir), SPEC, "3h")
+    return d.select(*[r6(c).alias(c) if c.startswith("obs_precip") else F.col(c) for c in d.columns])
+
+
+@register("horizon_long")
+def q_horizon_long(spark, sf_dir):
+    """One output per horizon as one dataset partitioned by horizon,
+    written to the shared folder and scanned back."""
+    long = ds.long_targets(labelled(spark, sf_dir), SPEC, keep=["event_id", "station", "TIMESTAMP"])
+    path = shared_path(spark, "horizon_long")
+    long.write.mode("overwrite").partitionBy("horizon").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("event_id", "station", "TIMESTAMP", "horizon", r6("obs_precip").alias("obs_precip"), "obs_class")
+
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """S1 + S2 + S3: write the panel as header CSV, read it back with an
+    explicit schema and parse the timestamp."""
+    from ..sources.observations import read_observations_csv, TS_FORMAT
+    p = panel(spark, sf_dir)
+    path = shared_path(spark, "panel_csv")
+    (p.select(F.date_format("TIMESTAMP", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("TIMESTAMP"), "station",
+              "Rain_mm_Tot", "event_id")
+     .write.mode("overwrite").option("header", True).csv(path))
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("TIMESTAMP", T.StringType()), T.StructField("station", T.StringType()),
+                           T.StructField("Rain_mm_Tot", T.DoubleType()), T.StructField("event_id", T.LongType())])
+    back = read_observations_csv(spark, path, SPEC, schema=schema, ts_format=TS_FORMAT + ".SSSSSS")
+    return back.select("station", "TIMESTAMP", "Rain_mm_Tot", "event_id")
+
+
+@register("sorted_panel")
+def q_sorted_panel(spark, sf_dir):
+    """O1: position of every row in (station, TIMESTAMP missing last, tie) order."""
+    out = seq.with_global_index(panel(spark, sf_dir), seq.order_columns(SPEC), "row_index", SPEC.index_partitions)
+    return out.select("row_index", "event_id", "station", "TIMESTAMP")
+
+
+@register("preview")
+def q_preview(spark, sf_dir):
+    """First 5 rows of the labelled master."""
+    cols = ["TIMESTAMP", "station", *[c for h in SPEC.horizons for c in (f"obs_precip_{h.name}", f"obs_class_{h.name}")],
+            "is_last_year"]
+    out = ds.preview(labelled(spark, sf_dir), SPEC, cols, 5)
+    return out.select(*[r6(c).alias(c) if c.startswith("obs_precip") else F.col(c) for c in cols])
+
+
+@register("train_test_split")
+def q_train_test_split(spark, sf_dir):
+    train, test = ds.train_test_split(labelled(spark, sf_dir))
+    return (train.select("event_id", "station", F.lit("train").alias("split"))
+            .unionByName(test.select("event_id", "station", F.lit("test").alias("split"))))
+
+
+@register("station_counts")
+def q_station_counts(spark, sf_dir):
+    return ds.value_counts(labelled(spark, sf_dir), "station")
+
+
+@register("split_counts")
+def q_split_counts(spark, sf_dir):
+    return ds.value_counts(labelled(spark, sf_dir), "is_last_year")
+
+
+@register("dataset_summary")
+def q_dataset_summary(spark, sf_dir):
+    return ds.dataset_summary(labelled(spark, sf_dir), SPEC)
+
+
+# --- features --------------------------------------------------------------------
+
+@register("time_features")
+def q_time_features(spark, sf_dir):
+    p = ft.with_time_features(panel(spark, sf_dir), SPEC).withColumn("year", F.year("TIMESTAMP"))
+    return p.select("event_id", "station", "year", "hour", "day_of_week", "month",
+                    r6("hour_sin").alias("hour_sin"), r6("hour_cos").alias("hour_cos"))
+
+
+@register("rain_lags")
+def q_rain_lags(spark, sf_dir):
+    p = ft.with_history(panel(spark, sf_dir), SPEC)
+    return p.select("event_id", "station", *ft.lag_names(SPEC))
+
+
+@register("rain_rolling")
+def q_rain_rolling(spark, sf_dir):
+    p = ft.with_history(panel(spark, sf_dir), SPEC)
+    return p.select("event_id", "station", *[r6(c).alias(c) for c in ft.roll_names(SPEC)])
+
+
+@register("cross_station")
+def q_cross_station(spark, sf_dir):
+    cs = ft.cross_station(panel(spark, sf_dir), SPEC)
+    return cs.select("station", "bucket_ts", *[r6(c).alias(c) for c in ["Rain_mm_Tot", *ft.CROSS_NAMES]])
+
+
+def feature_table(spark, sf_dir, horizon="1h"):
+    d = ds.horizon_dataset(lf(spark, sf_dir), SPEC, horizon)
+    cats, nums = ds.feature_columns(d, drop=[*ds.TRAINING_DROP, "event_id"], label=f"obs_class_{horizon}")
+    return d, cats, nums
+
+
+@register("feature_matrix")
+def q_feature_matrix(spark, sf_dir):
+    """P7 + P8: drop-if-exists list, categorical / numeric split; the table
+    handed to the vector assembler (with the row key and label)."""
+    d, cats, nums = feature_table(spark, sf_dir)
+    floats = {f.name for f in d.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return d.select("event_id", *cats, *[r6(c).alias(c) if c in floats else F.col(c) for c in nums],
+                    "obs_class_1h")
+
+
+# --- baselines, submission, metrics ----------------------------------------------
+
+@register("submission")
+def q_submission(spark, sf_dir):
+    sub = jobs.submission(scored(spark, sf_dir), SPEC)
+    return sub.select("horizon", "timestamp", "station_id", "pred_class", r6("pred_prob").alias("pred_prob"),
+                      "obs_class", r6("obs_precip_mm").alias("obs_precip_mm"))
+
+
+@register("pred_prob")
+def q_pred_prob(spark, sf_dir):
+    """Probability of the predicted class indexed out of the vector."""
+    s = test_scored(spark, sf_dir).filter(F.col("model") == "persistence")
+    probs = F.array("p0", "p1", "p2")
+    return s.select("event_id", "horizon", "pred_class",
+                    r6(F.element_at(probs, F.col("pred_class") + 1)).alias("pred_prob"),
+                    r6("p_rain").alias("p_rain"))
+
+
+def _evaluated(spark, sf_dir):
+    return M.evaluate(test_scored(spark, sf_dir), ["model", "horizon"])
+
+
+for _m in ("accuracy", "f1_macro", "f1_weighted", "f1_micro"):
+    def _q(spark, sf_dir, _m=_m):
+        return _evaluated(spark, sf_dir).select("model", "horizon", r6(_m).alias(_m))
+    register(_m)(_q)
+
+
+@register("baseline_results")
+def q_baseline_results(spark, sf_dir):
+    """U1 / M9 for the SQL-checkable baselines: one row per (model, horizon)."""
+    e = _evaluated(spark, sf_dir)
+    return e.select("model", "horizon", *[r6(c).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")])
+
+
+@register("metrics_rounded")
+def q_metrics_rounded(spark, sf_dir):
+    """4-digit half-even rounding and whole percentages."""
+    e = _evaluated(spark, sf_dir)
+    out = M.rounded(e.select("model", "horizon", "accuracy", "f1_macro", "f1_weighted"),
+                    ["accuracy", "f1_macro", "f1_weighted"])
+    from ..functions.scalar import percent
+    return out.withColumn("accuracy_pct", percent("accuracy"))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf_dir):
+    r = M.classification_report(test_scored(spark, sf_dir), ["model", "horizon"])
+    return r.select("model", "horizon", "item", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")],
+                    "support")
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(test_scored(spark, sf_dir), ["model", "horizon"])
+
+
+@register("prediction_distribution")
+def q_prediction_distribution(spark, sf_dir):
+    return M.prediction_distribution(test_scored(spark, sf_dir), ["model", "horizon"])
+
+
+@register("overfitting_gap")
+def q_overfitting_gap(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    g = M.overfitting_gap(s.filter(F.col("is_last_year") == 0), s.filter(F.col("is_last_year") == 1),
+                          ["model", "horizon"])
+    return g.select("model", "horizon", *[r6(c).alias(c) for c in (
+        "accuracy", "f1_macro", "f1_micro", "f1_weighted", "f1_macro_train", "overfitting_gap")], "test_rows")
+
+
+def best_models(evaluated):
+    """Model with the highest macro-F1 per horizon (ties → name order)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("horizon").orderBy(F.desc("f1_macro"), F.asc("model"))
+    return (evaluated.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1)
+            .select("horizon", F.col("model").alias("best_model"), "f1_macro", "accuracy", "f1_weighted", "n_rows"))
+
+
+@register("best_model")
+def q_best_model(spark, sf_dir):
+    b = best_models(_evaluated(spark, sf_dir))
+    return b.select("horizon", "best_model", r6("f1_macro").alias("f1_macro"))
+
+
+@register("metric_card")
+def q_metric_card(spark, sf_dir):
+    """Rounded metrics of the best model per horizon and its test rows."""
+    b = best_models(_evaluated(spark, sf_dir))
+    return M.rounded(b.select("horizon", "accuracy", "f1_weighted", "f1_macro", "best_model",
+                              F.col("n_rows").alias("test_rows")), ["accuracy", "f1_weighted", "f1_macro"])
+
+
+# --- bootstrap -------------------------------------------------------------------
+
+def _persistence_test(spark, sf_dir):
+    return test_scored(spark, sf_dir).filter(F.col("model") == "persistence")
+
+
+BOOT_ORDER = ["TIMESTAMP", "station", "event_id"]
+
+
+@register("bootstrap_macro_f1")
+def q_bootstrap_macro_f1(spark, sf_dir):
+    reps = bs.bootstrap_hash(_persistence_test(spark, sf_dir), ["horizon"], BOOT_ORDER, B_REPLICATES)
+    return reps.select("horizon", "b", r6("f1_macro").alias("f1_macro"))
+
+
+@register("bootstrap_ci")
+def q_bootstrap_ci(spark, sf_dir):
+    t = _persistence_test(spark, sf_dir)
+    reps = bs.bootstrap_hash(t, ["horizon"], BOOT_ORDER, B_REPLICATES)
+    n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
+    ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
+    return ci.select("horizon", *[r6(c).alias(c) for c in ("macro_f1_mean", "ci_2_5", "ci_97_5")], "B", "n_test")
+
+
+@register("bootstrap_multinomial")
+def q_bootstrap_multinomial(spark, sf_dir):
+    t = _persistence_test(spark, sf_dir)
+    reps = bs.bootstrap_multinomial(t, ["horizon"], B_REPLICATES)
+    n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
+    return bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
