@@ -3,7 +3,7 @@ intensity classes (C1) and the complete-horizon filter (F1)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import classify_precip
@@ -11,19 +11,28 @@ from ..spec import PanelSpec
 from . import sequence as seq
 
 
+def scalar_like(value, data_type) -> Column:
+    """A driver-side scalar (one aggregate value) as a literal of the
+    column's own type, so timestamp_ntz stays ntz and no time zone applies."""
+    if value is None:
+        return F.lit(None).cast(data_type)
+    return F.lit(str(value)).cast(data_type)
+
+
 def with_holdout_flag(df: DataFrame, spec: PanelSpec, flag: str = "is_last_year",
                       year_col: str | None = "year") -> DataFrame:
     """P1 + P4: calendar year and the last-period flag
     ``TIMESTAMP >= max(TIMESTAMP) - interval`` (0/1; missing timestamp → 0).
-    The max is one global partial/final aggregate; its single row is
-    broadcast, so no un-partitioned window is used."""
-    mx = df.agg(F.max(F.col(spec.ts)).alias("_max_ts"))
+    The max is one global partial/final aggregate (only the timestamp column
+    is scanned); its value comes back as a literal, so no join and no
+    un-partitioned window is needed."""
+    mx = df.agg(F.max(F.col(spec.ts))).first()[0]
     ts = F.col(spec.ts)
-    start = F.col("_max_ts") - F.expr(f"INTERVAL {spec.holdout}")
-    out = df.crossJoin(F.broadcast(mx))
+    start = scalar_like(mx, df.schema[spec.ts].dataType) - F.expr(f"INTERVAL {spec.holdout}")
+    out = df
     if year_col:
         out = out.withColumn(year_col, F.year(ts))
-    return out.withColumn(flag, F.coalesce((ts >= start).cast("int"), F.lit(0))).drop("_max_ts")
+    return out.withColumn(flag, F.coalesce((ts >= start).cast("int"), F.lit(0)))
 
 
 def lead_columns(spec: PanelSpec, k_max: int | None = None):

@@ -223,7 +223,7 @@ feat AS (
    AND c.bucket_ts = time_bucket(INTERVAL '15 minutes', l."TIMESTAMP") - INTERVAL '15 minutes'
 )"""
 
-_FEATURE_NUMS = (["Rain_mm_Tot", "year", "is_last_year"] + [f"trail_{h.name}" for h in SPEC.horizons]
+_FEATURE_NUMS = (["Rain_mm_Tot", "year"] + [f"trail_{h.name}" for h in SPEC.horizons]
                  + [f"Rain_mm_Tot_lag_{k}" for k in SPEC.lags]
                  + [f"Rain_mm_Tot_{s}_{n}" for n in SPEC.rolls for s in ("rollmean", "rollstd")]
                  + ["hour", "day_of_week", "month", "hour_sin", "hour_cos"] + CROSS_COLS)
@@ -374,3 +374,117 @@ ORACLE["bootstrap_ci"] = with_base(
     f"{r6('quantile_cont(f1_macro, 0.975)')} AS ci_97_5, count(*) AS B, max(s.n) AS n_test "
     "FROM b_summ r JOIN sizes s USING (horizon) GROUP BY r.horizon",
     BASELINE_SQL, *BOOT_SQL)
+
+
+# --- modelling ------------------------------------------------------------------------
+
+_MED_NUMS = [c for c in _FEATURE_NUMS]
+ORACLE["impute_median"] = with_base(
+    "SELECT column_name, " + r6("median") + " AS median FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(median({c}) AS DOUBLE) AS median FROM feat WHERE is_last_year = 0"
+        for c in _MED_NUMS) + ") WHERE median IS NOT NULL", CROSS_SQL, FEATURES_SQL)
+
+ORACLE["impute_mode"] = with_base(
+    "SELECT station, count(*) AS n FROM labelled WHERE is_last_year = 0 AND station IS NOT NULL "
+    "GROUP BY station ORDER BY n DESC, station ASC LIMIT 1")
+
+ORACLE["one_hot_station"] = with_base(
+    "SELECT l.event_id, l.station, array_to_string(list_transform(k.names, lambda s: CASE WHEN s = l.station THEN '1' "
+    "ELSE '0' END), '') AS station_onehot FROM labelled l, known k",
+    "known AS (SELECT list(station ORDER BY station) AS names FROM (SELECT DISTINCT station FROM labelled "
+    "WHERE is_last_year = 0 AND station IS NOT NULL))")
+
+ORACLE["class_weights"] = with_base(
+    "SELECT horizon, obs_class, n_c, sum(n_c) OVER (PARTITION BY horizon) / "
+    "(count(*) OVER (PARTITION BY horizon) * n_c) AS weight FROM (SELECT horizon, obs_class, count(*) AS n_c "
+    "FROM long_targets WHERE is_last_year = 0 AND obs_class IS NOT NULL GROUP BY ALL)", LONG_TARGETS)
+
+
+# --- dashboard products ---------------------------------------------------------------
+
+PRODUCT_SQL = [
+    "now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, horizon, station ORDER BY "
+    "\"TIMESTAMP\" DESC NULLS LAST, event_id DESC) AS rn FROM test WHERE model = 'persistence' "
+    "AND \"TIMESTAMP\" IS NOT NULL) WHERE rn = 1)",
+    "sidx AS (SELECT horizon, station, p_rain AS v, row_number() OVER (PARTITION BY horizon ORDER BY station) - 1 "
+    "AS idx, count(*) OVER (PARTITION BY horizon) AS n FROM now)",
+    "ssizes AS (SELECT DISTINCT horizon, n FROM sidx)",
+    f"sdraws AS (SELECT s.horizon, r.b, CAST(('0x' || substr(md5(CAST(r.b AS VARCHAR) || ':' || CAST(j.j AS VARCHAR)), "
+    f"1, 8)) AS BIGINT) % s.n AS idx FROM ssizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
+    "sreps AS (SELECT d.horizon, d.b, avg(i.v) AS rep_mean FROM sdraws d JOIN sidx i USING (horizon, idx) GROUP BY ALL)",
+    "sci AS (SELECT horizon, quantile_cont(rep_mean, 0.05) AS ci_lower, quantile_cont(rep_mean, 0.95) AS ci_upper "
+    "FROM sreps GROUP BY horizon)",
+    "card AS (SELECT n.horizon, strftime(max(n.\"TIMESTAMP\"), '%Y-%m-%d %H:%M:%S') AS timestamp, "
+    "max(n.pred_class) AS pred_class, max(n.pred_class) > 0 AS will_rain, avg(n.p_rain) AS probability, "
+    "avg(n.pred_prob) AS pred_prob_mean, CASE max(n.pred_class) WHEN 0 THEN 'Sin lluvia' WHEN 1 THEN 'Ligera' "
+    "WHEN 2 THEN 'Moderada/Intensa' END AS intensity, any_value(c.ci_lower) AS ci_lower, "
+    "any_value(c.ci_upper) AS ci_upper, CAST(0.9 AS DOUBLE) AS ci_level, "
+    "CASE n.horizon " + " ".join(f"WHEN '{h.name}' THEN {h.minutes}" for h in SPEC.horizons) + " END AS horizon_minutes, "
+    "count(*) AS n_stations, 'persistence ' || n.horizon AS model_version "
+    "FROM now n LEFT JOIN sci c USING (horizon) GROUP BY n.horizon)",
+]
+
+
+def with_products(body: str, *extra: str) -> str:
+    return with_base(body, BASELINE_SQL, *PRODUCT_SQL, *extra)
+
+
+ORACLE["horizon_card"] = with_products(
+    "SELECT horizon, timestamp, pred_class, will_rain, " + ", ".join(
+        f"{r6(c)} AS {c}" for c in ("probability", "pred_prob_mean")) + ", intensity, "
+    + ", ".join(f"{r6(c)} AS {c}" for c in ("ci_lower", "ci_upper")) + ", ci_level, horizon_minutes, n_stations, "
+    "model_version FROM card")
+
+ORACLE["station_panel"] = with_products("""
+SELECT n.horizon, n.station AS station_id, r.status, r.trend, """ + r6("r.last_reading") + """ AS last_reading,
+       """ + r6("n.p_rain") + """ AS probability, n.pred_class, r.recent_mm_x1000,
+       CAST(sum(CASE WHEN r.status = 'active' THEN 1 ELSE 0 END) OVER (PARTITION BY n.horizon) AS BIGINT) AS n_active,
+       count(*) OVER (PARTITION BY n.horizon) AS n_stations
+FROM now n JOIN rec2 r ON r.station = n.station""",
+    "top4 AS (SELECT * FROM (SELECT station, \"TIMESTAMP\", Rain_mm_Tot, row_number() OVER (PARTITION BY station "
+    "ORDER BY \"TIMESTAMP\" DESC, event_id DESC) AS rn FROM panel WHERE \"TIMESTAMP\" IS NOT NULL AND station IS NOT NULL) "
+    "WHERE rn <= 4)",
+    "rec AS (SELECT station, string_agg(coalesce(CAST(CAST(round(Rain_mm_Tot * 1000) AS BIGINT) AS VARCHAR), 'NA'), ',' "
+    "ORDER BY rn DESC) AS recent_mm_x1000, max(CASE WHEN rn = 1 THEN Rain_mm_Tot END) AS last_reading, "
+    "max(CASE WHEN rn = 1 THEN \"TIMESTAMP\" END) AS last_ts, (list(Rain_mm_Tot ORDER BY rn DESC))[1] AS oldest "
+    "FROM top4 GROUP BY station)",
+    "rec2 AS (SELECT *, CASE WHEN last_reading > oldest THEN 'up' WHEN last_reading < oldest THEN 'down' "
+    "ELSE 'stable' END AS trend, CASE WHEN last_ts >= max(last_ts) OVER () - INTERVAL '1 hour' THEN 'active' "
+    "ELSE 'warning' END AS status FROM rec)")
+
+ORACLE["network_series"] = with_products("""
+SELECT CAST(NULL AS VARCHAR) AS horizon, CASE WHEN m = 0 THEN 'Ahora' ELSE CAST(m AS VARCHAR) || 'min' END AS time,
+       m AS offset_min, """ + ", ".join(f"{r6(c)} AS {c}" for c in ("avg", "q10", "q90")) + """, false AS forecast
+FROM (SELECT h.*, CAST(datediff('minute', lb.last, h.bucket_ts) AS INTEGER) AS m FROM hist h, lastb lb)
+UNION ALL SELECT horizon, '+30min', 30, """ + r6("CAST(0.0 AS DOUBLE)") + ", " + r6("ci_lower * CAST(1.0 AS DOUBLE)")
+    + ", " + r6("ci_upper * CAST(1.0 AS DOUBLE)") + """, true FROM card
+UNION ALL SELECT horizon, '+60min', 60, """ + r6("CAST(0.0 AS DOUBLE)") + ", " + r6("ci_lower * CAST(0.8 AS DOUBLE)")
+    + ", " + r6("ci_upper * CAST(0.8 AS DOUBLE)") + """, true FROM card""",
+    "live AS (SELECT * FROM panel WHERE station IS NOT NULL AND \"TIMESTAMP\" IS NOT NULL)",
+    "lastb AS (SELECT max(time_bucket(INTERVAL '15 minutes', \"TIMESTAMP\")) AS last FROM live)",
+    "rgrid AS (SELECT station, time_bucket(INTERVAL '15 minutes', \"TIMESTAMP\") AS bucket_ts, "
+    "sum(Rain_mm_Tot) AS Rain_mm_Tot FROM live, lastb WHERE \"TIMESTAMP\" >= last - INTERVAL '180 minutes' GROUP BY ALL)",
+    "hist AS (SELECT bucket_ts, avg(Rain_mm_Tot) AS avg, quantile_cont(Rain_mm_Tot, 0.1) AS q10, "
+    "quantile_cont(Rain_mm_Tot, 0.9) AS q90 FROM rgrid GROUP BY bucket_ts)")
+
+ORACLE["prob_histogram"] = with_products("""
+SELECT f.horizon, f.bin, printf('%.1f–%.1f', CAST(f.bin AS DOUBLE) / CAST(10.0 AS DOUBLE),
+       CAST(f.bin + 1 AS DOUBLE) / CAST(10.0 AS DOUBLE)) AS label,
+       CAST(f.bin AS DOUBLE) / CAST(10.0 AS DOUBLE) AS lo, CAST(f.bin + 1 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS hi,
+       coalesce(c.count, 0) AS count,
+       (CAST(f.bin + 1 AS DOUBLE) / CAST(10.0 AS DOUBLE) >= k.ci_lower AND CAST(f.bin AS DOUBLE) / CAST(10.0 AS DOUBLE) <= k.ci_upper) AS in_ci
+FROM (SELECT g.horizon, CAST(r.range AS INTEGER) AS bin FROM (SELECT DISTINCT horizon FROM hcounts) g, range(10) r) f
+LEFT JOIN hcounts c ON c.horizon = f.horizon AND c.bin = f.bin
+LEFT JOIN card k ON k.horizon = f.horizon""",
+    "hcounts AS (SELECT horizon, CAST(least(floor(pred_prob * 10), 9) AS INTEGER) AS bin, count(*) AS count "
+    "FROM test WHERE model = 'persistence' AND pred_prob IS NOT NULL GROUP BY ALL)")
+
+ORACLE["alert_level"] = with_products("""
+SELECT horizon, lvl AS level,
+       CASE WHEN probability >= CAST(0.7 AS DOUBLE) THEN 'high' WHEN probability >= CAST(0.4 AS DOUBLE) THEN 'medium'
+            ELSE 'low' END AS band,
+       (CASE WHEN lvl = 'alto' THEN 'Alta' WHEN lvl = 'medio' THEN 'Moderada' ELSE 'Baja' END)
+       || ' probabilidad de precipitación en las próximas ' || CAST(CAST(horizon_minutes / 60 AS INTEGER) AS VARCHAR)
+       || ' h.' AS message
+FROM (SELECT *, CASE WHEN pred_class = 2 AND probability >= CAST(0.7 AS DOUBLE) THEN 'alto'
+                     WHEN probability >= CAST(0.4 AS DOUBLE) THEN 'medio' ELSE 'bajo' END AS lvl FROM card)""")

@@ -232,7 +232,9 @@ def q_cross_station(spark, sf_dir):
 
 def feature_table(spark, sf_dir, horizon="1h"):
     d = ds.horizon_dataset(lf(spark, sf_dir), SPEC, horizon)
-    cats, nums = ds.feature_columns(d, drop=[*ds.TRAINING_DROP, "event_id"], label=f"obs_class_{horizon}")
+    # the split flag is constant within each split: dropped by default
+    cats, nums = ds.feature_columns(d, drop=[*ds.TRAINING_DROP, "event_id", "is_last_year"],
+                                    label=f"obs_class_{horizon}")
     return d, cats, nums
 
 
@@ -370,3 +372,126 @@ def q_bootstrap_multinomial(spark, sf_dir):
     reps = bs.bootstrap_multinomial(t, ["horizon"], B_REPLICATES)
     n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
     return bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
+
+
+# --- modelling -----------------------------------------------------------------------
+
+from ..operators import modeling as MD  # noqa: E402
+from ..operators import products as PR  # noqa: E402
+
+NUM_TREES = 300       # the reference's forest size
+
+
+@register("impute_median")
+def q_impute_median(spark, sf_dir):
+    """Exact training-split median of every numeric feature."""
+    d, _, nums = feature_table(spark, sf_dir)
+    med = MD.exact_medians(d.filter(F.col("is_last_year") == 0), nums)
+    rows = [(c, float(v)) for c, v in med.items()]
+    out = spark.createDataFrame(rows, "column_name string, median double")
+    return out.select("column_name", r6("median").alias("median"))
+
+
+@register("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    """A10: most frequent station in the training split (ties → smallest)."""
+    train = labelled(spark, sf_dir).filter(F.col("is_last_year") == 0)
+    return MD.most_frequent(train, "station")
+
+
+@register("one_hot_station")
+def q_one_hot_station(spark, sf_dir):
+    """M2: station one-hot fitted on the training split, applied to all rows."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    d = labelled(spark, sf_dir)
+    model = Pipeline(stages=MD.station_encoder("station")).fit(d.filter(F.col("is_last_year") == 0))
+    out = model.transform(d)
+    bits = F.transform(vector_to_array("station_vec"), lambda x: x.cast("int").cast("string"))
+    return out.select("event_id", "station", F.array_join(bits, "").alias("station_onehot"))
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    """Balanced weights per horizon and class on the training split."""
+    long = ds.long_targets(labelled(spark, sf_dir), SPEC, keep=["is_last_year"])
+    return MD.class_weights(long.filter(F.col("is_last_year") == 0), "obs_class", ["horizon"])
+
+
+def _fit(spark, sf_dir, horizon, models):
+    d, _, nums = feature_table(spark, sf_dir, horizon)
+    train, test = ds.train_test_split(d)
+    return MD.fit_and_evaluate(train, test, f"obs_class_{horizon}", nums, models=models, num_trees=NUM_TREES)
+
+
+def _predict_query(spark, sf_dir, name):
+    _, _, preds = _fit(spark, sf_dir, "1h", (name,))
+    return preds[name].select("event_id", "station", "pred_class", "pred_prob", "p_rain",
+                              F.col("obs_class_1h").alias("obs_class"))
+
+
+@register("logreg_predict")
+def q_logreg_predict(spark, sf_dir):
+    """M5 + M7 + M8: weighted multinomial logistic regression, 1 h."""
+    return _predict_query(spark, sf_dir, "logreg")
+
+
+@register("rf_predict")
+def q_rf_predict(spark, sf_dir):
+    """M6 + M7 + M8: weighted random forest (300 trees), 1 h."""
+    return _predict_query(spark, sf_dir, "rf")
+
+
+@register("model_results")
+def q_model_results(spark, sf_dir):
+    """M9 + U1: both models on every horizon, one results table."""
+    out = None
+    for h in SPEC.horizons:
+        res, _, _ = _fit(spark, sf_dir, h.name, ("logreg", "rf"))
+        res = res.select(F.lit(h.name).alias("horizon"), "*")
+        out = res if out is None else out.unionByName(res)
+    return out
+
+
+# --- dashboard products -------------------------------------------------------------
+
+def _now(spark, sf_dir):
+    return PR.now_rows(_persistence_test(spark, sf_dir), SPEC)
+
+
+def _card(spark, sf_dir, now=None):
+    now = now if now is not None else _now(spark, sf_dir)
+    return PR.horizon_card(now, PR.station_bootstrap(now, SPEC, B_REPLICATES), SPEC)
+
+
+CARD_FLOATS = ("probability", "pred_prob_mean", "ci_lower", "ci_upper")
+
+
+@register("station_panel")
+def q_station_panel(spark, sf_dir):
+    sp = PR.station_panel(panel(spark, sf_dir), _now(spark, sf_dir), SPEC)
+    return sp.select("horizon", "station_id", "status", "trend", r6("last_reading").alias("last_reading"),
+                     r6("probability").alias("probability"), "pred_class", "recent_mm_x1000", "n_active",
+                     "n_stations")
+
+
+@register("horizon_card")
+def q_horizon_card(spark, sf_dir):
+    c = _card(spark, sf_dir)
+    return c.select(*[r6(x).alias(x) if x in CARD_FLOATS else F.col(x) for x in c.columns])
+
+
+@register("network_series")
+def q_network_series(spark, sf_dir):
+    ns = PR.network_series(panel(spark, sf_dir), _card(spark, sf_dir), SPEC)
+    return ns.select("horizon", "time", "offset_min", *[r6(x).alias(x) for x in ("avg", "q10", "q90")], "forecast")
+
+
+@register("prob_histogram")
+def q_prob_histogram(spark, sf_dir):
+    return PR.prob_histogram(_persistence_test(spark, sf_dir), "pred_prob", ["horizon"], _card(spark, sf_dir))
+
+
+@register("alert_level")
+def q_alert_level(spark, sf_dir):
+    return PR.alerts(_card(spark, sf_dir))

@@ -27,6 +27,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "pane
     conf = dict(BASE_CONF)
     conf.update({
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.driver.memory": os.environ.get("PANELCAST_DRIVER_MEMORY", "16g"),
     })
