@@ -488,3 +488,23 @@ SELECT horizon, lvl AS level,
        || ' h.' AS message
 FROM (SELECT *, CASE WHEN pred_class = 2 AND probability >= CAST(0.7 AS DOUBLE) THEN 'alto'
                      WHEN probability >= CAST(0.4 AS DOUBLE) THEN 'medio' ELSE 'bajo' END AS lvl FROM card)""")
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+ORACLE["stream_ingest"] = (f"WITH {PANEL_SQL}\nSELECT station, \"TIMESTAMP\", Rain_mm_Tot, event_id FROM panel "
+                           "QUALIFY row_number() OVER (PARTITION BY station, \"TIMESTAMP\" ORDER BY event_id) = 1")
+
+_WIN = [("1h", 60), ("3h", 180), ("6h", 360)]
+ORACLE["stream_accumulate"] = f"WITH {PANEL_SQL},\n" + """
+assigned AS (
+""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS window_len, station, Rain_mm_Tot, "
+    f"time_bucket(INTERVAL '15 minutes', \"TIMESTAMP\") - k * INTERVAL '15 minutes' AS window_start, "
+    f"time_bucket(INTERVAL '15 minutes', \"TIMESTAMP\") - k * INTERVAL '15 minutes' + INTERVAL '{m} minutes' AS window_end "
+    f"FROM panel, range({m // 15}) r(k) WHERE \"TIMESTAMP\" IS NOT NULL"
+    for name, m in _WIN) + """
+)
+SELECT window_len, station, window_start, window_end, """ + r6("sum(Rain_mm_Tot)") + """ AS rain_sum,
+       count(Rain_mm_Tot) AS n_readings
+FROM assigned GROUP BY ALL"""

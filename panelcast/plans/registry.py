@@ -495,3 +495,39 @@ def q_prob_histogram(spark, sf_dir):
 @register("alert_level")
 def q_alert_level(spark, sf_dir):
     return PR.alerts(_card(spark, sf_dir))
+
+
+# --- streaming -----------------------------------------------------------------------
+
+from ..streaming import jobs as sj  # noqa: E402
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Watermarked de-duplicated readings, run with availableNow."""
+    s = sj.ingest_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
+    path = sj.run_to_table(s.drop("event_time"), "stream_ingest")
+    return spark.read.parquet(path).select("station", "TIMESTAMP", "Rain_mm_Tot", "event_id")
+
+
+@register("stream_accumulate")
+def q_stream_accumulate(spark, sf_dir):
+    """Sliding-window totals per station, complete mode."""
+    s = sj.accumulate_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
+    path = sj.run_to_table(s, "stream_accumulate", mode="complete")
+    out = spark.read.parquet(path)
+    return out.select("window_len", "station", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      r6("rain_sum").alias("rain_sum"), "n_readings")
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """Stateful per-station alerts scored with the persistence table
+    fitted on the batch training split."""
+    train = bl.long_scored_input(lf(spark, sf_dir, history=False, context=False), SPEC, KEEP)
+    fitted = bl.fit_persistence(train.filter(F.col("is_last_year") == 0))
+    table = {(r["horizon"], int(r["persist_class"])): 1.0 - float(r["p0"]) for r in fitted.collect()}
+    s = sj.alert_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC, table)
+    path = sj.run_to_table(s, "stream_alerts")
+    return spark.read.parquet(path).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
