@@ -31,8 +31,14 @@ def hash_index(b: Column, j: Column, n: Column) -> Column:
     return h.cast("bigint") % n
 
 
+# Row-numbered predictions are broadcast to the draws only below this many
+# rows (≈ 16 bytes each); above it the draws are shuffle-joined.
+BROADCAST_ROWS = 4_000_000
+
+
 def bootstrap_hash(scored: DataFrame, group: list[str], order: list[str], B: int,
-                   label: str = "obs_class", pred: str = "pred_class") -> DataFrame:
+                   label: str = "obs_class", pred: str = "pred_class",
+                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """B1: macro-F1 of each replicate, one row per (group, b). Rows are
     numbered within each group by ``order`` (ascending, missing last)."""
     spark: SparkSession = scored.sparkSession
@@ -50,9 +56,18 @@ def bootstrap_hash(scored: DataFrame, group: list[str], order: list[str], B: int
         draws = d if draws is None else draws.unionByName(d)
     if draws is None:
         return spark.createDataFrame([], f"{', '.join(g + ' string' for g in group)}, b bigint, f1_macro double")
-    mult = draws.groupBy(*group, "b", "idx").agg(F.count(F.lit(1)).alias("m"))
-    conf = (mult.join(indexed.select(*group, "idx", "label", "pred"), [*group, "idx"])
-            .groupBy(*group, "b", "label", "pred").agg(F.sum("m").alias("n")))
+    rows = indexed.select(*group, "idx", F.col("label").cast("tinyint").alias("label"),
+                          F.col("pred").cast("tinyint").alias("pred"))
+    total = sum(int(r["n"]) for r in sizes)
+    if total <= broadcast_rows:
+        # size proven by the exact group sizes: draws stay where they are
+        # generated and only the K² cells per replicate are shuffled
+        conf = (draws.join(F.broadcast(rows), [*group, "idx"])
+                .groupBy(*group, "b", "label", "pred").agg(F.count(F.lit(1)).alias("n")))
+    else:
+        mult = draws.groupBy(*group, "b", "idx").agg(F.count(F.lit(1)).alias("m"))
+        conf = (mult.join(rows, [*group, "idx"])
+                .groupBy(*group, "b", "label", "pred").agg(F.sum("m").alias("n")))
     keys = [*group, "b"]
     return M.summary(M.per_class(conf, keys), keys).select(*keys, "f1_macro")
 

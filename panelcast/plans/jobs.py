@@ -53,11 +53,14 @@ def scored_baselines(lf: DataFrame, spec: PanelSpec, keep: list[str] | None = No
     return bl.score_baselines(bl.long_scored_input(lf, spec, keep))
 
 
-def submission(scored: DataFrame, spec: PanelSpec, model: str = "persistence") -> DataFrame:
+def submission(scored: DataFrame, spec: PanelSpec, model: str = "persistence", sort: bool = False) -> DataFrame:
     """Test-split predictions of one model in the reference's 6 columns,
     long over horizons (write with ``partitionBy("horizon")`` for one folder
-    per horizon)."""
+    per horizon). ``sort`` orders by (horizon, TIMESTAMP, station) — O2 — via
+    a range-partitioned sort, for writing."""
     s = scored.filter((F.col("model") == model) & (F.col("is_last_year") == 1))
+    if sort:
+        s = s.orderBy("horizon", F.col(spec.ts).asc_nulls_last(), F.col(spec.station).asc_nulls_last())
     return s.select(
         "horizon",
         format_ts(spec.ts).alias("timestamp"),
@@ -67,3 +70,22 @@ def submission(scored: DataFrame, spec: PanelSpec, model: str = "persistence") -
         F.col("obs_class").cast("int").alias("obs_class"),
         F.col("obs_precip").cast("double").alias("obs_precip_mm"),
     )
+
+
+def write_submission(sub: DataFrame, path: str, fmt: str = "csv") -> None:
+    """S3 + S4: one folder per horizon (``horizon=1h`` …), header CSV by default."""
+    w = sub.write.mode("overwrite").partitionBy("horizon")
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    else:
+        w.format(fmt).save(path)
+
+
+def read_submissions(spark, path: str, fmt: str = "csv") -> DataFrame:
+    """Every horizon's submission as one dataset; ``horizon`` comes back
+    from the folder names, so per-horizon work is a ``groupBy``, not a loop."""
+    if fmt == "csv":
+        schema = ("timestamp string, station_id string, pred_class int, pred_prob double, obs_class int, "
+                  "obs_precip_mm double, horizon string")
+        return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.format(fmt).load(path)

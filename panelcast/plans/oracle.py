@@ -293,6 +293,8 @@ ORACLE["submission"] = with_base(
     f"CAST(pred_class AS INTEGER) AS pred_class, {r6('pred_prob')} AS pred_prob, CAST(obs_class AS INTEGER) AS obs_class, "
     f"{r6('obs_precip')} AS obs_precip_mm FROM test WHERE model = 'persistence'", BASELINE_SQL)
 
+ORACLE["submission_files"] = ORACLE["submission"]
+
 ORACLE["pred_prob"] = with_base(
     f"SELECT event_id, horizon, pred_class, {r6('list_extract([p0, p1, p2], pred_class + 1)')} AS pred_prob, "
     f"{r6('p_rain')} AS p_rain FROM test WHERE model = 'persistence'", BASELINE_SQL)
@@ -508,3 +510,7 @@ assigned AS (
 SELECT window_len, station, window_start, window_end, """ + r6("sum(Rain_mm_Tot)") + """ AS rain_sum,
        count(Rain_mm_Tot) AS n_readings
 FROM assigned GROUP BY ALL"""
+
+ORACLE["stream_accumulate_append"] = ORACLE["stream_accumulate"].replace(
+    "FROM assigned GROUP BY ALL",
+    "FROM assigned WHERE window_end <= (SELECT max(\"TIMESTAMP\") FROM panel) - INTERVAL '1 hour' GROUP BY ALL")

@@ -257,6 +257,17 @@ def q_submission(spark, sf_dir):
                       "obs_class", r6("obs_precip_mm").alias("obs_precip_mm"))
 
 
+@register("submission_files")
+def q_submission_files(spark, sf_dir):
+    """S3 + S4 + S6: the sorted submission written as one CSV folder per
+    horizon and scanned back as one dataset."""
+    path = shared_path(spark, "submission")
+    jobs.write_submission(jobs.submission(scored(spark, sf_dir), SPEC, sort=True), path)
+    sub = jobs.read_submissions(spark, path)
+    return sub.select("horizon", "timestamp", "station_id", "pred_class", r6("pred_prob").alias("pred_prob"),
+                      "obs_class", r6("obs_precip_mm").alias("obs_precip_mm"))
+
+
 @register("pred_prob")
 def q_pred_prob(spark, sf_dir):
     """Probability of the predicted class indexed out of the vector."""
@@ -420,6 +431,9 @@ def q_class_weights(spark, sf_dir):
 
 def _fit(spark, sf_dir, horizon, models):
     d, _, nums = feature_table(spark, sf_dir, horizon)
+    # the feature table feeds medians, weights, every fit and the scoring:
+    # written once to the shared folder instead of recomputed per action
+    d = d.checkpoint(eager=True)
     train, test = ds.train_test_split(d)
     return MD.fit_and_evaluate(train, test, f"obs_class_{horizon}", nums, models=models, num_trees=NUM_TREES)
 
@@ -521,6 +535,17 @@ def q_stream_accumulate(spark, sf_dir):
                       r6("rain_sum").alias("rain_sum"), "n_readings")
 
 
+@register("stream_accumulate_append")
+def q_stream_accumulate_append(spark, sf_dir):
+    """T2 in append mode: only windows closed by the final watermark."""
+    s = sj.accumulate_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
+    path = sj.run_to_table(s, "stream_accumulate_append", mode="append")
+    out = spark.read.parquet(path)
+    return out.select("window_len", "station", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      r6("rain_sum").alias("rain_sum"), "n_readings")
+
+
 @register("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
     """Stateful per-station alerts scored with the persistence table
