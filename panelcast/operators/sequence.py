@@ -45,18 +45,14 @@ def order_columns(spec: PanelSpec) -> list[Column]:
     return cols
 
 
-def _num_partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_global_index(df: DataFrame, order: list[Column], index_col: str = "_g",
                       num_partitions: int | None = None) -> DataFrame:
     """Exact 0-based rank of every row under ``order`` without a single-task
     window. ``order`` should be a total order (include a unique tie-break)."""
-    n = _num_partitions(df, num_partitions)
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Without an explicit count the range exchange starts from the session's
+    # shuffle partitions and AQE may coalesce adjacent (contiguous) ranges.
+    ranged = df.repartitionByRange(int(num_partitions), *order) if num_partitions else df.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     # The range partitioner samples with a seed tied to the RDD id, so two
     # plans over the same input may cut different bounds. The tagged rows are
     # therefore written once (reliable checkpoint into the shared folder) and
