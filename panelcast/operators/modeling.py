@@ -63,21 +63,23 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURAC
     if not bands:
         return {}
     long = _long_values(df, list(bands))
-    band_of = None
+    # One pass: values above the band are dropped, values below it collapse
+    # into a NULL key (their count), values inside keep their own key. The
+    # result holds the distinct values of narrow bands only.
+    keep, inside = None, None
     for c, (_, lo, hi) in bands.items():
-        cond = (F.col("name") == c) & (F.col("v") >= lo) & (F.col("v") <= hi)
-        band_of = cond if band_of is None else band_of | cond
-    below_of = None
-    for c, (_, lo, _) in bands.items():
-        cond = (F.col("name") == c) & (F.col("v") < lo)
-        below_of = cond if below_of is None else below_of | cond
-    below = {r["name"]: r["k"] for r in long.filter(below_of).groupBy("name").agg(F.count(F.lit(1)).alias("k")).collect()}
-    inband = (long.filter(band_of).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k"))
-              .orderBy("name", "v").collect())   # distinct values inside narrow bands only
+        k = (F.col("name") == c) & (F.col("v") <= hi)
+        i = (F.col("name") == c) & (F.col("v") >= lo)
+        keep = k if keep is None else keep | k
+        inside = i if inside is None else inside | i
+    cells = (long.filter(keep).groupBy("name", F.when(inside, F.col("v")).alias("v"))
+             .agg(F.count(F.lit(1)).alias("k")).collect())
+    below = {r["name"]: r["k"] for r in cells if r["v"] is None}
+    inband = sorted(((r["name"], r["v"], r["k"]) for r in cells if r["v"] is not None))
     out = {}
     by_name: dict[str, list] = {}
-    for r in inband:
-        by_name.setdefault(r["name"], []).append((r["v"], r["k"]))
+    for name, v, k in inband:
+        by_name.setdefault(name, []).append((v, k))
     for c, (n, lo, hi) in bands.items():
         ranks = [(n - 1) // 2, n // 2]
         vals = []
@@ -103,10 +105,12 @@ def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 
 
 def most_frequent(df: DataFrame, col: str) -> DataFrame:
-    """A10: value with the highest count (ties → smallest), one row."""
+    """A10: value with the highest count (ties → smallest), one row. The
+    pick is ``min(struct(-count, value))``: a partial/final aggregate, so no
+    task ever holds the whole count table."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc(col))
-    return counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    best = counts.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(col).alias("v"))).alias("m"))
+    return best.select(F.col("m.v").alias(col), (-F.col("m.neg")).alias("n"))
 
 
 def class_weights(train: DataFrame, label: str, group: Iterable[str] = ()) -> DataFrame:
