@@ -1,8 +1,8 @@
 """Bootstrap confidence intervals for macro-F1.
 
 * :func:`bootstrap_hash` (B1) resamples rows: replicate b draws n row
-  indexes ``hash(b, j) mod n``; the hash (first 8 hex digits of md5) is the
-  same in Spark and DuckDB, so replicates have an exact SQL oracle. Cost is
+  indexes ``hash(b, j) mod n``; the integer hash is the same in Spark and
+  DuckDB, so replicates have an exact SQL oracle. Cost is
   B·n rows, generated by ``spark.range`` (no cross join) and joined to the
   row-numbered predictions on (group, index).
 * :func:`bootstrap_multinomial` (B4) is the scalable form. Macro-F1 depends
@@ -25,10 +25,24 @@ from . import metrics as M
 from . import sequence as seq
 
 
+# Fixed constants of the draw hash (shared with the SQL oracle): values stay
+# below 2^31 before every multiplication, so 64-bit arithmetic never overflows.
+HASH_P = 2147483647          # 2^31 - 1
+HASH_SEED_MUL = 2000003
+HASH_MUL1, HASH_ADD1, HASH_SHIFT1 = 48271, 11, 16
+HASH_MUL2, HASH_ADD2, HASH_SHIFT2 = 69621, 7, 13
+
+
 def hash_index(b: Column, j: Column, n: Column) -> Column:
-    """Row index drawn by replicate b for draw j among n rows."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", b.cast("string"), j.cast("string"))), 1, 8), 16, 10)
-    return h.cast("bigint") % n
+    """Row index drawn by replicate b for draw j among n rows: two rounds of
+    multiply-mod-prime with an xor-shift, then mod n. Pure integer
+    arithmetic: cheap, codegen-friendly and identical in DuckDB."""
+    x = (b.cast("bigint") * HASH_SEED_MUL + j.cast("bigint")) % HASH_P
+    x = (x * HASH_MUL1 + HASH_ADD1) % HASH_P
+    x = x.bitwiseXOR(F.shiftright(x, HASH_SHIFT1))
+    x = (x * HASH_MUL2 + HASH_ADD2) % HASH_P
+    x = x.bitwiseXOR(F.shiftright(x, HASH_SHIFT2))
+    return x % n
 
 
 # Row-numbered predictions are broadcast to the draws only below this many

@@ -79,6 +79,16 @@ def with_base(body: str, *extra_ctes: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def hash_sql(b: str, j: str, n: str) -> str:
+    """The bootstrap draw hash (operators.bootstrap.hash_index) in SQL."""
+    x = f"((CAST({b} AS BIGINT) * 2000003 + CAST({j} AS BIGINT)) % 2147483647)"
+    x = f"(({x} * 48271 + 11) % 2147483647)"
+    x = f"xor({x}, {x} >> 16)"
+    x = f"(({x} * 69621 + 7) % 2147483647)"
+    x = f"xor({x}, {x} >> 13)"
+    return f"({x} % {n})"
+
+
 def r6(expr: str) -> str:
     # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round never yields -0.0)
     return f"(round({expr}, 6) + CAST(0.0 AS DOUBLE))"
@@ -362,8 +372,8 @@ BOOT_SQL = [
     "row_number() OVER (PARTITION BY horizon ORDER BY \"TIMESTAMP\" ASC NULLS LAST, station ASC NULLS LAST, event_id ASC NULLS LAST) - 1 AS idx, "
     "count(*) OVER (PARTITION BY horizon) AS n FROM test WHERE model = 'persistence')",
     "sizes AS (SELECT DISTINCT horizon, n FROM bt)",
-    f"draws AS (SELECT s.horizon, r.b, CAST(('0x' || substr(md5(CAST(r.b AS VARCHAR) || ':' || CAST(j.j AS VARCHAR)), 1, 8)) "
-    f"AS BIGINT) % s.n AS idx FROM sizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
+    f"draws AS (SELECT s.horizon, r.b, {hash_sql('r.b', 'j.j', 's.n')} AS idx "
+    f"FROM sizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
     "bsrc AS (SELECT d.horizon, d.b, t.label AS obs_class, t.pred AS pred_class FROM draws d JOIN bt t USING (horizon, idx))",
     *metric_ctes("bsrc", "horizon, b", "b_"),
 ]
@@ -411,8 +421,8 @@ PRODUCT_SQL = [
     "sidx AS (SELECT horizon, station, p_rain AS v, row_number() OVER (PARTITION BY horizon ORDER BY station) - 1 "
     "AS idx, count(*) OVER (PARTITION BY horizon) AS n FROM now)",
     "ssizes AS (SELECT DISTINCT horizon, n FROM sidx)",
-    f"sdraws AS (SELECT s.horizon, r.b, CAST(('0x' || substr(md5(CAST(r.b AS VARCHAR) || ':' || CAST(j.j AS VARCHAR)), "
-    f"1, 8)) AS BIGINT) % s.n AS idx FROM ssizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
+    f"sdraws AS (SELECT s.horizon, r.b, {hash_sql('r.b', 'j.j', 's.n')} AS idx "
+    f"FROM ssizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
     "sreps AS (SELECT d.horizon, d.b, avg(i.v) AS rep_mean FROM sdraws d JOIN sidx i USING (horizon, idx) GROUP BY ALL)",
     "sci AS (SELECT horizon, quantile_cont(rep_mean, 0.05) AS ci_lower, quantile_cont(rep_mean, 0.95) AS ci_upper "
     "FROM sreps GROUP BY horizon)",
