@@ -139,12 +139,13 @@ def station_encoder(station: str = "station") -> list:
 
 
 def make_estimator(name: str, label: str, weight_col: str, n_train_weight: float | None = None,
-                   num_trees: int = 300, seed: int = 42, C: float = 1.0, max_iter: int = 2000):
+                   num_trees: int = 300, seed: int = 42, C: float = 1.0, max_iter: int = 2000,
+                   tol: float = 1e-4):
     if name == "logreg":
         reg = 1.0 / (C * n_train_weight) if n_train_weight else 0.0
         return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight_col,
                                   family="multinomial", regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, maxIter=max_iter, tol=1e-6)
+                                  standardization=False, maxIter=max_iter, tol=tol)
     if name == "rf":
         return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol=weight_col,
                                       numTrees=num_trees, maxDepth=30, seed=seed,
