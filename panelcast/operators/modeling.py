@@ -198,3 +198,21 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
         results = row if results is None else results.unionByName(row)
     train_w.unpersist()
     return results, fitted, preds
+
+
+def fit_one(train: DataFrame, label: str, numeric: list[str], name: str = "logreg",
+            num_trees: int = 300, station: str = "station") -> tuple[PipelineModel, dict[str, float], list[str]]:
+    """Fit one model with the same imputation and weighting as
+    :func:`fit_and_evaluate`; return the pipeline, the training medians and
+    the numeric columns used, i.e. everything needed to score new rows."""
+    medians = exact_medians(train, numeric)
+    usable = [c for c in numeric if c in medians]
+    tr = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
+    tr = with_class_weight(tr, class_weights(tr, label), label)
+    total_w = tr.agg(F.sum("weight")).first()[0]
+    est = make_estimator(name, label, "weight", total_w, num_trees=num_trees)
+    return build_pipeline(est, usable, station).fit(tr), medians, usable
+
+
+def score(model: PipelineModel, medians: dict[str, float], df: DataFrame) -> DataFrame:
+    return predict(model, fill_medians(df, medians))

@@ -48,6 +48,17 @@ def labelled_features(panel: DataFrame, spec: PanelSpec, method: str = "chunked"
     return out
 
 
+def feature_frame(panel: DataFrame, spec: PanelSpec, method: str = "chunked") -> DataFrame:
+    """Backward-looking features only (no targets, no rows dropped): what a
+    model needs to score readings whose future is not known yet."""
+    back = spec.max_backward
+    out = seq.over_series(panel, spec, _merge(bl.trailing_columns(spec), ft.history_columns(spec)),
+                          back=back, fwd=0, method=method)
+    out = out.withColumn("year", F.year(F.col(spec.ts)))
+    out = ft.with_time_features(out, spec)
+    return ft.with_cross_station(out, spec, source=panel)
+
+
 def scored_baselines(lf: DataFrame, spec: PanelSpec, keep: list[str] | None = None) -> DataFrame:
     keep = keep or [c for c in ([spec.tie] if spec.tie else []) + [spec.station, spec.ts, "is_last_year"]]
     return bl.score_baselines(bl.long_scored_input(lf, spec, keep))

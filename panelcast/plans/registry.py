@@ -556,3 +556,15 @@ def q_stream_alerts(spark, sf_dir):
     s = sj.alert_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC, table)
     path = sj.run_to_table(s, "stream_alerts")
     return spark.read.parquet(path).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@register("stream_alerts_model")
+def q_stream_alerts_model(spark, sf_dir):
+    """T3 with MLlib: the 1 h logistic regression (fitted on the batch
+    training split) scores each micro-batch of the readings stream."""
+    d, _, nums = feature_table(spark, sf_dir, "1h")
+    d = d.checkpoint(eager=True)
+    model, medians, _ = MD.fit_one(d.filter(F.col("is_last_year") == 0), "obs_class_1h", nums, "logreg")
+    stream = proxy.events_panel(sj.events_stream(spark, sf_dir), SPEC)
+    path = sj.model_alert_job(stream, SPEC, model, medians, "stream_alerts_model")
+    return spark.read.parquet(path).drop("epoch")
