@@ -190,3 +190,40 @@ def alerts(card: DataFrame) -> DataFrame:
     return card.select(
         "horizon", level.alias("level"), S.probability_band("probability").alias("band"),
         S.alert_message(level, F.col("horizon_minutes")).alias("message"))
+
+
+def dashboard_bundle(card: DataFrame, stations: DataFrame, series: DataFrame, histogram: DataFrame,
+                     alert_rows: DataFrame, metrics_card: DataFrame, horizons: list[str]) -> DataFrame:
+    """The dashboard's nested per-horizon document as one row per horizon:
+    ``prediction`` struct, ``stations`` / ``time_series`` / ``bootstrap``
+    arrays of structs, ``alerts`` and ``metrics`` structs, plus its JSON text.
+    Every collected list is bounded (stations, HISTORY_STEPS + forecast
+    steps, BINS), so no group grows with the data."""
+    st = stations.groupBy("horizon").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("station_id").alias("id"), "status", "trend", F.col("last_reading").alias("lastReading"),
+        "probability", F.col("recent_mm_x1000").alias("recentReadings")))).alias("stations"),
+        F.first("n_active").alias("_n_active"), F.first("n_stations").alias("_n_stations"))
+    # history steps are shared by all horizons: fan them out over the horizon list
+    names = F.array(*[F.lit(h) for h in horizons])
+    past = series.filter(F.col("horizon").isNull()).withColumn("horizon", F.explode(names))
+    ts = past.unionByName(series.filter(F.col("horizon").isNotNull())).groupBy("horizon").agg(
+        F.sort_array(F.collect_list(F.struct("offset_min", "time", "avg", "q10", "q90", "forecast"))).alias("_ts"))
+    ts = ts.select("horizon", F.transform("_ts", lambda x: x.dropFields("offset_min")).alias("time_series"))
+    hb = histogram.groupBy("horizon").agg(F.sort_array(F.collect_list(F.struct(
+        "bin", F.col("label").alias("bin_label"), "count", "in_ci"))).alias("bootstrap"))
+    out = (card.join(st, "horizon", "left").join(ts, "horizon", "left").join(hb, "horizon", "left")
+           .join(alert_rows, "horizon", "left").join(metrics_card, "horizon", "left"))
+    station_msg = F.format_string("%d de %d estaciones activas.", F.col("_n_active"), F.col("_n_stations"))
+    doc = out.select(
+        "horizon",
+        F.struct("timestamp", F.col("will_rain").alias("willRain"), "probability", "intensity", "ci_lower",
+                 "ci_upper", "ci_level", F.col("horizon_minutes").alias("horizon"),
+                 F.col("n_stations").alias("nStations"), F.col("model_version").alias("modelVersion")).alias("prediction"),
+        "stations", "time_series", "bootstrap",
+        F.struct(F.col("level").alias("current"),
+                 F.array(F.struct(F.col("level"), F.col("message").alias("text")),
+                         F.struct(F.col("level"), station_msg.alias("text"))).alias("messages")).alias("alerts"),
+        F.struct("accuracy", "f1_weighted", "f1_macro", "best_model", "test_rows").alias("metrics"),
+    )
+    return doc.withColumn("json", F.to_json(F.struct("prediction", "stations", "time_series", "bootstrap",
+                                                       "alerts", "metrics")))

@@ -40,15 +40,17 @@ def label(spark: SparkSession, src: DataFrame, out: str, spec: PanelSpec = STATI
 
 
 def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizons=None,
-          num_trees: int = 300, submit_model: str | None = None) -> None:
+          num_trees: int = 300, submit_model: str | None = None, keep_split_flag: bool = False) -> None:
+    """``keep_split_flag=True`` keeps ``is_last_year`` among the features, as the
+    reference's drop list does (constant within each split); dropped by default."""
     subs = None
     for h in spec.horizons:
         if horizons and h.name not in horizons:
             continue
         d = spark.read.parquet(f"{out}/dataset_{h.name}")
         label_col = f"obs_class_{h.name}"
-        _, nums = ds.feature_columns(d, drop=[*ds.TRAINING_DROP, "is_last_year", *([spec.tie] if spec.tie else [])],
-                                     label=label_col)
+        drop = [*ds.TRAINING_DROP, *([] if keep_split_flag else ["is_last_year"]), *([spec.tie] if spec.tie else [])]
+        _, nums = ds.feature_columns(d, drop=drop, label=label_col)
         train_df, test_df = ds.train_test_split(d)          # partition pruning on is_last_year
         res, fitted, preds = MD.fit_and_evaluate(train_df, test_df, label_col, nums, num_trees=num_trees)
         for name, model in fitted.items():                  # M7: reusable pipelines
@@ -83,6 +85,7 @@ def main(argv=None) -> None:
     ap.add_argument("--horizon", action="append")
     ap.add_argument("--trees", type=int, default=300)
     ap.add_argument("--B", type=int, default=1000)
+    ap.add_argument("--keep-split-flag", action="store_true")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
     spark = get_session(a.master) if a.master else SparkSession.builder.getOrCreate()
@@ -92,7 +95,7 @@ def main(argv=None) -> None:
                else read_observations_parquet(spark, a.input))
         label(spark, src, a.out)
     elif a.step == "train":
-        train(spark, a.out, horizons=a.horizon, num_trees=a.trees)
+        train(spark, a.out, horizons=a.horizon, num_trees=a.trees, keep_split_flag=a.keep_split_flag)
     else:
         bootstrap(spark, a.out, a.B)
 

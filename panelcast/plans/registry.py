@@ -9,10 +9,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import percent
+from ..operators import baselines as bl
+from ..operators import bootstrap as bs
 from ..operators import datasets as ds
+from ..operators import features as ft
+from ..operators import metrics as M
+from ..operators import modeling as MD
+from ..operators import products as PR
+from ..operators import sequence as seq
 from ..operators import targets as tg
+from ..session import shared_path
 from ..sources import proxy
+from ..sources.observations import TS_FORMAT, read_observations_csv
 from ..spec import PROXY_SPEC
+from ..streaming import jobs as sj
+from . import jobs
 
 SPEC = PROXY_SPEC
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,13 +101,6 @@ def q_class_distribution(spark, sf_dir):
 
 # --- labelling variants, sorts, splits, summaries ------------------------------
 
-from ..operators import baselines as bl  # noqa: E402
-from ..operators import bootstrap as bs  # noqa: E402
-from ..operators import features as ft  # noqa: E402
-from ..operators import metrics as M  # noqa: E402
-from ..operators import sequence as seq  # noqa: E402
-from ..session import shared_path  # noqa: E402
-from . import jobs  # noqa: E402
 
 KEEP = ["event_id", "station", "TIMESTAMP", "is_last_year"]
 B_REPLICATES = 1000   # the reference's B
@@ -152,7 +157,6 @@ def q_horizon_long(spark, sf_dir):
 def q_csv_roundtrip(spark, sf_dir):
     """S1 + S2 + S3: write the panel as header CSV, read it back with an
     explicit schema and parse the timestamp."""
-    from ..sources.observations import read_observations_csv, TS_FORMAT
     p = panel(spark, sf_dir)
     path = shared_path(spark, "panel_csv")
     (p.select(F.date_format("TIMESTAMP", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("TIMESTAMP"), "station",
@@ -301,7 +305,6 @@ def q_metrics_rounded(spark, sf_dir):
     e = _evaluated(spark, sf_dir)
     out = M.rounded(e.select("model", "horizon", "accuracy", "f1_macro", "f1_weighted"),
                     ["accuracy", "f1_macro", "f1_weighted"])
-    from ..functions.scalar import percent
     return out.withColumn("accuracy_pct", percent("accuracy"))
 
 
@@ -387,8 +390,6 @@ def q_bootstrap_multinomial(spark, sf_dir):
 
 # --- modelling -----------------------------------------------------------------------
 
-from ..operators import modeling as MD  # noqa: E402
-from ..operators import products as PR  # noqa: E402
 
 NUM_TREES = 300       # the reference's forest size
 
@@ -511,9 +512,21 @@ def q_alert_level(spark, sf_dir):
     return PR.alerts(_card(spark, sf_dir))
 
 
-# --- streaming -----------------------------------------------------------------------
+@register("dashboard_bundle")
+def q_dashboard_bundle(spark, sf_dir):
+    """The nested per-horizon dashboard document (all products together)."""
+    p, now = panel(spark, sf_dir), _now(spark, sf_dir)
+    card = _card(spark, sf_dir, now)
+    ev = _evaluated(spark, sf_dir)
+    mcard = M.rounded(best_models(ev).select("horizon", "accuracy", "f1_weighted", "f1_macro", "best_model",
+                                             F.col("n_rows").alias("test_rows")), ["accuracy", "f1_weighted", "f1_macro"])
+    bundle = PR.dashboard_bundle(card, PR.station_panel(p, now, SPEC), PR.network_series(p, card, SPEC),
+                                 PR.prob_histogram(_persistence_test(spark, sf_dir), "pred_prob", ["horizon"], card),
+                                 PR.alerts(card), mcard, [h.name for h in SPEC.horizons])
+    return bundle.select("horizon", "json")
+
 
-from ..streaming import jobs as sj  # noqa: E402
+# --- streaming -----------------------------------------------------------------------
 
 
 @register("stream_ingest")
