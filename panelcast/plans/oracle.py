@@ -524,3 +524,7 @@ FROM assigned GROUP BY ALL"""
 ORACLE["stream_accumulate_append"] = ORACLE["stream_accumulate"].replace(
     "FROM assigned GROUP BY ALL",
     "FROM assigned WHERE window_end <= (SELECT max(\"TIMESTAMP\") FROM panel) - INTERVAL '1 hour' GROUP BY ALL")
+
+ORACLE["label_pair_metrics"] = "WITH lp AS (SELECT quality AS obs_class, toxic AS pred_class, 'all' AS g FROM labels),\n" + \
+    ",\n".join(metric_ctes("lp", "g")) + "\nSELECT " + ", ".join(
+        f"{r6(c)} AS {c}" for c in ("accuracy", "f1_macro", "f1_weighted", "f1_micro")) + ", n_rows FROM summ"

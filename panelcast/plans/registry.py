@@ -292,6 +292,16 @@ for _m in ("accuracy", "f1_macro", "f1_weighted", "f1_micro"):
     register(_m)(_q)
 
 
+@register("label_pair_metrics")
+def q_label_pair_metrics(spark, sf_dir):
+    """E1-E4 on the ``labels`` table read as a two-class truth / prediction
+    pair (quality vs toxic): the label-union and 0/0 edge cases on real data."""
+    lab = proxy.load_table(spark, sf_dir, "labels").select(
+        F.col("quality").alias("obs_class"), F.col("toxic").alias("pred_class"))
+    e = M.evaluate(lab, [])
+    return e.select(*[r6(c).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted", "f1_micro")], "n_rows")
+
+
 @register("baseline_results")
 def q_baseline_results(spark, sf_dir):
     """U1 / M9 for the SQL-checkable baselines: one row per (model, horizon)."""

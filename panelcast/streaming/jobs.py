@@ -144,7 +144,8 @@ def alert_stream(stream: DataFrame, spec: PanelSpec, p_rain_table: dict[tuple[st
                                   "tie": pdf["tie"].astype("int64"), "rain": pdf["rain"].astype("float64")})
             if floor is not None:
                 chunk = chunk[chunk["t"] >= floor]      # late readings: the series is append-only
-            tail = pd.concat([tail, chunk]).sort_values(["t", "tie"]).tail(keep)
+            both = chunk if not len(tail) else (tail if not len(chunk) else pd.concat([tail, chunk]))
+            tail = both.sort_values(["t", "tie"]).tail(keep)
         state.update((tail["t"].tolist(), tail["tie"].tolist(),
                       [None if np.isnan(v) else float(v) for v in tail["rain"]]))
         if not len(tail):
