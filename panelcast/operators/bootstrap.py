@@ -98,23 +98,6 @@ def bootstrap_ci(reps: DataFrame, group: list[str], value: str = "f1_macro",
     return out
 
 
-def _macro_f1_from_cells(counts: np.ndarray, labels: np.ndarray, preds: np.ndarray, k: int) -> np.ndarray:
-    """counts: (R, C) cell counts for R replicates over C cells (label, pred)."""
-    R = counts.shape[0]
-    tp = np.zeros((R, k))
-    t = np.zeros((R, k))
-    p = np.zeros((R, k))
-    for c, (lab, prd) in enumerate(zip(labels, preds)):
-        t[:, lab] += counts[:, c]
-        p[:, prd] += counts[:, c]
-        if lab == prd:
-            tp[:, lab] += counts[:, c]
-    denom = t + p
-    present = denom > 0
-    f1 = np.where(present, 2 * tp / np.where(present, denom, 1), 0.0)
-    return f1.sum(axis=1) / np.maximum(present.sum(axis=1), 1)
-
-
 def bootstrap_multinomial(scored: DataFrame, group: list[str], B: int, seed: int = 42,
                           label: str = "obs_class", pred: str = "pred_class",
                           replicate_partitions: int | None = None) -> DataFrame:
@@ -129,6 +112,22 @@ def bootstrap_multinomial(scored: DataFrame, group: list[str], B: int, seed: int
     payload = {g: (np.array([c[0] for c in cells[g]]), np.array([c[1] for c in cells[g]]),
                    np.array([c[2] for c in cells[g]], dtype=np.int64)) for g in groups}
 
+    # nested, so the function shipped to Python workers is pickled by value
+    # and workers need no copy of this package
+    def _macro_f1_from_cells(counts, labels, preds, k):
+        """counts: (R, C) cell counts for R replicates over C (label, pred) cells."""
+        R = counts.shape[0]
+        tp, t, p = np.zeros((R, k)), np.zeros((R, k)), np.zeros((R, k))
+        for c, (lab, prd) in enumerate(zip(labels, preds)):
+            t[:, lab] += counts[:, c]
+            p[:, prd] += counts[:, c]
+            if lab == prd:
+                tp[:, lab] += counts[:, c]
+        denom = t + p
+        present = denom > 0
+        f1 = np.where(present, 2 * tp / np.where(present, denom, 1), 0.0)
+        return f1.sum(axis=1) / np.maximum(present.sum(axis=1), 1)
+
     def run(batches):
         for pdf in batches:
             ids = pdf["id"].to_numpy()

@@ -78,11 +78,27 @@ def accumulate_stream(stream: DataFrame, spec: PanelSpec, delay: str = "1 hour")
     return out
 
 
-def run_to_table(query_df: DataFrame, name: str, mode: str = "append") -> str:
+def run_to_table(query_df: DataFrame, name: str, mode: str = "append", state_partitions: int | None = None) -> str:
     """Run a streaming query to completion (``availableNow``) into a parquet
-    table in the shared folder; return the table path."""
+    table in the shared folder; return the table path.
+
+    Stateful streaming operators keep ``spark.sql.shuffle.partitions`` state
+    partitions, fixed in the checkpoint at the first start and not coalesced
+    by AQE. The count is therefore chosen here (default: the cluster's
+    parallelism) and set only while this query runs."""
     spark = query_df.sparkSession
     path, ckpt = shared_path(spark, name), shared_path(spark, name + "-ckpt")
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        _run(query_df, path, ckpt, mode)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
+    return path
+
+
+def _run(query_df: DataFrame, path: str, ckpt: str, mode: str) -> None:
     if mode == "complete":
         def write(batch: DataFrame, epoch: int):
             batch.write.mode("overwrite").parquet(path)
@@ -92,7 +108,6 @@ def run_to_table(query_df: DataFrame, name: str, mode: str = "append") -> str:
         q = (query_df.writeStream.outputMode(mode).format("parquet").option("path", path)
              .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return path
 
 
 # --- T3: stateful alerts ------------------------------------------------------------
@@ -102,22 +117,6 @@ ALERT_SCHEMA = ("station string, horizon string, last_ts timestamp, reading doub
 STATE_SCHEMA = "ts_us array<bigint>, tie array<bigint>, rain array<double>"
 
 
-def _classify(x: float | None, t: float) -> int:
-    if x is None or np.isnan(x):
-        return 0
-    if x == 0:
-        return 0
-    return 1 if x <= t else 2
-
-
-def _level(cls: int, p: float) -> str:
-    if cls == 2 and p >= BAND_HIGH:
-        return ALERT_HIGH
-    if p >= BAND_MEDIUM:
-        return ALERT_MEDIUM
-    return ALERT_LOW
-
-
 def alert_stream(stream: DataFrame, spec: PanelSpec, p_rain_table: dict[tuple[str, int], float],
                  delay: str = "1 hour") -> DataFrame:
     """Per station, keep the last ``max_forward`` readings as state; for
@@ -126,6 +125,20 @@ def alert_stream(stream: DataFrame, spec: PanelSpec, p_rain_table: dict[tuple[st
     × K entries, shipped with the function) and the alert level."""
     keep = spec.max_forward
     horizons = [(h.name, h.steps, h.light_threshold) for h in spec.horizons]
+    high, medium = BAND_HIGH, BAND_MEDIUM
+    lv_high, lv_medium, lv_low = ALERT_HIGH, ALERT_MEDIUM, ALERT_LOW
+
+    # Helpers are nested so the shipped function is pickled by value: Python
+    # workers need no copy of this package.
+    def _classify(x, t):
+        if x is None or np.isnan(x) or x == 0:
+            return 0
+        return 1 if x <= t else 2
+
+    def _level(cls, p):
+        if cls == 2 and p >= high:
+            return lv_high
+        return lv_medium if p >= medium else lv_low
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (station,) = key
