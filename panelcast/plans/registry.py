@@ -531,14 +531,18 @@ def q_alert_level(spark, sf_dir):
 
 @register("dashboard_bundle")
 def q_dashboard_bundle(spark, sf_dir):
-    """The nested per-horizon dashboard document (all products together)."""
-    p, now = panel(spark, sf_dir), _now(spark, sf_dir)
+    """The nested per-horizon dashboard document (all products together);
+    the scored table is built once and shared by every product."""
+    p = panel(spark, sf_dir)
+    test = scored(spark, sf_dir).filter(F.col("is_last_year") == 1)
+    pers = test.filter(F.col("model") == "persistence")
+    now = PR.now_rows(pers, SPEC)
     card = _card(spark, sf_dir, now)
-    ev = _evaluated(spark, sf_dir)
-    mcard = M.rounded(best_models(ev).select("horizon", "accuracy", "f1_weighted", "f1_macro", "best_model",
-                                             F.col("n_rows").alias("test_rows")), ["accuracy", "f1_weighted", "f1_macro"])
+    mcard = M.rounded(best_models(M.evaluate(test, ["model", "horizon"])).select(
+        "horizon", "accuracy", "f1_weighted", "f1_macro", "best_model", F.col("n_rows").alias("test_rows")),
+        ["accuracy", "f1_weighted", "f1_macro"])
     bundle = PR.dashboard_bundle(card, PR.station_panel(p, now, SPEC), PR.network_series(p, card, SPEC),
-                                 PR.prob_histogram(_persistence_test(spark, sf_dir), "pred_prob", ["horizon"], card),
+                                 PR.prob_histogram(pers, "pred_prob", ["horizon"], card),
                                  PR.alerts(card), mcard, [h.name for h in SPEC.horizons])
     return bundle.select("horizon", "json")
 
