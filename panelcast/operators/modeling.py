@@ -35,68 +35,91 @@ from . import metrics as M
 SKETCH_ACCURACY = 100_000   # rank error of the sketch ≤ n / accuracy
 
 
-def _long_values(df: DataFrame, cols: list[str]) -> DataFrame:
-    items = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
-    return df.select(F.explode(items).alias("_x")).select("_x.name", "_x.v").filter(F.col("v").isNotNull())
-
-
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURACY) -> dict[str, float]:
-    """Exact medians (mean of the two middle values for even n), with every
-    aggregate bounded: a sketch pass, then distinct (value, count) pairs in
-    the bracketing band only."""
+def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURACY,
+                  max_cells: int = 200_000) -> dict[str, float]:
+    """Exact medians (mean of the two middle values for even n) with every
+    step bounded, however large or high-cardinality a column is:
+
+    1. one pass: non-missing count and a quantile sketch bracketing the
+       middle ranks in a band [lo, hi];
+    2. one pass: rows below the band and inside it;
+    3. a band of at most ``max_cells`` rows is resolved exactly from its
+       (value, count) pairs; a larger band is re-sketched inside itself
+       (rank error shrinks by the sketch accuracy each round) and step 2
+       repeats. A band that missed the middle ranks is widened to that side;
+       one that stops shrinking holds only a few tied values and is resolved
+       from its pairs.
+    Columns without any value are skipped (scikit-learn drops them)."""
     if not cols:
         return {}
     eps = 2.0 / accuracy
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n__{c}"),
-                 F.percentile_approx(x, F.array(F.lit(max(0.0, 0.5 - eps)), F.lit(min(1.0, 0.5 + eps))),
-                                     accuracy).alias(f"q__{c}")]
-    head = df.agg(*aggs).first()
-    bands = {}
-    for c in cols:
-        n = head[f"n__{c}"]
-        if n:
-            lo, hi = head[f"q__{c}"]
-            bands[c] = (int(n), float(lo), float(hi))
-    if not bands:
-        return {}
-    long = _long_values(df, list(bands))
-    # One pass: values above the band are dropped, values below it collapse
-    # into a NULL key (their count), values inside keep their own key. The
-    # result holds the distinct values of narrow bands only.
-    keep, inside = None, None
-    for c, (_, lo, hi) in bands.items():
-        k = (F.col("name") == c) & (F.col("v") <= hi)
-        i = (F.col("name") == c) & (F.col("v") >= lo)
-        keep = k if keep is None else keep | k
-        inside = i if inside is None else inside | i
-    cells = (long.filter(keep).groupBy("name", F.when(inside, F.col("v")).alias("v"))
-             .agg(F.count(F.lit(1)).alias("k")).collect())
-    below = {r["name"]: r["k"] for r in cells if r["v"] is None}
-    inband = sorted(((r["name"], r["v"], r["k"]) for r in cells if r["v"] is not None))
-    out = {}
-    by_name: dict[str, list] = {}
-    for name, v, k in inband:
-        by_name.setdefault(name, []).append((v, k))
-    for c, (n, lo, hi) in bands.items():
-        ranks = [(n - 1) // 2, n // 2]
-        vals = []
-        for target in ranks:
-            pos = below.get(c, 0)
-            found = None
-            for v, k in by_name.get(c, []):
-                if pos + k > target:
-                    found = v
-                    break
-                pos += k
-            vals.append(found)
-        if None in vals:   # sketch missed (should not happen): exact fallback
-            m = df.agg(F.median(F.col(c).cast("double"))).first()[0]
-            out[c] = float(m)
-        else:
-            out[c] = (vals[0] + vals[1]) / 2.0
+    x = {c: F.col(c).cast("double") for c in cols}
+
+    def sketch(conds: dict, ranks: dict) -> dict:
+        aggs = [F.percentile_approx(F.when(conds[c], x[c]), F.array(F.lit(lo), F.lit(hi)), accuracy).alias(c)
+                for c, (lo, hi) in ranks.items()]
+        row = df.agg(*aggs).first()
+        return {c: (float(row[c][0]), float(row[c][1])) for c in ranks if row[c] is not None}
+
+    head = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
+    state = {c: {"n": int(head[c])} for c in cols if head[c]}
+    first = sketch({c: F.lit(True) for c in state},
+                   {c: (max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)) for c in state})
+    for c, (lo, hi) in first.items():
+        state[c].update(lo=lo, hi=hi)
+    out: dict[str, float] = {}
+    while state:
+        aggs = []
+        for c, st in state.items():
+            aggs += [F.count_if(x[c] < st["lo"]).alias(f"b__{c}"),
+                     F.count_if((x[c] >= st["lo"]) & (x[c] <= st["hi"])).alias(f"i__{c}")]
+        row = df.agg(*aggs).first()
+        small, big = [], []
+        for c, st in state.items():
+            st["below"], st["inside"] = int(row[f"b__{c}"]), int(row[f"i__{c}"])
+            lo_rank, hi_rank = (st["n"] - 1) // 2, st["n"] // 2
+            if lo_rank < st["below"]:                       # band above the middle: widen down
+                st["lo"] = float("-inf")
+            elif hi_rank >= st["below"] + st["inside"]:     # band below the middle: widen up
+                st["hi"] = float("inf")
+            elif st["inside"] <= max_cells or st.get("stuck"):
+                # a band that stopped shrinking is a few heavily tied values:
+                # its (value, count) pairs are few, whatever its row count
+                small.append(c)
+            else:
+                big.append(c)
+        if small:
+            long = df.select(F.explode(F.array(*[
+                F.struct(F.lit(c).alias("name"), x[c].alias("v")) for c in small])).alias("_x")).select("_x.*")
+            band = None
+            for c in small:
+                k = (F.col("name") == c) & (F.col("v") >= state[c]["lo"]) & (F.col("v") <= state[c]["hi"])
+                band = k if band is None else band | k
+            cells: dict[str, list] = {}
+            for r in long.filter(band).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k")).collect():
+                cells.setdefault(r["name"], []).append((r["v"], r["k"]))
+            for c in small:
+                st, vals = state.pop(c), []
+                for target in ((st["n"] - 1) // 2, st["n"] // 2):
+                    pos = st["below"]
+                    for v, k in sorted(cells.get(c, [])):
+                        if pos + k > target:
+                            vals.append(v)
+                            break
+                        pos += k
+                out[c] = (vals[0] + vals[1]) / 2.0
+        if big:
+            conds, ranks = {}, {}
+            for c in big:
+                st = state[c]
+                conds[c] = (x[c] >= st["lo"]) & (x[c] <= st["hi"])
+                t_lo = ((st["n"] - 1) // 2 - st["below"]) / st["inside"]
+                t_hi = (st["n"] // 2 - st["below"]) / st["inside"]
+                ranks[c] = (max(0.0, t_lo - eps), min(1.0, t_hi + eps))
+            for c, (lo, hi) in sketch(conds, ranks).items():
+                st = state[c]
+                st["stuck"] = (lo, hi) == (st["lo"], st["hi"]) or lo == hi
+                st.update(lo=lo, hi=hi)
     return out
 
 
