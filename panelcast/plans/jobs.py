@@ -60,8 +60,13 @@ def feature_frame(panel: DataFrame, spec: PanelSpec, method: str = "chunked") ->
 
 
 def scored_baselines(lf: DataFrame, spec: PanelSpec, keep: list[str] | None = None) -> DataFrame:
+    """Both baselines fitted on the training rows and scored on all rows.
+    The long (row × horizon) input feeds two fits and two scoring branches,
+    so it is written once (checkpoint in the shared folder) instead of
+    re-running the windowed labelling for each branch."""
     keep = keep or [c for c in ([spec.tie] if spec.tie else []) + [spec.station, spec.ts, "is_last_year"]]
-    return bl.score_baselines(bl.long_scored_input(lf, spec, keep))
+    long = bl.long_scored_input(lf, spec, keep).checkpoint(eager=True)
+    return bl.score_baselines(long)
 
 
 def submission(scored: DataFrame, spec: PanelSpec, model: str = "persistence", sort: bool = False) -> DataFrame:
