@@ -90,9 +90,11 @@ def dataset_summary(labelled: DataFrame, spec: PanelSpec, flag: str = "is_last_y
     n_cols = len(labelled.columns)
     per_h_cols = n_cols - 2 * (len(spec.horizons) - 1)
     keyed = long_targets(labelled, spec, keep=[spec.station, flag])
-    # Grouping sets in one aggregate: per (horizon, class), per station, per flag.
+    # One aggregate at the finest grain (horizon, class, station, flag); every
+    # section below re-aggregates this small table, which is written once so
+    # the labelled data is not re-computed per section.
     g = (keyed.groupBy("horizon", "obs_class", spec.station, flag)
-         .agg(F.count(F.lit(1)).alias("n")))
+         .agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
     first_h = spec.horizons[0].name
     one = g.filter(F.col("horizon") == first_h)  # each input row once
     rows = one.agg(F.sum("n").alias("n"))
