@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import metrics as M
 
-SKETCH_ACCURACY = 100_000   # rank error of the sketch ≤ n / accuracy
+SKETCH_ACCURACY = 10_000    # rank error of the sketch ≤ n / accuracy
 
 
 def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURACY,
@@ -61,13 +61,51 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURAC
         row = df.agg(*aggs).first()
         return {c: (float(row[c][0]), float(row[c][1])) for c in ranks if row[c] is not None}
 
-    head = df.agg(*[F.count(x[c]).alias(c) for c in cols]).first()
-    state = {c: {"n": int(head[c])} for c in cols if head[c]}
-    first = sketch({c: F.lit(True) for c in state},
-                   {c: (max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)) for c in state})
-    for c, (lo, hi) in first.items():
-        state[c].update(lo=lo, hi=hi)
+    def resolve(st: dict, cells: list) -> float | None:
+        vals = []
+        for target in ((st["n"] - 1) // 2, st["n"] // 2):
+            pos = st["below"]
+            for v, k in sorted(cells):
+                if pos + k > target:
+                    vals.append(v)
+                    break
+                pos += k
+        return (vals[0] + vals[1]) / 2.0 if len(vals) == 2 else None
+
+    band_ranks = (max(0.0, 0.5 - eps), min(1.0, 0.5 + eps))
+    head = df.agg(*[F.count(x[c]).alias(f"n__{c}") for c in cols],
+                  *[F.percentile_approx(x[c], F.array(F.lit(band_ranks[0]), F.lit(band_ranks[1])), accuracy)
+                    .alias(f"q__{c}") for c in cols]).first()
+    state = {c: {"n": int(head[f"n__{c}"]), "lo": float(head[f"q__{c}"][0]), "hi": float(head[f"q__{c}"][1])}
+             for c in cols if head[f"n__{c}"]}
     out: dict[str, float] = {}
+    # Fast path: the sketch's rank guarantee bounds the band to about
+    # 6·n / accuracy rows, hence at most that many distinct values. Below that
+    # cap one pass returns the below-band count (NULL key) and the band's cells.
+    fast = [c for c, st in state.items() if 6 * st["n"] / accuracy <= max_cells]
+    if fast:
+        long = df.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("name"), x[c].alias("v")) for c in fast])).alias("_x")).select("_x.*")
+        keep, inside = None, None
+        for c in fast:
+            k = (F.col("name") == c) & (F.col("v") <= state[c]["hi"])
+            i = (F.col("name") == c) & (F.col("v") >= state[c]["lo"])
+            keep = k if keep is None else keep | k
+            inside = i if inside is None else inside | i
+        cells: dict[str, list] = {}
+        below: dict[str, int] = {}
+        for r in (long.filter(keep).groupBy("name", F.when(inside, F.col("v")).alias("v"))
+                  .agg(F.count(F.lit(1)).alias("k")).collect()):
+            if r["v"] is None:
+                below[r["name"]] = r["k"]
+            else:
+                cells.setdefault(r["name"], []).append((r["v"], r["k"]))
+        for c in fast:
+            state[c]["below"] = below.get(c, 0)
+            m = resolve(state[c], cells.get(c, []))
+            if m is not None:
+                out[c] = m
+                state.pop(c)
     while state:
         aggs = []
         for c, st in state.items():
@@ -99,15 +137,7 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURAC
             for r in long.filter(band).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k")).collect():
                 cells.setdefault(r["name"], []).append((r["v"], r["k"]))
             for c in small:
-                st, vals = state.pop(c), []
-                for target in ((st["n"] - 1) // 2, st["n"] // 2):
-                    pos = st["below"]
-                    for v, k in sorted(cells.get(c, [])):
-                        if pos + k > target:
-                            vals.append(v)
-                            break
-                        pos += k
-                out[c] = (vals[0] + vals[1]) / 2.0
+                out[c] = resolve(state.pop(c), cells.get(c, []))
         if big:
             conds, ranks = {}, {}
             for c in big:
