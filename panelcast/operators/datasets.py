@@ -127,3 +127,12 @@ def preview(df: DataFrame, spec: PanelSpec, cols: list[str], n: int = 5) -> Data
     if spec.tie:
         order.append(F.col(spec.tie).asc_nulls_last())
     return df.orderBy(*order).limit(n).select(*cols)
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """S5 text form: one line per summary row, in section order, e.g.
+    ``class_share 1h:0 rows=6216 value=0.826486``."""
+    order = F.when(F.col("section") == "shape", 0).when(F.col("section") == "class_share", 1) \
+        .when(F.col("section") == "station", 2).otherwise(3)
+    line = F.format_string("%s %s rows=%d value=%.6f", "section", "item", F.col("rows").cast("bigint"), "value")
+    return summary.select(order.alias("_o"), "item", line.alias("value")).orderBy("_o", "item").select("value")

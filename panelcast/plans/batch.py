@@ -36,7 +36,9 @@ def label(spark: SparkSession, src: DataFrame, out: str, spec: PanelSpec = STATI
     for h in spec.horizons:
         ds.horizon_dataset(master, spec, h.name).write.mode("overwrite").partitionBy("is_last_year") \
             .parquet(f"{out}/dataset_{h.name}")
-    ds.dataset_summary(master, spec).write.mode("overwrite").parquet(f"{out}/summary")
+    summary = ds.dataset_summary(master, spec)
+    summary.write.mode("overwrite").parquet(f"{out}/summary")
+    ds.summary_lines(spark.read.parquet(f"{out}/summary")).write.mode("overwrite").text(f"{out}/summary_txt")
 
 
 def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizons=None,

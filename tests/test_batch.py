@@ -13,6 +13,8 @@ def test_label_train_bootstrap(spark):
     spec = PROXY_SPEC
     batch.label(spark, proxy.load_panel(spark, SF_SMALL, spec), out, spec)
     assert spark.read.parquet(f"{out}/master").count() == 664          # FIXTURES.md §D, sf0.001
+    lines = [r["value"] for r in spark.read.text(f"{out}/summary_txt").collect()]
+    assert "shape master rows=664" in " ".join(lines) and any(x.startswith("class_share 6h:2") for x in lines)
     batch.train(spark, out, spec, horizons=["1h"], num_trees=10)
     sub = spark.read.option("header", True).csv(f"{out}/submission")
     assert sub.count() == 58
