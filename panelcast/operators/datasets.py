@@ -135,4 +135,7 @@ def summary_lines(summary: DataFrame) -> DataFrame:
     order = F.when(F.col("section") == "shape", 0).when(F.col("section") == "class_share", 1) \
         .when(F.col("section") == "station", 2).otherwise(3)
     line = F.format_string("%s %s rows=%d value=%.6f", "section", "item", F.col("rows").cast("bigint"), "value")
-    return summary.select(order.alias("_o"), "item", line.alias("value")).orderBy("_o", "item").select("value")
+    # counts within the station / split sections descend, like value_counts()
+    by_count = F.when(F.col("section").isin("station", "split"), -F.col("rows")).otherwise(F.lit(0.0))
+    return (summary.select(order.alias("_o"), by_count.alias("_c"), "item", line.alias("value"))
+            .orderBy("_o", "_c", "item").select("value"))

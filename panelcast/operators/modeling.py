@@ -229,10 +229,12 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: list[str],
                      models: Iterable[str] = ("logreg", "rf"), num_trees: int = 300,
-                     station: str = "station") -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
+                     station: str = "station", medians: dict[str, float] | None = None,
+                     ) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
     """M9: fit every model on the same (imputed, weighted) split; return the
-    results table (U1), the fitted pipelines and their test predictions."""
-    medians = exact_medians(train, numeric)
+    results table (U1), the fitted pipelines and their test predictions.
+    ``medians`` may be passed when the caller already has the training medians."""
+    medians = exact_medians(train, numeric) if medians is None else medians
     usable = [c for c in numeric if c in medians]          # all-missing columns dropped
     train = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
     test = fill_medians(test, medians).withColumn(label, F.col(label).cast("double"))

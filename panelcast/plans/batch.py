@@ -4,7 +4,7 @@ over written tables in a shared folder.
     python -m panelcast.plans.batch label     --input obs.csv --out DIR
     python -m panelcast.plans.batch train     --out DIR [--horizon 1h] [--trees 300]
     python -m panelcast.plans.batch bootstrap --out DIR [--B 1000]
-    python -m panelcast.plans.batch dashboard --out DIR
+    python -m panelcast.plans.batch alerts    --out DIR --stream-dir DIR2 [--horizon 1h]
 
 ``label`` writes the master (partitioned by the hold-out flag, so training and
 scoring read only their split), per-horizon data sets and the summary. ``train``
@@ -54,7 +54,11 @@ def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizon
         drop = [*ds.TRAINING_DROP, *([] if keep_split_flag else ["is_last_year"]), *([spec.tie] if spec.tie else [])]
         _, nums = ds.feature_columns(d, drop=drop, label=label_col)
         train_df, test_df = ds.train_test_split(d)          # partition pruning on is_last_year
-        res, fitted, preds = MD.fit_and_evaluate(train_df, test_df, label_col, nums, num_trees=num_trees)
+        medians = MD.exact_medians(train_df, nums)
+        res, fitted, preds = MD.fit_and_evaluate(train_df, test_df, label_col, nums, num_trees=num_trees,
+                                                 medians=medians)
+        spark.createDataFrame(list(medians.items()), "column_name string, median double") \
+            .write.mode("overwrite").parquet(f"{out}/models/{h.name}/medians")
         for name, model in fitted.items():                  # M7: reusable pipelines
             model.write().overwrite().save(f"{out}/models/{h.name}/{name}")
         res = res.select(F.lit(h.name).alias("horizon"), "*")
@@ -78,9 +82,25 @@ def bootstrap(spark: SparkSession, out: str, B: int = 1000) -> None:
         .write.mode("overwrite").parquet(f"{out}/bootstrap_summary")
 
 
+def alerts(spark: SparkSession, out: str, stream_dir: str, spec: PanelSpec = STATION_SPEC,
+           horizon: str = "1h", model: str = "logreg", fmt: str = "parquet") -> str:
+    """T3 for the saved pipeline: score a directory of arriving reading files
+    (micro-batches, ``availableNow``) and append alert levels per epoch."""
+    from pyspark.ml import PipelineModel
+
+    from ..streaming import jobs as sj
+    pipe = PipelineModel.load(f"{out}/models/{horizon}/{model}")
+    medians = {r["column_name"]: r["median"] for r in spark.read.parquet(f"{out}/models/{horizon}/medians").collect()}
+    schema = spark.read.parquet(f"{out}/master").select(
+        spec.station, spec.ts, spec.rain, *([spec.tie] if spec.tie else [])).schema
+    stream = spark.readStream.schema(schema).format(fmt).load(stream_dir)
+    return sj.model_alert_job(stream, spec, pipe, medians, f"alerts-{horizon}-{model}")
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="panelcast.plans.batch")
-    ap.add_argument("step", choices=["label", "train", "bootstrap"])
+    ap.add_argument("step", choices=["label", "train", "bootstrap", "alerts"])
+    ap.add_argument("--stream-dir")
     ap.add_argument("--input")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--out", required=True)
@@ -98,8 +118,10 @@ def main(argv=None) -> None:
         label(spark, src, a.out)
     elif a.step == "train":
         train(spark, a.out, horizons=a.horizon, num_trees=a.trees, keep_split_flag=a.keep_split_flag)
-    else:
+    elif a.step == "bootstrap":
         bootstrap(spark, a.out, a.B)
+    else:
+        print(alerts(spark, a.out, a.stream_dir, horizon=(a.horizon or ["1h"])[0]))
 
 
 if __name__ == "__main__":

@@ -21,3 +21,8 @@ def test_label_train_bootstrap(spark):
     batch.bootstrap(spark, out, B=50)
     row = spark.read.parquet(f"{out}/bootstrap_summary").first()
     assert row["B"] == 50 and row["n_test"] == 58
+    # T3 from the saved pipeline over a directory of reading files
+    src = tempfile.mkdtemp(prefix="panelcast-readings-")
+    proxy.load_panel(spark, SF_SMALL, spec).write.mode("overwrite").parquet(src)
+    alerts = spark.read.parquet(batch.alerts(spark, out, src, spec, horizon="1h", model="logreg"))
+    assert alerts.count() == 1000 and set(r["level"] for r in alerts.select("level").distinct().collect()) <= {"bajo", "medio", "alto"}
