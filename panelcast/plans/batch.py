@@ -1,5 +1,5 @@
-"""Command-line batch jobs: the label → train → bootstrap → dashboard steps
-over written tables in a shared folder.
+"""Command-line jobs: the label → train → bootstrap steps over written tables
+in a shared folder, and the alert stream scored with a saved pipeline.
 
     python -m panelcast.plans.batch label     --input obs.csv --out DIR
     python -m panelcast.plans.batch train     --out DIR [--horizon 1h] [--trees 300]
@@ -10,7 +10,8 @@ over written tables in a shared folder.
 scoring read only their split), per-horizon data sets and the summary. ``train``
 fits both models per horizon on the same split, saves the pipelines, writes
 the results table and the chosen model's submission (one folder per horizon).
-``bootstrap`` and ``dashboard`` read the submissions as one dataset.
+``bootstrap`` reads the submissions as one dataset. ``alerts`` scores arriving
+reading files with a saved pipeline and its training medians.
 """
 
 from __future__ import annotations
