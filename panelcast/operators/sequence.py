@@ -142,10 +142,6 @@ def over_series(df: DataFrame, spec: PanelSpec,
 
 # --- window expressions (W1-W5 and the trailing sums) -----------------------
 
-def lead_k(col: str, k: int) -> Callable[[WindowSpec], Column]:
-    return lambda w: F.lead(F.col(col), k).over(w)
-
-
 def forward_sum(col: str, k: int, w: WindowSpec) -> Column:
     """Sum of the next k rows, current row excluded; missing if any of
     the k steps is missing or the series ends first."""
