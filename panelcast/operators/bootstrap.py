@@ -1,10 +1,10 @@
 """Bootstrap confidence intervals for macro-F1.
 
 * :func:`bootstrap_hash` (B1) resamples rows: replicate b draws n row
-  indexes ``hash(b, j) mod n``; the integer hash is the same in Spark and
-  DuckDB, so replicates have an exact SQL oracle. Cost is
-  B·n rows, generated by ``spark.range`` (no cross join) and joined to the
-  row-numbered predictions on (group, index).
+  positions ``hash(b, j) mod n`` over the rows numbered in (label, prediction)
+  cell order; the integer hash is the same in Spark and DuckDB, so replicates
+  have an exact SQL oracle. Cost is B·n generated rows (``spark.range``, no
+  cross join, no join at all) and a B·K² aggregate.
 * :func:`bootstrap_multinomial` (B4) is the scalable form. Macro-F1 depends
   only on the K² confusion cells, and n draws with replacement give cell
   counts ~ Multinomial(n, cell shares). Each replicate is a multinomial draw
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from . import sequence as seq
 
 
 # Fixed constants of the draw hash (shared with the SQL oracle): values stay
@@ -45,45 +44,40 @@ def hash_index(b: Column, j: Column, n: Column) -> Column:
     return x % n
 
 
-# Row-numbered predictions are broadcast to the draws only below this many
-# rows (≈ 16 bytes each); above it the draws are shuffle-joined.
-BROADCAST_ROWS = 4_000_000
+def bootstrap_hash(scored: DataFrame, group: list[str], B: int,
+                   label: str = "obs_class", pred: str = "pred_class") -> DataFrame:
+    """B1: macro-F1 of each replicate, one row per (group, b).
 
-
-def bootstrap_hash(scored: DataFrame, group: list[str], order: list[str], B: int,
-                   label: str = "obs_class", pred: str = "pred_class",
-                   broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """B1: macro-F1 of each replicate, one row per (group, b). Rows are
-    numbered within each group by ``order`` (ascending, missing last)."""
+    Replicate b draws n row positions ``hash(b, j) mod n``. Macro-F1 only
+    needs the drawn row's (label, prediction) cell, so rows are numbered in
+    cell order: position p falls in the cell whose cumulative-count interval
+    holds p. The ≤ K² interval bounds per group come from one aggregate, the
+    draws are generated by ``spark.range`` and mapped to cells arithmetically,
+    and only replicate × cell counts are shuffled (no join of the B·n draws)."""
     spark: SparkSession = scored.sparkSession
-    base = scored.select(*group, *order, F.col(label).alias("label"), F.col(pred).alias("pred"))
-    order_cols = [F.col(c).asc_nulls_last() for c in order]
-    indexed = seq.with_group_index(base, group, order_cols, "idx", size_col="n_group")
-    # One row per group value: the group domain (horizons) is a parameter list.
-    sizes = indexed.groupBy(*group).agg(F.first("n_group").alias("n")).collect()
+    conf = M.confusion(scored, group, label, pred).collect()   # ≤ groups × K² rows
+    by_group: dict[tuple, list] = {}
+    for r in conf:
+        by_group.setdefault(tuple(r[g] for g in group), []).append((int(r["label"]), int(r["pred"]), int(r["n"])))
     draws = None
-    for row in sizes:
-        n = int(row["n"])
-        r = spark.range(0, B * n)
+    for key, cells in sorted(by_group.items()):
+        cells.sort()
+        n = sum(c for _, _, c in cells)
         b, j = (F.col("id") / n).cast("bigint"), F.col("id") % n
-        d = r.select(*[F.lit(row[g]).alias(g) for g in group], b.alias("b"), hash_index(b, j, F.lit(n)).alias("idx"))
+        pos = hash_index(b, j, F.lit(n))
+        lab, prd, upper = None, None, 0
+        for cl, cp, c in cells:                 # cumulative upper bounds in cell order
+            upper += c
+            lab = F.when(pos < upper, F.lit(cl)) if lab is None else lab.when(pos < upper, F.lit(cl))
+            prd = F.when(pos < upper, F.lit(cp)) if prd is None else prd.when(pos < upper, F.lit(cp))
+        d = spark.range(0, B * n).select(*[F.lit(v).alias(g) for g, v in zip(group, key)], b.alias("b"),
+                                         lab.alias("label"), prd.alias("pred"))
         draws = d if draws is None else draws.unionByName(d)
     if draws is None:
         return spark.createDataFrame([], f"{', '.join(g + ' string' for g in group)}, b bigint, f1_macro double")
-    rows = indexed.select(*group, "idx", F.col("label").cast("tinyint").alias("label"),
-                          F.col("pred").cast("tinyint").alias("pred"))
-    total = sum(int(r["n"]) for r in sizes)
-    if total <= broadcast_rows:
-        # size proven by the exact group sizes: draws stay where they are
-        # generated and only the K² cells per replicate are shuffled
-        conf = (draws.join(F.broadcast(rows), [*group, "idx"])
-                .groupBy(*group, "b", "label", "pred").agg(F.count(F.lit(1)).alias("n")))
-    else:
-        mult = draws.groupBy(*group, "b", "idx").agg(F.count(F.lit(1)).alias("m"))
-        conf = (mult.join(rows, [*group, "idx"])
-                .groupBy(*group, "b", "label", "pred").agg(F.sum("m").alias("n")))
+    conf_b = draws.groupBy(*group, "b", "label", "pred").agg(F.count(F.lit(1)).alias("n"))
     keys = [*group, "b"]
-    return M.summary(M.per_class(conf, keys), keys).select(*keys, "f1_macro")
+    return M.summary(M.per_class(conf_b, keys), keys).select(*keys, "f1_macro")
 
 
 def bootstrap_ci(reps: DataFrame, group: list[str], value: str = "f1_macro",

@@ -368,13 +368,15 @@ ORACLE["metric_card"] = with_metrics(
 
 B_REPLICATES = 1000
 BOOT_SQL = [
-    "bt AS (SELECT horizon, obs_class AS label, pred_class AS pred, "
-    "row_number() OVER (PARTITION BY horizon ORDER BY \"TIMESTAMP\" ASC NULLS LAST, station ASC NULLS LAST, event_id ASC NULLS LAST) - 1 AS idx, "
-    "count(*) OVER (PARTITION BY horizon) AS n FROM test WHERE model = 'persistence')",
-    "sizes AS (SELECT DISTINCT horizon, n FROM bt)",
+    "bcells AS (SELECT horizon, obs_class AS label, pred_class AS pred, count(*) AS c FROM test "
+    "WHERE model = 'persistence' AND obs_class IS NOT NULL AND pred_class IS NOT NULL GROUP BY ALL)",
+    "bounds AS (SELECT *, CAST(sum(c) OVER (PARTITION BY horizon ORDER BY label, pred ROWS UNBOUNDED PRECEDING) - c "
+    "AS BIGINT) AS lo, CAST(sum(c) OVER (PARTITION BY horizon) AS BIGINT) AS n FROM bcells)",
+    "sizes AS (SELECT DISTINCT horizon, n FROM bounds)",
     f"draws AS (SELECT s.horizon, r.b, {hash_sql('r.b', 'j.j', 's.n')} AS idx "
     f"FROM sizes s, range({B_REPLICATES}) r(b), LATERAL (SELECT * FROM range(s.n) u(j)) j)",
-    "bsrc AS (SELECT d.horizon, d.b, t.label AS obs_class, t.pred AS pred_class FROM draws d JOIN bt t USING (horizon, idx))",
+    "bsrc AS (SELECT d.horizon, d.b, k.label AS obs_class, k.pred AS pred_class FROM draws d "
+    "JOIN bounds k ON d.horizon = k.horizon AND d.idx >= k.lo AND d.idx < k.lo + k.c)",
     *metric_ctes("bsrc", "horizon, b", "b_"),
 ]
 

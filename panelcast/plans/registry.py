@@ -372,19 +372,18 @@ def _persistence_test(spark, sf_dir):
     return test_scored(spark, sf_dir).filter(F.col("model") == "persistence")
 
 
-BOOT_ORDER = ["TIMESTAMP", "station", "event_id"]
 
 
 @register("bootstrap_macro_f1")
 def q_bootstrap_macro_f1(spark, sf_dir):
-    reps = bs.bootstrap_hash(_persistence_test(spark, sf_dir), ["horizon"], BOOT_ORDER, B_REPLICATES)
+    reps = bs.bootstrap_hash(_persistence_test(spark, sf_dir), ["horizon"], B_REPLICATES)
     return reps.select("horizon", "b", r6("f1_macro").alias("f1_macro"))
 
 
 @register("bootstrap_ci")
 def q_bootstrap_ci(spark, sf_dir):
     t = _persistence_test(spark, sf_dir)
-    reps = bs.bootstrap_hash(t, ["horizon"], BOOT_ORDER, B_REPLICATES)
+    reps = bs.bootstrap_hash(t, ["horizon"], B_REPLICATES)
     n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
     ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
     return ci.select("horizon", *[r6(c).alias(c) for c in ("macro_f1_mean", "ci_2_5", "ci_97_5")], "B", "n_test")

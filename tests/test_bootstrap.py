@@ -20,7 +20,7 @@ def test_hash_index_known_values(spark):
 
 def test_hash_and_multinomial_agree(spark):
     d = _pairs(spark)
-    h = bs.bootstrap_ci(bs.bootstrap_hash(d, ["horizon"], ["doc_id"], 400), ["horizon"]).first()
+    h = bs.bootstrap_ci(bs.bootstrap_hash(d, ["horizon"], 400), ["horizon"]).first()
     m = bs.bootstrap_ci(bs.bootstrap_multinomial(d, ["horizon"], 400), ["horizon"]).first()
     assert abs(h["macro_f1_mean"] - m["macro_f1_mean"]) < 0.02
     wh, wm = h["ci_97_5"] - h["ci_2_5"], m["ci_97_5"] - m["ci_2_5"]
