@@ -239,9 +239,10 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
     train = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
     test = fill_medians(test, medians).withColumn(label, F.col(label).cast("double"))
     weights = class_weights(train, label)
-    train_w = with_class_weight(train, weights, label)
+    # cached first, so the pass computing the weight total fills the cache
+    # that every fit's iterations then read
+    train_w = with_class_weight(train, weights, label).cache()
     total_w = train_w.agg(F.sum("weight")).first()[0]
-    train_w = train_w.cache()   # reused by every fit's iterations
     results, fitted, preds = None, {}, {}
     for name in models:
         est = make_estimator(name, label, "weight", total_w, num_trees=num_trees)
