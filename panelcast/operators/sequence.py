@@ -108,15 +108,19 @@ def plain_window(spec: PanelSpec) -> WindowSpec:
 
 def over_series(df: DataFrame, spec: PanelSpec,
                 build: Callable[[WindowSpec], dict[str, Column]],
-                back: int, fwd: int, method: str = "chunked") -> DataFrame:
+                back: int, fwd: int, method: str = "chunked",
+                prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add the columns returned by ``build(w)`` where ``w`` orders each
     station's rows. ``back`` / ``fwd`` bound how many rows before / after the
     current one any expression reads. Rows with a NULL station get NULL
-    (pandas drops NaN group keys; Spark would group them)."""
+    (pandas drops NaN group keys; Spark would group them). ``prepare`` is
+    applied to the rows just before the window stage (after the row index is
+    written), e.g. to join narrow per-row context."""
     guard = F.col(spec.station).isNotNull()
     if method == "plain":
+        src = prepare(df) if prepare else df
         exprs = build(plain_window(spec))
-        return df.select("*", *[F.when(guard, e).alias(name) for name, e in exprs.items()])
+        return src.select("*", *[F.when(guard, e).alias(name) for name, e in exprs.items()])
     if method != "chunked":
         raise ValueError(method)
 
@@ -125,6 +129,8 @@ def over_series(df: DataFrame, spec: PanelSpec,
         raise ValueError(f"chunk_rows={c} must exceed halo sizes back={back}, fwd={fwd}")
     g = "_g"
     indexed = with_global_index(df, order_columns(spec), g, spec.index_partitions)
+    if prepare:
+        indexed = prepare(indexed)
     home = F.floor(F.col(g) / F.lit(c))
     pos = F.col(g) - home * F.lit(c)
     targets = F.array_compact(F.array(

@@ -37,14 +37,19 @@ def labelled_features(panel: DataFrame, spec: PanelSpec, method: str = "chunked"
     builders = [tg.target_columns(spec), bl.trailing_columns(spec)]
     if history:
         builders.append(ft.history_columns(spec))
+    # Cross-station context is joined after the row index is written and
+    # before the window shuffle, while rows are still narrow: the join moves
+    # a few columns and the six context columns ride along through the window
+    # stage, instead of a second shuffle of the wide labelled rows (and the
+    # range sampler still only scans the panel).
+    prepare = (lambda d: ft.with_cross_station(d, spec, source=panel)) if context else None
     out = seq.over_series(flagged, spec, _merge(*builders), back=spec.max_backward,
-                          fwd=spec.max_forward, method=method)
+                          fwd=spec.max_forward, method=method, prepare=prepare)
     for h in spec.horizons:
         out = out.withColumn(f"obs_class_{h.name}", classify_precip(f"obs_precip_{h.name}", h.light_threshold))
     out = tg.complete_horizons(out, spec)
     if context:
         out = ft.with_time_features(out, spec)
-        out = ft.with_cross_station(out, spec, source=panel)
     return out
 
 
