@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import SPEC, by_rid, panel, ts
@@ -76,10 +77,14 @@ def test_leap_day_calendar_year(spark):
     assert flags == {0: (1,), 1: (1,), 2: (0,)}
 
 
-def test_full_grid_row_arithmetic(spark):
-    """4 stations, 15-minute grid ending 2026-03-05 23:00: 35,017 hold-out
-    rows per station after the 24 incomplete ones are dropped."""
-    start, end = dt.datetime(2024, 3, 5, 23, 0), dt.datetime(2026, 3, 5, 23, 0)
+@pytest.mark.parametrize("end, per_station", [
+    (dt.datetime(2026, 3, 5, 23, 0), 35_017),   # hold-out year without 29 Feb
+    (dt.datetime(2024, 3, 6, 23, 0), 35_113),   # hold-out year spanning 29 Feb 2024
+])
+def test_full_grid_row_arithmetic(spark, end, per_station):
+    """4 stations, 15-minute grid over two years: the calendar-year hold-out
+    keeps 365 (or 366) days of steps + 1, minus the 24 incomplete last rows."""
+    start = end.replace(year=end.year - 2)
     n = int((end - start).total_seconds() // 900) + 1
     stations = F.array(*[F.lit(s) for s in ["CER", "JUN", "MERC", "MIRA"]])
     grid = (spark.range(0, n).select(
@@ -88,7 +93,7 @@ def test_full_grid_row_arithmetic(spark):
         .withColumn("Rain_mm_Tot", F.lit(0.0)))
     lab = tg.label_panel(grid, STATION_SPEC.with_(index_partitions=8))
     counts = {r["is_last_year"]: r["count"] for r in lab.groupBy("is_last_year").count().collect()}
-    assert counts[1] == 35_017 * 4
+    assert counts[1] == per_station * 4
 
 
 def test_duplicate_key_uses_tie_break(spark):
