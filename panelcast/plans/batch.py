@@ -102,6 +102,7 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(prog="panelcast.plans.batch")
     ap.add_argument("step", choices=["label", "train", "bootstrap", "alerts"])
     ap.add_argument("--stream-dir")
+    ap.add_argument("--text-cols", nargs="*", default=[], help="extra non-numeric CSV columns")
     ap.add_argument("--input")
     ap.add_argument("--format", default="csv", choices=["csv", "parquet"])
     ap.add_argument("--out", required=True)
@@ -114,7 +115,7 @@ def main(argv=None) -> None:
     spark = get_session(a.master) if a.master else SparkSession.builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     if a.step == "label":
-        src = (read_observations_csv(spark, a.input, STATION_SPEC) if a.format == "csv"
+        src = (read_observations_csv(spark, a.input, STATION_SPEC, strings=a.text_cols) if a.format == "csv"
                else read_observations_parquet(spark, a.input))
         label(spark, src, a.out)
     elif a.step == "train":

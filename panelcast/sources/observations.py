@@ -27,25 +27,28 @@ def normalise_missing(df: DataFrame, cols: Iterable[str] | None = None) -> DataF
     ])
 
 
-def observation_schema(spec: PanelSpec, numeric: Iterable[str] = ()) -> T.StructType:
-    """Explicit schema: key columns typed, rain and any other readings double.
-    The timestamp is read as text and parsed by :func:`read_observations_csv`
-    so that one pattern governs every file."""
-    fields = [
-        T.StructField(spec.ts, T.StringType(), True),
-        T.StructField(spec.station, T.StringType(), True),
-        T.StructField(spec.rain, T.DoubleType(), True),
-    ]
-    fields += [T.StructField(c, T.DoubleType(), True) for c in numeric]
-    return T.StructType(fields)
+def observation_schema(spec: PanelSpec, columns: Iterable[str], strings: Iterable[str] = ()) -> T.StructType:
+    """Explicit schema in the file's column order: station and any listed
+    text columns as string, the timestamp as text (parsed after the scan),
+    every other column — rain and the open tail of readings — as double."""
+    text = {spec.station, spec.ts, *strings}
+    return T.StructType([T.StructField(c, T.StringType() if c in text else T.DoubleType(), True) for c in columns])
 
 
 def read_observations_csv(spark: SparkSession, path: str, spec: PanelSpec,
-                          numeric: Iterable[str] = (), schema: T.StructType | None = None,
+                          strings: Iterable[str] = (), schema: T.StructType | None = None,
                           ts_format: str | None = None) -> DataFrame:
     """S1 + S2: header CSV scan with an explicit schema (no inference), parse
-    the timestamp, normalise NaN to NULL. Empty fields and ``NA`` become NULL."""
-    schema = schema or observation_schema(spec, numeric)
+    the timestamp, normalise NaN to NULL. Empty fields and ``NA`` become NULL.
+
+    A user schema binds CSV columns by position, so the header's names are
+    read first (a one-line scan) and the schema is built in that order."""
+    if schema is None:
+        header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+        missing = {spec.station, spec.ts, spec.rain} - set(header)
+        if missing:
+            raise ValueError(f"columns missing from {path}: {sorted(missing)}")
+        schema = observation_schema(spec, header, strings)
     df = (spark.read.schema(schema)
           .option("header", True)
           .option("mode", "PERMISSIVE")

@@ -26,16 +26,20 @@ def _master_csv() -> str:
         txt = [f"{v:.3f}" for v in rain]
         for i in rng.choice(len(ts), 3, replace=False):
             txt[i] = rng.choice(["NaN", "NA", ""])
-        frames.append(pd.DataFrame({"TIMESTAMP": ts.strftime("%Y-%m-%d %H:%M:%S"), "station": s,
-                                    "Rain_mm_Tot": txt, "AirTC_Avg": rng.normal(25, 2, len(ts)).round(2)}))
+        # columns deliberately not in (TIMESTAMP, station, rain) order
+        frames.append(pd.DataFrame({"AirTC_Avg": rng.normal(25, 2, len(ts)).round(2), "station": s,
+                                    "Rain_mm_Tot": txt, "TIMESTAMP": ts.strftime("%Y-%m-%d %H:%M:%S")}))
     d = tempfile.mkdtemp(prefix="panelcast-master-")
     pd.concat(frames).sample(frac=1, random_state=1).to_csv(os.path.join(d, "master.csv"), index=False)
     return d
 
 
 def test_station_master_end_to_end(spark):
-    src = read_observations_csv(spark, _master_csv(), SPEC, numeric=["AirTC_Avg"])
+    src = read_observations_csv(spark, _master_csv(), SPEC)
     assert src.filter(F.col("Rain_mm_Tot").isNull()).count() == 12
+    assert dict(src.dtypes) == {"AirTC_Avg": "double", "station": "string", "Rain_mm_Tot": "double",
+                                "TIMESTAMP": "timestamp_ntz"}
+    assert src.agg(F.min("AirTC_Avg")).first()[0] > 10          # read from its own column
     a = jobs.labelled_features(src, SPEC, method="chunked")
     b = jobs.labelled_features(src, SPEC, method="plain")
     key = ["station", "TIMESTAMP"]
