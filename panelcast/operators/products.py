@@ -10,10 +10,11 @@ is derived from the scored predictions and the panel:
 * horizon card (A7, C2, B5): mean station probabilities now, network class,
   a 90 % interval from a hash bootstrap over the stations' P(rain) now.
 * network series (A6, C6, C7): mean and 10 / 90 % quantiles across stations
-  of the last ``steps`` grid steps, then two forecast steps carrying the card
-  interval, the second widened by ``widen``.
+  of the last HISTORY_STEPS grid steps, then the FORECAST steps carrying the
+  card interval, the second scaled by its factor.
 * probability histogram (A8, C5): zero-filled 10-bin histogram of P(pred).
 * alerts (C3, C4): level, band and message per horizon.
+* dashboard bundle: all of the above nested per horizon, with its JSON.
 
 Per-station top-k uses ``row_number() <= k`` so Spark inserts a partial
 group limit before the shuffle (``WindowGroupLimit``): at most k rows per

@@ -3,9 +3,11 @@
 * :func:`labelled_features` — the labelling step (P4, W2, C1, F1) plus the
   backward-looking features (W3-W5), the persistence inputs and calendar /
   cross-station context, all windowed columns in **one** chunked pass.
+* :func:`feature_frame` — the same features without targets, for scoring.
 * :func:`scored_baselines` — long form (row × horizon) with both baselines'
   predictions and probabilities for every row.
-* :func:`submission` — P10 / P11 / O2 prediction table of one model.
+* :func:`submission` — P10 / P11 / O2 prediction table of one model;
+  :func:`write_submission` / :func:`read_submissions` — S3, S4, S6.
 """
 
 from __future__ import annotations
