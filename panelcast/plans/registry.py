@@ -114,7 +114,7 @@ def scored(spark, sf_dir):
     return jobs.scored_baselines(lf(spark, sf_dir, history=False, context=False), SPEC, keep=KEEP)
 
 
-def test_scored(spark, sf_dir):
+def holdout_scored(spark, sf_dir):
     return scored(spark, sf_dir).filter(F.col("is_last_year") == 1)
 
 
@@ -275,7 +275,7 @@ def q_submission_files(spark, sf_dir):
 @register("pred_prob")
 def q_pred_prob(spark, sf_dir):
     """Probability of the predicted class indexed out of the vector."""
-    s = test_scored(spark, sf_dir).filter(F.col("model") == "persistence")
+    s = holdout_scored(spark, sf_dir).filter(F.col("model") == "persistence")
     probs = F.array("p0", "p1", "p2")
     return s.select("event_id", "horizon", "pred_class",
                     r6(F.element_at(probs, F.col("pred_class") + 1)).alias("pred_prob"),
@@ -283,7 +283,7 @@ def q_pred_prob(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir):
-    return M.evaluate(test_scored(spark, sf_dir), ["model", "horizon"])
+    return M.evaluate(holdout_scored(spark, sf_dir), ["model", "horizon"])
 
 
 for _m in ("accuracy", "f1_macro", "f1_weighted", "f1_micro"):
@@ -320,19 +320,19 @@ def q_metrics_rounded(spark, sf_dir):
 
 @register("classification_report")
 def q_classification_report(spark, sf_dir):
-    r = M.classification_report(test_scored(spark, sf_dir), ["model", "horizon"])
+    r = M.classification_report(holdout_scored(spark, sf_dir), ["model", "horizon"])
     return r.select("model", "horizon", "item", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")],
                     "support")
 
 
 @register("confusion_matrix")
 def q_confusion_matrix(spark, sf_dir):
-    return M.confusion_matrix(test_scored(spark, sf_dir), ["model", "horizon"])
+    return M.confusion_matrix(holdout_scored(spark, sf_dir), ["model", "horizon"])
 
 
 @register("prediction_distribution")
 def q_prediction_distribution(spark, sf_dir):
-    return M.prediction_distribution(test_scored(spark, sf_dir), ["model", "horizon"])
+    return M.prediction_distribution(holdout_scored(spark, sf_dir), ["model", "horizon"])
 
 
 @register("overfitting_gap")
@@ -369,7 +369,7 @@ def q_metric_card(spark, sf_dir):
 # --- bootstrap -------------------------------------------------------------------
 
 def _persistence_test(spark, sf_dir):
-    return test_scored(spark, sf_dir).filter(F.col("model") == "persistence")
+    return holdout_scored(spark, sf_dir).filter(F.col("model") == "persistence")
 
 
 
