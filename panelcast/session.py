@@ -28,6 +28,8 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "pane
     conf.update({
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoint files of DataFrames that are gone are removed by the cleaner
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.driver.memory": os.environ.get("PANELCAST_DRIVER_MEMORY", "16g"),
     })
