@@ -591,13 +591,24 @@ def q_stream_alerts(spark, sf_dir):
     return spark.read.parquet(path).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
 
 
-@register("stream_alerts_model")
-def q_stream_alerts_model(spark, sf_dir):
-    """T3 with MLlib: the 1 h logistic regression (fitted on the batch
-    training split) scores each micro-batch of the readings stream."""
+def _model_alerts(spark, sf_dir):
     d, _, nums = feature_table(spark, sf_dir, "1h")
     d = d.checkpoint(eager=True)
     model, medians, _ = MD.fit_one(d.filter(F.col("is_last_year") == 0), "obs_class_1h", nums, "logreg")
     stream = proxy.events_panel(sj.events_stream(spark, sf_dir), SPEC)
     path = sj.model_alert_job(stream, SPEC, model, medians, "stream_alerts_model")
     return spark.read.parquet(path).drop("epoch")
+
+
+@register("stream_alerts_model")
+def q_stream_alerts_model(spark, sf_dir):
+    """T3 with MLlib: the 1 h logistic regression (fitted on the batch
+    training split) scores each micro-batch of the readings stream."""
+    return _model_alerts(spark, sf_dir)
+
+
+@register("stream_alert_metrics")
+def q_stream_alert_metrics(spark, sf_dir):
+    """T3 evaluation: the streamed 1 h alerts against the labels that matured
+    after them (rows whose next four readings arrived)."""
+    return sj.evaluate_alerts(_model_alerts(spark, sf_dir), labelled(spark, sf_dir), SPEC, "1h")

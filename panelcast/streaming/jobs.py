@@ -228,3 +228,16 @@ def model_alert_job(stream: DataFrame, spec: PanelSpec, model, medians: dict[str
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out
+
+
+def evaluate_alerts(alerts: DataFrame, labelled: DataFrame, spec: PanelSpec, horizon: str) -> DataFrame:
+    """Streamed predictions against labels that matured later: alerts are
+    scored when a reading arrives, its class is known only ``steps`` rows
+    afterwards. Joining the alerts table to the labelled rows on the row key
+    (a shuffle join on keys; labels still open simply do not match yet) gives
+    the confusion-based metrics of what was actually alerted."""
+    from ..operators import metrics as M
+    keys = [spec.station, spec.ts] + ([spec.tie] if spec.tie else [])
+    truth = labelled.select(*keys, F.col(f"obs_class_{horizon}").alias("obs_class"))
+    matched = alerts.select(*keys, "pred_class").join(truth, keys)
+    return M.evaluate(matched, []).withColumn("horizon", F.lit(horizon))
