@@ -34,6 +34,7 @@ from ..session import ensure_checkpoint_dir
 from ..spec import PanelSpec
 
 _PID, _MID, _OFF, _M0 = "_seq_pid", "_seq_mid", "_seq_off", "_seq_m0"
+_TIE = "_seq_tie"
 
 
 def order_columns(spec: PanelSpec) -> list[Column]:
@@ -117,10 +118,19 @@ def over_series(df: DataFrame, spec: PanelSpec,
     applied to the rows just before the window stage (after the row index is
     written), e.g. to join narrow per-row context."""
     guard = F.col(spec.station).isNotNull()
+    synthetic = spec.tie is None
+    if synthetic:
+        # No tie column: number rows in scan order before any shuffle. The
+        # order key becomes unique, so the range exchange can split even a
+        # burst of equal (station, TIMESTAMP) keys, and duplicates keep file
+        # order, as a stable sort of the source file would.
+        df = df.withColumn(_TIE, F.monotonically_increasing_id())
+        spec = spec.with_(tie=_TIE)
     if method == "plain":
         src = prepare(df) if prepare else df
         exprs = build(plain_window(spec))
-        return src.select("*", *[F.when(guard, e).alias(name) for name, e in exprs.items()])
+        out = src.select("*", *[F.when(guard, e).alias(name) for name, e in exprs.items()])
+        return out.drop(_TIE) if synthetic else out
     if method != "chunked":
         raise ValueError(method)
 
@@ -143,7 +153,8 @@ def over_series(df: DataFrame, spec: PanelSpec,
     w = Window.partitionBy(spec.station, "_chunk").orderBy(g)
     exprs = build(w)
     out = spread.select("*", *[F.when(guard, e).alias(name) for name, e in exprs.items()])
-    return out.filter(F.col("_chunk") == F.col("_home")).drop(g, "_home", "_chunk")
+    out = out.filter(F.col("_chunk") == F.col("_home")).drop(g, "_home", "_chunk")
+    return out.drop(_TIE) if synthetic else out
 
 
 # --- window expressions (W1-W5 and the trailing sums) -----------------------

@@ -101,3 +101,27 @@ def test_duplicate_key_uses_tie_break(spark):
     out = by_rid(tg.with_targets(panel(spark, rows), SPEC), "obs_precip_1h")
     assert abs(out[0][0] - 0.254) < 1e-12     # rid 0 comes first, so rid 1 is its next row
     assert out[1][0] == 0.0
+
+
+def test_duplicates_without_tie_keep_file_order(spark):
+    """No tie column (the station master): rows with equal (station,
+    TIMESTAMP) keep file order, and a burst of equal keys is still split
+    across chunks with results equal to the plain window."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("station", T.StringType()), T.StructField("TIMESTAMP", T.TimestampNTZType()),
+                           T.StructField("Rain_mm_Tot", T.DoubleType())])
+    rows = [("A", ts(0), 0.0), ("A", ts(0), 0.254)] + [("A", ts(i), 0.0) for i in range(1, 6)]
+    spec = STATION_SPEC.with_(holdout="1 HOUR")
+    for method in ("chunked", "plain"):
+        got = [r["obs_precip_1h"] for r in tg.with_targets(spark.createDataFrame(rows, schema), spec, method)
+               .orderBy("TIMESTAMP", F.col("Rain_mm_Tot")).collect()]
+        assert abs(got[0] - 0.254) < 1e-12 and got[1] == 0.0, method   # 0.0 row first, its next row is the tip
+    burst = [("B", ts(0), 0.254 * (i % 3)) for i in range(3000)] + [("B", ts(i), 0.0) for i in range(1, 30)]
+    df = spark.createDataFrame(burst, schema)
+    spec = STATION_SPEC.with_(holdout="1 HOUR", chunk_rows=500)
+    def rows_of(method):
+        out = tg.with_targets(df, spec, method).collect()
+        return sorted((r["TIMESTAMP"], r["Rain_mm_Tot"], -1.0 if r["obs_precip_6h"] is None
+                       else round(r["obs_precip_6h"], 9)) for r in out)
+    a, b = rows_of("chunked"), rows_of("plain")
+    assert len(a) == 3029 and a == b
