@@ -249,8 +249,14 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
         model = build_pipeline(est, usable, station).fit(train_w)
         p = predict(model, test)
         fitted[name], preds[name] = model, p
+        # E7 on the model: macro-F1 on its own training rows (one scalar from
+        # a K²-row confusion aggregate, attached as a literal)
+        f1_train = M.evaluate(predict(model, train_w).withColumn("obs_class", F.col(label).cast("int")),
+                              []).first()["f1_macro"]
         row = M.evaluate(p.withColumn("obs_class", F.col(label).cast("int")), []).select(
-            F.lit(name).alias("model"), "accuracy", "f1_macro", "f1_weighted")
+            F.lit(name).alias("model"), "accuracy", "f1_macro", "f1_micro", "f1_weighted",
+            F.lit(f1_train).alias("f1_macro_train"), (F.lit(f1_train) - F.col("f1_macro")).alias("overfitting_gap"),
+            F.col("n_rows").alias("test_rows"))
         results = row if results is None else results.unionByName(row)
     train_w.unpersist()
     return results, fitted, preds

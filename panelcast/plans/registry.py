@@ -476,12 +476,17 @@ def q_model_results(spark, sf_dir):
     def one(h):
         res, _, _ = _fit(spark, sf_dir, h.name, ("logreg", "rf"))
         rows = res.collect()            # one row per model: materialise inside the thread
-        return [(h.name, r["model"], r["accuracy"], r["f1_macro"], r["f1_weighted"]) for r in rows]
+        return [(h.name, *[r[c] for c in RESULT_COLS]) for r in rows]
 
     with ThreadPoolExecutor(max_workers=len(SPEC.horizons)) as pool:
         rows = [r for part in pool.map(one, SPEC.horizons) for r in part]
     return spark.createDataFrame(rows, "horizon string, model string, accuracy double, f1_macro double, "
-                                       "f1_weighted double")
+                                       "f1_micro double, f1_weighted double, f1_macro_train double, "
+                                       "overfitting_gap double, test_rows bigint")
+
+
+RESULT_COLS = ["model", "accuracy", "f1_macro", "f1_micro", "f1_weighted", "f1_macro_train",
+               "overfitting_gap", "test_rows"]
 
 
 # --- dashboard products -------------------------------------------------------------
