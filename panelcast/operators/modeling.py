@@ -270,10 +270,12 @@ def fit_one(train: DataFrame, label: str, numeric: list[str], name: str = "logre
     medians = exact_medians(train, numeric)
     usable = [c for c in numeric if c in medians]
     tr = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
-    tr = with_class_weight(tr, class_weights(tr, label), label)
-    total_w = tr.agg(F.sum("weight")).first()[0]
+    tr = with_class_weight(tr, class_weights(tr, label), label).cache()
+    total_w = tr.agg(F.sum("weight")).first()[0]         # also fills the cache
     est = make_estimator(name, label, "weight", total_w, num_trees=num_trees)
-    return build_pipeline(est, usable, station).fit(tr), medians, usable
+    model = build_pipeline(est, usable, station).fit(tr)
+    tr.unpersist()
+    return model, medians, usable
 
 
 def score(model: PipelineModel, medians: dict[str, float], df: DataFrame) -> DataFrame:

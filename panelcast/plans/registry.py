@@ -449,9 +449,12 @@ def _fit(spark, sf_dir, horizon, models):
 
 
 def _predict_query(spark, sf_dir, name):
-    _, _, preds = _fit(spark, sf_dir, "1h", (name,))
-    return preds[name].select("event_id", "station", "pred_class", "pred_prob", "p_rain",
-                              F.col("obs_class_1h").alias("obs_class"))
+    d, _, nums = feature_table(spark, sf_dir, "1h")
+    d = d.checkpoint(eager=True)
+    train, test = ds.train_test_split(d)
+    model, medians, _ = MD.fit_one(train, "obs_class_1h", nums, name, num_trees=NUM_TREES)
+    return MD.score(model, medians, test).select("event_id", "station", "pred_class", "pred_prob", "p_rain",
+                                                 F.col("obs_class_1h").alias("obs_class"))
 
 
 @register("logreg_predict")
