@@ -20,7 +20,8 @@ BASE_CONF = {
 }
 
 
-def get_session(master: str | None = None, partitions: int = 8, app: str = "panelcast") -> SparkSession:
+def get_session(master: str | None = None, partitions: int = 8, app: str = "panelcast",
+                extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -33,6 +34,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "pane
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.driver.memory": os.environ.get("PANELCAST_DRIVER_MEMORY", "16g"),
     })
+    conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
