@@ -64,7 +64,8 @@ def with_global_index(df: DataFrame, order: list[Column], index_col: str = "_g",
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    # One row per range partition: a broadcast bounded by ``n``.
+    # One row per range partition: a broadcast bounded by the partition count
+    # (``num_partitions`` or the session's shuffle partitions).
     stats = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("_n"), F.min(_MID).alias(_M0))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.select(_PID, _M0, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(_OFF))
