@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import PROXY_SPEC, PanelSpec
 
@@ -20,8 +21,19 @@ TIP_OFFSET = 2
 TIP_MM = 0.254
 
 
+# Declared schema of the driver's ``events`` table: reading it needs no
+# schema-inference job over the files' footers.
+EVENTS_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+SCHEMAS = {"events": EVENTS_SCHEMA}
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    r = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def events_panel(events: DataFrame, spec: PanelSpec = PROXY_SPEC) -> DataFrame:

@@ -31,13 +31,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalar import ALERT_HIGH, ALERT_LOW, ALERT_MEDIUM, BAND_HIGH, BAND_MEDIUM
 from ..session import shared_path
 from ..sources import proxy
+from ..sources.proxy import EVENTS_SCHEMA
 from ..spec import PanelSpec
 
-EVENTS_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
-    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
 # Fixed trailing accumulation windows of the early-warning stream.
 WINDOWS = (("1h", "1 hour"), ("3h", "3 hours"), ("6h", "6 hours"))
 SLIDE = "15 minutes"
