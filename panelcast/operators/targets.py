@@ -23,12 +23,12 @@ def with_holdout_flag(df: DataFrame, spec: PanelSpec, flag: str = "is_last_year"
                       year_col: str | None = "year") -> DataFrame:
     """P1 + P4: calendar year and the last-period flag
     ``TIMESTAMP >= max(TIMESTAMP) - interval`` (0/1; missing timestamp → 0).
-    The max is one global partial/final aggregate (only the timestamp column
-    is scanned); its value comes back as a literal, so no join and no
-    un-partitioned window is needed."""
-    mx = df.agg(F.max(F.col(spec.ts))).first()[0]
+    The max is a scalar subquery (one partial/final aggregate scanning only
+    the timestamp column), planned lazily with the query: no join, no
+    un-partitioned window and no driver round trip."""
+    mx = df.select(F.max(F.col(spec.ts))).scalar()
     ts = F.col(spec.ts)
-    start = scalar_like(mx, df.schema[spec.ts].dataType) - F.expr(f"INTERVAL {spec.holdout}")
+    start = mx - F.expr(f"INTERVAL {spec.holdout}")
     out = df
     if year_col:
         out = out.withColumn(year_col, F.year(ts))

@@ -43,8 +43,13 @@ def test_scan_prunes_columns(spark):
 
 
 def test_holdout_flag_needs_no_join(spark):
+    """The max arrives as a scalar subquery: the row plan is scan + project,
+    and the subquery's only exchange carries partial maxima."""
     p = plan(tg.with_holdout_flag(proxy.load_panel(spark, SF_MID), PROXY_SPEC))
-    assert "Join" not in p and "Exchange" not in p
+    main, _, sub = p.partition("Subquery:1")
+    tree = main.split("\n\n")[0]
+    assert "Join" not in tree and "Exchange" not in tree
+    assert "partial_max" in sub and "ReadSchema: struct<ts:timestamp_ntz>" in sub
 
 
 def test_skewed_station_is_spread_over_chunks(spark):
