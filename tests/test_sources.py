@@ -17,3 +17,16 @@ def test_nan_null_empty_na(spark):
     vals = [r["Rain_mm_Tot"] for r in df.orderBy("TIMESTAMP").collect()]
     assert vals == [None, None, None, 0.254]
     assert dict(df.dtypes)["TIMESTAMP"] == "timestamp_ntz"
+
+
+def test_parquet_source_normalises_nan(spark):
+    import math
+
+    from panelcast.sources.observations import read_observations_parquet
+    d = tempfile.mkdtemp(prefix="panelcast-pq-")
+    df = spark.createDataFrame([("A", float("nan"), 1.5), ("B", None, float("nan")), ("C", 0.254, 2.0)],
+                               "station string, Rain_mm_Tot double, AirTC double")
+    df.write.mode("overwrite").parquet(d)
+    got = {r["station"]: (r["Rain_mm_Tot"], r["AirTC"]) for r in read_observations_parquet(spark, d).collect()}
+    assert got == {"A": (None, 1.5), "B": (None, None), "C": (0.254, 2.0)}
+    assert not any(isinstance(v, float) and math.isnan(v) for pair in got.values() for v in pair)
