@@ -28,20 +28,25 @@ from . import metrics as M
 # below 2^31 before every multiplication, so 64-bit arithmetic never overflows.
 HASH_P = 2147483647          # 2^31 - 1
 HASH_SEED_MUL = 2000003
-HASH_MUL1, HASH_ADD1, HASH_SHIFT1 = 48271, 11, 16
-HASH_MUL2, HASH_ADD2, HASH_SHIFT2 = 69621, 7, 13
+HASH_ROUNDS_HI = ((48271, 11, 16), (69621, 7, 13))
+HASH_ROUNDS_LO = ((40692, 5, 15), (16807, 3, 12))
+
+
+def _mix(x: Column, rounds) -> Column:
+    for mul, add, shift in rounds:
+        x = (x * mul + add) % HASH_P
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return x
 
 
 def hash_index(b: Column, j: Column, n: Column) -> Column:
-    """Row index drawn by replicate b for draw j among n rows: two rounds of
-    multiply-mod-prime with an xor-shift, then mod n. Pure integer
-    arithmetic: cheap, codegen-friendly and identical in DuckDB."""
-    x = (b.cast("bigint") * HASH_SEED_MUL + j.cast("bigint")) % HASH_P
-    x = (x * HASH_MUL1 + HASH_ADD1) % HASH_P
-    x = x.bitwiseXOR(F.shiftright(x, HASH_SHIFT1))
-    x = (x * HASH_MUL2 + HASH_ADD2) % HASH_P
-    x = x.bitwiseXOR(F.shiftright(x, HASH_SHIFT2))
-    return x % n
+    """Row position drawn by replicate b for draw j among n rows. Two
+    independent 31-bit mixes (multiply-mod-prime with xor-shifts) form one
+    value below 2^62, so every position of groups far beyond 2^31 rows can be
+    drawn; then mod n. Pure integer arithmetic: cheap, codegen-friendly and
+    identical in DuckDB."""
+    seed = (b.cast("bigint") * HASH_SEED_MUL + j.cast("bigint")) % HASH_P
+    return (_mix(seed, HASH_ROUNDS_HI) * F.lit(2147483648) + _mix(seed, HASH_ROUNDS_LO)) % n
 
 
 def bootstrap_hash(scored: DataFrame, group: list[str], B: int,

@@ -81,12 +81,16 @@ def with_base(body: str, *extra_ctes: str) -> str:
 
 def hash_sql(b: str, j: str, n: str) -> str:
     """The bootstrap draw hash (operators.bootstrap.hash_index) in SQL."""
-    x = f"((CAST({b} AS BIGINT) * 2000003 + CAST({j} AS BIGINT)) % 2147483647)"
-    x = f"(({x} * 48271 + 11) % 2147483647)"
-    x = f"xor({x}, {x} >> 16)"
-    x = f"(({x} * 69621 + 7) % 2147483647)"
-    x = f"xor({x}, {x} >> 13)"
-    return f"({x} % {n})"
+    seed = f"((CAST({b} AS BIGINT) * 2000003 + CAST({j} AS BIGINT)) % 2147483647)"
+
+    def mix(x: str, rounds) -> str:
+        for mul, add, shift in rounds:
+            x = f"(({x} * {mul} + {add}) % 2147483647)"
+            x = f"xor({x}, {x} >> {shift})"
+        return x
+    hi = mix(seed, ((48271, 11, 16), (69621, 7, 13)))
+    lo = mix(seed, ((40692, 5, 15), (16807, 3, 12)))
+    return f"(({hi} * 2147483648 + {lo}) % {n})"
 
 
 def r6(expr: str) -> str:
