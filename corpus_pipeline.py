@@ -10,11 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import line_dedup, mixing, simhash
+from panelcast.llm import langid, line_dedup, mixing, sentencepiece_nbest, simhash
 from panelcast.llm.common import table
 from panelcast.session import ensure_checkpoint_dir
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letters) go; a missing lang is filled in."""
+    return langid.stage_langid(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least 10 documents go."""
     return line_dedup.stage_line_dedup(docs)
@@ -30,12 +35,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.stage_mixing(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids, score and N-best alternatives."""
+    return sentencepiece_nbest.stage_sentencepiece(docs)
+
+
 STAGES = [
+    ("language_id", keep_languages),
     ("line_dedup", dedup_lines),
     ("simhash_near_dedup", dedup_near),
     ("mixing", mix_sources),
+    ("sentencepiece", encode_pieces),
 ]
 
+#: SQL can't express language ID, SimHash and the piece lattice.
 ORACLE_SQL = None
 
 

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, simhash
+from . import ann, fingerprint, html_extract, langid, line_dedup, mixing, packing, sentencepiece_nbest, simhash, token_counts
 from .common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.op1_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_nbest.op2_sentencepiece(table(spark, sf_dir, "documents"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op3_ann(table(spark, sf_dir, "embeddings"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op4_packing(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op5_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -16,16 +32,27 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op6_mixing(table(spark, sf_dir, "documents"))
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7_langid(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op8_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op9_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op5_line_dedup": op5_line_dedup,
-    "op6_mixing": op6_mixing,
-    "op9_simhash": op9_simhash,
-}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op10_html(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_fingerprints, op2_sentencepiece, op3_ann, op4_packing, op5_line_dedup, op6_mixing, op7_langid, op8_token_counts,
+    op9_simhash, op10_html)}
 
+#: DuckDB SQL where SQL can express the query.
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
