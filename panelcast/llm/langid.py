@@ -131,7 +131,8 @@ class CrossParser:
             self.cost.append(np.log2(max(2, len(per[lang]))))
             base += len(auto.next)
             rows.append(table)
-        self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
+        self.sink = base                                                # after a symbol that the language lacks
+        self.table = np.concatenate([*rows, np.full((1, self.width), -1, np.int32)]).ravel()
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in a row, and each text's number of symbols."""
@@ -150,12 +151,15 @@ class CrossParser:
         out = np.zeros((len(self.langs), len(start)), np.int64)
         width, table = self.width, self.table
         for k, root in enumerate(self.roots):
-            state = np.full(len(start), root * width, np.int64)
             count = np.zeros(len(start), np.int64)
             first = table[root * width:(root + 1) * width].astype(np.int64) * width
-            first[first < 0] = root * width                             # unseen symbol: a phrase by itself
+            first[first < 0] = self.sink * width                        # unseen symbol: a phrase by itself
+            state = np.full(len(start), self.sink * width, np.int64)
             for t, n in enumerate(active.tolist()):
                 c = s[start[:n] + t]
+                if t == 0:
+                    state[:n] = first[c]
+                    continue
                 at = table[state[:n] + c].astype(np.int64)
                 ended = at < 0
                 count[:n] += ended
