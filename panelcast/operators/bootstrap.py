@@ -68,7 +68,7 @@ def bootstrap_hash(scored: DataFrame, group: list[str], B: int,
     for key, cells in sorted(by_group.items()):
         cells.sort()
         n = sum(c for _, _, c in cells)
-        b, j = (F.col("id") / n).cast("bigint"), F.col("id") % n
+        b, j = F.expr(f"id div {n}"), F.col("id") % n
         pos = hash_index(b, j, F.lit(n))
         lab, prd, upper = None, None, 0
         for cl, cp, c in cells:                 # cumulative upper bounds in cell order

@@ -193,7 +193,7 @@ def station_encoder(station: str = "station") -> list:
 
 def make_estimator(name: str, label: str, weight_col: str, n_train_weight: float | None = None,
                    num_trees: int = 300, seed: int = 42, C: float = 1.0, max_iter: int = 2000,
-                   tol: float = 1e-4):
+                   tol: float = 1e-6):
     if name == "logreg":
         reg = 1.0 / (C * n_train_weight) if n_train_weight else 0.0
         return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight_col,

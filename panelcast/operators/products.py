@@ -104,7 +104,7 @@ def station_bootstrap(now: DataFrame, spec: PanelSpec, B: int = 1000, value: str
     # one row per (replicate, horizon) from a single range; then the n draws
     # of a replicate by exploding 0..n-1 (n = stations now, tiny)
     reps = now.sparkSession.range(0, B * H).select(
-        (F.col("id") / H).cast("bigint").alias("b"),
+        F.expr(f"id div {H}").alias("b"),
         F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("id") % H).cast("int") + 1).alias("horizon"))
     sizes = idx.select("horizon", "n").distinct()
     draws = (reps.join(F.broadcast(sizes), "horizon")

@@ -40,7 +40,7 @@ _TIE = "_seq_tie"
 def order_columns(spec: PanelSpec) -> list[Column]:
     """Series order: station, then timestamp with missing last (pandas
     ``sort_values``), then the tie-break column if any."""
-    cols = [F.col(spec.station).asc_nulls_first(), F.col(spec.ts).asc_nulls_last()]
+    cols = [F.col(spec.station).asc_nulls_last(), F.col(spec.ts).asc_nulls_last()]
     if spec.tie:
         cols.append(F.col(spec.tie).asc_nulls_last())
     return cols
@@ -74,35 +74,6 @@ def with_global_index(df: DataFrame, order: list[Column], index_col: str = "_g",
             .drop(_PID, _MID, _OFF, _M0))
 
 
-# Broadcast a derived table only when a count proves it is at most this many rows.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``
-    unchanged (a shuffle join). Meant for aggregated tables whose size is
-    not bounded by construction; the count runs on the aggregate only."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def with_group_index(df: DataFrame, keys: list[str], order: list[Column], index_col: str,
-                     num_partitions: int | None = None, size_col: str | None = None) -> DataFrame:
-    """0-based ``row_number() - 1`` within ``keys`` ordered by ``order``,
-    computed from the global index (no task holds a whole key group). The
-    per-key start table has one row per key and is broadcast only under a
-    checked row count."""
-    g = "_gidx"
-    full = [*(F.col(k).asc_nulls_first() for k in keys), *order]
-    indexed = with_global_index(df, full, g, num_partitions)
-    aggs = [F.min(g).alias("_gstart")]
-    if size_col:
-        aggs.append(F.count(F.lit(1)).alias(size_col))
-    starts = indexed.groupBy(*keys).agg(*aggs)
-    return (indexed.join(bounded_broadcast(starts), keys)
-            .withColumn(index_col, F.col(g) - F.col("_gstart"))
-            .drop(g, "_gstart"))
-
-
 def plain_window(spec: PanelSpec) -> WindowSpec:
     """Reference form: one window partition per station."""
     return Window.partitionBy(spec.station).orderBy(*order_columns(spec)[1:])

@@ -151,7 +151,7 @@ ORACLE["horizon_long"] = with_base(
 
 ORACLE["csv_roundtrip"] = ORACLE["scan_observations"]
 
-ORACLE["sorted_panel"] = (f"WITH {PANEL_SQL}\nSELECT row_number() OVER (ORDER BY station ASC NULLS FIRST, {ORDER}) - 1 "
+ORACLE["sorted_panel"] = (f"WITH {PANEL_SQL}\nSELECT row_number() OVER (ORDER BY station ASC NULLS LAST, {ORDER}) - 1 "
                           'AS row_index, event_id, station, "TIMESTAMP" FROM panel')
 
 ORACLE["preview"] = with_base(
@@ -534,3 +534,15 @@ ORACLE["stream_accumulate_append"] = ORACLE["stream_accumulate"].replace(
 ORACLE["label_pair_metrics"] = "WITH lp AS (SELECT quality AS obs_class, toxic AS pred_class, 'all' AS g FROM labels),\n" + \
     ",\n".join(metric_ctes("lp", "g")) + "\nSELECT " + ", ".join(
         f"{r6(c)} AS {c}" for c in ("accuracy", "f1_macro", "f1_weighted", "f1_micro")) + ", n_rows FROM summ"
+
+
+# Persistence alerts of every reading, from the windowed panel.
+ALERTS_SQL = "alerts AS (" + " UNION ALL ".join(
+    f"SELECT event_id, station, \"TIMESTAMP\", '{h.name}' AS horizon, trail_{h.name} AS trail_total, "
+    f"coalesce({classify_sql(f'trail_{h.name}', h.light_threshold)}, 0) AS persist_class FROM sums" for h in SPEC.horizons) + ")"
+ALERT_P_SQL = ("alertp AS (SELECT a.*, CAST(1.0 AS DOUBLE) - coalesce(f.p0, CASE WHEN a.persist_class = 0 THEN CAST(0.8 AS DOUBLE) "
+               "ELSE CAST(0.1 AS DOUBLE) END) AS p_rain FROM alerts a LEFT JOIN pfit f USING (horizon, persist_class))")
+ORACLE["stream_alerts"] = with_base(
+    f"SELECT event_id, station, \"TIMESTAMP\", horizon, {r6('trail_total')} AS trail_total, persist_class, {r6('p_rain')} AS p_rain, "
+    "CASE WHEN persist_class = 2 AND p_rain >= 0.7 THEN 'alto' WHEN p_rain >= 0.4 THEN 'medio' ELSE 'bajo' END AS level "
+    "FROM alertp WHERE station IS NOT NULL AND \"TIMESTAMP\" IS NOT NULL", BASELINE_SQL, ALERTS_SQL, ALERT_P_SQL)

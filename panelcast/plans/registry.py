@@ -588,14 +588,14 @@ def q_stream_accumulate_append(spark, sf_dir):
 
 @register("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
-    """Stateful per-station alerts scored with the persistence table
-    fitted on the batch training split."""
+    """Every reading's alerts, scored with the persistence table fitted on
+    the batch training split."""
     train = bl.long_scored_input(lf(spark, sf_dir, history=False, context=False), SPEC, KEEP)
     fitted = bl.fit_persistence(train.filter(F.col("is_last_year") == 0))
-    table = {(r["horizon"], int(r["persist_class"])): 1.0 - float(r["p0"]) for r in fitted.collect()}
-    s = sj.alert_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC, table)
-    path = sj.run_to_table(s, "stream_alerts")
-    return spark.read.parquet(path).withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+    stream = proxy.events_panel(sj.events_stream(spark, sf_dir), SPEC)
+    out = sj.alert_stream(stream, SPEC, fitted, "stream_alerts")
+    return out.select("event_id", "station", "TIMESTAMP", "horizon", r6("trailing").alias("trail_total"), "persist_class",
+                      r6("p_rain").alias("p_rain"), "level")
 
 
 def _model_alerts(spark, sf_dir):
@@ -603,8 +603,7 @@ def _model_alerts(spark, sf_dir):
     d = d.checkpoint(eager=True)
     model, medians, _ = MD.fit_one(d.filter(F.col("is_last_year") == 0), "obs_class_1h", nums, "logreg")
     stream = proxy.events_panel(sj.events_stream(spark, sf_dir), SPEC)
-    path = sj.model_alert_job(stream, SPEC, model, medians, "stream_alerts_model")
-    return spark.read.parquet(path).drop("epoch")
+    return sj.model_alert_job(stream, SPEC, model, medians, "stream_alerts_model")
 
 
 @register("stream_alerts_model")
@@ -617,5 +616,7 @@ def q_stream_alerts_model(spark, sf_dir):
 @register("stream_alert_metrics")
 def q_stream_alert_metrics(spark, sf_dir):
     """T3 evaluation: the streamed 1 h alerts against the labels that matured
-    after them (rows whose next four readings arrived)."""
-    return sj.evaluate_alerts(_model_alerts(spark, sf_dir), labelled(spark, sf_dir), SPEC, "1h")
+    after them (rows whose next four readings arrived), hold-out rows only: the
+    model was fitted on the others."""
+    held_out = labelled(spark, sf_dir).filter(F.col("is_last_year") == 1)
+    return sj.evaluate_alerts(_model_alerts(spark, sf_dir), held_out, SPEC, "1h")

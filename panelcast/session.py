@@ -45,8 +45,9 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "pane
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``. Only when none is configured (local tests) is a
-    fresh scratch folder set."""
+    ``spark.checkpoint.dir``. Where none is configured, a local session gets a
+    fresh scratch folder; any other master is refused, since a machine-local
+    folder isn't shared by its executors."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -54,11 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-ckpt-"))
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``shared_path`` named."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

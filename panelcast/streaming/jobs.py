@@ -7,11 +7,9 @@
   in *complete* mode, each batch replaces the result table, so the output
   equals the batch aggregation; in *append* mode only windows closed by the
   watermark are emitted.
-* T3 :func:`alert_stream` — per-station state holding the last readings
-  (at most the longest horizon's steps), so each new reading gets the
-  persistence class per horizon, P(rain) from the fitted baseline table and
-  an alert level. ``applyInPandasWithState`` keeps the state bounded per
-  station; a micro-batch is bounded by the source's trigger limits.
+* T3 :func:`alert_stream` / :func:`model_alert_job` — ``foreachBatch``: each
+  reading is scored together with a history table kept by time, so that alerts
+  equal batch scoring of the same readings, duplicates and late ones included.
 
 All sinks and checkpoints live in the shared folder, so a restarted query
 resumes from its checkpoint.
@@ -19,17 +17,12 @@ resumes from its checkpoint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scalar import ALERT_HIGH, ALERT_LOW, ALERT_MEDIUM, BAND_HIGH, BAND_MEDIUM
-from ..session import shared_path
+from ..session import drop_path, path_exists, shared_path
 from ..sources import proxy
 from ..sources.proxy import EVENTS_SCHEMA
 from ..spec import PanelSpec
@@ -106,126 +99,126 @@ def _run(query_df: DataFrame, path: str, ckpt: str, mode: str) -> None:
     q.awaitTermination()
 
 
-# --- T3: stateful alerts ------------------------------------------------------------
-
-ALERT_SCHEMA = ("station string, horizon string, last_ts timestamp, reading double, "
-                "trailing double, persist_class int, p_rain double, level string")
-STATE_SCHEMA = "ts_us array<bigint>, tie array<bigint>, rain array<double>"
-
-
-def alert_stream(stream: DataFrame, spec: PanelSpec, p_rain_table: dict[tuple[str, int], float],
-                 delay: str = "1 hour") -> DataFrame:
-    """Per station, keep the last ``max_forward`` readings as state; for
-    the newest reading of each batch emit, per horizon, the trailing total,
-    the persistence class, P(rain) looked up in the fitted table (≤ horizons
-    × K entries, shipped with the function) and the alert level."""
-    keep = spec.max_forward
-    horizons = [(h.name, h.steps, h.light_threshold) for h in spec.horizons]
-    high, medium = BAND_HIGH, BAND_MEDIUM
-    lv_high, lv_medium, lv_low = ALERT_HIGH, ALERT_MEDIUM, ALERT_LOW
-
-    # Helpers are nested so the shipped function is pickled by value: Python
-    # workers need no copy of this package.
-    def _classify(x, t):
-        if x is None or np.isnan(x) or x == 0:
-            return 0
-        return 1 if x <= t else 2
-
-    def _level(cls, p):
-        if cls == 2 and p >= high:
-            return lv_high
-        return lv_medium if p >= medium else lv_low
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (station,) = key
-        if state.exists:
-            ts_prev, tie_prev, rain_prev = state.get
-            tail = pd.DataFrame({"t": list(ts_prev), "tie": list(tie_prev),
-                                 "rain": [np.nan if v is None else v for v in rain_prev]})
-        else:
-            tail = pd.DataFrame({"t": pd.Series([], dtype="int64"), "tie": pd.Series([], dtype="int64"),
-                                 "rain": pd.Series([], dtype="float64")})
-        floor = int(tail["t"].max()) if len(tail) else None
-        # Arrow chunks of the group arrive in any order; keep a running
-        # newest-``keep`` tail so memory stays bounded by chunk + keep rows.
-        for pdf in batches:
-            chunk = pd.DataFrame({"t": pdf["event_time"].astype("datetime64[us]").astype("int64"),
-                                  "tie": pdf["tie"].astype("int64"), "rain": pdf["rain"].astype("float64")})
-            if floor is not None:
-                chunk = chunk[chunk["t"] >= floor]      # late readings: the series is append-only
-            both = chunk if not len(tail) else (tail if not len(chunk) else pd.concat([tail, chunk]))
-            tail = both.sort_values(["t", "tie"]).tail(keep)
-        state.update((tail["t"].tolist(), tail["tie"].tolist(),
-                      [None if np.isnan(v) else float(v) for v in tail["rain"]]))
-        if not len(tail):
-            return
-        arr = tail["rain"].to_numpy(dtype="float64")
-        t_last = int(tail["t"].iloc[-1])
-        rows = []
-        for name, k, thr in horizons:
-            win = arr[-k:]
-            total = float(win.sum()) if len(win) == k and not np.isnan(win).any() else None
-            cls = _classify(total, thr)
-            p = p_rain_table.get((name, cls), 0.0)
-            rows.append((station, name, pd.Timestamp(t_last, unit="us"), None if np.isnan(arr[-1]) else float(arr[-1]),
-                         total, cls, p, _level(cls, p)))
-        yield pd.DataFrame(rows, columns=["station", "horizon", "last_ts", "reading", "trailing", "persist_class",
-                                          "p_rain", "level"])
-
-    src = (stream.withWatermark("event_time", delay)
-           .select(F.col(spec.station).alias("station"), "event_time",
-                   F.col(spec.rain).alias("rain"), F.col(spec.tie or spec.ts).alias("tie"))
-           .filter(F.col("station").isNotNull()))
-    return src.groupBy("station").applyInPandasWithState(
-        step, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-# --- T3: micro-batches scored with a fitted MLlib pipeline ---------------------------
+# --- T3: micro-batches of readings scored as they arrive ----------------------------
 
-def model_alert_job(stream: DataFrame, spec: PanelSpec, model, medians: dict[str, float], name: str,
-                    files_per_trigger: int | None = None) -> str:
-    """T3 as the survey plans it: ``foreachBatch`` unions the new readings
-    with a history table (the last ``max_backward`` rows per station from
-    earlier batches), computes the batch features (lags, rolling, trailing
-    sums, calendar, cross-station), scores the new rows with the fitted
-    pipeline and appends alert levels. Alerts and history are written per
-    epoch (dynamic partition overwrite), so a re-run epoch is idempotent.
-    Returns the alerts table path."""
-    from ..functions.scalar import alert_level
-    from ..operators.modeling import score
-    from ..plans.jobs import feature_frame
+def scored_stream(stream: DataFrame, spec: PanelSpec, score: Callable[[DataFrame], DataFrame], name: str,
+                  delay: str = "1 hour") -> str:
+    """Every reading of the stream scored with the readings before it.
 
+    Each micro-batch drops repeated readings (by station, TIMESTAMP and tie) and
+    readings older than the watermark (``delay`` behind the newest one of the
+    batches before), joins the rest with the kept history and scores both with
+    ``score``. Written are the new readings and, since a late reading changes the
+    look-back of what follows it, every kept reading from the oldest new one on;
+    the newest epoch of a reading holds (:func:`latest_scores`).
+
+    History is kept by time, not by a number of rows: all readings from two grid
+    steps before the watermark on (cross-station context), and below that the
+    last ``max_backward`` of each station (lags and trailing sums need no more).
+    Its size follows the readings of the delay, so does the work of a batch; the
+    batch itself is bounded by the source's trigger limits. The rows' windows run
+    chunked, so a hot station is spread. Scores and history are written per epoch
+    (dynamic partition overwrite): a re-run epoch is idempotent. Returns the path
+    of the scores table."""
     spark = stream.sparkSession
     out, hist, ckpt = shared_path(spark, name), shared_path(spark, name + "-history"), shared_path(spark, name + "-ckpt")
-    keep_back = spec.max_backward
-    key_cols = [spec.station, spec.ts, spec.rain] + ([spec.tie] if spec.tie else [])
+    keys = [spec.station, spec.ts] + ([spec.tie] if spec.tie else [])
+    cols = [*keys, spec.rain]
+
+    def write(df: DataFrame, path: str, epoch: int) -> None:
+        (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("epoch").parquet(path))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = df.select(*key_cols).withColumn("_new", F.lit(True))
-        try:
-            h = spark.read.parquet(hist).filter(F.col("epoch") < epoch)
-            last = h.agg(F.max("epoch")).first()[0]
-            prev = h.filter(F.col("epoch") == last).select(*key_cols) if last is not None else None
-        except Exception:   # no history yet (first epoch)
-            prev = None
-        both = new if prev is None else new.unionByName(prev.withColumn("_new", F.lit(False)))
-        feats = feature_frame(both, spec)
-        scored = score(model, medians, feats.filter(F.col("_new")))
-        (scored.select(spec.station, spec.ts, *([spec.tie] if spec.tie else []), "pred_class", "pred_prob", "p_rain",
-                       alert_level("pred_class", "p_rain").alias("level"), F.lit(epoch).alias("epoch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out))
+        new = (df.select(*cols).filter(F.col(spec.station).isNotNull() & F.col(spec.ts).isNotNull()).dropDuplicates(keys))
+        last = None
+        if path_exists(spark, hist):                     # else: no batch before this one
+            kept = spark.read.parquet(hist).filter(F.col("epoch") < epoch)
+            last = kept.agg(F.max("epoch")).first()[0]
+        both = new.withColumn("_new", F.lit(True))
+        if last is not None:
+            prev = kept.filter(F.col("epoch") == last).select(*cols)
+            newest = prev.agg(F.max(spec.ts)).first()[0]
+            fresh = new.filter(F.col(spec.ts) >= F.lit(newest) - F.expr(f"INTERVAL {delay}"))
+            same = [fresh[k].eqNullSafe(prev[k]) for k in keys]
+            both = (fresh.join(prev, same, "left_anti").withColumn("_new", F.lit(True))
+                    .unionByName(prev.withColumn("_new", F.lit(False))))
+        both = both.checkpoint(eager=True)
+        span = both.agg(F.min(F.when(F.col("_new"), F.col(spec.ts))).alias("first"), F.max(spec.ts).alias("newest")).first()
+        if span["newest"] is None:
+            return
+        if span["first"] is not None:
+            scores = score(both.select(*cols))
+            write(scores.filter(F.col(spec.ts) >= F.lit(span["first"])), out, epoch)
+        cutoff = F.lit(span["newest"]) - F.expr(f"INTERVAL {delay}") - F.expr(f"INTERVAL {spec.resample}") * 2
+        recent = F.col(spec.ts) >= cutoff
         order = [F.col(spec.ts).desc()] + ([F.col(spec.tie).desc()] if spec.tie else [])
-        w = Window.partitionBy(spec.station).orderBy(*order)
-        tail = (both.filter(F.col(spec.ts).isNotNull()).withColumn("_rn", F.row_number().over(w))
-                .filter(F.col("_rn") <= keep_back).select(*key_cols).withColumn("epoch", F.lit(epoch)))
-        tail.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(hist)
+        older = (both.filter(~recent).withColumn("_rn", F.row_number().over(Window.partitionBy(spec.station).orderBy(*order)))
+                 .filter(F.col("_rn") <= spec.max_backward))          # limited before the shuffle
+        write(both.filter(recent).select(*cols).unionByName(older.select(*cols)), hist, epoch)
+        if last is not None:
+            for e in [r["epoch"] for r in kept.select("epoch").distinct().collect() if r["epoch"] < last]:   # one or two
+                drop_path(spark, f"{hist}/epoch={e}")
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    drop_path(spark, hist)
     return out
 
 
+def latest_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest epoch of every key; a reading has few epochs."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
+    return scores.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1).drop("_rn", "epoch")
+
+
+def alert_stream(stream: DataFrame, spec: PanelSpec, fitted: DataFrame, name: str, delay: str = "1 hour") -> DataFrame:
+    """T3 with the persistence table: per reading and horizon the trailing
+    total, the persistence class, P(rain) and the alert level, scored by the
+    batch operators (with their fallback for a class unseen in training).
+    ``fitted`` has at most horizons x classes rows."""
+    from ..functions.scalar import alert_level
+    from ..operators import baselines as bl
+    from ..operators import sequence as seq
+
+    spark = stream.sparkSession
+    table = spark.createDataFrame(fitted.collect(), fitted.schema)
+    keys = [spec.station, spec.ts] + ([spec.tie] if spec.tie else [])
+
+    def score(rows: DataFrame) -> DataFrame:
+        d = seq.over_series(rows, spec, bl.trailing_columns(spec), back=spec.max_backward, fwd=0)
+        for h in spec.horizons:      # the truth isn't known yet
+            d = d.withColumn(f"obs_precip_{h.name}", F.lit(None).cast("double")).withColumn(f"obs_class_{h.name}", F.lit(None).cast("int"))
+        trailing = F.create_map(*[c for h in spec.horizons for c in (F.lit(h.name), F.col(f"trail_{h.name}"))])
+        long = bl.long_scored_input(d.withColumn("trailing", trailing), spec, [*keys, "trailing"])
+        out = bl.score_persistence(long, table)
+        return out.select(*keys, "horizon", F.element_at("trailing", F.col("horizon")).alias("trailing"), "persist_class", "p_rain",
+                          alert_level("persist_class", "p_rain").alias("level"))
+
+    path = scored_stream(stream, spec, score, name, delay)
+    return latest_scores(spark.read.parquet(path), [*keys, "horizon"])
+
+
+def model_alert_job(stream: DataFrame, spec: PanelSpec, model, medians: dict[str, float], name: str,
+                    delay: str = "1 hour") -> DataFrame:
+    """T3 with a fitted MLlib pipeline: the batch features (lags, rolling,
+    trailing sums, calendar, cross-station) of every reading, its predicted
+    class, P(rain) and alert level."""
+    from ..functions.scalar import alert_level
+    from ..operators.modeling import score as predict
+    from ..plans.jobs import feature_frame
+
+    keys = [spec.station, spec.ts] + ([spec.tie] if spec.tie else [])
+
+    def score(rows: DataFrame) -> DataFrame:
+        return predict(model, medians, feature_frame(rows, spec)).select(
+            *keys, "pred_class", "pred_prob", "p_rain", alert_level("pred_class", "p_rain").alias("level"))
+
+    path = scored_stream(stream, spec, score, name, delay)
+    return latest_scores(stream.sparkSession.read.parquet(path), keys)
+
+
 def evaluate_alerts(alerts: DataFrame, labelled: DataFrame, spec: PanelSpec, horizon: str) -> DataFrame:
     """Streamed predictions against labels that matured later: alerts are
     scored when a reading arrives, its class is known only ``steps`` rows

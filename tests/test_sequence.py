@@ -26,14 +26,6 @@ def test_global_index_is_row_number(spark):
     assert a == b
 
 
-def test_group_index_is_row_number(spark):
-    p = proxy.load_panel(spark, SF_MID)
-    order = [F.col("TIMESTAMP").asc_nulls_last(), F.col("event_id").asc()]
-    g = seq.with_group_index(p, ["station"], order, "gi", num_partitions=5, size_col="n")
-    ref = p.withColumn("r", F.row_number().over(Window.partitionBy("station").orderBy(*order)) - 1)
-    assert _rows(g, "event_id", ["gi"]) == _rows(ref, "event_id", ["r"])
-
-
 def test_chunked_equals_plain_with_small_chunks(spark):
     spec = PROXY_SPEC.with_(chunk_rows=64, index_partitions=6)
     p = proxy.load_panel(spark, SF_MID)
