@@ -364,8 +364,11 @@ def extract(pages: list[str | None], model: Labeller, cache: dict) -> list[str]:
 
 def op10_html(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    rows = (pages.select(F.xxhash64("page_id", "url").alias("h"), "html").filter(F.col("html").isNotNull())
-            .orderBy("h", "html").limit(sample).collect())                       # bounded sample
+    keyed = pages.filter(F.col("html").isNotNull()).select(F.xxhash64("page_id", "url").alias("h"), "html")
+    # the bounded sample: hashes first, then the pages below the last of them
+    hashes = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    chosen = keyed.filter(F.col("h") <= hashes[-1]).dropDuplicates(["h"]).collect() if hashes else []
+    rows = sorted(chosen, key=lambda r: r["h"])
     weights = {k: v.astype(np.float32) for k, v in train([r["html"] for r in rows]).w.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
