@@ -1,11 +1,7 @@
-import os
-import sys
+"""Documents with odd rows, for the tests of this folder."""
 
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
 SF = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, d string, ids int, score string, part int, own int, "
           "size int, copies int, fp int, key int, tie int, doc int, words int, n_lines int, salt int, label int, nth int, tid int")
@@ -27,10 +23,3 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], SCHEMA)
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from panelcast.session import get_session
-    s = get_session("local[4]", partitions=8)
-    yield s

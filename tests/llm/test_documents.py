@@ -13,7 +13,7 @@ from panelcast.llm import fingerprint, langid, line_dedup, mixing, packing, sent
 from panelcast.llm.common import table
 from panelcast.llm.graph import connected_components
 
-from conftest import SF
+from llm_docs import SF, no_docs, odd_docs  # noqa: F401
 
 OPS = [fingerprint.op1_fingerprints, sentencepiece_nbest.op2_sentencepiece, line_dedup.op5_line_dedup, mixing.op6_mixing,
        langid.op7_langid, token_counts.op8_token_counts, simhash.op9_simhash]

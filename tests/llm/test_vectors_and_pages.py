@@ -8,7 +8,7 @@ import pytest
 from panelcast.llm import ann, html_blocks, html_extract
 from panelcast.llm.common import table
 
-from conftest import SF
+from llm_docs import SF
 
 
 def _exact(rows, k=20):
