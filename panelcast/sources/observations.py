@@ -27,6 +27,11 @@ def normalise_missing(df: DataFrame, cols: Iterable[str] | None = None) -> DataF
     ])
 
 
+# What the CSV reader of the original pipeline takes as missing.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def observation_schema(spec: PanelSpec, columns: Iterable[str], strings: Iterable[str] = ()) -> T.StructType:
     """Explicit schema in the file's column order: station and any listed
     text columns as string, the timestamp as text (parsed after the scan),
@@ -55,8 +60,11 @@ def read_observations_csv(spark: SparkSession, path: str, spec: PanelSpec,
           .option("nullValue", "")
           .option("nanValue", "NaN")
           .csv(path))
-    # "NA" / "null" tokens in numeric columns fail the double parse and are
-    # read as NULL in PERMISSIVE mode; NaN survives as NaN and is normalised.
+    # Missing tokens in numeric columns fail the double parse and are read as
+    # NULL in PERMISSIVE mode; NaN survives as NaN and is normalised. In text
+    # columns they are named.
+    for c in {spec.station, spec.ts, *strings}:
+        df = df.withColumn(c, F.when(~F.col(c).isin(*MISSING_TOKENS), F.col(c)))
     ts = F.col(spec.ts)
     parsed = F.to_timestamp_ntz(ts, F.lit(ts_format)) if ts_format else F.to_timestamp_ntz(ts)
     df = df.withColumn(spec.ts, parsed)

@@ -30,3 +30,13 @@ def test_parquet_source_normalises_nan(spark):
     got = {r["station"]: (r["Rain_mm_Tot"], r["AirTC"]) for r in read_observations_parquet(spark, d).collect()}
     assert got == {"A": (None, 1.5), "B": (None, None), "C": (0.254, 2.0)}
     assert not any(isinstance(v, float) and math.isnan(v) for pair in got.values() for v in pair)
+
+
+def test_missing_tokens_in_text_columns(spark, tmp_path):
+    from panelcast.sources.observations import read_observations_csv
+    from panelcast.spec import STATION_SPEC as spec
+    f = tmp_path / "obs.csv"
+    f.write_text(f"{spec.station},{spec.ts},{spec.rain}\nNA,2024-01-01 00:00:00,0.2\nNorte,NA,NA\nnan,null,1.0\nSur,2024-01-01 00:15:00,\n")
+    rows = read_observations_csv(spark, str(f), spec).collect()
+    got = [(r[spec.station], r[spec.ts] is None, r[spec.rain]) for r in rows]
+    assert got == [(None, False, 0.2), ("Norte", True, None), (None, True, 1.0), ("Sur", False, None)]
