@@ -65,7 +65,8 @@ def alert_level(cls, p_rain) -> Column:
 
 
 def alert_message(level, horizon_minutes) -> Column:
-    """C4 message text: level word plus the horizon in hours."""
+    """C4 message text: level word plus the horizon in hours (the sentence is a
+    fixed output value of the dashboard's data)."""
     hours = (_c(horizon_minutes) / 60).cast("int")
     lead = (F.when(_c(level) == ALERT_HIGH, F.lit("Alta"))
             .when(_c(level) == ALERT_MEDIUM, F.lit("Moderada"))
