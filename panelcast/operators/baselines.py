@@ -7,9 +7,11 @@
   probabilities = training class shares.
 
 Both are SQL-expressible, so submission, metrics and bootstrap get exact
-oracles before any MLlib model is fitted. Fitting is one partial/final
-aggregate; the fitted table has at most horizons × K × K rows and is
-broadcast under that bound.
+oracles before any MLlib model is fitted. Fits and metrics only need the row
+counts per (horizon, split, truth, persistence class): :func:`count_cells` is
+one partial/final aggregate of at most horizons × 2 × (K + 1) × K rows, whose
+result is a local table. The fitted tables derived from it have at most
+horizons × K rows and are broadcast under that bound.
 """
 
 from __future__ import annotations
@@ -45,6 +47,13 @@ def long_scored_input(lf: DataFrame, spec: PanelSpec, keep: list[str]) -> DataFr
             .select(*keep, "_t.horizon", "_t.obs_precip", "_t.obs_class", "_t.persist_class"))
 
 
+def count_cells(long: DataFrame, flag: str = "is_last_year") -> DataFrame:
+    """Rows per (horizon, flag, truth, persistence class) as a local table with
+    ``_n_rows``: the classes bound its size, whatever the number of rows."""
+    cells = long.groupBy("horizon", flag, "obs_class", "persist_class").agg(F.count(F.lit(1)).alias("_n_rows"))
+    return long.sparkSession.createDataFrame(cells.collect(), cells.schema)
+
+
 def _probs_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     tot = F.sum("n").over(Window.partitionBy(*keys))
     shares = counts.withColumn("p", F.col("n") / tot)
@@ -52,13 +61,14 @@ def _probs_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
     return wide.select(*keys, *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"p{c}") for c in CLASSES])
 
 
-def fit_persistence(train_long: DataFrame) -> DataFrame:
-    counts = train_long.groupBy("horizon", "persist_class", "obs_class").agg(F.count(F.lit(1)).alias("n"))
+def fit_persistence(train: DataFrame) -> DataFrame:
+    """``train``: the training part of :func:`count_cells`."""
+    counts = train.groupBy("horizon", "persist_class", "obs_class").agg(F.sum("_n_rows").alias("n"))
     return _probs_from_counts(counts, ["horizon", "persist_class"])
 
 
-def fit_climatology(train_long: DataFrame) -> DataFrame:
-    counts = train_long.groupBy("horizon", "obs_class").agg(F.count(F.lit(1)).alias("n"))
+def fit_climatology(train: DataFrame) -> DataFrame:
+    counts = train.groupBy("horizon", "obs_class").agg(F.sum("_n_rows").alias("n"))
     best = (counts.withColumn("_r", F.row_number().over(
         Window.partitionBy("horizon").orderBy(F.desc("n"), F.asc("obs_class"))))
         .filter(F.col("_r") == 1).select("horizon", F.col("obs_class").alias("major_class")))
@@ -87,9 +97,10 @@ def score_climatology(long: DataFrame, fitted: DataFrame) -> DataFrame:
     return _finish(out, "climatology")
 
 
-def score_baselines(long: DataFrame, flag: str = "is_last_year") -> DataFrame:
-    """Fit both baselines on the training rows (flag = 0) and score every row."""
-    train = long.filter(F.col(flag) == 0)
+def score_baselines(long: DataFrame, cells: DataFrame, flag: str = "is_last_year") -> DataFrame:
+    """Both baselines fitted on the training cells (flag = 0), scoring ``long``:
+    rows, or the cells themselves (then each with its ``_n_rows``)."""
+    train = cells.filter(F.col(flag) == 0)
     pers = score_persistence(long, fit_persistence(train))
     clim = score_climatology(long, fit_climatology(train))
     return pers.unionByName(clim)

@@ -18,9 +18,15 @@ from ..functions.scalar import round_metric
 
 
 def confusion(df: DataFrame, group: list[str], label: str = "obs_class", pred: str = "pred_class") -> DataFrame:
+    """Row counts per (group, label, prediction). Rows may be counted already: a
+    column ``_n_rows`` then says how many rows each stands for."""
     return (df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull())
             .groupBy(*group, F.col(label).alias("label"), F.col(pred).alias("pred"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(_rows(df).alias("n")))
+
+
+def _rows(df: DataFrame):
+    return F.sum("_n_rows") if "_n_rows" in df.columns else F.count(F.lit(1))
 
 
 def _div0(a, b):
@@ -100,7 +106,7 @@ def confusion_matrix(df: DataFrame, group: list[str], classes=(0, 1, 2), label:
 
 def prediction_distribution(df: DataFrame, group: list[str], pred: str = "pred_class") -> DataFrame:
     """A5: share of each predicted class per group."""
-    c = df.filter(F.col(pred).isNotNull()).groupBy(*group, pred).agg(F.count(F.lit(1)).alias("n"))
+    c = df.filter(F.col(pred).isNotNull()).groupBy(*group, pred).agg(_rows(df).alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group)))
 
 

@@ -43,12 +43,13 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURAC
     1. one pass: non-missing count and a quantile sketch bracketing the
        middle ranks in a band [lo, hi];
     2. one pass: rows below the band and inside it;
-    3. a band of at most ``max_cells`` rows is resolved exactly from its
-       (value, count) pairs; a larger band is re-sketched inside itself
-       (rank error shrinks by the sketch accuracy each round) and step 2
-       repeats. A band that missed the middle ranks is widened to that side;
-       one that stops shrinking holds only a few tied values and is resolved
-       from its pairs.
+    3. the rows on the band's two ends are counted apart (two values, however
+       often they repeat), so only the open interior matters: one of at most
+       ``max_cells`` rows is resolved exactly from its (value, count) pairs; a
+       larger one is re-sketched inside itself (the rank error shrinks by the
+       sketch accuracy each round) and step 2 repeats. A band that missed the
+       middle ranks is widened to that side.
+    At most ``max_cells`` pairs a column are collected.
     Columns without any value are skipped (scikit-learn drops them)."""
     if not cols:
         return {}
@@ -109,50 +110,66 @@ def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURAC
     while state:
         aggs = []
         for c, st in state.items():
-            aggs += [F.count_if(x[c] < st["lo"]).alias(f"b__{c}"),
-                     F.count_if((x[c] >= st["lo"]) & (x[c] <= st["hi"])).alias(f"i__{c}")]
+            lo, hi = F.lit(st["lo"]), F.lit(st["hi"])
+            aggs += [F.count_if(x[c] < lo).alias(f"b__{c}"), F.count_if(x[c] == lo).alias(f"l__{c}"),
+                     F.count_if((x[c] > lo) & (x[c] < hi)).alias(f"i__{c}"),
+                     F.count_if((x[c] == hi) & (hi > lo)).alias(f"h__{c}")]
         row = df.agg(*aggs).first()
         small, big = [], []
         for c, st in state.items():
-            st["below"], st["inside"] = int(row[f"b__{c}"]), int(row[f"i__{c}"])
+            st["below"], at_lo, inner, at_hi = (int(row[f"{k}__{c}"]) for k in "blih")
+            st["ends"] = [(v, k) for v, k in ((st["lo"], at_lo), (st["hi"], at_hi)) if k]
+            st["first"], st["inner"] = st["below"] + at_lo, inner
             lo_rank, hi_rank = (st["n"] - 1) // 2, st["n"] // 2
             if lo_rank < st["below"]:                       # band above the middle: widen down
-                st["lo"] = float("-inf")
-            elif hi_rank >= st["below"] + st["inside"]:     # band below the middle: widen up
-                st["hi"] = float("inf")
-            elif st["inside"] <= max_cells or st.get("stuck"):
-                # a band that stopped shrinking is a few heavily tied values:
-                # its (value, count) pairs are few, whatever its row count
+                st.update(lo=float("-inf"), eps=4 * st.get("eps", eps))
+            elif hi_rank >= st["first"] + inner + at_hi:    # band below the middle: widen up
+                st.update(hi=float("inf"), eps=4 * st.get("eps", eps))
+            elif inner <= max_cells:
                 small.append(c)
+            elif hi_rank < st["first"] or lo_rank >= st["first"] + inner:
+                v = st["lo"] if hi_rank < st["first"] else st["hi"]      # both ranks on one end
+                out[c] = (v + v) / 2.0
             else:
                 big.append(c)
+        state = {c: st for c, st in state.items() if c not in out}
         if small:
-            long = df.select(F.explode(F.array(*[
-                F.struct(F.lit(c).alias("name"), x[c].alias("v")) for c in small])).alias("_x")).select("_x.*")
-            band = None
+            cells = interior_cells(df, {c: (x[c], state[c]["lo"], state[c]["hi"]) for c in small})
             for c in small:
-                k = (F.col("name") == c) & (F.col("v") >= state[c]["lo"]) & (F.col("v") <= state[c]["hi"])
-                band = k if band is None else band | k
-            cells: dict[str, list] = {}
-            for r in long.filter(band).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k")).collect():
-                cells.setdefault(r["name"], []).append((r["v"], r["k"]))
-            for c in small:
-                out[c] = resolve(state.pop(c), cells.get(c, []))
+                st = state.pop(c)
+                out[c] = resolve(st, st["ends"] + cells.get(c, []))
         if big:
             conds, ranks = {}, {}
             for c in big:
                 st = state[c]
-                conds[c] = (x[c] >= st["lo"]) & (x[c] <= st["hi"])
-                t_lo = ((st["n"] - 1) // 2 - st["below"]) / st["inside"]
-                t_hi = (st["n"] // 2 - st["below"]) / st["inside"]
-                ranks[c] = (max(0.0, t_lo - eps), min(1.0, t_hi + eps))
+                conds[c] = (x[c] > st["lo"]) & (x[c] < st["hi"])
+                e = st.get("eps", eps)
+                t_lo = ((st["n"] - 1) // 2 - st["first"]) / st["inner"]
+                t_hi = (st["n"] // 2 - st["first"]) / st["inner"]
+                ranks[c] = (min(1.0, max(0.0, t_lo - e)), max(0.0, min(1.0, t_hi + e)))
             for c, (lo, hi) in sketch(conds, ranks).items():
                 st = state[c]
-                st["stuck"] = (lo, hi) == (st["lo"], st["hi"]) or lo == hi
+                # a middle rank on an end stays inside the band
+                lo = st["lo"] if (st["n"] - 1) // 2 < st["first"] else lo
+                hi = st["hi"] if st["n"] // 2 >= st["first"] + st["inner"] else hi
                 st.update(lo=lo, hi=hi)
     return out
 
 
+def interior_cells(df: DataFrame, bands: dict) -> dict[str, list]:
+    """(value, count) pairs strictly inside each band; ``bands``: column ->
+    (expression, lo, hi). The caller has counted the rows inside."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), v.alias("v")) for c, (v, _, _) in bands.items()])).alias("_x")).select("_x.*")
+    keep = F.lit(False)
+    for c, (_, lo, hi) in bands.items():
+        keep = keep | ((F.col("name") == c) & (F.col("v") > lo) & (F.col("v") < hi))
+    cells: dict[str, list] = {}
+    for r in long.filter(keep).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k")).collect():
+        cells.setdefault(r["name"], []).append((r["v"], r["k"]))
+    return cells
+
+
 def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.fillna({c: v for c, v in medians.items() if v is not None}) if medians else df
 

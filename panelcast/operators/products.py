@@ -3,7 +3,8 @@
 The reference's dashboard reads hand-exported constants; here every figure
 is derived from the scored predictions and the panel:
 
-* ``now`` rows (O6): each station's latest scored row per horizon.
+* ``now`` rows (O6): each station's newest reading, scored per horizon; stations
+  whose newest reading is old are inactive and leave the card.
 * station panel (W8-W10, F4): last 4 readings, latest reading, trend, status
   (active when its newest reading is within ``active_within`` of the
   network's newest), P(rain) now; network active / total counts.
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..spec import PanelSpec
 from . import features as ft
+from .baselines import trailing_columns
 from .bootstrap import hash_index
 from .targets import scalar_like
 
@@ -42,14 +44,30 @@ FORECAST = (("+30min", 1.0), ("+60min", 0.8))
 CI_LEVEL = 0.90
 BINS = 10
 NOW_LABEL = "Ahora"
+ACTIVE_WITHIN = "1 hour"
 
 
-def now_rows(scored: DataFrame, spec: PanelSpec, keys=("model", "horizon")) -> DataFrame:
-    """Latest scored row per (model, horizon, station)."""
-    order = [F.col(spec.ts).desc_nulls_last()] + ([F.col(spec.tie).desc()] if spec.tie else [])
-    w = Window.partitionBy(*keys, spec.station).orderBy(*order)
-    return (scored.filter(F.col(spec.ts).isNotNull())
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn"))
+def newest_readings(panel: DataFrame, spec: PanelSpec, active_within: str = ACTIVE_WITHIN) -> DataFrame:
+    """Each station's newest reading with its trailing totals, as input of
+    the persistence model (its truth isn't known yet, hence NULL), and whether
+    it is ``active``: within ``active_within`` of the network's newest reading.
+
+    A trailing total needs the last ``max_backward`` + 1 readings of a station;
+    only those pass the partial group limit, so the windows see bounded groups."""
+    k = spec.max_backward + 1
+    order = [F.col(spec.ts).desc()] + ([F.col(spec.tie).desc()] if spec.tie else [])
+    last = (panel.filter(F.col(spec.ts).isNotNull() & F.col(spec.station).isNotNull())
+            .withColumn("_rn", F.row_number().over(Window.partitionBy(spec.station).orderBy(*order)))
+            .filter(F.col("_rn") <= k))
+    w = Window.partitionBy(spec.station).orderBy(F.desc("_rn"))
+    sums = trailing_columns(spec)(w)
+    newest = last.select("*", *[e.alias(name) for name, e in sums.items()]).filter(F.col("_rn") == 1).drop("_rn")
+    latest = F.max(spec.ts).over(Window.partitionBy())          # one row per station
+    newest = newest.withColumn("active", F.col(spec.ts) >= latest - F.expr(f"INTERVAL {active_within}"))
+    for h in spec.horizons:
+        newest = (newest.withColumn(f"obs_precip_{h.name}", F.lit(None).cast("double"))
+                  .withColumn(f"obs_class_{h.name}", F.lit(None).cast("int")))
+    return newest
 
 
 def recent_readings(panel: DataFrame, spec: PanelSpec, k: int = RECENT) -> DataFrame:
@@ -75,7 +93,7 @@ def recent_readings(panel: DataFrame, spec: PanelSpec, k: int = RECENT) -> DataF
                       trend.alias("trend"))
 
 
-def station_panel(panel: DataFrame, now: DataFrame, spec: PanelSpec, active_within: str = "1 hour") -> DataFrame:
+def station_panel(panel: DataFrame, now: DataFrame, spec: PanelSpec, active_within: str = ACTIVE_WITHIN) -> DataFrame:
     """F4 + W8-W10 per (horizon, station) with network active / total counts."""
     rec = recent_readings(panel, spec)
     net = F.max("last_ts").over(Window.partitionBy())
@@ -116,7 +134,7 @@ def station_bootstrap(now: DataFrame, spec: PanelSpec, B: int = 1000, value: str
 
 
 def horizon_card(now: DataFrame, reps: DataFrame, spec: PanelSpec, model_name: str = "persistence") -> DataFrame:
-    """A7 + C2 + B5: the prediction card per horizon."""
+    """A7 + C2 + B5: the prediction card per horizon from the active stations."""
     lo_q, hi_q = (1 - CI_LEVEL) / 2, 1 - (1 - CI_LEVEL) / 2
     ci = reps.groupBy("horizon").agg(
         F.percentile("rep_mean", F.array(F.lit(lo_q), F.lit(hi_q))).alias("_ci"))

@@ -5,7 +5,8 @@
   cross-station context, all windowed columns in **one** chunked pass.
 * :func:`feature_frame` — the same features without targets, for scoring.
 * :func:`scored_baselines` — long form (row × horizon) with both baselines'
-  predictions and probabilities for every row.
+  predictions and probabilities for every row; :func:`baseline_cells` — the
+  class counts behind fits and metrics; :func:`newest_scored` — the stations now.
 * :func:`submission` — P10 / P11 / O2 prediction table of one model;
   :func:`write_submission` / :func:`read_submissions` — S3, S4, S6.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import classify_precip
 from ..operators import baselines as bl
 from ..operators import features as ft
+from ..operators import products as pr
 from ..operators import sequence as seq
 from ..operators import targets as tg
 from ..sources.observations import format_ts
@@ -66,14 +68,24 @@ def feature_frame(panel: DataFrame, spec: PanelSpec, method: str = "chunked") ->
     return ft.with_cross_station(out, spec, source=panel)
 
 
-def scored_baselines(lf: DataFrame, spec: PanelSpec, keep: list[str] | None = None) -> DataFrame:
-    """Both baselines fitted on the training rows and scored on all rows.
-    The long (row × horizon) input feeds two fits and two scoring branches,
-    so it is written once (checkpoint in the shared folder) instead of
-    re-running the windowed labelling for each branch."""
+def scored_baselines(lf: DataFrame, spec: PanelSpec, keep: list[str] | None = None,
+                     cells: DataFrame | None = None) -> DataFrame:
+    """Both baselines fitted on the training rows and scored on all rows, which
+    stay lazy: the fits only need the class counts (:func:`baseline_cells`)."""
     keep = keep or [c for c in ([spec.tie] if spec.tie else []) + [spec.station, spec.ts, "is_last_year"]]
-    long = bl.long_scored_input(lf, spec, keep).checkpoint(eager=True)
-    return bl.score_baselines(long)
+    cells = baseline_cells(lf, spec) if cells is None else cells
+    return bl.score_baselines(bl.long_scored_input(lf, spec, keep), cells)
+
+
+def baseline_cells(lf: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Class counts of the labelled rows, all that fits and metrics read."""
+    return bl.count_cells(bl.long_scored_input(lf, spec, ["is_last_year"]))
+
+
+def newest_scored(panel: DataFrame, spec: PanelSpec, cells: DataFrame) -> DataFrame:
+    """The persistence model on each station's newest reading."""
+    long = bl.long_scored_input(pr.newest_readings(panel, spec), spec, [spec.station, spec.ts, "active"])
+    return bl.score_persistence(long, bl.fit_persistence(cells.filter(F.col("is_last_year") == 0)))
 
 
 def submission(scored: DataFrame, spec: PanelSpec, model: str = "persistence", sort: bool = False) -> DataFrame:

@@ -421,9 +421,19 @@ ORACLE["class_weights"] = with_base(
 # --- dashboard products ---------------------------------------------------------------
 
 PRODUCT_SQL = [
-    "now AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, horizon, station ORDER BY "
-    "\"TIMESTAMP\" DESC NULLS LAST, event_id DESC) AS rn FROM test WHERE model = 'persistence' "
-    "AND \"TIMESTAMP\" IS NOT NULL) WHERE rn = 1)",
+    "newest AS (SELECT *, \"TIMESTAMP\" >= max(\"TIMESTAMP\") OVER () - INTERVAL '1 hour' AS active FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY station ORDER BY \"TIMESTAMP\" DESC, event_id DESC) AS rn FROM sums "
+    "WHERE \"TIMESTAMP\" IS NOT NULL AND station IS NOT NULL) WHERE rn = 1)",
+    "newlong AS (" + " UNION ALL ".join(
+        f"SELECT station, \"TIMESTAMP\", active, '{h.name}' AS horizon, "
+        f"coalesce({classify_sql(f'trail_{h.name}', h.light_threshold)}, 0) AS pred_class FROM newest"
+        for h in SPEC.horizons) + ")",
+    "newprob AS (SELECT l.*, " + ", ".join(
+        f"coalesce(f.p{c}, CASE WHEN l.pred_class = {c} THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END) AS p{c}"
+        for c in range(3)) + " FROM newlong l LEFT JOIN pfit f ON f.horizon = l.horizon AND f.persist_class = l.pred_class)",
+    "now_all AS (SELECT *, CASE pred_class WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 END AS pred_prob, "
+    "CAST(1.0 AS DOUBLE) - p0 AS p_rain FROM newprob)",
+    "now AS (SELECT * FROM now_all WHERE active)",
     "sidx AS (SELECT horizon, station, p_rain AS v, row_number() OVER (PARTITION BY horizon ORDER BY station) - 1 "
     "AS idx, count(*) OVER (PARTITION BY horizon) AS n FROM now)",
     "ssizes AS (SELECT DISTINCT horizon, n FROM sidx)",
@@ -458,7 +468,7 @@ SELECT n.horizon, n.station AS station_id, r.status, r.trend, """ + r6("r.last_r
        """ + r6("n.p_rain") + """ AS probability, n.pred_class, r.recent_mm_x1000,
        CAST(sum(CASE WHEN r.status = 'active' THEN 1 ELSE 0 END) OVER (PARTITION BY n.horizon) AS BIGINT) AS n_active,
        count(*) OVER (PARTITION BY n.horizon) AS n_stations
-FROM now n JOIN rec2 r ON r.station = n.station""",
+FROM now_all n JOIN rec2 r ON r.station = n.station""",
     "top4 AS (SELECT * FROM (SELECT station, \"TIMESTAMP\", Rain_mm_Tot, row_number() OVER (PARTITION BY station "
     "ORDER BY \"TIMESTAMP\" DESC, event_id DESC) AS rn FROM panel WHERE \"TIMESTAMP\" IS NOT NULL AND station IS NOT NULL) "
     "WHERE rn <= 4)",

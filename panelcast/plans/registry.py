@@ -119,6 +119,16 @@ def scored(spark, sf_dir):
     return jobs.scored_baselines(lf(spark, sf_dir, history=False, context=False), SPEC, keep=KEEP)
 
 
+def scored_cells(spark, sf_dir):
+    """Both baselines on the class counts: enough for every metric."""
+    cells = jobs.baseline_cells(lf(spark, sf_dir, history=False, context=False), SPEC)
+    return bl.score_baselines(cells, cells)
+
+
+def holdout_cells(spark, sf_dir):
+    return scored_cells(spark, sf_dir).filter(F.col("is_last_year") == 1)
+
+
 def holdout_scored(spark, sf_dir):
     return scored(spark, sf_dir).filter(F.col("is_last_year") == 1)
 
@@ -287,7 +297,7 @@ def q_pred_prob(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir):
-    return M.evaluate(holdout_scored(spark, sf_dir), ["model", "horizon"])
+    return M.evaluate(holdout_cells(spark, sf_dir), ["model", "horizon"])
 
 
 for _m in ("accuracy", "f1_macro", "f1_weighted", "f1_micro"):
@@ -324,24 +334,24 @@ def q_metrics_rounded(spark, sf_dir):
 
 @register("classification_report")
 def q_classification_report(spark, sf_dir):
-    r = M.classification_report(holdout_scored(spark, sf_dir), ["model", "horizon"])
+    r = M.classification_report(holdout_cells(spark, sf_dir), ["model", "horizon"])
     return r.select("model", "horizon", "item", *[r6(c).alias(c) for c in ("precision", "recall", "f1_score")],
                     "support")
 
 
 @register("confusion_matrix")
 def q_confusion_matrix(spark, sf_dir):
-    return M.confusion_matrix(holdout_scored(spark, sf_dir), ["model", "horizon"])
+    return M.confusion_matrix(holdout_cells(spark, sf_dir), ["model", "horizon"])
 
 
 @register("prediction_distribution")
 def q_prediction_distribution(spark, sf_dir):
-    return M.prediction_distribution(holdout_scored(spark, sf_dir), ["model", "horizon"])
+    return M.prediction_distribution(holdout_cells(spark, sf_dir), ["model", "horizon"])
 
 
 @register("overfitting_gap")
 def q_overfitting_gap(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = scored_cells(spark, sf_dir)
     g = M.overfitting_gap(s.filter(F.col("is_last_year") == 0), s.filter(F.col("is_last_year") == 1),
                           ["model", "horizon"])
     return g.select("model", "horizon", *[r6(c).alias(c) for c in (
@@ -371,32 +381,30 @@ def q_metric_card(spark, sf_dir):
 
 # --- bootstrap -------------------------------------------------------------------
 
-def _persistence_test(spark, sf_dir):
-    return holdout_scored(spark, sf_dir).filter(F.col("model") == "persistence")
-
-
+def _persistence_cells(spark, sf_dir):
+    return holdout_cells(spark, sf_dir).filter(F.col("model") == "persistence")
 
 
 @register("bootstrap_macro_f1")
 def q_bootstrap_macro_f1(spark, sf_dir):
-    reps = bs.bootstrap_hash(_persistence_test(spark, sf_dir), ["horizon"], B_REPLICATES)
+    reps = bs.bootstrap_hash(_persistence_cells(spark, sf_dir), ["horizon"], B_REPLICATES)
     return reps.select("horizon", "b", r6("f1_macro").alias("f1_macro"))
 
 
 @register("bootstrap_ci")
 def q_bootstrap_ci(spark, sf_dir):
-    t = _persistence_test(spark, sf_dir)
+    t = _persistence_cells(spark, sf_dir)
     reps = bs.bootstrap_hash(t, ["horizon"], B_REPLICATES)
-    n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
+    n_test = t.groupBy("horizon").agg(F.sum("_n_rows").alias("n_test"))
     ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
     return ci.select("horizon", *[r6(c).alias(c) for c in ("macro_f1_mean", "ci_2_5", "ci_97_5")], "B", "n_test")
 
 
 @register("bootstrap_multinomial")
 def q_bootstrap_multinomial(spark, sf_dir):
-    t = _persistence_test(spark, sf_dir)
+    t = _persistence_cells(spark, sf_dir)
     reps = bs.bootstrap_multinomial(t, ["horizon"], B_REPLICATES)
-    n_test = t.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_test"))
+    n_test = t.groupBy("horizon").agg(F.sum("_n_rows").alias("n_test"))
     return bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
 
 
@@ -493,12 +501,17 @@ RESULT_COLS = ["model", "accuracy", "f1_macro", "f1_micro", "f1_weighted", "f1_m
 
 # --- dashboard products -------------------------------------------------------------
 
+def _cells(spark, sf_dir):
+    return jobs.baseline_cells(lf(spark, sf_dir, history=False, context=False), SPEC)
+
+
 def _now(spark, sf_dir):
-    return PR.now_rows(_persistence_test(spark, sf_dir), SPEC)
+    """The stations now: one row per station and horizon."""
+    return jobs.newest_scored(panel(spark, sf_dir), SPEC, _cells(spark, sf_dir))
 
 
 def _card(spark, sf_dir, now=None):
-    now = now if now is not None else _now(spark, sf_dir)
+    now = (now if now is not None else _now(spark, sf_dir)).filter("active")
     return PR.horizon_card(now, PR.station_bootstrap(now, SPEC, B_REPLICATES), SPEC)
 
 
@@ -525,9 +538,18 @@ def q_network_series(spark, sf_dir):
     return ns.select("horizon", "time", "offset_min", *[r6(x).alias(x) for x in ("avg", "q10", "q90")], "forecast")
 
 
+def _persistence_rows(d, cells):
+    """Hold-out predictions of the persistence model (lazy)."""
+    s = jobs.scored_baselines(d, SPEC, keep=KEEP, cells=cells)
+    return s.filter((F.col("model") == "persistence") & (F.col("is_last_year") == 1))
+
+
 @register("prob_histogram")
 def q_prob_histogram(spark, sf_dir):
-    return PR.prob_histogram(_persistence_test(spark, sf_dir), "pred_prob", ["horizon"], _card(spark, sf_dir))
+    d = lf(spark, sf_dir, history=False, context=False)
+    cells = jobs.baseline_cells(d, SPEC)
+    card = _card(spark, sf_dir, jobs.newest_scored(panel(spark, sf_dir), SPEC, cells))
+    return PR.prob_histogram(_persistence_rows(d, cells), "pred_prob", ["horizon"], card)
 
 
 @register("alert_level")
@@ -537,13 +559,15 @@ def q_alert_level(spark, sf_dir):
 
 @register("dashboard_bundle")
 def q_dashboard_bundle(spark, sf_dir):
-    """The nested per-horizon dashboard document (all products together);
-    the scored table is built once and shared by every product."""
+    """The nested per-horizon dashboard document (all products together); the
+    class counts are taken once and shared by every product."""
     p = panel(spark, sf_dir)
-    test = scored(spark, sf_dir).filter(F.col("is_last_year") == 1)
-    pers = test.filter(F.col("model") == "persistence")
-    now = PR.now_rows(pers, SPEC)
+    d = lf(spark, sf_dir, history=False, context=False)
+    cells = jobs.baseline_cells(d, SPEC)
+    pers = _persistence_rows(d, cells)
+    now = jobs.newest_scored(p, SPEC, cells)
     card = _card(spark, sf_dir, now)
+    test = bl.score_baselines(cells, cells).filter(F.col("is_last_year") == 1)
     mcard = M.rounded(best_models(M.evaluate(test, ["model", "horizon"])).select(
         "horizon", "accuracy", "f1_weighted", "f1_macro", "best_model", F.col("n_rows").alias("test_rows")),
         ["accuracy", "f1_weighted", "f1_macro"])
@@ -590,8 +614,7 @@ def q_stream_accumulate_append(spark, sf_dir):
 def q_stream_alerts(spark, sf_dir):
     """Every reading's alerts, scored with the persistence table fitted on
     the batch training split."""
-    train = bl.long_scored_input(lf(spark, sf_dir, history=False, context=False), SPEC, KEEP)
-    fitted = bl.fit_persistence(train.filter(F.col("is_last_year") == 0))
+    fitted = bl.fit_persistence(_cells(spark, sf_dir).filter(F.col("is_last_year") == 0))
     stream = proxy.events_panel(sj.events_stream(spark, sf_dir), SPEC)
     out = sj.alert_stream(stream, SPEC, fitted, "stream_alerts")
     return out.select("event_id", "station", "TIMESTAMP", "horizon", r6("trailing").alias("trail_total"), "persist_class",

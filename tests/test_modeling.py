@@ -64,3 +64,24 @@ def test_exact_medians_narrow_large_bands(spark):
     med = MD.exact_medians(df, ["cont", "tied"], accuracy=200, max_cells=50)
     want = df.agg(F.median("cont"), F.median("tied")).first()
     assert med["cont"] == want[0] and med["tied"] == want[1]
+
+
+def test_exact_medians_two_ties_around_a_thin_middle(spark, monkeypatch):
+    """Two heavy ties at the band's ends never pull its interior to the driver:
+    at most ``max_cells`` pairs a column are collected."""
+    df = spark.range(0, 52001).select(F.when(F.col("id") < 25000, F.lit(0.0)).when(F.col("id") < 27001, F.col("id") / 27001.0)
+                                      .otherwise(F.lit(1.0)).alias("x"),
+                                      F.when(F.col("id") < 26000, F.lit(-1.0)).otherwise(F.lit(4.0)).alias("y"),
+                                      F.when(F.col("id") % 2 == 0, F.lit(float("-inf"))).otherwise(F.lit(2.0)).alias("z"))
+    seen = []
+    cells = MD.interior_cells
+
+    def spy(d, bands):
+        got = cells(d, bands)
+        seen.extend(len(v) for v in got.values())
+        return got
+    monkeypatch.setattr(MD, "interior_cells", spy)
+    med = MD.exact_medians(df, ["x", "y", "z"], accuracy=100, max_cells=50)
+    want = df.agg(F.median("x"), F.median("y"), F.median("z")).first()
+    assert [med["x"], med["y"], med["z"]] == list(want)
+    assert all(n <= 50 for n in seen)

@@ -45,3 +45,27 @@ def test_histogram_edges_and_zero_fill(spark):
     h = {r["bin"]: r for r in PR.prob_histogram(df, "p", ["horizon"]).collect()}
     assert len(h) == 10 and h[7]["count"] == 1 and h[6]["count"] == 1 and h[9]["count"] == 1 and h[0]["count"] == 1
     assert h[3]["count"] == 0 and h[7]["label"] == "0.7–0.8"
+
+
+def test_now_is_one_moment(spark):
+    """The card reads each station's newest reading; a station silent for hours
+    stays in the panel as a warning and leaves the card."""
+    from panelcast.plans import jobs
+
+    spec = SPEC
+    rows = [("A", m, 0.0) for m in range(0, 600, 15)] + [("B", m, 0.0) for m in range(0, 555, 15)] + [("B", 570, 2.54)]
+    rows += [("SILENT", m, 5.08) for m in range(-3000, -2400, 15)]
+    p = _panel(spark, rows)
+    cells = spark.createDataFrame([("1h", 0, 0, 0, 3), ("1h", 0, 1, 0, 1), ("1h", 0, 2, 2, 4)],
+                                  "horizon string, is_last_year int, obs_class int, persist_class int, _n_rows bigint")
+    now = jobs.newest_scored(p, spec, cells)
+    one = {r["station"]: r for r in now.filter("horizon = '1h'").collect()}
+    assert one["A"]["active"] and one["B"]["active"] and not one["SILENT"]["active"]
+    assert (one["A"]["pred_class"], one["A"]["p_rain"]) == (0, 0.25)
+    assert (one["B"]["pred_class"], one["B"]["p_rain"]) == (2, 1.0)
+    active = now.filter("active")
+    card = {r["horizon"]: r for r in PR.horizon_card(active, PR.station_bootstrap(active, spec, 50), spec).collect()}
+    assert card["1h"]["n_stations"] == 2 and card["1h"]["probability"] == 0.625
+    assert card["1h"]["timestamp"] == (T0 + dt.timedelta(minutes=585)).strftime("%Y-%m-%d %H:%M:%S")
+    status = {r["station_id"]: r["status"] for r in PR.station_panel(p, now, spec).filter("horizon = '1h'").collect()}
+    assert status == {"A": "active", "B": "active", "SILENT": "warning"}
