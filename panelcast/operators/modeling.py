@@ -280,11 +280,12 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
 
 
 def fit_one(train: DataFrame, label: str, numeric: list[str], name: str = "logreg",
-            num_trees: int = 300, station: str = "station") -> tuple[PipelineModel, dict[str, float], list[str]]:
+            num_trees: int = 300, station: str = "station",
+            medians: dict[str, float] | None = None) -> tuple[PipelineModel, dict[str, float], list[str]]:
     """Fit one model with the same imputation and weighting as
     :func:`fit_and_evaluate`; return the pipeline, the training medians and
     the numeric columns used, i.e. everything needed to score new rows."""
-    medians = exact_medians(train, numeric)
+    medians = exact_medians(train, numeric) if medians is None else medians
     usable = [c for c in numeric if c in medians]
     tr = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
     tr = with_class_weight(tr, class_weights(tr, label), label).cache()

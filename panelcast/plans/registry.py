@@ -448,13 +448,13 @@ def q_class_weights(spark, sf_dir):
     return MD.class_weights(long.filter(F.col("is_last_year") == 0), "obs_class", ["horizon"])
 
 
-def _fit(spark, sf_dir, horizon, models):
-    d, _, nums = feature_table(spark, sf_dir, horizon)
-    # the feature table feeds medians, weights, every fit and the scoring:
-    # written once to the shared folder instead of recomputed per action
-    d = d.checkpoint(eager=True)
-    train, test = ds.train_test_split(d)
-    return MD.fit_and_evaluate(train, test, f"obs_class_{horizon}", nums, models=models, num_trees=NUM_TREES)
+def _training_table(spark, sf_dir):
+    """Rows, features and training medians shared by every horizon's fit: only
+    the target differs. Labelled once and written once to the shared folder,
+    since medians, weights, fits and scoring all read it."""
+    d = lf(spark, sf_dir).checkpoint(eager=True)
+    _, nums = ds.feature_columns(d, drop=[*ds.TRAINING_DROP, "event_id", "is_last_year"])
+    return d, nums, MD.exact_medians(d.filter(F.col("is_last_year") == 0), nums)
 
 
 def _predict_query(spark, sf_dir, name):
@@ -483,8 +483,11 @@ def q_model_results(spark, sf_dir):
     """M9 + U1: both models on every horizon, one results table. The
     horizons' fits are independent Spark jobs, submitted from threads so
     they share the executors instead of queueing."""
+    d, nums, medians = _training_table(spark, sf_dir)
+
     def one(h):
-        res, _, _ = _fit(spark, sf_dir, h.name, ("logreg", "rf"))
+        train, test = ds.train_test_split(ds.horizon_dataset(d, SPEC, h.name))
+        res, _, _ = MD.fit_and_evaluate(train, test, f"obs_class_{h.name}", nums, num_trees=NUM_TREES, medians=medians)
         rows = res.collect()            # one row per model: materialise inside the thread
         return [(h.name, *[r[c] for c in RESULT_COLS]) for r in rows]
 
@@ -499,6 +502,29 @@ RESULT_COLS = ["model", "accuracy", "f1_macro", "f1_micro", "f1_weighted", "f1_m
                "overfitting_gap", "test_rows"]
 
 
+@register("model_submission")
+def q_model_submission(spark, sf_dir):
+    """P10-P12 of the trained model: the hold-out predictions of one logistic
+    regression per horizon in the submission's columns, long over horizons."""
+    d, nums, medians = _training_table(spark, sf_dir)
+
+    def one(h):
+        train, test = ds.train_test_split(ds.horizon_dataset(d, SPEC, h.name))
+        model, _, _ = MD.fit_one(train, f"obs_class_{h.name}", nums, "logreg", medians=medians)
+        return MD.score(model, medians, test).withColumns({
+            "horizon": F.lit(h.name), "model": F.lit("logreg"), "obs_class": F.col(f"obs_class_{h.name}"),
+            "obs_precip": F.col(f"obs_precip_{h.name}")}).select(
+            "horizon", "model", "is_last_year", "TIMESTAMP", "station", "pred_class", "pred_prob", "obs_class",
+            "obs_precip")
+
+    with ThreadPoolExecutor(max_workers=len(SPEC.horizons)) as pool:
+        parts = list(pool.map(one, SPEC.horizons))
+    scored_rows = parts[0]
+    for part in parts[1:]:
+        scored_rows = scored_rows.unionByName(part)
+    return jobs.submission(scored_rows, SPEC, model="logreg")
+
+
 # --- dashboard products -------------------------------------------------------------
 
 def _cells(spark, sf_dir):
@@ -583,31 +609,28 @@ def q_dashboard_bundle(spark, sf_dir):
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     """Watermarked de-duplicated readings, run with availableNow."""
-    s = sj.ingest_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
+    s = sj.ingest_stream(sj.panel_stream(sj.stream_session(spark), sf_dir, SPEC), SPEC)
     path = sj.run_to_table(s.drop("event_time"), "stream_ingest")
     return spark.read.parquet(path).select("station", "TIMESTAMP", "Rain_mm_Tot", "event_id")
 
 
-@register("stream_accumulate")
-def q_stream_accumulate(spark, sf_dir):
-    """Sliding-window totals per station, complete mode."""
-    s = sj.accumulate_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
-    path = sj.run_to_table(s, "stream_accumulate", mode="complete")
-    out = spark.read.parquet(path)
+def _window_totals(spark, sf_dir, name, mode):
+    out = sj.run_accumulation(sj.panel_stream(sj.stream_session(spark), sf_dir, SPEC), SPEC, name, mode)
     return out.select("window_len", "station", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                       r6("rain_sum").alias("rain_sum"), "n_readings")
 
 
+@register("stream_accumulate")
+def q_stream_accumulate(spark, sf_dir):
+    """Sliding-window totals per station of all readings."""
+    return _window_totals(spark, sf_dir, "stream_accumulate", "update")
+
+
 @register("stream_accumulate_append")
 def q_stream_accumulate_append(spark, sf_dir):
     """T2 in append mode: only windows closed by the final watermark."""
-    s = sj.accumulate_stream(sj.panel_stream(spark, sf_dir, SPEC), SPEC)
-    path = sj.run_to_table(s, "stream_accumulate_append", mode="append")
-    out = spark.read.parquet(path)
-    return out.select("window_len", "station", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
-                      r6("rain_sum").alias("rain_sum"), "n_readings")
+    return _window_totals(spark, sf_dir, "stream_accumulate_append", "append")
 
 
 @register("stream_alerts")

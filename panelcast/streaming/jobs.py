@@ -2,11 +2,13 @@
 
 * T1 :func:`ingest_stream` — readings with a watermark; duplicates of
   (station, TIMESTAMP) inside the watermark are dropped.
-* T2 :func:`accumulate_stream` — trailing 1 / 3 / 6 h totals per station as
-  event-time sliding windows (15-minute slide). Written with ``foreachBatch``
-  in *complete* mode, each batch replaces the result table, so the output
-  equals the batch aggregation; in *append* mode only windows closed by the
-  watermark are emitted.
+* T2 :func:`accumulate_stream` — totals per station and 15-minute bucket, one
+  state store; :func:`windows_from_buckets` turns them into the trailing 1 / 3 /
+  6 h totals (sliding by 15 minutes). State is bounded by the watermark: a bucket
+  leaves it once closed. Written per epoch in *update* mode, the newest epoch of
+  a bucket holds; in *append* mode only buckets and windows closed by the
+  watermark are emitted. A reading behind the watermark of the batch before is
+  dropped from all three window lengths alike.
 * T3 :func:`alert_stream` / :func:`model_alert_job` — ``foreachBatch``: each
   reading is scored together with a history table kept by time, so that alerts
   equal batch scoring of the same readings, duplicates and late ones included.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import drop_path, path_exists, shared_path
@@ -53,50 +55,84 @@ def ingest_stream(stream: DataFrame, spec: PanelSpec, delay: str = "1 hour") ->
             .dropDuplicatesWithinWatermark([spec.station, spec.ts]))
 
 
-def accumulate_stream(stream: DataFrame, spec: PanelSpec, delay: str = "1 hour") -> DataFrame:
-    """Trailing totals over 1 / 3 / 6 h sliding windows per station."""
-    w = stream.withWatermark("event_time", delay)
-    out = None
-    for name, length in WINDOWS:
-        agg = (w.groupBy(F.window("event_time", length, SLIDE).alias("win"), F.col(spec.station))
-               .agg(F.sum(spec.rain).alias("rain_sum"), F.count(spec.rain).alias("n_readings"))
-               .select(F.lit(name).alias("window_len"), spec.station,
-                       F.col("win.start").alias("window_start"), F.col("win.end").alias("window_end"),
-                       "rain_sum", "n_readings"))
-        out = agg if out is None else out.unionByName(agg)
-    return out
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of its own for a streaming query, with ``spark``'s settings.
 
+    Stateful streaming operators keep ``spark.sql.shuffle.partitions`` state
+    partitions, fixed in the checkpoint at the first start and not coalesced by
+    AQE. The count is therefore chosen here (default: the cluster's parallelism)
+    without touching the caller's session."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    return own
 
-def run_to_table(query_df: DataFrame, name: str, mode: str = "append", state_partitions: int | None = None) -> str:
-    """Run a streaming query to completion (``availableNow``) into a parquet
-    table in the shared folder; return the table path.
 
-    Stateful streaming operators keep ``spark.sql.shuffle.partitions`` state
-    partitions, fixed in the checkpoint at the first start and not coalesced
-    by AQE. The count is therefore chosen here (default: the cluster's
-    parallelism) and set only while this query runs."""
-    spark = query_df.sparkSession
+def accumulate_stream(stream: DataFrame, spec: PanelSpec, delay: str = "1 hour") -> DataFrame:
+    """T2, streaming part: rain total and readings per station and bucket."""
+    return (stream.withWatermark("event_time", delay)
+            .groupBy(F.window("event_time", SLIDE).alias("win"), F.col(spec.station))
+            .agg(F.sum(spec.rain).alias("rain_sum"), F.count(spec.rain).alias("n_readings"))
+            .select(spec.station, F.col("win.start").alias("bucket_start"), "rain_sum", "n_readings"))
+
+
+def windows_from_buckets(buckets: DataFrame, spec: PanelSpec, closed_by: str | None = None) -> DataFrame:
+    """1 / 3 / 6 h sliding totals from bucket totals. Each bucket lies in
+    length / slide windows; the fan-out multiplies buckets (one row per station
+    and step), not readings. ``closed_by``: keep windows that end by this time."""
+    step = int(SLIDE.split()[0])
+
+    def fan_out(name: str, length: str) -> Column:
+        def window(k: Column) -> Column:
+            start = F.col("bucket_start") - F.make_dt_interval(F.lit(0), F.lit(0), k * step)
+            return F.struct(F.lit(name).alias("window_len"), start.alias("window_start"),
+                            (start + F.expr(f"INTERVAL {length}")).alias("window_end"))
+        return F.transform(F.sequence(F.lit(0), F.lit(int(length.split()[0]) * 60 // step - 1)), window)
+
+    fan = [fan_out(name, length) for name, length in WINDOWS]
+    wide = (buckets.select(spec.station, "rain_sum", "n_readings", F.explode(F.concat(*fan)).alias("w"))
+            .select("w.*", spec.station, "rain_sum", "n_readings"))
+    if closed_by is not None:
+        wide = wide.filter(F.col("window_end") <= F.to_timestamp(F.lit(closed_by)))
+    return (wide.groupBy("window_len", spec.station, "window_start", "window_end")
+            .agg(F.sum("rain_sum").alias("rain_sum"), F.sum("n_readings").alias("n_readings")))
+
+
+def run_accumulation(stream: DataFrame, spec: PanelSpec, name: str, mode: str = "update",
+                     delay: str = "1 hour") -> DataFrame:
+    """T2 to its end (``availableNow``): the window totals of all readings so far
+    (``update``) or of the windows closed by the watermark (``append``)."""
+    spark = stream.sparkSession
     path, ckpt = shared_path(spark, name), shared_path(spark, name + "-ckpt")
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        _run(query_df, path, ckpt, mode)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
-    return path
+    buckets = accumulate_stream(stream, spec, delay)
+    writer = buckets.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "append":
+        q = writer.format("parquet").option("path", path).start()
+    else:
+        def write(batch: DataFrame, epoch: int) -> None:      # a re-run epoch replaces its own rows only
+            (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+        q = writer.foreachBatch(write).start()
+    q.awaitTermination()
+    schema = buckets.schema if mode == "append" else buckets.schema.add("epoch", "integer")
+    table = spark.read.schema(schema).parquet(path)
+    if mode != "append":
+        return windows_from_buckets(latest_scores(table, [spec.station, "bucket_start"]), spec)
+    marks = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in p["eventTime"]]
+    return windows_from_buckets(table, spec, closed_by=max(marks, default="1970-01-01T00:00:00.000Z"))
 
 
-def _run(query_df: DataFrame, path: str, ckpt: str, mode: str) -> None:
-    if mode == "complete":
-        def write(batch: DataFrame, epoch: int):
-            batch.write.mode("overwrite").parquet(path)
-        q = (query_df.writeStream.outputMode("complete").foreachBatch(write)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    else:
-        q = (query_df.writeStream.outputMode(mode).format("parquet").option("path", path)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+def run_to_table(query_df: DataFrame, name: str) -> str:
+    """Run an append-mode streaming query to completion (``availableNow``) into a
+    parquet table in the shared folder; return the table path."""
+    spark = query_df.sparkSession
+    path, ckpt = shared_path(spark, name), shared_path(spark, name + "-ckpt")
+    q = (query_df.writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
+    return path
 
 
 # --- T3: micro-batches of readings scored as they arrive ----------------------------

@@ -157,3 +157,60 @@ def test_non_local_master_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def _write_events(folder, name, rows):
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"]).to_parquet(
+        os.path.join(folder, name), coerce_timestamps="us")
+
+
+def test_window_totals_over_micro_batches(spark):
+    """A bucket that grows in a later batch keeps its newest total; a reading
+    behind the watermark is in none of the windows; append mode holds the closed
+    windows only. Brute force over the accepted readings."""
+    from panelcast.sources import proxy
+    d = tempfile.mkdtemp(prefix="panelcast-stream-")
+    base = dt.datetime(2024, 1, 1, 12)
+    m = lambda k: base + dt.timedelta(minutes=k)     # noqa: E731
+    batches = [[(1, m(0), 0, "a", 200.0, ""), (2, m(7), 0, "b", 300.0, ""), (3, m(300), 0, "a", 250.0, "")],
+               [(4, m(305), 0, "a", 400.0, ""), (5, m(250), 0, "b", 200.0, "")],
+               [(6, m(1), 0, "a", 500.0, ""), (7, m(330), 0, "a", 150.0, "")]]
+    for i, rows in enumerate(batches):
+        path = f"events_{i}.parquet"
+        _write_events(d, path, rows)
+        os.utime(os.path.join(d, path), (1_700_000_000 + i, 1_700_000_000 + i))
+    accepted = [r for rows in batches for r in rows if r[0] != 6]     # 6 is hours behind the watermark
+
+    def run(mode):
+        own = sj.stream_session(spark, 2)
+        events = own.readStream.schema(sj.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(d)
+        p = proxy.events_panel(events, PROXY_SPEC).withColumn("event_time", F.col("TIMESTAMP").cast("timestamp"))
+        out = sj.run_accumulation(p, PROXY_SPEC, "t2-" + mode, mode)
+        return {(r["window_len"], r["station"], r["s"], r["e"]): (round(r["rain_sum"], 6), r["n_readings"])
+                for r in out.withColumn("s", F.col("window_start").cast("timestamp_ntz"))
+                .withColumn("e", F.col("window_end").cast("timestamp_ntz")).collect()}
+
+    want = {}
+    for _, ts, _, station, value, _ in accepted:
+        bucket = ts.replace(minute=ts.minute // 15 * 15)
+        rain = max(0.0, value // 50 - 2) * 0.254
+        for name, minutes in (("1h", 60), ("3h", 180), ("6h", 360)):
+            for k in range(minutes // 15):
+                start = bucket - dt.timedelta(minutes=15 * k)
+                key = (name, station, start, start + dt.timedelta(minutes=minutes))
+                total, n = want.get(key, (0.0, 0))
+                want[key] = (total + rain, n + 1)
+    want = {k: (round(v, 6), n) for k, (v, n) in want.items()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert run("update") == want
+    assert run("append") == {k: v for k, v in want.items() if k[3] <= m(330 - 60)}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_model_submission_covers_the_hold_out(spark):
+    from panelcast.plans import registry as R
+    sub = R.QUERIES["model_submission"](spark, SF_SMALL)
+    held_out = R.labelled(spark, SF_SMALL).filter("is_last_year = 1").count()
+    rows = sub.collect()
+    assert len(rows) == 3 * held_out and {r["horizon"] for r in rows} == {"1h", "3h", "6h"}
+    assert all(r["pred_class"] in (0, 1, 2) and 0 <= r["pred_prob"] <= 1 and r["obs_class"] is not None for r in rows)
