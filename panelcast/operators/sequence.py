@@ -35,6 +35,8 @@ from ..spec import PanelSpec
 
 _PID, _MID, _OFF, _M0 = "_seq_pid", "_seq_mid", "_seq_off", "_seq_m0"
 _TIE = "_seq_tie"
+RANGE_BYTES = 256 << 20      # rows of one range partition, sorted by one task
+MAX_RANGES = 1_000_000       # beyond: the size estimate is unknown, not a size
 
 
 def order_columns(spec: PanelSpec) -> list[Column]:
@@ -51,7 +53,9 @@ def with_global_index(df: DataFrame, order: list[Column], index_col: str = "_g",
     """Exact 0-based rank of every row under ``order`` without a single-task
     window. ``order`` should be a total order (include a unique tie-break)."""
     # Without an explicit count the range exchange starts from the session's
-    # shuffle partitions and AQE may coalesce adjacent (contiguous) ranges.
+    # shuffle partitions (AQE may coalesce adjacent ranges), or from more where
+    # the input's size asks for it.
+    num_partitions = num_partitions or range_partitions(df)
     ranged = df.repartitionByRange(int(num_partitions), *order) if num_partitions else df.repartitionByRange(*order)
     ordered = ranged.sortWithinPartitions(*order)
     # The range partitioner samples with a seed tied to the RDD id, so two
@@ -74,6 +78,14 @@ def with_global_index(df: DataFrame, order: list[Column], index_col: str = "_g",
             .drop(_PID, _MID, _OFF, _M0))
 
 
+def range_partitions(df: DataFrame, target_bytes: int = RANGE_BYTES) -> int | None:
+    """Range partitions that hold about ``target_bytes`` each by the optimizer's
+    size estimate; None where the session's shuffle partitions suffice."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    wanted = -(-int(str(size)) // target_bytes)
+    return wanted if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < wanted <= MAX_RANGES else None
+
+
 def plain_window(spec: PanelSpec) -> WindowSpec:
     """Reference form: one window partition per station."""
     return Window.partitionBy(spec.station).orderBy(*order_columns(spec)[1:])

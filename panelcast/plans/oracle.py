@@ -137,9 +137,10 @@ FROM (
 
 ORACLE["horizon_wide"] = ORACLE["complete_horizons"]
 
-ORACLE["horizon_dataset"] = with_base(
-    'SELECT station, "TIMESTAMP", Rain_mm_Tot, event_id, year, is_last_year, '
-    f"{r6('obs_precip_3h')} AS obs_precip_3h, obs_class_3h FROM labelled")
+for _key, _h in (("horizon_dataset_1h", "1h"), ("horizon_dataset", "3h"), ("horizon_dataset_6h", "6h")):
+    ORACLE[_key] = with_base(
+        'SELECT station, "TIMESTAMP", Rain_mm_Tot, event_id, year, is_last_year, '
+        f"{r6(f'obs_precip_{_h}')} AS obs_precip_{_h}, obs_class_{_h} FROM labelled")
 
 LONG_TARGETS = "long_targets AS (" + " UNION ALL ".join(
     f"SELECT event_id, station, \"TIMESTAMP\", is_last_year, '{h.name}' AS horizon, obs_precip_{h.name} AS obs_precip, "

@@ -150,11 +150,12 @@ def q_horizon_wide(spark, sf_dir):
     return p.select("event_id", "station", "TIMESTAMP", "Rain_mm_Tot", "year", "is_last_year", *target_out())
 
 
-@register("horizon_dataset")
-def q_horizon_dataset(spark, sf_dir):
-    """The 3 h data set keeps only its own target pair."""
-    d = ds.horizon_dataset(labelled(spark, sf_dir), SPEC, "3h")
-    return d.select(*[r6(c).alias(c) if c.startswith("obs_precip") else F.col(c) for c in d.columns])
+# The data set of a horizon keeps only its own target pair.
+for _key, _h in (("horizon_dataset_1h", "1h"), ("horizon_dataset", "3h"), ("horizon_dataset_6h", "6h")):
+    def _q_horizon(spark, sf_dir, _h=_h):
+        d = ds.horizon_dataset(labelled(spark, sf_dir), SPEC, _h)
+        return d.select(*[r6(c).alias(c) if c.startswith("obs_precip") else F.col(c) for c in d.columns])
+    register(_key)(_q_horizon)
 
 
 @register("horizon_long")
@@ -208,12 +209,12 @@ def q_train_test_split(spark, sf_dir):
 
 @register("station_counts")
 def q_station_counts(spark, sf_dir):
-    return ds.value_counts(labelled(spark, sf_dir), "station")
+    return ds.value_counts(labelled(spark, sf_dir), "station").orderBy(F.desc("n"), F.asc_nulls_last("station"))
 
 
 @register("split_counts")
 def q_split_counts(spark, sf_dir):
-    return ds.value_counts(labelled(spark, sf_dir), "is_last_year")
+    return ds.value_counts(labelled(spark, sf_dir), "is_last_year").orderBy(F.desc("n"), F.asc("is_last_year"))
 
 
 @register("dataset_summary")
@@ -396,7 +397,7 @@ def q_bootstrap_ci(spark, sf_dir):
     t = _persistence_cells(spark, sf_dir)
     reps = bs.bootstrap_hash(t, ["horizon"], B_REPLICATES)
     n_test = t.groupBy("horizon").agg(F.sum("_n_rows").alias("n_test"))
-    ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
+    ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test).orderBy("horizon")
     return ci.select("horizon", *[r6(c).alias(c) for c in ("macro_f1_mean", "ci_2_5", "ci_97_5")], "B", "n_test")
 
 

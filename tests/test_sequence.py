@@ -61,3 +61,14 @@ def test_halo_too_small_is_refused(spark):
     p = proxy.load_panel(spark, SF_MID)
     with pytest.raises(ValueError):
         ft.with_history(p, PROXY_SPEC.with_(chunk_rows=8))
+
+
+def test_range_partitions_follow_the_input_size(spark):
+    """Small inputs keep the session's partitions; a target below the input's
+    share per partition asks for more, and the index stays exact."""
+    df = spark.range(0, 20000, 1, 4).select(((F.col("id") * 7919) % 20000).alias("v"))
+    assert seq.range_partitions(df) is None
+    n = seq.range_partitions(df, target_bytes=8 * 1000)
+    assert n == 20
+    got = seq.with_global_index(df, [F.col("v").asc()], "g", n)
+    assert got.filter("g <> v").count() == 0 and got.count() == 20000
