@@ -49,9 +49,10 @@ def long_scored_input(lf: DataFrame, spec: PanelSpec, keep: list[str]) -> DataFr
 
 def count_cells(long: DataFrame, flag: str = "is_last_year") -> DataFrame:
     """Rows per (horizon, flag, truth, persistence class) as a local table with
-    ``_n_rows``: the classes bound its size, whatever the number of rows."""
+    ``_n_rows``: the classes bound its size, whatever the number of rows. In one
+    partition, so that fits and metrics over it need no shuffle."""
     cells = long.groupBy("horizon", flag, "obs_class", "persist_class").agg(F.count(F.lit(1)).alias("_n_rows"))
-    return long.sparkSession.createDataFrame(cells.collect(), cells.schema)
+    return long.sparkSession.createDataFrame(cells.collect(), cells.schema).coalesce(1)
 
 
 def _probs_from_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
