@@ -86,7 +86,8 @@ def bootstrap(spark: SparkSession, out: str, B: int = 1000) -> None:
 def alerts(spark: SparkSession, out: str, stream_dir: str, spec: PanelSpec = STATION_SPEC,
            horizon: str = "1h", model: str = "logreg", fmt: str = "parquet") -> str:
     """T3 for the saved pipeline: score a directory of arriving reading files
-    (micro-batches, ``availableNow``) and append alert levels per epoch."""
+    (micro-batches, ``availableNow``); the path of the table of every reading's
+    newest alert is returned."""
     from pyspark.ml import PipelineModel
 
     from ..streaming import jobs as sj
@@ -95,7 +96,10 @@ def alerts(spark: SparkSession, out: str, stream_dir: str, spec: PanelSpec = STA
     schema = spark.read.parquet(f"{out}/master").select(
         spec.station, spec.ts, spec.rain, *([spec.tie] if spec.tie else [])).schema
     stream = spark.readStream.schema(schema).format(fmt).load(stream_dir)
-    return sj.model_alert_job(stream, spec, pipe, medians, f"alerts-{horizon}-{model}")
+    path = f"{out}/alerts_{horizon}_{model}"
+    (sj.model_alert_job(stream, spec, pipe, medians, f"alerts-{horizon}-{model}")
+     .write.mode("overwrite").parquet(path))
+    return path
 
 
 def main(argv=None) -> None:
