@@ -12,9 +12,9 @@ in order of a hash of their id, at most ``TRAIN_DOCS`` documents and
 ``BLOCK`` symbols of all texts of a batch advance together through one table of
 transitions (a phrase ends at a block's edge).
 
-A symbol is a letter seen in the training text (lower-cased), a run of
-characters that are not letters (one symbol), or "another letter", which
-occurs in no automaton.
+A symbol is a letter seen in the training text (lower-cased; every such letter
+of every language has a symbol of its own), a run of characters that are not
+letters (one symbol), or "another letter", which occurs in no automaton.
 
 Defined cases
 -------------
@@ -95,22 +95,60 @@ class SuffixAutomaton:
             last = cur
 
 
+def _offsets(state: np.ndarray, symbol: np.ndarray, n: int) -> np.ndarray:
+    """A different offset for each of n states, so that offset + symbol differs
+    between all edges. ``state`` is sorted. States with many edges are placed
+    first, many states at a time at random (seeded) offsets; those that meet
+    another try again, and the room grows until all stand."""
+    r = np.random.default_rng(1)
+    degree = np.bincount(state, minlength=n)
+    begin = np.cumsum(degree) - degree
+    room = 4 * len(state) + 2 * n + 64
+    top = int(symbol.max(initial=0)) + 1
+    place = np.zeros(n, np.int64)
+    taken, used = np.zeros(room + top, bool), np.zeros(room, bool)
+    size_class = np.ceil(np.log2(np.maximum(degree, 1))).astype(int)
+    for size in np.unique(size_class)[::-1].tolist():
+        todo, tries = np.flatnonzero(size_class == size), 0
+        while len(todo):
+            tries += 1
+            if tries % 64 == 0:
+                room *= 2
+                taken = np.append(taken, np.zeros(room + top - len(taken), bool))
+                used = np.append(used, np.zeros(room - len(used), bool))
+            put = r.integers(0, room, len(todo))
+            d = degree[todo]
+            who = np.repeat(np.arange(len(todo)), d)
+            edge = np.arange(d.sum()) + np.repeat(begin[todo] - (np.cumsum(d) - d), d)
+            slot = put[who] + symbol[edge]
+            ok = ~used[put]
+            ok[who[taken[slot]]] = False
+            for value, owner in ((slot, who), (put, np.arange(len(todo)))):   # of states that meet, the first stays
+                live = ok[owner]
+                value, owner = value[live], owner[live]
+                _, first, where = np.unique(value, return_index=True, return_inverse=True)
+                ok[owner[owner != owner[first][where]]] = False
+            place[todo[ok]] = put[ok]
+            used[put[ok]] = True
+            taken[slot[ok[who]]] = True
+            todo = todo[~ok]
+    return place
+
+
 class CrossParser:
-    """One transition table for the automata of all languages."""
+    """One transition table for the automata of all languages.
+
+    The table is sparse: a state is an offset, and its edge under symbol c stands
+    at offset + c, as (state << 32 | next state). Offsets are chosen so that no two
+    edges meet; an entry that names another state is no edge of this one."""
 
     def __init__(self, texts: list[tuple[str, str]], max_chars: int = TRAIN_CHARS):
-        letters = sorted({c for _, t in texts for c in t.lower() if c.isalpha()})[:250]
+        fold = {p: chr(p).lower()[0] for p in range(0x110000) if chr(p).isalpha()}
+        letters = sorted({fold[ord(c)] for c in set().union(*[t for _, t in texts]) if c.isalpha()})
+        number = {c: k + 1 for k, c in enumerate(letters)}
         self.width = len(letters) + 2                                   # gap, letters, any other letter
-        points = np.arange(0x110000)
-        lut = np.zeros(0x110000, np.uint8)
-        names = [chr(p) if not 0xD800 <= p < 0xE000 else " " for p in points]
-        for p, c in enumerate(names):
-            if c.isalpha():
-                lut[p] = self.width - 1
-        for k, c in enumerate(letters):
-            lut[ord(c)] = k + 1
-            if len(c.upper()) == 1 and c.upper().lower() == c:
-                lut[ord(c.upper())] = k + 1
+        lut = np.zeros(0x110000, np.int32)
+        lut[list(fold)] = [number.get(c, self.width - 1) for c in fold.values()]
         self.lut = lut
         per: dict[str, list[int]] = {}
         for lang, text in texts:
@@ -119,20 +157,25 @@ class CrossParser:
                 have.extend([GAP] * bool(have))
                 have.extend(self.symbols([text])[0].tolist()[:max_chars - len(have)])
         self.langs = sorted(lang for lang, s in per.items() if any(s))
-        self.roots, self.cost, rows = [], [], []
+        self.cost, roots, edges = [], [], []
         base = 0
         for lang in self.langs:
             auto = SuffixAutomaton(per[lang])
-            table = np.full((len(auto.next), self.width), -1, np.int32)
-            for s, moves in enumerate(auto.next):
-                for c, t in moves.items():
-                    table[s, c] = base + t
-            self.roots.append(base)
+            edges.append(np.array([(base + s, c, base + t) for s, moves in enumerate(auto.next) for c, t in moves.items()], np.int64))
+            roots.append(base)
             self.cost.append(np.log2(max(2, len(per[lang]))))
             base += len(auto.next)
-            rows.append(table)
-        self.sink = base                                                # after a symbol that the language lacks
-        self.table = np.concatenate([*rows, np.full((1, self.width), -1, np.int32)]).ravel()
+        edges = np.concatenate([*edges, np.zeros((0, 3), np.int64)])
+        place = _offsets(edges[:, 0], edges[:, 1], base + 1)            # the last state is the sink
+        self.sink = int(place[base])                                    # after a symbol that the language lacks
+        self.table = np.full(int(place.max()) + self.width, -1 << 32, np.int64)
+        self.table[place[edges[:, 0]] + edges[:, 1]] = place[edges[:, 0]] << 32 | place[edges[:, 2]]
+        self.first = []                                                 # where each symbol leads from a root
+        for root in roots:
+            first = np.full(self.width, self.sink, np.int64)            # unseen symbol: a phrase by itself
+            own = edges[edges[:, 0] == root]
+            first[own[:, 1]] = place[own[:, 2]]
+            self.first.append(first)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in a row, and each text's number of symbols."""
@@ -149,23 +192,21 @@ class CrossParser:
         start, size = start[order], size[order]
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         out = np.zeros((len(self.langs), len(start)), np.int64)
-        width, table = self.width, self.table
-        for k, root in enumerate(self.roots):
+        table = self.table
+        for k, first in enumerate(self.first):
             count = np.zeros(len(start), np.int64)
-            first = table[root * width:(root + 1) * width].astype(np.int64) * width
-            first[first < 0] = self.sink * width                        # unseen symbol: a phrase by itself
-            state = np.full(len(start), self.sink * width, np.int64)
+            state = np.full(len(start), self.sink, np.int64)
             for t, n in enumerate(active.tolist()):
                 c = s[start[:n] + t]
                 if t == 0:
                     state[:n] = first[c]
                     continue
-                at = table[state[:n] + c].astype(np.int64)
-                ended = at < 0
+                at = state[:n]
+                edge = table[at + c]
+                ended = edge >> 32 != at
                 count[:n] += ended
-                at *= width
+                np.bitwise_and(edge, 0xFFFFFFFF, out=at)
                 np.copyto(at, first[c], where=ended)
-                state[:n] = at
             out[k] = count + (size > 0)
         back = np.empty_like(out)
         back[:, order] = out

@@ -241,6 +241,26 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_many_scripts_keep_their_letters_apart():
+    r = random.Random(4)
+    letters = {"en": "abcdefghijklmnopqrstuvwxyz", "ja": "".join(map(chr, range(0x3041, 0x3097))) + "".join(map(chr, range(0x4E00, 0x4E00 + 300))),
+               "ko": "".join(map(chr, range(0xAC00, 0xAC00 + 900))), "zh": "".join(map(chr, range(0x5400, 0x5400 + 900)))}
+
+    def text(lang, n):
+        return " ".join("".join(r.choices(letters[lang], k=r.randint(2, 6))) for _ in range(n))
+
+    train = [(lang, text(lang, 1500)) for lang in letters for _ in range(3)]
+    parser = langid.CrossParser(train)
+    seen = {c for _, t in train for c in t if c.isalpha()}
+    assert len(seen) > 1500 and len({int(parser.lut[ord(c)]) for c in seen}) == len(seen)
+    other = parser.width - 1
+    assert all(other not in parser.symbols([t])[0] for _, t in train) and parser.lut[ord("ж")] == other
+    want = [lang for lang in letters for _ in range(5)]
+    assert parser.predict([text(lang, 40) for lang in want])[0] == want
+    odd = langid.CrossParser([("x", "ΟΔΟΣ Kẞİ ǅ")])                # letters whose lower case has other upper cases
+    assert odd.width - 1 not in odd.symbols(["ΟΔΟΣ Kẞİ ǅ"])[0]
+
+
 def test_texts_without_letters_are_undetermined(odd_docs):
     got = {r.doc_id: r.lang_pred for r in langid.op7_langid(odd_docs).collect()}
     assert got[2] == got[3] == got[5] == "und" and got[4] != "und"
