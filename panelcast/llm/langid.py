@@ -21,7 +21,7 @@ Defined cases
 * null texts and texts without a letter: ``und``, score 0;
 * rows whose doc_id is null are neither held out nor learned from;
 * no labelled text at all: every text is ``und``, score 0;
-* repeated rows get the same result; an empty table returns an empty table;
+* repeated rows get the same result, and a repeated id is learned from once; an empty table returns an empty table;
 * other columns, and lang, source and doc_id, are no input of a prediction.
 """
 
@@ -52,15 +52,17 @@ def held_out(doc_id: Column) -> Column:
 
 def training_texts(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """(lang, text) of the sample: at most ``max_docs`` whole documents per
-    language. Ids are ranked first, without their texts."""
+    language. Distinct ids are ranked first, without their texts; of the rows of
+    a repeated id the text with the smallest hash is taken, once."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                         & ~held_out(F.col("doc_id")))
+    known = known.withColumn("hash", F.xxhash64("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.select("doc_id", "lang").withColumn("nth", F.row_number().over(order))
-              .filter(F.col("nth") <= max_docs).select("doc_id", "lang", "nth"))     # max_docs rows per language
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    rows = rows.select("lang", "nth", F.substring("text", 1, TRAIN_CHARS).alias("text"))   # fitting only
-    return [(r["lang"], r["text"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["nth"], r["text"]))]
+    chosen = (known.groupBy("lang", "doc_id").agg(F.min("hash").alias("hash")).withColumn("nth", F.row_number().over(order))
+              .filter(F.col("nth") <= max_docs))                                     # max_docs ids per language
+    rows = known.select("doc_id", "lang", "hash", "text").join(F.broadcast(chosen), ["doc_id", "lang", "hash"])
+    rows = rows.groupBy("lang", "nth").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))   # fitting only
+    return [(r["lang"], r["text"]) for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["nth"]))]
 
 
 class SuffixAutomaton:

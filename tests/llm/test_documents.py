@@ -261,6 +261,16 @@ def test_many_scripts_keep_their_letters_apart():
     assert odd.width - 1 not in odd.symbols(["ΟΔΟΣ Kẞİ ǅ"])[0]
 
 
+def test_training_sample_takes_each_id_once(spark):
+    rows = [(k, f"text of {k}", "en") for k in range(30)] * 40 + [(k, f"other text of {k}", "en") for k in range(30)] + [(50, "ein Text", "de")] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = {r[0] for r in docs.filter(~langid.held_out(docs.doc_id)).select("doc_id").collect()}
+    got = langid.training_texts(docs)
+    assert sorted(int(t.split()[-1]) for lang, t in got if lang == "en") == sorted(ids - {50})
+    assert [t for lang, t in got if lang == "de"] == ["ein Text"] * (50 in ids)
+    assert len(langid.training_texts(docs, 8)) == 8 + (50 in ids)
+
+
 def test_texts_without_letters_are_undetermined(odd_docs):
     got = {r.doc_id: r.lang_pred for r in langid.op7_langid(odd_docs).collect()}
     assert got[2] == got[3] == got[5] == "und" and got[4] != "und"
