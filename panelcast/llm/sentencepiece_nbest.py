@@ -21,8 +21,10 @@ Defined cases
   every text decodes to itself;
 * equal scores: the segmentation whose last piece is longer, and so on to the
   front, comes first;
-* runs of spaces are lattices of their own; very long words are searched one by
-  one, without a table;
+* runs of spaces are lattices of their own, and so are newlines;
+* very long words are searched one by one, without a table; their n best are found
+  position by position from the end, with n parent links a position and no heap, so
+  that memory and time grow with the word's length (same order, same ties);
 * repeated rows repeat their result; an empty table returns an empty table; other
   columns are never looked at (the pipeline stage keeps them).
 """
@@ -33,6 +35,7 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,23 +156,91 @@ class Vocabulary:
 
     def best_long(self, word: str) -> tuple[float, float, list[int]]:
         """(best score, second-best score, ids) of one word of any length."""
-        first, second, back = [0.0], [NEG], [None]
+        first, second, back = array("d", [0.0]), array("d", [NEG]), array("q", [0])
         for end in range(1, len(word) + 1):
-            a, b, via = NEG, NEG, None
-            for s, sc, ids in self.edges_to(word, end):
+            a, b, via = NEG, NEG, 0
+            for s, sc, _ in self.edges_to(word, end):
                 x, y = first[s] + sc, second[s] + sc
                 if x > a:
-                    a, b, via = x, max(a, y, b), (s, ids)
+                    a, b, via = x, max(a, y, b), s
                 else:
                     b = max(b, x)
             first.append(a)
             second.append(b)
             back.append(via)
-        ids, at = [], len(word)
+        cuts, at = [len(word)], len(word)
         while at:
-            at, piece = back[at]
-            ids.append(piece)
-        return first[-1], second[-1], [i for p in reversed(ids) for i in p]
+            at = back[at]
+            cuts.append(at)
+        return first[-1], second[-1], self.ids_between(word, cuts[::-1])
+
+    def ids_between(self, word: str, cuts: list[int]) -> list[int]:
+        """Ids of the pieces of a word that is cut at ``cuts``."""
+        ids = []
+        for s, e in itertools.pairwise(cuts):
+            hit = self.piece.get(word[s:e])
+            if hit:
+                ids.append(hit[0])
+            else:
+                ids.extend(self.char_ids(word[s:e]))
+        return ids
+
+    def nbest_long(self, word: str, n: int) -> list[tuple[float, list[int]]]:
+        """``nbest`` of a word of any length. For each position the n best ways from
+        the end are kept; a worse way can't be part of the word's n best. A way is a
+        node: where its last piece starts, its score and the node it goes on from."""
+        at, done = array("i", [len(word)]), array("d", [0.0])
+        up, depth, jump = array("i", [0]), array("i", [0]), array("i", [0])      # jump: an older node (skew-binary links)
+        lo, hi = array("i", [0]) * (len(word) + 1), array("i", [0]) * (len(word) + 1)
+        hi[-1] = 1
+
+        def lift(x: int, level: int) -> int:
+            while depth[x] > level:
+                x = jump[x] if depth[jump[x]] >= level else up[x]
+            return x
+
+        def first(p: int, q: int) -> bool:
+            """Whether node p's pieces, from the end, are the longer ones where they first differ from q's."""
+            level = min(depth[p], depth[q])
+            x, y = lift(p, level), lift(q, level)
+            if x == y:
+                return depth[p] < depth[q]
+            while up[x] != up[y]:
+                x, y = (jump[x], jump[y]) if jump[x] != jump[y] else (up[x], up[y])
+            return at[x] < at[y]
+
+        for s in range(len(word) - 1, -1, -1):
+            heads = []                                       # of each edge: score of its piece, next node, last node
+            for e in range(s + 1, min(len(word), s + self.longest) + 1):
+                hit = self.piece.get(word[s:e])
+                if hit or e == s + 1:
+                    heads.append((hit[1] if hit else self.unknown, lo[e], hi[e]))
+            lo[s] = len(at)
+            for _ in range(n):
+                best = -1
+                for k, (sc, node, end) in enumerate(heads):
+                    if node < end and (best < 0 or sc + done[node] > top
+                                       or sc + done[node] == top and first(node, heads[best][1])):
+                        best, top = k, sc + done[node]
+                if best < 0:
+                    break
+                sc, k, end = heads[best]
+                heads[best] = (sc, k + 1, end)
+                far = jump[k]
+                at.append(s)
+                done.append(top)
+                up.append(k)
+                depth.append(depth[k] + 1)
+                jump.append(jump[far] if depth[k] - depth[far] == depth[far] - depth[jump[far]] else k)
+            hi[s] = len(at)
+        out = []
+        for node in range(lo[0], hi[0]):
+            cuts, k = [], node
+            while k:
+                cuts.append(at[k])
+                k = up[k]
+            out.append((done[node], self.ids_between(word, [*cuts, len(word)])))
+        return out
 
     # --- all distinct words of a batch ----------------------------------------------
 
@@ -273,9 +344,14 @@ def text_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     words: dict[str, int] = {}
     split = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.string()), " ")
     coded = split.flatten().dictionary_encode()
-    names = [MARK + w for w in coded.dictionary.to_pylist()]
-    words.update(zip(names, range(len(names))))
-    flat, off = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+    units, count = [], []                                                # of each distinct word; newlines split it
+    for w in coded.dictionary.to_pylist():
+        own = [u.replace(" ", MARK) for u in _UNITS.findall(" " + w)] if "\n" in w else [MARK + w]
+        units.extend(words.setdefault(u, len(words)) for u in own)
+        count.append(len(own))
+    flat, start = gather(np.array(units, np.int64), np.concatenate(([0], np.cumsum(count))).astype(np.int64),
+                         coded.indices.to_numpy().astype(np.int64))
+    off = start[split.offsets.to_numpy()]
     parts, sizes = [], []
     for k, (t, p) in enumerate(zip(texts, plain)):
         if p:
@@ -332,6 +408,9 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
             lists = []
             for w in near:
                 word = words[mine[w]]
+                if len(word) > LONG_WORD:
+                    lists.append(vocab.nbest_long(word, n))
+                    continue
                 if (word, n) not in cache:
                     cache[word, n] = vocab.nbest(word, n)
                 lists.append(cache[word, n])

@@ -119,6 +119,33 @@ def test_every_segmentation_decodes_to_the_text(vocab):
             assert sentencepiece_nbest.decode(full, vocab) == text and s <= score
 
 
+def test_long_words_equal_the_search(vocab):
+    r = random.Random(6)
+    few = sentencepiece_nbest.Vocabulary([("a", -1.0, 0), ("aa", -2.0, 1), ("aaa", -3.0, 2), ("ab", -2.0, 3), ("b", -1.0, 4)], list(range(5, 261)))
+    for k in range(300):
+        v, letters = (few, "aab") if k % 2 else (vocab, "theraionx")        # the first has ties everywhere
+        word = "".join(r.choice(letters) for _ in range(r.randint(1, 14)))
+        assert [ids for _, ids in v.nbest_long(word, 4)] == [ids for _, ids in v.nbest(word, 4)], word
+        assert v.nbest_long(word, 1)[0][1] == v.nbest(word, 1)[0][1]
+        assert v.best_long(word)[0] == pytest.approx(v.nbest(word, 1)[0][0])
+
+
+def test_unspaced_text_of_200000_characters(vocab):
+    r = random.Random(8)
+    texts = ["x" * 200_000, "".join(r.choices("ACGT", k=200_000))]
+    for text in texts:
+        (ids, score, more), = sentencepiece_nbest.encode([text], vocab, 3)
+        assert len(more) == 2 and score >= more[0][0] >= more[1][0]
+        assert sentencepiece_nbest.decode(ids.tolist(), vocab) == text
+        for s, edits in more:
+            full = ids.tolist()
+            for a, b, new in sorted(edits, reverse=True):
+                full[a:b] = new
+            assert sentencepiece_nbest.decode(full, vocab) == text and s <= score
+    lines = sentencepiece_nbest.text_words(["ab\ncd\n\nab ef", "ef"])
+    assert [lines[0][k] for k in lines[1]] == ["▁ab", "\n", "cd", "\n", "\n", "ab", "▁ef", "▁ef"] and lines[2].tolist() == [0, 7, 8]
+
+
 def test_sentencepiece_query_round_trip(spark):
     docs = table(spark, SF, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
