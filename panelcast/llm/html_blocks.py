@@ -16,15 +16,21 @@ VOID_TAGS = frozenset("area base br col embed frame hr img input link meta param
 CLOSES = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
           "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
           "option": ("option", ("select",))}
-SKIP_TAGS = "script|style|template|svg|math|noscript|iframe|object|canvas"
+#: Their content is raw text up to the end tag or the end of the page.
+RAW_TAGS = "script|style"
+#: Their content isn't shown: skipped up to the end tag, if there is one.
+SKIP_TAGS = frozenset("template svg iframe canvas".split())
+#: What can stand in a head; any other tag, and text, ends it.
+HEAD_TAGS = frozenset("html head title base basefont bgsound link meta noscript noframes script style template".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({SKIP_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW_TAGS})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"'<]+|\"[^\"<]*\"|'[^'<]*')*)|[^>]*?)(?:>|\Z)",
     re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in (*SKIP_TAGS, "noscript")}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -52,14 +58,18 @@ def path_tokens(tag: str, attrs: str) -> tuple[tuple[str, ...], int | None]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order. Comments, scripts, styles and the like are no
-    text; <br> is white space; character references are decoded; a broken end of
-    the page ends its last tag."""
+    """Leaf blocks in page order. Comments, scripts, styles and closed templates,
+    svg, iframe and canvas elements are no text (``/>`` closes one of the latter, and
+    an end tag that is missing skips nothing); <br> is white space; character
+    references are decoded; a broken end of the page ends its last tag; the head
+    ends at the first tag or text that can't stand in it."""
     page = page or ""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int | None]] = []
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
+    head_at = 0                                                # where the head stands in the stack, if it is open
+    endless: set[str] = set()                                  # tags that aren't closed from here on
 
     def flush():
         nonlocal linked
@@ -74,12 +84,14 @@ def blocks(page: str | None) -> list[Block]:
     def put(raw: str):
         nonlocal linked
         if raw:
+            if stack and stack[-1][0] == "head" and not raw.isspace():
+                stack.pop()
             raw = html.unescape(raw) if "&" in raw else raw
             text.append(raw)
             if in_link:
                 linked += len(raw)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         put(page[at:m.start()])
         at = m.end()
         tag = m[3]
@@ -88,6 +100,27 @@ def blocks(page: str | None) -> list[Block]:
                 text.append(" ")
             continue
         tag = tag.lower()
+        in_head = head_at < len(stack) and stack[head_at][0] == "head"
+        if not m[2] and (tag in SKIP_TAGS or in_head and tag == "noscript"):
+            end = None
+            if not (m[4] or "").endswith("/") and tag not in endless:
+                end = _END[tag].search(page, at)
+                if end is None:
+                    endless.add(tag)
+            if end:
+                at = end.end()
+                text.append(" ")
+                continue
+        if in_head and not m[2] and tag not in HEAD_TAGS:
+            flush()
+            del stack[head_at:]
+        if tag == "head" and not m[2]:
+            if in_head:
+                continue
+            flush()
+            if stack and stack[-1][0] == "p":
+                stack.pop()
+            head_at = len(stack)
         if tag == "a":
             in_link = 0 if m[2] else 1
         elif tag == "br":

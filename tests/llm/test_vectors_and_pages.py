@@ -78,6 +78,32 @@ def test_blocks_of_a_page():
     assert html_blocks.blocks(None) == html_blocks.blocks("") == html_blocks.blocks("<p> <br></p><style>a") == []
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>a <svg class=i viewBox='0 0 1 1'/> b</p><p>c</p>", ["a b", "c"]),
+    ("<p>a <svg><title>no</title></svg> b</p><p>c</p>", ["a b", "c"]),
+    ("<header><svg/></header><p>a</p><svg><path/></svg><p>b</p>", ["a", "b"]),
+    ("<p>a <math/> b</p><p>c</p>", ["a b", "c"]),
+    ("<p>a <math><mi>x</mi></math> b</p>", ["a x b"]),
+    ("<p>a</p><noscript><p>b</p></noscript><object data=x><p>c</p></object><p>d</p>", ["a", "b", "c", "d"]),
+    ("<p>a</p><object><p>b</p>", ["a", "b"]),
+    ("<p>a</p><canvas><p>b</p>", ["a", "b"]),
+    ("<p>a</p><canvas>no</canvas><template><p>no</p></template><iframe>no</iframe><svg>b", ["a", "b"]),
+    ("<object-list><p>a</p></object-list><template-box><p>b</p></template-box><script-x>c</script-x>", ["a", "b", "c"]),
+    ("<p>a</p><script>no<p>no", ["a"]),
+    ("<html><head><title>no</title><meta x=y><style>no</style><h1>a</h1><p>b</p>", ["a", "b"]),
+    ("<head><title>no</title><noscript><img src=x></noscript><link x></head><body><p>a</p>", ["a"]),
+    ("<head><title>no</title><noscript><p>a</p>", ["a"]),
+    ("<head><title>no</title> a<b>b</b><p>c", ["ab", "c"]),
+    ("<head><title>no</title><img src=x><a href=y>a</a><p>c", ["a", "c"]),
+])
+def test_nothing_but_hidden_elements_is_dropped(page, want):
+    assert [b.text for b in html_blocks.blocks(page)] == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert len(html_blocks.blocks("<p>a<svg><canvas>" * 40_000)) == 40_000
+
+
 def test_main_text_of_a_page(model):
     assert html_extract.extract([PAGE, "", None], model, {}) == [TEXT, "", ""]
 
