@@ -7,7 +7,7 @@ bidirectional LSTM in numpy runs over the whole sequence and labels every block
 as main text or not, so each decision sees the whole page.
 
 The labeller is fitted on a bounded sample of ``TRAIN_PAGES`` pages (smallest
-hashes of their ids). Their labels are weak: what lies in the article element
+hashes of their ids) among those with an article or main element. Their labels are weak: what lies in the article element
 is main text, what lies in navigation, header, footer, aside, form and
 the like isn't. So that the labeller learns more layouts than the sample has,
 each sampled page is rewritten several times, with another container around the
@@ -17,6 +17,8 @@ fit is repeatable.
 
 Defined cases
 -------------
+* no page has an article or main element: the sample is drawn among all pages, and
+  the layouts are built round their paragraph text;
 * null and empty pages, and pages without main text: text "", n_chars 0;
 * white space (also no-break spaces) becomes one space, blocks are joined by \\n;
 * repeated rows repeat their result; equal pages get equal text;
@@ -26,6 +28,7 @@ Defined cases
 
 from __future__ import annotations
 
+import html
 import random
 import re
 import zlib
@@ -271,7 +274,10 @@ class Labeller:
 
 # --- training pages --------------------------------------------------------------------
 
-_ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
+_ARTICLE = re.compile(r"<(article|main)(?=[\s/>])[^>]*>(.*?)(?:</\1\s*>|\Z)", re.S | re.I)
+#: Words of layout names; a block below one of them is no paragraph text.
+_LAYOUT = {f"t:{t}" for t in ("nav", "header", "footer", "aside", "form", "button", "select", "figcaption")} | {
+    f"c:{w}" for _, classes in CHROME for c in classes for w in c.split("-") if len(w) > 1 and w not in ("main", "right", "column", "page", "list", "top", "site")}
 
 
 def rewrite(page: str, r: random.Random, plain: bool = False) -> str | None:
@@ -344,12 +350,29 @@ def rewrite(page: str, r: random.Random, plain: bool = False) -> str | None:
     return f'<html><body data-label="0">{pre}{main}{post}</body></html>'
 
 
+def paragraphs(page: str) -> str | None:
+    """An article made of a page's paragraph text: blocks outside menus, notices and
+    the like, with few links, that are long or end like a sentence (else all blocks)."""
+    every = blocks(page)
+    own = [b for b in every if b.links < 0.5 and _LAYOUT.isdisjoint(b.path)]
+    some = [b for b in own if len(b.text) >= 80 or b.text[-1] in ".!?…"] or own or every
+    if not some:
+        return None
+    return "<article>" + "".join(f"<p>{html.escape(b.text)}</p>" for b in some) + "</article>"
+
+
 def train(pages: list[str], sequences: int = TRAIN_SEQUENCES, seed: int = 11) -> Labeller:
+    """A labeller fitted on the pages with text in an article or main element; where
+    there are none, on layouts round the pages' paragraph text (or, if the pages
+    have no text at all, round ``PHRASES``)."""
     r = random.Random(seed)
     found, labels = [], []
-    usable = [p for p in pages if _ARTICLE.search(p)]
+    usable = [p for p in pages if (m := _ARTICLE.search(p)) and blocks(m[2])]
+    share = 0.2 if usable else -1.0                                     # of pages whose own layout is known
+    if pages and not usable:
+        usable = [a for p in pages if (a := paragraphs(p))] or [f"<article><p>{'. '.join(PHRASES)}.</p></article>"]
     for k in range(sequences if usable else 0):
-        page = blocks(rewrite(usable[k % len(usable)], r, plain=r.random() < 0.2))
+        page = blocks(rewrite(usable[k % len(usable)], r, plain=r.random() < share))
         if page:
             found.append(page)
             labels.append([int(bool(b.label)) for b in page])
@@ -365,8 +388,12 @@ def extract(pages: list[str | None], model: Labeller, cache: dict) -> list[str]:
 def op10_html(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     keyed = pages.filter(F.col("html").isNotNull()).select(F.xxhash64("page_id", "url").alias("h"), "html")
-    # the bounded sample: hashes first, then the pages below the last of them
-    hashes = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    # the bounded sample, of pages with an article where there are any: hashes first, then the pages below the last of them
+    with_article = keyed.filter(F.col("html").rlike(r"(?i)<(?:article|main)[\s/>]"))
+    for keyed in (with_article, keyed):
+        hashes = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
+        if hashes:
+            break
     chosen = keyed.filter(F.col("h") <= hashes[-1]).dropDuplicates(["h"]).collect() if hashes else []
     rows = sorted(chosen, key=lambda r: r["h"])
     weights = {k: v.astype(np.float32) for k, v in train([r["html"] for r in rows]).w.items()}

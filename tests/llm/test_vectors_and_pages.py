@@ -116,6 +116,32 @@ def test_held_out_layouts(model, pages):
     assert np.mean(right) > 0.99
 
 
+def _div_page(k):
+    r = random.Random(k)
+    words = "river stone garden market winter silver window letter harbour evening village bridge".split()
+    body = [" ".join(r.choices(words, k=r.randint(15, 40))) + "." for _ in range(r.randint(2, 6))]
+    menu = "".join(f"<li><a href=#>{r.choice(words)}</a></li>" for _ in range(5))
+    page = (f'<html><head><title>t</title></head><body><div class="menu"><ul>{menu}</ul></div><div class="content">'
+            + "".join(f"<p>{p}</p>" for p in body) + '</div><div class="sidebar"><a href=#>Read more</a></div><div class="footer">All rights reserved</div></body></html>')
+    return page, "\n".join(body)
+
+
+def test_pages_of_divs_only(spark):
+    made = [_div_page(k) for k in range(60)]
+    df = spark.createDataFrame([(k, "u", page) for k, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.op10_html(df).collect()}
+    assert np.mean([got[k] == text for k, (_, text) in enumerate(made)]) > 0.95
+
+
+def test_sample_is_drawn_among_pages_with_an_article(spark, monkeypatch):
+    seen = []
+    real = html_extract.train
+    monkeypatch.setattr(html_extract, "train", lambda pages: seen.extend(pages) or real(pages, 2))
+    rows = [(k, "u", _div_page(k)[0]) for k in range(400)] + [(1000 + k, "u", PAGE) for k in range(3)]
+    html_extract.op10_html(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert seen == [PAGE] * 3
+
+
 def test_gradients(pages):
     m = html_extract.Labeller()
     r = np.random.default_rng(1)
