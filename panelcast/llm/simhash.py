@@ -70,14 +70,14 @@ def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, tie): fp is the fingerprint as a signed long, tie a hash of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((simhash(t.as_py(), words, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "tie"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    return src.mapInArrow(run, "doc_id long, fp long, tie long")
 
 
 # --- plan -----------------------------------------------------------------------
@@ -283,22 +283,26 @@ def find_links(classes: DataFrame, plan: list[tuple[int, int]], distance: int) -
     return dealt.mapInPandas(link, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): one row per input row."""
-    rows = cut(fingerprints(docs, words))
+def component_roots(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint of ``rows`` (doc_id, fp); root
+    is the component's smallest fingerprint."""
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     n = classes.count()
     sample = np.array([r["fp"] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()],
                       np.int64).view(np.uint64)
     if n < 2:
-        roots = classes.select("fp", F.col("first").alias("component_id"))
-    else:
-        links = find_links(classes, make_plan(sample, n, distance), distance)
-        comp = connected_components(links).withColumnRenamed("node", "fp")
-        merged = cut(classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-        least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
-        roots = merged.join(least, "root").select("fp", "component_id")
-    return rows.join(roots, "fp").select("doc_id", "fp", "component_id")
+        return classes.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    links = find_links(classes, make_plan(sample, n, distance), distance)
+    comp = connected_components(links).withColumnRenamed("node", "fp")
+    merged = cut(classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
+    return merged.join(least, "root").select("fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id): one row per input row."""
+    rows = cut(fingerprints(docs, words).select("doc_id", "fp"))
+    return rows.join(component_roots(rows, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
@@ -307,13 +311,16 @@ def op9_simhash(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
 
 
 def stage_simhash(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id (of
-    rows that share it, the one with the smallest hash of its text, once).
-    Rows without a doc_id stay, all of them: nothing tells them apart."""
-    comp = simhash_components(docs.select("doc_id", "text"), words, distance)
-    stay = (comp.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep_id")).distinct())
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].alias("d_id"))
-    known = rows.filter(F.col("d_id").isNotNull()).join(stay, F.col("d_id") == F.col("keep_id"), "left_semi")
-    known = known.groupBy("d_id").agg(F.min_by("d", F.xxhash64("d.text")).alias("d")).select("d")
-    kept = known.unionByName(rows.filter(F.col("d_id").isNull()).select("d"))
+    """One row of each group stays: the one with the smallest doc_id (null only if
+    the group has no other), of these the one with the smallest hash of its text,
+    of equal texts the one with the smallest hash of its columns."""
+    rows = cut(fingerprints(docs.select("doc_id", "text"), words))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    stay = rows.groupBy("fp").agg(F.min(key).alias("key")).join(component_roots(rows, distance), "fp")
+    stay = stay.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("keep_id"), F.col("key.tie").alias("keep_tie"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), docs["doc_id"].cast("long").alias("d_id"),
+                      F.xxhash64(docs["text"]).alias("d_tie"))
+    own = own.join(stay, F.col("d_id").eqNullSafe(F.col("keep_id")) & (F.col("d_tie") == F.col("keep_tie")), "left_semi")
+    whole = F.xxhash64(*[F.col(f"d.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    kept = own.groupBy("d_id", "d_tie").agg(F.min_by("d", whole).alias("d"))
     return kept.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

@@ -355,6 +355,16 @@ def test_links_survive_every_plan_and_split(spark, monkeypatch, block):
         assert sum(t + 1 for _, t in plan) >= 5                              # pigeonhole holds
 
 
+def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    r = random.Random(3)
+    a, b, c, d = (" ".join(r.choices("river stone garden market winter silver window letter harbour evening".split(), k=60)) for _ in range(4))
+    rows = [(3, a), (5, a.upper()), (5, b), (None, c), (None, c.upper()), (None, c), (None, a), (7, d), (7, d), (None, d.upper())]
+    for k in range(3):                                             # whichever text of id 5 has the smaller hash
+        docs = spark.createDataFrame([(i, f"{t} {k}", "x") for i, t in rows], "doc_id long, text string, lang string")
+        got = [(r.doc_id, r.text.lower()) for r in simhash.stage_simhash(docs).collect()]
+        assert sorted(got, key=str) == sorted([(i, f"{t} {k}") for i, t in ((3, a), (5, b), (None, c), (7, d))], key=str)
+
+
 # --- pipeline --------------------------------------------------------------------------
 
 def test_pipeline_stages_against_brute_force(spark):
