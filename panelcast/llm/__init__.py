@@ -1,4 +1,4 @@
-"""Training-data operators: the ten numbered operators, their queries and SQL.
+"""Training-data operators: the numbered operators, their queries and SQL.
 
 Nothing outside this subpackage (and ``corpus_pipeline.py``) imports it. Its
 functions are shipped to Python workers by value, so workers need no copy of

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprint, html_extract, langid, line_dedup, mixing, packing, sentencepiece_nbest, simhash, token_counts
+from . import (ann, conversation_trie, fingerprint, html_extract, langid, lexical, line_dedup, mixing, packing, sentencepiece_nbest,
+               simhash, square_packing, token_counts)
 from .common import table
 
 
@@ -48,12 +49,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.op10_html(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.op11_conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return square_packing.op12_square_packing(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.op13_lexical(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_fingerprints, op2_sentencepiece, op3_ann, op4_packing, op5_line_dedup, op6_mixing, op7_langid, op8_token_counts,
-    op9_simhash, op10_html)}
+    op9_simhash, op10_html, op11_conversation_trie, op12_square_packing, op13_lexical)}
 
 #: DuckDB SQL where SQL can express the query.
 ORACLE = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op11_conversation_trie": conversation_trie.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }
