@@ -1,9 +1,14 @@
-"""Leaf blocks of an HTML page: text, tag path, share of link text."""
+"""Leaf blocks of an HTML page: text, tag path, share of link text.
+
+A block's path is one object that the blocks below the same element share and that links
+to its parent, so the memory of a page grows with its size, however deep it nests."""
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements that end and begin a block of text (fixed values of the language).
@@ -29,35 +34,73 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"'<]+|\"[^\"<]*\"|'[^'<]*')*)|[^>]*?)(?:>|\Z)",
     re.S | re.I)
-_ATTR = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in (*SKIP_TAGS, "noscript")}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+#: Buckets of hashed path features.
+PATH_DIM = 1024
+
+
+def bucket(token: str, size: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
+
+
+class Path:
+    """An open element and those around it: ``bits`` are the hashed features of all of
+    them, ``size`` their number, ``label`` the nearest label (made training pages only)."""
+
+    __slots__ = ("parent", "own", "bits", "size", "label")
+
+    def __init__(self, parent: Path | None, own: tuple[str, ...], label: int | None = None):
+        self.parent, self.own = parent, own
+        self.size = len(own) + (parent.size if parent else 0)
+        self.bits = parent.bits if parent else 0
+        for t in own:
+            self.bits |= 1 << bucket(t, PATH_DIM)
+        self.label = label if label is not None else parent.label if parent else None
+
+    def __contains__(self, token: str) -> bool:
+        at: Path | None = self
+        while at is not None:
+            if token in at.own:
+                return True
+            at = at.parent
+        return False
+
+
+NOWHERE = Path(None, ())
+
+
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]      # features of the open elements, outermost first
+    path: Path
     last: str                  # the innermost block element
     links: float               # share of the text that is inside links
-    label: int | None          # of made training pages only
 
+    @property
+    def label(self) -> int | None:
+        return self.path.label
 
-def path_tokens(tag: str, attrs: str) -> tuple[tuple[str, ...], int | None]:
-    """Tag, and words and word beginnings of class, id and role."""
+
+def path_tokens(tag: str, attrs: str, marker: str | None = None) -> tuple[tuple[str, ...], int | None]:
+    """Tag, and words and word beginnings of class, id and role. ``marker`` is the
+    attribute that carries the labels of a made page; a page's own attributes never do."""
     out, label = ["t:" + tag], None
     if "=" in attrs:
         for name, a, b, c in _ATTR.findall(attrs):
-            value = a or b or c
-            if name.lower() == "data-label":
+            name, value = name.lower(), a or b or c
+            if marker is not None and name == marker:
                 label = int(value)
-                continue
-            for word in _NAME.findall(value):
-                word = word.lower()
-                out += ["c:" + word, "p:" + word[:4]]
+            elif name in ("class", "id", "role"):
+                for word in _NAME.findall(value):
+                    word = word.lower()
+                    out += ["c:" + word, "p:" + word[:4]]
     return tuple(out), label
 
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(page: str | None, marker: str | None = None) -> list[Block]:
     """Leaf blocks in page order. Comments, scripts, styles and closed templates,
     svg, iframe and canvas elements are no text (``/>`` closes one of the latter, and
     an end tag that is missing skips nothing); <br> is white space; character
@@ -65,7 +108,8 @@ def blocks(page: str | None) -> list[Block]:
     ends at the first tag or text that can't stand in it."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], int | None]] = []
+    stack: list[tuple[str, Path]] = []
+    opened: Counter[str] = Counter()                           # tags in the stack
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
     head_at = 0                                                # where the head stands in the stack, if it is open
@@ -75,17 +119,23 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words:
-            path = tuple(t for _, own, _ in stack for t in own)
-            label = next((lab for _, _, lab in reversed(stack) if lab is not None), None)
-            out.append(Block(words, path, stack[-1][0] if stack else "", min(1.0, linked / len(words)), label))
+            last, path = stack[-1] if stack else ("", NOWHERE)
+            if not opened["head"]:
+                out.append(Block(words, path, last, min(1.0, linked / len(words))))
         text.clear()
         linked = 0
 
+    def shut(first: int):
+        """Close the elements from ``first`` on."""
+        for t, _ in stack[first:]:
+            opened[t] -= 1
+        del stack[first:]
+
     def put(raw: str):
         nonlocal linked
         if raw:
             if stack and stack[-1][0] == "head" and not raw.isspace():
-                stack.pop()
+                shut(len(stack) - 1)
             raw = html.unescape(raw) if "&" in raw else raw
             text.append(raw)
             if in_link:
@@ -113,13 +163,13 @@ def blocks(page: str | None) -> list[Block]:
                 continue
         if in_head and not m[2] and tag not in HEAD_TAGS:
             flush()
-            del stack[head_at:]
+            shut(head_at)
         if tag == "head" and not m[2]:
             if in_head:
                 continue
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                shut(len(stack) - 1)
             head_at = len(stack)
         if tag == "a":
             in_link = 0 if m[2] else 1
@@ -128,25 +178,34 @@ def blocks(page: str | None) -> list[Block]:
         elif tag in BLOCK_TAGS:
             flush()
             if m[2]:
-                if any(t == tag for t, _, _ in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                if opened[tag]:
+                    k = len(stack) - 1
+                    while stack[k][0] != tag:
+                        k -= 1
+                    shut(k)
                     in_link = 0
                 continue
             if stack and stack[-1][0] == "p":
-                stack.pop()                                    # a paragraph ends where another block begins
+                shut(len(stack) - 1)                           # a paragraph ends where another block begins
             if tag in CLOSES:
-                shut, fence = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in fence:
-                        break
-                    if stack[k][0] in shut.split():
-                        del stack[k:]
-                        break
+                ended, fence = CLOSES[tag]
+                if any(opened[t] for t in ended.split()):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in fence:
+                            break
+                        if stack[k][0] in ended.split():
+                            shut(k)
+                            break
             if tag == "body":
-                stack = [s for s in stack if s[0] == "html"]
+                roots = [p for t, p in stack if t == "html"]
+                shut(0)
+                for p in roots:
+                    stack.append(("html", Path(stack[-1][1] if stack else None, p.own, p.label)))
+                    opened["html"] += 1
             if tag not in VOID_TAGS:
-                stack.append((tag, *path_tokens(tag, m[4] or "")))
+                own, label = path_tokens(tag, m[4] or "", marker)
+                stack.append((tag, Path(stack[-1][1] if stack else None, own, label)))
+                opened[tag] += 1
     put(page[at:])
     flush()
-    return [b for b in out if "t:head" not in b.path]
+    return out

@@ -7,7 +7,8 @@ bidirectional LSTM in numpy runs over the whole sequence and labels every block
 as main text or not, so each decision sees the whole page.
 
 The labeller is fitted on a bounded sample of ``TRAIN_PAGES`` pages (smallest
-hashes of their ids) among those with an article or main element. Their labels are weak: what lies in the article element
+hashes of their ids, at most ``TRAIN_CHARS`` characters of each) among those with an
+article or main element; a made page gives at most ``TRAIN_BLOCKS`` blocks. Their labels are weak: what lies in the article element
 is main text, what lies in navigation, header, footer, aside, form and
 the like isn't. So that the labeller learns more layouts than the sample has,
 each sampled page is rewritten several times, with another container around the
@@ -22,7 +23,9 @@ Defined cases
 * null and empty pages, and pages without main text: text "", n_chars 0;
 * white space (also no-break spaces) becomes one space, blocks are joined by \\n;
 * repeated rows repeat their result; equal pages get equal text;
-* very long pages are read whole: one page's blocks are in memory;
+* very long and deeply nested pages are read whole: one page's blocks are in memory
+  (about 5 KB a block), other pages are read ``BATCH_BYTES`` and ``BATCH_BLOCKS`` at a time;
+* attributes of a page never act as labels, whatever their names;
 * an empty table returns an empty table; other columns are never looked at.
 """
 
@@ -31,21 +34,23 @@ from __future__ import annotations
 import html
 import random
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import PATH_DIM, Block, blocks, bucket
 
 #: Bound of the sample; sequences made of it; passes of the fit.
 TRAIN_PAGES, TRAIN_SEQUENCES, PASSES = 192, 500, 12
-PATH_DIM, WORD_DIM, HIDDEN = 1024, 64, 16
-#: Blocks labelled at a time.
-BATCH_PAGES = 64
+#: Characters of a sampled page and blocks of a made one that the fit reads.
+TRAIN_CHARS, TRAIN_BLOCKS = 200_000, 400
+WORD_DIM, HIDDEN = 64, 16
+#: Pages and (padded) blocks labelled at a time, bytes of pages parsed at a time.
+BATCH_PAGES, BATCH_BLOCKS, BATCH_BYTES = 64, 1 << 13, 1 << 22
 
 #: Layout pieces that aren't main text: (element, classes to choose from).
 CHROME = [
@@ -76,10 +81,6 @@ PHRASES = ["Subscribe to our newsletter", "We use cookies", "Accept all cookies"
 
 # --- features ----------------------------------------------------------------------
 
-def _bucket(token: str, size: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % size
-
-
 def word_vector(text: str, cache: dict) -> np.ndarray:
     """Hashed words, log counts scaled to length 1."""
     words = text.lower().split()
@@ -89,7 +90,7 @@ def word_vector(text: str, cache: dict) -> np.ndarray:
         if k is None:
             if len(cache) > 400_000:
                 cache.clear()
-            k = cache[w] = _bucket(w, WORD_DIM)
+            k = cache[w] = bucket(w, WORD_DIM)
         at.append(k)
     v = np.log1p(np.bincount(at, minlength=WORD_DIM).astype(np.float32))
     return v / max(1e-6, float(np.sqrt(v @ v)))
@@ -104,12 +105,16 @@ def numbers(page: list[Block]) -> np.ndarray:
     out[:, 2] = np.arange(n) / max(1, n - 1)
     out[:, 3] = size / max(1.0, float(size.max(initial=1)))
     out[:, 4] = [b.text[-1:] in ".!?…" for b in page]
-    out[:, 5] = [len(b.path) / 40 for b in page]
+    out[:, 5] = [b.path.size / 40 for b in page]
     return out
 
 
-def path_ids(b: Block) -> list[int]:
-    return sorted({_bucket(t, PATH_DIM) for t in (*b.path, "l:" + b.last)})
+def path_bits(b: Block) -> int:
+    return b.path.bits | 1 << bucket("l:" + b.last, PATH_DIM)
+
+
+def path_ids(bits: int) -> list[int]:
+    return [k for k in range(PATH_DIM) if bits >> k & 1]
 
 
 # --- the labeller --------------------------------------------------------------------
@@ -202,10 +207,10 @@ class Labeller:
         return loss, g
 
     def fit(self, pages: list[list[Block]], labels: list[list[int]], passes: int = PASSES, seed: int = 3) -> "Labeller":
-        """Adam over batches of pages with like lengths."""
-        pages, labels = zip(*[(p[:400], y[:400]) for p, y in zip(pages, labels) if p])   # fitting only
+        """Adam over batches of pages with like lengths, ``TRAIN_BLOCKS`` blocks of each."""
+        pages, labels = zip(*[(p[:TRAIN_BLOCKS], y[:TRAIN_BLOCKS]) for p, y in zip(pages, labels) if p])
         cache: dict = {}
-        feats = [(np.column_stack((np.stack([word_vector(b.text, cache) for b in p]), numbers(p))), [path_ids(b) for b in p])
+        feats = [(np.column_stack((np.stack([word_vector(b.text, cache) for b in p]), numbers(p))), [path_ids(path_bits(b)) for b in p])
                  for p in pages]
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         batches = [order[k:k + 16] for k in range(0, len(order), 16)]
@@ -239,36 +244,35 @@ class Labeller:
         out = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         known, words = cache.setdefault("paths", {}), cache.setdefault("words", {})
-        for lo in range(0, len(order), BATCH_PAGES):
-            own = order[lo:lo + BATCH_PAGES]
-            t_max = len(pages[own[-1]])
+        groups: list[list[int]] = []
+        for k in order:
             # sequences of one batch have like lengths; a very long page is a batch of its own
-            if t_max > 4 * len(pages[own[0]]) + 64 and len(own) > 1:
-                groups = [[k] for k in own]
-            else:
-                groups = [own]
-            for some in groups:
-                t_max = max(len(pages[k]) for k in some)
-                x, mask = np.zeros((len(some), t_max, WORD_DIM + 6)), np.zeros((len(some), t_max))
-                proj = {"f": np.zeros((len(some), t_max, 4 * HIDDEN)), "b": np.zeros((len(some), t_max, 4 * HIDDEN)),
-                        "out": np.zeros((len(some), t_max, 1))}
-                for j, k in enumerate(some):
-                    page = pages[k]
-                    n = len(page)
-                    x[j, :n, :WORD_DIM] = [word_vector(b.text, words) for b in page]
-                    x[j, :n, WORD_DIM:] = numbers(page)
-                    mask[j, :n] = 1
-                    for t, b in enumerate(page):
-                        key = (b.path, b.last)
-                        if key not in known:
-                            if len(known) > 100_000:
-                                known.clear()
-                            ids = path_ids(b)
-                            known[key] = tuple(self.w["path_" + s][ids].sum(0) for s in ("f", "b", "out"))
-                        proj["f"][j, t], proj["b"][j, t], proj["out"][j, t] = known[key]
-                logit = self.logits(proj, x, mask)
-                for j, k in enumerate(some):
-                    out[k] = logit[j, :len(pages[k])] > 0
+            if (not groups or len(groups[-1]) == BATCH_PAGES or (len(groups[-1]) + 1) * len(pages[k]) > BATCH_BLOCKS
+                    or len(pages[k]) > 4 * len(pages[groups[-1][0]]) + 64):
+                groups.append([])
+            groups[-1].append(k)
+        for some in groups:
+            t_max = len(pages[some[-1]])
+            x, mask = np.zeros((len(some), t_max, WORD_DIM + 6)), np.zeros((len(some), t_max))
+            proj = {"f": np.zeros((len(some), t_max, 4 * HIDDEN)), "b": np.zeros((len(some), t_max, 4 * HIDDEN)),
+                    "out": np.zeros((len(some), t_max, 1))}
+            for j, k in enumerate(some):
+                page = pages[k]
+                n = len(page)
+                x[j, :n, :WORD_DIM] = [word_vector(b.text, words) for b in page]
+                x[j, :n, WORD_DIM:] = numbers(page)
+                mask[j, :n] = 1
+                for t, b in enumerate(page):
+                    key = path_bits(b)
+                    if key not in known:
+                        if len(known) > 100_000:
+                            known.clear()
+                        ids = path_ids(key)
+                        known[key] = tuple(self.w["path_" + s][ids].sum(0) for s in ("f", "b", "out"))
+                    proj["f"][j, t], proj["b"][j, t], proj["out"][j, t] = known[key]
+            logit = self.logits(proj, x, mask)
+            for j, k in enumerate(some):
+                out[k] = logit[j, :len(pages[k])] > 0
         return out
 
 
@@ -280,16 +284,21 @@ _LAYOUT = {f"t:{t}" for t in ("nav", "header", "footer", "aside", "form", "butto
     f"c:{w}" for _, classes in CHROME for c in classes for w in c.split("-") if len(w) > 1 and w not in ("main", "right", "column", "page", "list", "top", "site")}
 
 
-def rewrite(page: str, r: random.Random, plain: bool = False) -> str | None:
-    """A page with known labels (data-label) made of a sampled page's article:
-    the page itself (plain) or another layout around the same text."""
+def rewrite(page: str, r: random.Random, plain: bool = False) -> tuple[str, str] | None:
+    """A page with known labels made of a sampled page's article, and the name of the attribute
+    that carries them, which the page itself doesn't use: the page as it is (plain)
+    or another layout around the same text."""
     m = _ARTICLE.search(page)
     if not m:
         return None
+    low, nth = page.lower(), 0
+    while f"data-label-{nth}" in low:
+        nth += 1
+    mark = f"data-label-{nth}"
     before, inner, after = page[:m.start()], m[2], page[m.end():]
     if plain:
-        return f'<div data-label="0">{before}</div><article data-label="1">{inner}</article><div data-label="0">{after}</div>'.replace(
-            "<body", "<body data-label=\"0\"")
+        return f'<div {mark}="0">{before}</div><article {mark}="1">{inner}</article><div {mark}="0">{after}</div>'.replace(
+            "<body", f"<body {mark}=\"0\""), mark
     words = re.sub(r"<[^>]*>|&\S*", " ", inner).split()[:400] or ["text"]
     some = lambda a, b: " ".join(r.choices(words, k=r.randint(a, b)))
 
@@ -310,7 +319,7 @@ def rewrite(page: str, r: random.Random, plain: bool = False) -> str | None:
             body = f"<label>{say()}</label><input><button>{say()}</button>"
         else:
             body = say() if r.random() < 0.5 else some(5, 50)
-        return f'<{tag}{attr} data-label="0">{body}</{tag}>'
+        return f'<{tag}{attr} {mark}="0">{body}</{tag}>'
 
     def chrome(lo: int, hi: int) -> str:
         out = ""
@@ -339,22 +348,33 @@ def rewrite(page: str, r: random.Random, plain: bool = False) -> str | None:
     if r.random() < 0.25:
         body.append(r.choice([piece("form", ""), piece("nav", ""), piece("footer", ""), piece("div", "comments"), piece("section", "comments")]))
     tag, cls, outer = r.choice(MAIN)
-    main = f'<{tag}{f" {r.choice(["class", "id"])}={cls}" if cls else ""} data-label="1">{"".join(body)}</{tag}>'
+    main = f'<{tag}{f" {r.choice(["class", "id"])}={cls}" if cls else ""} {mark}="1">{"".join(body)}</{tag}>'
     pre, post = chrome(0, 4), chrome(0, 5)
     if outer:
         o_tag, o_cls = outer
         split = r.random() < 0.5
-        main = f'<{o_tag}{f" class={o_cls}" if o_cls else ""} data-label="0">{chrome(0, 1) if split else ""}{main}{chrome(0, 2)}</{o_tag}>'
+        main = f'<{o_tag}{f" class={o_cls}" if o_cls else ""} {mark}="0">{chrome(0, 1) if split else ""}{main}{chrome(0, 2)}</{o_tag}>'
     if r.random() < 0.3:
-        pre = f'<div class="{r.choice(["wrapper", "container", "page", "site"])}" data-label="0">' + pre
-    return f'<html><body data-label="0">{pre}{main}{post}</body></html>'
+        pre = f'<div class="{r.choice(["wrapper", "container", "page", "site"])}" {mark}="0">' + pre
+    return f'<html><body {mark}="0">{pre}{main}{post}</body></html>', mark
 
 
 def paragraphs(page: str) -> str | None:
     """An article made of a page's paragraph text: blocks outside menus, notices and
     the like, with few links, that are long or end like a sentence (else all blocks)."""
     every = blocks(page)
-    own = [b for b in every if b.links < 0.5 and _LAYOUT.isdisjoint(b.path)]
+    below: dict = {None: False}                                         # paths under a layout name
+
+    def in_layout(path) -> bool:
+        chain = []
+        while path not in below:
+            chain.append(path)
+            path = path.parent
+        for p in reversed(chain):
+            below[p] = below[p.parent] or not _LAYOUT.isdisjoint(p.own)
+        return below[chain[0] if chain else path]
+
+    own = [b for b in every if b.links < 0.5 and not in_layout(b.path)]
     some = [b for b in own if len(b.text) >= 80 or b.text[-1] in ".!?…"] or own or every
     if not some:
         return None
@@ -372,7 +392,7 @@ def train(pages: list[str], sequences: int = TRAIN_SEQUENCES, seed: int = 11) ->
     if pages and not usable:
         usable = [a for p in pages if (a := paragraphs(p))] or [f"<article><p>{'. '.join(PHRASES)}.</p></article>"]
     for k in range(sequences if usable else 0):
-        page = blocks(rewrite(usable[k % len(usable)], r, plain=r.random() < share))
+        page = blocks(*rewrite(usable[k % len(usable)], r, plain=r.random() < share))
         if page:
             found.append(page)
             labels.append([int(bool(b.label)) for b in page])
@@ -394,7 +414,8 @@ def op10_html(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
         hashes = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(sample).collect()]
         if hashes:
             break
-    chosen = keyed.filter(F.col("h") <= hashes[-1]).dropDuplicates(["h"]).collect() if hashes else []
+    chosen = (keyed.filter(F.col("h") <= hashes[-1]).groupBy("h")          # pages that share an id: by their text
+              .agg(F.min_by(F.substring("html", 1, TRAIN_CHARS), F.xxhash64("html")).alias("html")).collect() if hashes else [])
     rows = sorted(chosen, key=lambda r: r["h"])
     weights = {k: v.astype(np.float32) for k, v in train([r["html"] for r in rows]).w.items()}
 
@@ -403,8 +424,12 @@ def op10_html(pages: DataFrame, sample: int = TRAIN_PAGES) -> DataFrame:
         model.w = weights
         cache: dict = {}
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False))
+            hi = 0
+            while hi < b.num_rows:
+                lo, done = hi, int(size[hi - 1]) if hi else 0
+                hi = max(lo + 1, int(np.searchsorted(size, done + BATCH_BYTES, side="right")))
+                part = b.slice(lo, hi - lo)
                 text = extract(part.column(2).to_pylist(), model, cache)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()),
                                                   pa.array([len(t) for t in text], pa.int64())],

@@ -1,9 +1,13 @@
 """Approximate nearest neighbours and HTML extraction."""
 
 import random
+import time
+import tracemalloc
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelcast.llm import ann, html_blocks, html_extract
 from panelcast.llm.common import table
@@ -20,9 +24,9 @@ def _exact(rows, k=20):
     return out
 
 
-def test_recall_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LEAST", 120)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 700)
+@pytest.mark.parametrize("block_rows", [ann.BLOCK_ROWS, 700])
+def test_recall_against_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block_rows)
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
     want, got = _exact(rows), {}
@@ -55,6 +59,43 @@ def test_odd_vectors(spark):
     assert ann.op3_ann(df.limit(0)).count() == 0
 
 
+def test_lists_of_other_pivots_are_not_read():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 16))
+    p = np.column_stack((x[:ann.PIVOTS], np.zeros(ann.PIVOTS)))
+    block = ann.Block(x, p, float(np.sqrt((x ** 2).sum(1).max())))
+    own = block.prefix(x[:1], 0.0)[0]
+    places = np.full((len(x), ann.PIVOTS), ann.PREFIX)
+    np.put_along_axis(places, block.prefix(x, 1.0), np.arange(ann.PREFIX)[None], 1)
+    asked = np.full(ann.PIVOTS, ann.PREFIX)
+    asked[own] = np.arange(ann.PREFIX)
+    distance = np.abs(places - asked).sum(1)                       # footrule over all pivots
+    want = block.candidates(own, 300)
+    assert sorted(distance[want]) == sorted(distance)[:300]
+    for q in set(range(ann.PIVOTS)) - set(own.tolist()):           # spoil every other list
+        block.rows[block.first[q]:block.first[q + 1]] = -1
+    assert (block.candidates(own, 300) == want).all()
+
+
+def test_repeated_ids_and_equal_vectors_lose_nothing(spark):
+    r = random.Random(5)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(6)]
+    rows = [(k, vec()) for k in range(100, 165)] + [(20, vec()) for _ in range(25)] + [(40, [1.0] * 6)] * 30
+    rows += [(k, [0.5] * 6) for k in range(1000, 1100)] + [(60, vec())] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in ann.op3_ann(df).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], -x.score, x.vec_id))
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        want = []
+        for v in {v for i, v in once if i == q}:
+            near = sorted((-float((np.array(v) * np.array(w)).sum()), i) for i, w in once if i != q)[:20]
+            want += [(k + 1, s, i) for k, (s, i) in enumerate(near)]
+        assert len(got[q]) == len(want) and all(
+            a[0] == b[0] and a[2] == b[2] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(sorted(got[q]), sorted(want)))
+
+
 PAGE = ('<html><head><title>t</title></head><body><header><h2>Site name</h2><nav><a href=x>Home</a></nav></header><main><article><h1>Title</h1>'
         '<p>First &amp; foremost,<br>a paragraph\n of text.<!-- no --><script>x("</p>")</script><ul><li>one</li><li>two</li></ul>'
         '<div class="ad">Buy now</div><p>Last <b>bold</b>word.</article><section class="comments"><p>I like this text a lot.</p></section></main>'
@@ -110,7 +151,7 @@ def test_main_text_of_a_page(model):
 
 def test_held_out_layouts(model, pages):
     r = random.Random(99)
-    made = [html_blocks.blocks(html_extract.rewrite(p, r)) for p in pages[200:400]]
+    made = [html_blocks.blocks(*html_extract.rewrite(p, r)) for p in pages[200:400]]
     found = model.label(made, {})
     right = [(b.label == 1) == bool(f) for page, own in zip(made, found) for b, f in zip(page, own)]
     assert np.mean(right) > 0.99
@@ -161,6 +202,96 @@ def test_gradients(pages):
         assert abs((up - down) / 2e-5 - v[at]) < 1e-5, k
 
 
+@pytest.mark.parametrize("value", ["Price", "", "1", "0", "-3", "&amp;"])
+def test_labels_of_a_page_are_only_attributes(model, value):
+    page = PAGE.replace("<p>", f'<p data-label="{value}" data-label-0="{value}" data-id="content" DATA-LABEL-1={value or "x"}>')
+    assert html_extract.extract([page], model, {}) == [TEXT]
+    assert {b.label for b in html_blocks.blocks(page)} == {None}
+    assert not any("c:content" in b.path for b in html_blocks.blocks(page))
+    for plain in (True, False):
+        made, mark = html_extract.rewrite(page, random.Random(1), plain)
+        assert mark == "data-label-2" and {b.label for b in html_blocks.blocks(made, mark)} == {0, 1}
+    html_extract.train([page], 3)
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    def measure(n):
+        tracemalloc.start()
+        t = time.process_time()
+        page = html_blocks.blocks('<div class="wrap">a' * n + "</ul></td><td>" * 50)
+        t = time.process_time() - t
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(page) == n and page[-1].path.size == 3 * n and "c:wrap" in page[-1].path
+        return t, size
+    measure(100)
+    (t1, m1), (t2, m2) = measure(5_000), measure(20_000)
+    assert t2 < 10 * t1 + 0.5 and m2 < 5 * m1 and m2 < 50 << 20
+
+
+def test_a_page_of_100000_blocks(model):
+    page = "<html><body><nav><a href=x>Home</a></nav><article>" + "<p>First of some text.</p>" * 100_000 + "</article></body></html>"
+    assert html_extract.extract([page], model, {})[0].count("First of some text.") == 100_000
+
+
+def test_batches_change_nothing(model, pages, monkeypatch):
+    want = html_extract.extract(pages[:40], model, {})
+    monkeypatch.setattr(html_extract, "BATCH_BLOCKS", 30)
+    assert html_extract.extract(pages[:40], model, {}) == want
+
+
+class _Article(HTMLParser):
+    """Text of the article element by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.hidden, self.text, self.out = 0, 0, [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        line = " ".join("".join(self.text).split())
+        self.out += [line] if line else []
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_blocks.BLOCK_TAGS:
+            self.end()
+        self.depth += tag == "article"
+        self.hidden += tag in ("script", "style")
+        if tag == "br":
+            self.text.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_blocks.BLOCK_TAGS:
+            self.end()
+        self.depth -= tag == "article"
+        self.hidden -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.depth and not self.hidden:
+            self.text.append(data)
+
+
+def test_query_equals_another_parser_on_all_pages(spark):
+    real = table(spark, "/root/testdata/sf0.1", "pages")
+    got = {r.page_id: r.text for r in html_extract.op10_html(real).collect()}
+    wrong = [r.page_id for r in real.collect() if got[r.page_id] != "\n".join(_Article(r.html).out)]
+    assert len(got) == real.count() and not wrong
+
+
+def test_sample_of_repeated_ids_is_repeatable(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda pages: seen.append(pages) or html_extract.Labeller())
+    rows = [(1, "u", PAGE.replace("First", f"Text {k}")) for k in range(50)] + [(2, "u", PAGE + "x" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for some in (df, df.repartition(7), df.orderBy(F.rand(1))):
+        html_extract.op10_html(some)
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 2
+    assert max(map(len, seen[0])) == html_extract.TRAIN_CHARS
+
+
 def test_query_on_odd_pages(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, None, "", "y"), (3, "v", "<p>" * 3000 + "deep", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
