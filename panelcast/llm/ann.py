@@ -1,20 +1,22 @@
 """Operator 3: approximate nearest neighbours by a permutation index.
 
-Every vector is represented by the order in which ``PIVOTS`` sampled pivots lie
-near it. Rows are dealt by hash to blocks of about ``BLOCK_ROWS``; each block has
-a pivot inverted file: list p posts the position that pivot p takes for each of
-the block's rows. A query's chunk goes to every block (a stated query set
-against all rows, in blocks); there the lists of the pivots are read one after
-the other, adding up the footrule distance |position in row - position in
-query|, the rows with the smallest sums are candidates (``FRACTION`` of the block,
-at least ``LEAST``), and the candidates are ranked again by the exact measure.
+Every vector is represented by its ``PREFIX`` nearest of ``PIVOTS`` sampled pivots, in
+order. Rows are dealt by hash to blocks of about ``BLOCK_ROWS``; each block has a pivot
+inverted file: the list of a pivot posts the rows that have it in their prefix, with the
+place it takes there. A query's chunk goes to every block (a stated query set against all
+rows, in blocks), where a query reads the lists of the pivots in its own prefix and no
+others: about PREFIX^2 / PIVOTS entries a row. The lists add up to the footrule
+distance of the prefixes (a pivot that only one of the two has counts as if it stood
+behind the other's prefix). The rows with the smallest distances, ``SHARE`` of the block
+and ``SPARE`` times the results asked for, are ranked again by the exact measure.
 
 The measure is the inner product in double precision. Lengths are evened out for
 the pivots only, by one more component sqrt(M^2 - |x|^2) with the largest length
 M, so that the nearest pivots are those with the largest products.
 
 Rows with the same vector form one class, which is indexed once with its
-smallest ids (a result never needs more than ``k`` + 1 of them). The pivots are
+smallest ids (a result never needs more than ``k`` + 1 of them). A query keeps as many
+more than ``k`` as there are vectors under its own id, which are left out last. The pivots are
 a sample of ``PIVOTS`` classes; everything else covers all rows.
 
 Defined cases
@@ -24,6 +26,8 @@ Defined cases
   vectors whose number of components isn't the most frequent one (ties: larger);
 * ties go to the smaller vec_id; rows that carry the query's own vec_id are no
   candidates of it; fewer candidates than k: all of them;
+* rows that repeat vec_id and vector are one candidate and one query; an id with several
+  vectors is a candidate (and a query) with each of them and may take several ranks;
 * an empty table returns an empty table; other columns are never looked at.
 """
 
@@ -39,9 +43,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: The index's sample; rows of a block; queries of a chunk.
-PIVOTS, BLOCK_ROWS, CHUNK_ROWS = 128, 16_384, 2_048
-#: Candidates that are ranked again in a block: a share of its rows, and at least so many.
-FRACTION, LEAST = 0.1, 800
+PIVOTS, BLOCK_ROWS, CHUNK_ROWS = 512, 16_384, 8_192
+#: Pivots that a row is posted under and a query reads the lists of.
+PREFIX = 48
+#: Candidates that are ranked again in a block: a share of its rows and a multiple of k.
+SHARE, SPARE = 0.1, 10
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -60,7 +66,8 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     key = F.struct(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"))
     keyed = rows.withColumn("key", F.concat(F.hex(key["a"]), F.lit("-"), F.hex(key["b"])))
     nth = Window.partitionBy("key").orderBy("vec_id")
-    few = keyed.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k + 1)   # limited before the shuffle
+    once = keyed.dropDuplicates(["key", "vec_id"])
+    few = once.withColumn("nth", F.row_number().over(nth)).filter(F.col("nth") <= k + 1)    # limited before the shuffle
     return few.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
@@ -69,25 +76,27 @@ class Block:
 
     def __init__(self, x: np.ndarray, pivots: np.ndarray, top: float):
         self.x, self.pivots, self.top = x, pivots, top
-        self.lists = np.ascontiguousarray(self.positions(x, 1.0).T)     # list p: position of pivot p in each row
-
-    def positions(self, x: np.ndarray, lift: float) -> np.ndarray:
-        """Place of each pivot in the order of nearness to the vectors."""
+        self.length = min(PREFIX, len(pivots))
+        near = self.prefix(x, 1.0).ravel()
+        by = np.argsort(near, kind="stable")
+        self.rows, self.places = (by // self.length).astype(np.int32), (by % self.length).astype(np.int32)
+        self.first = np.searchsorted(near[by], np.arange(len(pivots) + 1))           # list p: first[p] .. first[p + 1]
+
+    def prefix(self, x: np.ndarray, lift: float) -> np.ndarray:
+        """The nearest pivots of each vector, nearest first."""
         rest = np.sqrt(np.maximum(self.top ** 2 - (x ** 2).sum(1), 0)) * lift
         near = np.column_stack((x, rest)) @ self.pivots.T
-        return np.argsort(np.argsort(-near, axis=1, kind="stable"), axis=1, kind="stable").astype(np.int16)
+        return np.argsort(-near, axis=1, kind="stable")[:, :self.length]
 
-    def candidates(self, places: np.ndarray, m: int) -> np.ndarray:
-        """The m rows with the smallest footrule distance to an order of pivots."""
-        if m >= self.x.shape[0]:
-            return np.arange(self.x.shape[0])
-        total = np.zeros(self.x.shape[0], np.int16)                     # 128 pivots: at most 8192
-        gap = np.empty_like(total)
-        for posted, place in zip(self.lists, places):
-            np.subtract(posted, place, out=gap)
-            np.abs(gap, out=gap)
-            total += gap
-        return np.argpartition(total, m)[:m]
+    def candidates(self, own: np.ndarray, m: int) -> np.ndarray:
+        """The m rows with the smallest footrule distance to a prefix. Against two prefixes
+        with no common pivot, one at places a and b takes 2 (length - max(a, b)) off the distance."""
+        if m >= len(self.x):
+            return np.arange(len(self.x))
+        lists = [slice(self.first[p], self.first[p + 1]) for p in own]
+        rows = np.concatenate([self.rows[s] for s in lists])
+        nearer = np.concatenate([self.length - np.maximum(self.places[s], a) for a, s in enumerate(lists)])
+        return np.argpartition(-np.bincount(rows, nearer, len(self.x)), m - 1)[:m]
 
 
 def search(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
@@ -105,40 +114,41 @@ def search(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     pivots = np.column_stack((p, np.sqrt(np.maximum(top ** 2 - (p ** 2).sum(1), 0))))
     key = F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64("v", F.lit(1))))
     asking = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), key.alias("key")).distinct()
-    q = cut(asking.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    vectors = asking.groupBy("query_id").agg(F.count(F.lit(1)).alias("own"))
+    q = cut(asking.join(vectors, "query_id").groupBy("key").agg((F.max("own") + k).alias("keep")))
     n_blocks, n_chunks = -(-n // BLOCK_ROWS), max(1, -(-q.count() // CHUNK_ROWS))
     deal = F.xxhash64("key", F.lit(7))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     index = cls.select(F.pmod(deal, F.lit(n_blocks)).cast("int").alias("block"), each(n_chunks).alias("chunk"),
-                       F.lit(False).alias("asks"), "key", "v", "ids")
-    ask = (q.select("key").join(cls, "key")
+                       F.lit(None).cast("long").alias("keep"), "key", "v", "ids")
+    ask = (q.join(cls, "key")
            .select(each(n_blocks).alias("block"), F.pmod(deal, F.lit(n_chunks)).cast("int").alias("chunk"),
-                   F.lit(True).alias("asks"), "key", "v", "ids"))
+                   "keep", "key", "v", F.lit(None).cast("array<long>").alias("ids")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy()
+        asks = pdf["keep"].notna().to_numpy()
         have, qs = pdf[~asks], pdf[asks]
-        names = ["key", "score", "vec_id"]
+        names = ["key", "keep", "score", "vec_id"]
         if not len(have) or not len(qs):
-            return pd.DataFrame({"key": pd.Series([], dtype=str), "score": pd.Series([], dtype=float),
-                                 "vec_id": pd.Series([], dtype="int64")})
+            return pd.DataFrame({"key": pd.Series([], dtype=str), "keep": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype=float), "vec_id": pd.Series([], dtype="int64")})
         have = have.assign(first=[i[0] for i in have["ids"]]).sort_values("first")          # ties: smaller id first
         block = Block(np.stack(have["v"].to_numpy()), pivots, top)
         ids = have["ids"].to_numpy()
-        m = max(LEAST, int(np.ceil(FRACTION * len(have))))
+        m = SPARE * k + int(np.ceil(SHARE * len(have)))
         x = np.stack(qs["v"].to_numpy())
         result = []
-        for name, vec, places in zip(qs["key"], x, block.positions(x, 0.0)):
-            cand = np.sort(block.candidates(places, m))
+        for name, keep, vec, own in zip(qs["key"], qs["keep"].astype(int), x, block.prefix(x, 0.0)):
+            cand = np.sort(block.candidates(own, m))
             score = (block.x[cand] * vec).sum(1)
-            best = np.argsort(-score, kind="stable")[:k + 1]
-            found = sorted((-score[b], i) for b in best for i in ids[cand[b]])[:k + 1]
-            result.extend((name, -s, i) for s, i in found)
+            best = np.argsort(-score, kind="stable")[:keep]
+            found = sorted((-score[b], i) for b in best for i in ids[cand[b]])[:keep]
+            result.extend((name, keep, -s, i) for s, i in found)
         return pd.DataFrame(result, columns=names)
 
-    found = index.unionByName(ask).groupBy("block", "chunk").applyInPandas(run, "key string, score double, vec_id long")
+    found = index.unionByName(ask).groupBy("block", "chunk").applyInPandas(run, "key string, keep long, score double, vec_id long")
     merge = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("nth", F.row_number().over(merge)).filter(F.col("nth") <= k + 1)
+    best = found.withColumn("nth", F.row_number().over(merge)).filter(F.col("nth") <= F.col("keep"))
     best = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))
     full = asking.join(best, "key").select("query_id", "near")
     mine = F.slice(F.filter("near", lambda r: r["vec_id"] != F.col("query_id")), 1, k)
