@@ -20,11 +20,11 @@ Defined cases
   score) - 10, written as its UTF-8 bytes; so is a literal space mark U+2581, and
   every text decodes to itself;
 * equal scores: the segmentation whose last piece is longer, and so on to the
-  front, comes first;
+  front, comes first, within words and over a whole text;
 * runs of spaces are lattices of their own, and so are newlines;
-* very long words are searched one by one, without a table; their n best are found
-  position by position from the end, with n parent links a position and no heap, so
-  that memory and time grow with the word's length (same order, same ties);
+* very long words take the same search; their Viterbi scores are found one by one. A way
+  of the search is a link to the way it goes on from, and a position is left at most n
+  times, so that memory and time grow with the word's length;
 * repeated rows repeat their result; an empty table returns an empty table; other
   columns are never looked at (the pipeline stage keeps them).
 """
@@ -49,7 +49,8 @@ from .common import worker_cache
 #: Public SentencePiece model (pieces, scores, byte pieces).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, LITERAL = "▁", "\ud800"          # the second stands for a literal U+2581 in a text
-#: Words above this length go through the plain search; characters encoded at a time.
+#: Words above this length have their Viterbi scores found one by one, not in the batch's table;
+#: characters encoded at a time.
 LONG_WORD, CHUNK = 96, 1 << 21
 NEG = -1e18
 
@@ -60,6 +61,7 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int]):
         self.piece = {p: (i, s) for p, s, i in pieces}
         self.byte_ids = np.array(byte_ids)
+        self.known: dict = {}                                # n best of words met before
         regular = [s for _, s, _ in pieces if s > -1e8]
         self.unknown = min(regular) - 10.0 if regular else -10.0
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
@@ -130,28 +132,69 @@ class Vocabulary:
             elif start == end - 1:
                 yield start, self.unknown, self.char_ids(word[start])
 
-    def forward(self, word: str) -> list[float]:
-        best = [0.0] + [NEG] * len(word)
+    def forward(self, word: str) -> array:
+        best = array("d", [0.0]) + array("d", [NEG]) * len(word)
         for end in range(1, len(word) + 1):
             best[end] = max(best[s] + sc for s, sc, _ in self.edges_to(word, end))
         return best
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a word: (score, ids), best first."""
+    def nbest(self, word: str, n: int) -> list[tuple[float, list[int], list[int]]]:
+        """The n best segmentations of a word, best first: (score, ids, starts of the
+        pieces from the last one). A-star from the end with the forward scores as exact
+        heuristic. A way is a node: where its last piece starts, its score and the node it goes
+        on from; no more than n ways leave a position, since a worse one can't be among the n best."""
         best = self.forward(word)
-        heap = [(-best[-1], (), len(word), 0.0, ())]
-        out = []
+        at, done = array("i", [len(word)]), array("d", [0.0])
+        up, depth, jump = array("i", [0]), array("i", [0]), array("i", [0])      # jump: an older node (skew-binary links)
+
+        def lift(x: int, level: int) -> int:
+            while depth[x] > level:
+                x = jump[x] if depth[jump[x]] >= level else up[x]
+            return x
+
+        class Way:
+            __slots__ = ("total", "node")
+
+            def __init__(self, total: float, node: int):
+                self.total, self.node = total, node
+
+            def __lt__(self, other: "Way") -> bool:
+                """Higher totals first; of equal ones that whose pieces, from the end, are longer where they first differ."""
+                if self.total != other.total:
+                    return self.total > other.total
+                level = min(depth[self.node], depth[other.node])
+                x, y = lift(self.node, level), lift(other.node, level)
+                if x == y:
+                    return depth[self.node] < depth[other.node]
+                while up[x] != up[y]:
+                    x, y = (jump[x], jump[y]) if jump[x] != jump[y] else (up[x], up[y])
+                return at[x] < at[y]
+
+        left = array("i", [0]) * (len(word) + 1)
+        heap, out = [Way(best[-1], 0)], []
         while heap and len(out) < n:
-            _, starts, at, done, tail = heapq.heappop(heap)
-            if at == 0:
-                ids = []
-                while tail:
-                    ids.extend(tail[0])
-                    tail = tail[1]
-                out.append((done, ids))
+            k = heapq.heappop(heap).node
+            here = at[k]
+            if left[here] == n:
                 continue
-            for s, sc, ids in self.edges_to(word, at):
-                heapq.heappush(heap, (-(best[s] + sc + done), (*starts, s), s, sc + done, (ids, tail)))
+            left[here] += 1
+            if here == 0:
+                cuts = []
+                score = done[k]
+                while k:
+                    cuts.append(at[k])
+                    k = up[k]
+                out.append((score, self.ids_between(word, [*cuts, len(word)]), cuts[::-1]))
+                continue
+            far = jump[k]
+            older = jump[far] if depth[k] - depth[far] == depth[far] - depth[jump[far]] else k
+            for s, sc, _ in self.edges_to(word, here):
+                at.append(s)
+                done.append(sc + done[k])
+                up.append(k)
+                depth.append(depth[k] + 1)
+                jump.append(older)
+                heapq.heappush(heap, Way(best[s] + sc + done[k], len(at) - 1))
         return out
 
     def best_long(self, word: str) -> tuple[float, float, list[int]]:
@@ -185,63 +228,6 @@ class Vocabulary:
                 ids.extend(self.char_ids(word[s:e]))
         return ids
 
-    def nbest_long(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """``nbest`` of a word of any length. For each position the n best ways from
-        the end are kept; a worse way can't be part of the word's n best. A way is a
-        node: where its last piece starts, its score and the node it goes on from."""
-        at, done = array("i", [len(word)]), array("d", [0.0])
-        up, depth, jump = array("i", [0]), array("i", [0]), array("i", [0])      # jump: an older node (skew-binary links)
-        lo, hi = array("i", [0]) * (len(word) + 1), array("i", [0]) * (len(word) + 1)
-        hi[-1] = 1
-
-        def lift(x: int, level: int) -> int:
-            while depth[x] > level:
-                x = jump[x] if depth[jump[x]] >= level else up[x]
-            return x
-
-        def first(p: int, q: int) -> bool:
-            """Whether node p's pieces, from the end, are the longer ones where they first differ from q's."""
-            level = min(depth[p], depth[q])
-            x, y = lift(p, level), lift(q, level)
-            if x == y:
-                return depth[p] < depth[q]
-            while up[x] != up[y]:
-                x, y = (jump[x], jump[y]) if jump[x] != jump[y] else (up[x], up[y])
-            return at[x] < at[y]
-
-        for s in range(len(word) - 1, -1, -1):
-            heads = []                                       # of each edge: score of its piece, next node, last node
-            for e in range(s + 1, min(len(word), s + self.longest) + 1):
-                hit = self.piece.get(word[s:e])
-                if hit or e == s + 1:
-                    heads.append((hit[1] if hit else self.unknown, lo[e], hi[e]))
-            lo[s] = len(at)
-            for _ in range(n):
-                best = -1
-                for k, (sc, node, end) in enumerate(heads):
-                    if node < end and (best < 0 or sc + done[node] > top
-                                       or sc + done[node] == top and first(node, heads[best][1])):
-                        best, top = k, sc + done[node]
-                if best < 0:
-                    break
-                sc, k, end = heads[best]
-                heads[best] = (sc, k + 1, end)
-                far = jump[k]
-                at.append(s)
-                done.append(top)
-                up.append(k)
-                depth.append(depth[k] + 1)
-                jump.append(jump[far] if depth[k] - depth[far] == depth[far] - depth[jump[far]] else k)
-            hi[s] = len(at)
-        out = []
-        for node in range(lo[0], hi[0]):
-            cuts, k = [], node
-            while k:
-                cuts.append(at[k])
-                k = up[k]
-            out.append((done[node], self.ids_between(word, [*cuts, len(word)])))
-        return out
-
     # --- all distinct words of a batch ----------------------------------------------
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -373,11 +359,34 @@ def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     return values[index], start
 
 
-def combine(lists: list[list[tuple[float, list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best ways to take one segmentation from each list, best first."""
+def combine(lists: list[list[tuple[float, list[int], list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best ways to take one segmentation from each word's list, best first; equal scores
+    by the pieces from the end of the last word."""
+    ranks = [{c: k for k, c in enumerate(sorted(range(len(own)), key=lambda c: own[c][2]))} for own in lists]
     ways = [(sum(own[c][0] for own, c in zip(lists, pick)), pick)
             for pick in itertools.product(*[range(len(own)) for own in lists])]
-    return sorted(ways, key=lambda w: (-w[0], w[1]))[:n]
+    return sorted(ways, key=lambda w: (-w[0], [r[c] for r, c in zip(ranks[::-1], w[1][::-1])]))[:n]
+
+
+def nearest_words(costs: np.ndarray, n: int, ways) -> list[int]:
+    """The n words (ascending) whose second-best way costs least. Among equal costs a word whose
+    second way has the longer pieces (``ways(word)``) comes first, the last such word before
+    the others; then words whose best way has them, the first one first: so the texts that change
+    one of the words come in the order of equal scores."""
+    costs = np.where(np.isfinite(costs), costs, np.inf)
+    if len(costs) > n:
+        bound = np.partition(costs, n - 1)[n - 1]
+    else:
+        bound = costs.max(initial=-np.inf)
+    near = np.flatnonzero((costs <= bound) & np.isfinite(costs))
+    if len(near) <= n:
+        return near.tolist()
+
+    def place(w: int):
+        own = ways(w)
+        return (costs[w], 0, -w) if own[1][2] < own[0][2] else (costs[w], 1, w)
+
+    return sorted(sorted(near.tolist(), key=place)[:n])
 
 
 def decode(ids, vocab: Vocabulary) -> str:
@@ -392,7 +401,7 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
     words, flat, off = text_words(texts)
     ids, word_off, best, gap = vocab.encode_words(words)
     all_ids, starts = gather(ids, word_off, flat)
-    cache = worker_cache().setdefault("nbest", {})
+    cache = vocab.known
     if len(cache) > 100_000:
         cache.clear()
     for k in range(len(texts)):
@@ -402,18 +411,17 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
         first = starts[lo]
         alternatives = []
         if n > 1 and hi > lo:
-            costs = gap[mine]
-            near = np.argsort(costs, kind="stable")[:n - 1]
-            near = np.sort(near[np.isfinite(costs[near])]).tolist()
-            lists = []
-            for w in near:
+            held: dict = {}                                                  # long words of this text only
+
+            def ways(w: int, mine=mine, held=held):
                 word = words[mine[w]]
-                if len(word) > LONG_WORD:
-                    lists.append(vocab.nbest_long(word, n))
-                    continue
-                if (word, n) not in cache:
-                    cache[word, n] = vocab.nbest(word, n)
-                lists.append(cache[word, n])
+                known = cache if len(word) <= LONG_WORD else held
+                if (word, n) not in known:
+                    known[word, n] = vocab.nbest(word, n)
+                return known[word, n]
+
+            near = nearest_words(gap[mine], n - 1, ways)
+            lists = [ways(w) for w in near]
             base = sum(own[0][0] for own in lists)
             for value, pick in combine(lists, n)[1:]:
                 alternatives.append((score + value - base,
@@ -436,7 +444,6 @@ def vocabulary(model: tuple, name: str) -> Vocabulary:
     cache = worker_cache()
     if cache.get("vocabulary", (None,))[0] != name:
         cache["vocabulary"] = (name, Vocabulary(*model))
-        cache.pop("nbest", None)
     return cache["vocabulary"][1]
 
 

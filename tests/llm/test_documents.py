@@ -1,6 +1,7 @@
 """Operators over documents: odd rows, brute force, round trips."""
 
 import collections
+import itertools
 import hashlib
 import random
 
@@ -86,26 +87,63 @@ def vocab():
     return sentencepiece_nbest.Vocabulary(*sentencepiece_nbest.read_model())
 
 
+#: Every word has ties.
+FEW = sentencepiece_nbest.Vocabulary([("a", -1.0, 0), ("aa", -2.0, 1), ("aaa", -3.0, 2), ("ab", -2.0, 3), ("b", -1.0, 4), ("▁", -1.0, 261),
+                                      ("▁a", -2.0, 262), ("▁b", -4.0, 263), ("ba", -3.0, 264)], list(range(5, 261)))
+
+
+def _ways(v, word):
+    """All segmentations of a word, best first: (score, ids, starts from the end)."""
+    ways = []
+
+    def walk(at, score, ids, starts):
+        if at == len(word):
+            ways.append((score, ids, starts[::-1]))
+        for end in range(at + 1, len(word) + 1):
+            for start, s, own in v.edges_to(word, end):
+                if start == at:
+                    walk(end, score + s, [*ids, *own], [*starts, start])
+
+    walk(0, 0.0, [], [])
+    return sorted(ways, key=lambda w: (-round(w[0], 9), w[2]))
+
+
 def test_word_tables_equal_the_search_and_brute_force(vocab):
     r = random.Random(5)
-    for _ in range(150):
-        word = "".join(r.choice("▁theraionéq\n") for _ in range(r.randint(1, 9)))
-        ways = []
-
-        def walk(at, score, ids):
-            if at == len(word):
-                ways.append((score, ids))
-            for end in range(at + 1, len(word) + 1):
-                for start, s, own in vocab.edges_to(word, end):
-                    if start == at:
-                        walk(end, score + s, [*ids, *own])
-
-        walk(0, 0.0, [])
-        best = vocab.nbest(word, 4)
-        assert np.allclose([b[0] for b in best], sorted((w[0] for w in ways), reverse=True)[:4])
-        ids, off, score, gap = vocab.encode_words([word, "zz"])
-        assert ids[:off[1]].tolist() == best[0][1] and score[0] == best[0][0]
-        assert gap[0] == (best[0][0] - best[1][0] if len(best) > 1 else np.inf)
+    for k in range(300):
+        v, letters = (FEW, "aab") if k % 2 else (vocab, "▁theraionéq\n")
+        word = "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+        ways, best = _ways(v, word), v.nbest(word, 4)
+        assert np.allclose([b[0] for b in best], [w[0] for w in ways[:4]])
+        assert [b[1:] for b in best] == [w[1:] for w in ways[:4]]
+        ids, off, score, gap = v.encode_words([word, "zz"])
+        assert score[0] == pytest.approx(best[0][0])
+        if v is vocab:
+            assert ids[:off[1]].tolist() == best[0][1]
+        assert gap[0] == pytest.approx(best[0][0] - best[1][0] if len(best) > 1 else np.inf)
+
+
+@pytest.mark.parametrize("n", [2, 3, 5])
+def test_documents_n_best_against_brute_force(vocab, n):
+    r = random.Random(n)
+    for k in range(120):
+        v, letters = (FEW, "aab") if k % 3 else (vocab, "thera")
+        text = " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 4)))
+        whole = []
+        for pick in itertools.product(*[_ways(v, "▁" + w) for w in text.split(" ")]):
+            length = np.cumsum([0] + [len(w) + 1 for w in text.split(" ")])
+            whole.append((-round(sum(p[0] for p in pick), 9), [int(o) + s for p, o in list(zip(pick, length))[::-1] for s in p[2]],
+                          [i for p in pick for i in p[1]]))
+        want = sorted(whole)[:n]
+        (ids, score, more), = sentencepiece_nbest.encode([text], v, n)
+        got = [(score, ids.tolist())]
+        for s, edits in more:
+            full = ids.tolist()
+            for a, b, new in sorted(edits, reverse=True):
+                full[a:b] = new
+            got.append((s, full))
+        assert [round(-s, 9) for s, _ in got] == [w[0] for w in want]
+        assert [i for _, i in got][1:] == [w[2] for w in want][1:] and got[0][1] == want[0][2], (text, got, want)
 
 
 def test_every_segmentation_decodes_to_the_text(vocab):
@@ -119,15 +157,14 @@ def test_every_segmentation_decodes_to_the_text(vocab):
             assert sentencepiece_nbest.decode(full, vocab) == text and s <= score
 
 
-def test_long_words_equal_the_search(vocab):
+@pytest.mark.parametrize("limit", [0, 3])
+def test_long_words_equal_the_table(vocab, monkeypatch, limit):
     r = random.Random(6)
-    few = sentencepiece_nbest.Vocabulary([("a", -1.0, 0), ("aa", -2.0, 1), ("aaa", -3.0, 2), ("ab", -2.0, 3), ("b", -1.0, 4)], list(range(5, 261)))
-    for k in range(300):
-        v, letters = (few, "aab") if k % 2 else (vocab, "theraionx")        # the first has ties everywhere
-        word = "".join(r.choice(letters) for _ in range(r.randint(1, 14)))
-        assert [ids for _, ids in v.nbest_long(word, 4)] == [ids for _, ids in v.nbest(word, 4)], word
-        assert v.nbest_long(word, 1)[0][1] == v.nbest(word, 1)[0][1]
-        assert v.best_long(word)[0] == pytest.approx(v.nbest(word, 1)[0][0])
+    texts = [" ".join("".join(r.choice("theraionx") for _ in range(r.randint(1, 14))) for _ in range(5)) for _ in range(40)]
+    want = [(i.tolist(), s, m) for i, s, m in sentencepiece_nbest.encode(texts, vocab, 4)]
+    monkeypatch.setattr(sentencepiece_nbest, "LONG_WORD", limit)
+    vocab.known.clear()
+    assert [(i.tolist(), s, m) for i, s, m in sentencepiece_nbest.encode(texts, vocab, 4)] == want
 
 
 def test_unspaced_text_of_200000_characters(vocab):
