@@ -8,9 +8,10 @@
    that the candidates and probes estimated on a bounded sample are fewest.
 4. Probe: each class is posted under its value in every partition and probes the
    values within the partition's threshold. Postings of one value are sorted
-   next to each other and compared in numpy blocks; a value with more than
-   ``BLOCK`` postings is split into block pairs, so no task holds more than two
-   blocks. Every pair is verified on the whole fingerprint. A task returns only
+   next to each other and compared in numpy blocks. A value with more than
+   ``BLOCK`` postings is dealt again by a second pigeonhole over the bits outside the
+   partition: of distance + 1 groups of these, two near prints agree in one. What is still
+   crowded is split into block pairs, so no task holds more than two blocks. Every pair is verified on the whole fingerprint. A task returns only
    links that join what its earlier links had not joined.
 5. Connected components over the links.
 
@@ -44,6 +45,8 @@ from .graph import connected_components
 BLOCK = 4096
 #: Distinct fingerprints from which the plan is estimated.
 SAMPLE = 2048
+#: A component with more than this part of all classes is large.
+HOT = 10_000
 #: Shingles hashed at a time.
 SLICE = 1 << 16
 
@@ -207,6 +210,12 @@ def _small_groups(fp: np.ndarray, own: np.ndarray, start: np.ndarray, stop: np.n
             yield int(fp[k]), int(fp[k + d])
 
 
+def _rest_masks(mask: int, groups: int) -> list[int]:
+    """The bits outside ``mask`` dealt to groups, as signed longs."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return np.array([sum(1 << b for b in rest[k::groups]) for k in range(groups)], np.uint64).view(np.int64).tolist()
+
+
 def find_links(classes: DataFrame, plan: list[tuple[int, int]], distance: int) -> DataFrame:
     """(a, b): links between fingerprints (signed longs) that connect what lies
     within ``distance`` bits."""
@@ -229,21 +238,32 @@ def find_links(classes: DataFrame, plan: list[tuple[int, int]], distance: int) -
 
     post = classes.select("fp").mapInPandas(probes, "part int, value long, fp long, own boolean")
     crowded = cut(post.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
-                  .select("part", "value", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+                  .select("part", "value", F.lit(True).alias("many")))
+    post = post.withColumn("sub", F.lit(0)).withColumn("rest", F.lit(0).cast("long"))
+    blocks = None
     if crowded.limit(1).count():
+        groups = F.array(*[F.array(*[F.lit(m) for m in _rest_masks(mask, distance + 1)]) for mask, _ in plan])
+        post = post.join(crowded, ["part", "value"], "left")
+        again = (post.filter("many").select("part", "value", "fp", "own", F.posexplode(F.element_at(groups, F.col("part") + 1)).alias("sub", "m"))
+                 .withColumn("rest", F.col("fp").bitwiseAND(F.col("m"))).drop("m").withColumn("sub", F.col("sub") + 1))
+        keys = ["part", "value", "sub", "rest"]
+        blocks = cut(again.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+                     .select(*keys, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+        post = post.filter("many is null").select(*keys, "fp", "own").unionByName(again.select(*keys, "fp", "own"))
+    if blocks is not None and blocks.limit(1).count():
         side = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        post = post.join(crowded, ["part", "value"], "left").withColumn("side", F.coalesce(side, F.lit(0)))
+        post = post.join(blocks, ["part", "value", "sub", "rest"], "left").withColumn("side", F.coalesce(side, F.lit(0)))
         other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0)))
                           .otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
         post = post.withColumn("other", other).withColumn("lo", F.least("side", "other")).withColumn(
-            "hi", F.greatest("side", "other")).select("part", "value", "lo", "hi", "side", "fp", "own")
+            "hi", F.greatest("side", "other")).select("part", "value", "sub", "rest", "lo", "hi", "side", "fp", "own")
     else:
-        post = post.select("part", "value", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "fp", "own")
+        post = post.select("part", "value", "sub", "rest", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "fp", "own")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         joiner = _Joiner()
         held: list[pd.DataFrame] = []
-        keys = ["part", "value", "lo", "hi"]
+        keys = ["part", "value", "sub", "rest", "lo", "hi"]
 
         def work(pdf: pd.DataFrame) -> pd.DataFrame:
             k = pdf[keys].to_numpy()
@@ -279,7 +299,8 @@ def find_links(classes: DataFrame, plan: list[tuple[int, int]], distance: int) -
         if held and len(held[0]):
             yield work(held[0])
 
-    dealt = post.repartition(n_parts, "part", "value", "lo", "hi").sortWithinPartitions("part", "value", "lo", "hi", "fp")
+    keys = ["part", "value", "sub", "rest", "lo", "hi"]
+    dealt = post.repartition(n_parts, *keys).sortWithinPartitions(*keys, "fp")
     return dealt.mapInPandas(link, "a long, b long")
 
 
@@ -294,9 +315,16 @@ def component_roots(rows: DataFrame, distance: int = 4) -> DataFrame:
         return classes.select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
     links = find_links(classes, make_plan(sample, n, distance), distance)
     comp = connected_components(links).withColumnRenamed("node", "fp")
-    merged = cut(classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = merged.groupBy("root").agg(F.min("first").alias("component_id"))
-    return merged.join(least, "root").select("fp", "root", "component_id")
+    merged = cut(classes.join(comp, "fp", "left"))
+    alone = merged.filter("root is null").select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    linked = merged.filter("root is not null")
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    # at most HOT components hold more than a HOT-th of the classes each: their roots are broadcast, the others' joined
+    large = F.broadcast(least.filter(F.col("n") * HOT > n).select("root", "component_id"))
+    small = least.filter(F.col("n") * HOT <= n).select("root", "component_id")
+    cols = ["fp", "root", "component_id"]
+    return (alone.unionByName(linked.join(large, "root").select(*cols))
+            .unionByName(linked.join(large, "root", "left_anti").join(small, "root").select(*cols)))
 
 
 def simhash_components(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
