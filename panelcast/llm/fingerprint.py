@@ -29,6 +29,7 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -208,13 +209,26 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     each range followed by the first row of the next (own = false)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("tie", F.xxhash64("text"))
-    # bounds: at most ``parts`` numbers from one pass over the ids
-    quantiles = [k / parts for k in range(1, parts)]
-    bounds = (d.agg(F.percentile_approx("doc_id", quantiles, 10_000).alias("b")).first()["b"] or []) if quantiles else []
-    bounds = sorted(set(bounds), reverse=True)
-    marks = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(marks, lambda b: b > F.col("doc_id"))))
-    d = d.withColumn("part", part.cast("int"))
+    # bounds: at most ``parts`` numbers from one pass over the ids; an id that takes several of them, and the
+    # rows without one, are dealt to as many ranges of the tie
+    quantiles = [k / parts for k in range(1, parts)] or [0.5]
+    seen = d.agg(F.percentile_approx("doc_id", quantiles, 10_000).alias("b"), F.count(F.lit(1)).alias("n"),
+                 F.count("doc_id").alias("ids")).first()
+    taken = Counter(seen["b"] if parts > 1 and seen["b"] else [])
+    bounds = sorted(taken, reverse=True)
+    more = [taken[b] if taken[b] > 1 else 0 for b in bounds]
+    more.append(parts * (seen["n"] - seen["ids"]) // max(1, seen["n"]))                # of the rows without an id
+    base = [k + sum(more[:k]) for k in range(len(more))]                               # ranges before the k-th
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<long>")
+    marks = longs(bounds)
+    at = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(F.size(F.filter(marks, lambda b: b > F.col("doc_id"))))
+    share = F.col("tie").cast("double") / F.lit(2.0 ** 64) + F.lit(0.5)
+    hot = F.when(F.col("doc_id").isNull(), F.lit(True)).otherwise(
+        (F.col("at") < len(bounds)) & F.coalesce(F.try_element_at(marks, F.col("at") + 1) == F.col("doc_id"), F.lit(False)))
+    extra = F.element_at(longs(more), F.col("at") + 1)
+    d = d.withColumn("at", at.cast("int"))
+    d = d.withColumn("part", (F.element_at(longs(base), F.col("at") + 1) + F.when(
+        hot & (extra > 0), 1 + F.least(F.floor(share * extra), extra - 1)).otherwise(0)).cast("int")).drop("at")
     order = F.struct(F.col("doc_id").isNull().alias("gone"), F.bitwise_not("doc_id").alias("o"), "tie")   # descending ids
     firsts = d.groupBy("part").agg(F.min(order).alias("m")).orderBy("part").collect()    # one row per range
     if not firsts:
