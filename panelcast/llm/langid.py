@@ -38,6 +38,8 @@ from .common import worker_cache
 
 #: Bound of the sample on which each language's automaton is fitted.
 TRAIN_DOCS, TRAIN_CHARS = 64, 40_000
+#: Parts of a language in which its smallest ids are sought first.
+SALTS = 16
 #: Symbols of a text that are parsed as one piece.
 BLOCK = 1024
 #: Symbols that are parsed at a time in one task.
@@ -57,8 +59,12 @@ def training_texts(docs: DataFrame, max_docs: int = TRAIN_DOCS) -> list[tuple[st
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
                         & ~held_out(F.col("doc_id")))
     known = known.withColumn("hash", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (known.groupBy("lang", "doc_id").agg(F.min("hash").alias("hash")).withColumn("nth", F.row_number().over(order))
+    by = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = (known.groupBy("lang", "doc_id").agg(F.min("hash").alias("hash"))
+              .withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS))))
+    few = (salted.withColumn("nth", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*by)))
+           .filter(F.col("nth") <= max_docs))                                        # at most SALTS x max_docs ids a language
+    chosen = (few.drop("salt").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*by)))
               .filter(F.col("nth") <= max_docs))                                     # max_docs ids per language
     rows = known.select("doc_id", "lang", "hash", "text").join(F.broadcast(chosen), ["doc_id", "lang", "hash"])
     rows = rows.groupBy("lang", "nth").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text"))   # fitting only
@@ -272,9 +278,8 @@ def op7_langid(docs: DataFrame) -> DataFrame:
 
 def stage_langid(docs: DataFrame) -> DataFrame:
     """The documents with a language: texts that are null or without a letter go;
-    a missing lang becomes the predicted one. Same columns."""
+    lang becomes the predicted one. Same columns."""
     texts = training_texts(docs)
     row = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("d"))
     out = predict_languages(row, texts).filter(F.col("lang_pred") != UNKNOWN)
-    return out.select(*[(F.coalesce(F.col("d.lang"), F.col("lang_pred")) if c == "lang" else F.col(f"d.`{c}`")).alias(c)
-                        for c in docs.columns])
+    return out.select(*[(F.col("lang_pred") if c == "lang" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
