@@ -30,6 +30,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ VOCABULARY = "word_bpe_49k.json"
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 #: Tokens never cross white space, nor the place between a Latin letter or digit and such a mark.
+_COMBINING = re.compile("[\u0300-\u036f]")
 _MARKED = re.compile("(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,;:!?])")
 
 
@@ -70,22 +72,28 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     texts, but each distinct word is looked up once. Texts that may hold a special token
     keep their letters' case."""
     tok, known = _tokenizer(path)
-    split = []
+    if len(known) > WORDS:
+        known.clear()
+    split, ids, new = [], [], set()
     for t in texts:
         t = _MARKED.sub(" ", t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        split.append((t.lower() if t.isascii() and "<|" not in t else t).split(" "))
-    words = set().union(*split)
-    new = words - known.keys()
-    if len(known) + len(new) > WORDS:
-        known.clear()
-        new = words
-    new = list(new)
+        if "<|" not in t and (t.isascii() or not _COMBINING.search(t)):
+            t = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")      # A-Z only
+        words = t.split(" ")
+        own = list(map(known.get, words))
+        gaps = [k for k, x in enumerate(own) if x is None]
+        new.update([words[k] for k in gaps])
+        split.append((words, gaps))
+        ids.append(own)
+    new = sorted(new)
     for at in range(0, len(new), 10_000):
         some = new[at:at + 10_000]
         for word, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False)):
-            ids = e.ids
-            known[word] = struct.pack(f"<{len(ids)}I", *ids)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+            known[word] = array("I", e.ids).tobytes()
+    for own, (words, gaps) in zip(ids, split):
+        for k in gaps:
+            own[k] = known[words[k]]
+    return [b"".join(own) for own in ids]
 
 
 def pieces_of(docs: DataFrame, length: int = LENGTH, end: int = END, path: str | None = None,
