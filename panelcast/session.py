@@ -67,6 +67,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it doesn't exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a table that ``shared_path`` named."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -13,8 +13,11 @@
   reading is scored together with a history table kept by time, so that alerts
   equal batch scoring of the same readings, duplicates and late ones included.
 
-All sinks and checkpoints live in the shared folder, so a restarted query
-resumes from its checkpoint.
+With a ``base`` folder (one that driver and executors share) T2 and T3 go on where
+they ended: checkpoint, history and results live below it, a second run reads only the
+files that came since, and a run that was broken off repeats its last micro-batch
+without scoring a reading twice (:mod:`.tables`). Without one a run is complete in
+itself and its working tables are removed.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_path, path_exists, shared_path
+from ..session import drop_path, shared_path
 from ..sources import proxy
 from ..sources.proxy import EVENTS_SCHEMA
 from ..spec import PanelSpec
+from .tables import EpochTable
 
 # Fixed trailing accumulation windows of the early-warning stream.
 WINDOWS = (("1h", "1 hour"), ("3h", "3 hours"), ("6h", "6 hours"))
@@ -101,27 +105,34 @@ def windows_from_buckets(buckets: DataFrame, spec: PanelSpec, closed_by: str | N
 
 
 def run_accumulation(stream: DataFrame, spec: PanelSpec, name: str, mode: str = "update",
-                     delay: str = "1 hour") -> DataFrame:
+                     delay: str = "1 hour", base: str | None = None) -> DataFrame:
     """T2 to its end (``availableNow``): the window totals of all readings so far
-    (``update``) or of the windows closed by the watermark (``append``)."""
+    (``update``) or of the windows closed by the watermark (``append``). With ``base``,
+    those of all runs over it (``update``)."""
     spark = stream.sparkSession
-    path, ckpt = shared_path(spark, name), shared_path(spark, name + "-ckpt")
+    path = base or shared_path(spark, name)
+    ckpt = f"{base}/checkpoint" if base else shared_path(spark, name + "-ckpt")
     buckets = accumulate_stream(stream, spec, delay)
     writer = buckets.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
+        if base:
+            raise ValueError("append mode has no table to go on with")
         q = writer.format("parquet").option("path", path).start()
-    else:
-        def write(batch: DataFrame, epoch: int) -> None:      # a re-run epoch replaces its own rows only
-            (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
-        q = writer.foreachBatch(write).start()
-    q.awaitTermination()
-    schema = buckets.schema if mode == "append" else buckets.schema.add("epoch", "integer")
-    table = spark.read.schema(schema).parquet(path)
-    if mode != "append":
-        return windows_from_buckets(latest_scores(table, [spec.station, "bucket_start"]), spec)
-    marks = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in p["eventTime"]]
-    return windows_from_buckets(table, spec, closed_by=max(marks, default="1970-01-01T00:00:00.000Z"))
+        q.awaitTermination()
+        marks = [p["eventTime"]["watermark"] for p in q.recentProgress if "watermark" in p["eventTime"]]
+        drop_path(spark, ckpt)
+        return windows_from_buckets(spark.read.schema(buckets.schema).parquet(path), spec,
+                                    closed_by=max(marks, default="1970-01-01T00:00:00.000Z"))
+    table = EpochTable(spark, f"{path}/buckets", [spec.station, "bucket_start"])
+
+    def write(batch: DataFrame, epoch: int) -> None:      # a re-run epoch replaces its own rows only
+        table.write(batch, epoch)
+        table.compact(before=epoch)
+
+    writer.foreachBatch(write).start().awaitTermination()
+    if not base:
+        drop_path(spark, ckpt)
+    return windows_from_buckets(table.latest(buckets.schema), spec)
 
 
 def run_to_table(query_df: DataFrame, name: str) -> str:
@@ -138,7 +149,7 @@ def run_to_table(query_df: DataFrame, name: str) -> str:
 # --- T3: micro-batches of readings scored as they arrive ----------------------------
 
 def scored_stream(stream: DataFrame, spec: PanelSpec, score: Callable[[DataFrame], DataFrame], name: str,
-                  delay: str = "1 hour") -> str:
+                  delay: str = "1 hour", base: str | None = None, out_keys: list[str] | None = None) -> EpochTable:
     """Every reading of the stream scored with the readings before it.
 
     Each micro-batch drops repeated readings (by station, TIMESTAMP and tie) and
@@ -146,34 +157,32 @@ def scored_stream(stream: DataFrame, spec: PanelSpec, score: Callable[[DataFrame
     batches before), joins the rest with the kept history and scores both with
     ``score``. Written are the new readings and, since a late reading changes the
     look-back of what follows it, every kept reading from the oldest new one on;
-    the newest epoch of a reading holds (:func:`latest_scores`).
+    the newest epoch of a reading holds (:meth:`EpochTable.latest`).
 
     History is kept by time, not by a number of rows: all readings from two grid
     steps before the watermark on (cross-station context), and below that the
     last ``max_backward`` of each station (lags and trailing sums need no more).
     Its size follows the readings of the delay, so does the work of a batch; the
     batch itself is bounded by the source's trigger limits. The rows' windows run
-    chunked, so a hot station is spread. Scores and history are written per epoch
-    (dynamic partition overwrite): a re-run epoch is idempotent. Returns the path
-    of the scores table."""
+    chunked, so a hot station is spread.
+
+    Scores and history are tables by epoch. The snapshot a batch starts from stays
+    until the batch after it has ended, so a batch that is run again finds what it
+    found before. With ``base`` they and the checkpoint stay, and the next run goes on
+    from them. Returns the table of scores, keyed by ``out_keys`` (default: the
+    reading's keys)."""
     spark = stream.sparkSession
-    out, hist, ckpt = shared_path(spark, name), shared_path(spark, name + "-history"), shared_path(spark, name + "-ckpt")
+    home = base or shared_path(spark, name)
     keys = [spec.station, spec.ts] + ([spec.tie] if spec.tie else [])
     cols = [*keys, spec.rain]
-
-    def write(df: DataFrame, path: str, epoch: int) -> None:
-        (df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("epoch").parquet(path))
+    out, hist = EpochTable(spark, f"{home}/scores", out_keys or keys), EpochTable(spark, f"{home}/history", keys)
 
     def batch(df: DataFrame, epoch: int) -> None:
         new = (df.select(*cols).filter(F.col(spec.station).isNotNull() & F.col(spec.ts).isNotNull()).dropDuplicates(keys))
-        last = None
-        if path_exists(spark, hist):                     # else: no batch before this one
-            kept = spark.read.parquet(hist).filter(F.col("epoch") < epoch)
-            last = kept.agg(F.max("epoch")).first()[0]
+        last = max(hist.epochs(before=epoch), default=None)         # else: no batch before this one
         both = new.withColumn("_new", F.lit(True))
         if last is not None:
-            prev = kept.filter(F.col("epoch") == last).select(*cols)
+            prev = hist.epoch(last).select(*cols)
             newest = prev.agg(F.max(spec.ts)).first()[0]
             fresh = new.filter(F.col(spec.ts) >= F.lit(newest) - F.expr(f"INTERVAL {delay}"))
             same = [fresh[k].eqNullSafe(prev[k]) for k in keys]
@@ -185,31 +194,37 @@ def scored_stream(stream: DataFrame, spec: PanelSpec, score: Callable[[DataFrame
             return
         if span["first"] is not None:
             scores = score(both.select(*cols))
-            write(scores.filter(F.col(spec.ts) >= F.lit(span["first"])), out, epoch)
-        cutoff = F.lit(span["newest"]) - F.expr(f"INTERVAL {delay}") - F.expr(f"INTERVAL {spec.resample}") * 2
+            out.write(scores.filter(F.col(spec.ts) >= F.lit(span["first"])), epoch)
+            out.compact(before=epoch)
+        cutoff = F.lit(span["newest"]) - F.expr(f"INTERVAL {delay}") - F.expr(f"INTERVAL {spec.resample or '15 minutes'}") * 2
         recent = F.col(spec.ts) >= cutoff
         order = [F.col(spec.ts).desc()] + ([F.col(spec.tie).desc()] if spec.tie else [])
         older = (both.filter(~recent).withColumn("_rn", F.row_number().over(Window.partitionBy(spec.station).orderBy(*order)))
                  .filter(F.col("_rn") <= spec.max_backward))          # limited before the shuffle
-        write(both.filter(recent).select(*cols).unionByName(older.select(*cols)), hist, epoch)
+        hist.write(both.filter(recent).select(*cols).unionByName(older.select(*cols)), epoch)
         if last is not None:
-            for e in [r["epoch"] for r in kept.select("epoch").distinct().collect() if r["epoch"] < last]:   # one or two
-                drop_path(spark, f"{hist}/epoch={e}")
+            hist.forget(before=last)
 
+    ckpt = f"{home}/checkpoint"
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    drop_path(spark, hist)
+    if not base:
+        hist.drop()
+        drop_path(spark, ckpt)
     return out
 
 
-def latest_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest epoch of every key; a reading has few epochs."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
-    return scores.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") == 1).drop("_rn", "epoch")
+def latest_scores(scores: EpochTable, score: Callable[[DataFrame], DataFrame], stream: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The newest score of every reading; an empty table has the columns of ``score``."""
+    if scores.epochs() or scores.compacted() >= 0:
+        return scores.latest()
+    cols = [spec.station, spec.ts, *([spec.tie] if spec.tie else []), spec.rain]
+    return scores.latest(score(scores.spark.createDataFrame([], stream.select(*cols).schema)).schema)
 
 
-def alert_stream(stream: DataFrame, spec: PanelSpec, fitted: DataFrame, name: str, delay: str = "1 hour") -> DataFrame:
+def alert_stream(stream: DataFrame, spec: PanelSpec, fitted: DataFrame, name: str, delay: str = "1 hour",
+                 base: str | None = None) -> DataFrame:
     """T3 with the persistence table: per reading and horizon the trailing
     total, the persistence class, P(rain) and the alert level, scored by the
     batch operators (with their fallback for a class unseen in training).
@@ -232,12 +247,12 @@ def alert_stream(stream: DataFrame, spec: PanelSpec, fitted: DataFrame, name: st
         return out.select(*keys, "horizon", F.element_at("trailing", F.col("horizon")).alias("trailing"), "persist_class", "p_rain",
                           alert_level("persist_class", "p_rain").alias("level"))
 
-    path = scored_stream(stream, spec, score, name, delay)
-    return latest_scores(spark.read.parquet(path), [*keys, "horizon"])
+    out = scored_stream(stream, spec, score, name, delay, base, [*keys, "horizon"])
+    return latest_scores(out, score, stream, spec)
 
 
 def model_alert_job(stream: DataFrame, spec: PanelSpec, model, medians: dict[str, float], name: str,
-                    delay: str = "1 hour") -> DataFrame:
+                    delay: str = "1 hour", base: str | None = None) -> DataFrame:
     """T3 with a fitted MLlib pipeline: the batch features (lags, rolling,
     trailing sums, calendar, cross-station) of every reading, its predicted
     class, P(rain) and alert level."""
@@ -251,8 +266,7 @@ def model_alert_job(stream: DataFrame, spec: PanelSpec, model, medians: dict[str
         return predict(model, medians, feature_frame(rows, spec)).select(
             *keys, "pred_class", "pred_prob", "p_rain", alert_level("pred_class", "p_rain").alias("level"))
 
-    path = scored_stream(stream, spec, score, name, delay)
-    return latest_scores(stream.sparkSession.read.parquet(path), keys)
+    return latest_scores(scored_stream(stream, spec, score, name, delay, base), score, stream, spec)
 
 
 def evaluate_alerts(alerts: DataFrame, labelled: DataFrame, spec: PanelSpec, horizon: str) -> DataFrame:

@@ -133,8 +133,7 @@ def test_alerts_over_micro_batches_equal_batch(spark):
         assert abs(r["p_rain"] - (1 - p0)) < 1e-12
     feats = [c for c in plain.columns if "allstations" in c or "_lag_" in c]
     score = lambda both: jobs.feature_frame(both, PROXY_SPEC).select("station", "TIMESTAMP", "event_id", *feats)
-    out = sj.latest_scores(spark.read.parquet(sj.scored_stream(stream, PROXY_SPEC, score, "context_test")),
-                           ["station", "TIMESTAMP", "event_id"])
+    out = sj.scored_stream(stream, PROXY_SPEC, score, "context_test").latest()
     want = {r["event_id"]: r for r in plain.select("event_id", *feats).collect()}
     have = {r["event_id"]: r for r in out.collect()}
     assert have.keys() == want.keys() and feats
@@ -214,3 +213,133 @@ def test_model_submission_covers_the_hold_out(spark):
     rows = sub.collect()
     assert len(rows) == 3 * held_out and {r["horizon"] for r in rows} == {"1h", "3h", "6h"}
     assert all(r["pred_class"] in (0, 1, 2) and 0 <= r["pred_prob"] <= 1 and r["obs_class"] is not None for r in rows)
+
+
+def _readings(n, seed=0):
+    """Readings of three stations, a minute or so apart, with two that come an hour late and some repeats."""
+    base = dt.datetime(2024, 1, 1)
+    return [(k, base + dt.timedelta(minutes=k // 3 + (seed * 7) % 5), 0, "abc"[k % 3], 100.0 + 37.0 * ((k * 11) % 29), "") for k in range(n)]
+
+
+def _put(folder, name, rows, at):
+    _write_events(folder, name, rows)
+    os.utime(os.path.join(folder, name), (1_700_000_000 + at, 1_700_000_000 + at))
+
+
+def _stream(spark, folder, event_time=False):
+    from panelcast.sources import proxy
+    p = proxy.events_panel(spark.readStream.schema(sj.EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder), PROXY_SPEC)
+    return p.withColumn("event_time", F.col("TIMESTAMP").cast("timestamp")) if event_time else p
+
+
+FITTED = ([("1h", 0, 0.9, 0.05, 0.05), ("1h", 1, 0.4, 0.4, 0.2)], "horizon string, persist_class int, p0 double, p1 double, p2 double")
+
+
+def _alerts(spark, folder, base=None):
+    return sj.alert_stream(_stream(spark, folder), PROXY_SPEC, spark.createDataFrame(*FITTED), "restart_test", base=base)
+
+
+def test_alert_job_goes_on_after_a_restart(spark, monkeypatch):
+    """A second run over added files (a late one among them) equals one run over all; readings of the
+    first run that nothing changes aren't scored again; a third run without files changes nothing."""
+    rows = _readings(400)
+    late, rest = rows[200:203], rows[:200] + rows[203:]
+    d, one = tempfile.mkdtemp(prefix="panelcast-restart-"), tempfile.mkdtemp(prefix="panelcast-whole-")
+    base = tempfile.mkdtemp(prefix="panelcast-job-")
+    files = [rest[:150], rest[150:280], rest[280:340] + late + rest[270:275], rest[340:]]
+    for k, f in enumerate(files):
+        _put(one, f"events_{k}.parquet", f, k)
+    want = sorted(map(tuple, _alerts(spark, one).collect()))
+    for k in (0, 1):
+        _put(d, f"events_{k}.parquet", files[k], k)
+    first = _alerts(spark, d, base)
+    assert first.count() == 3 * 280 and sorted(map(tuple, first.collect())) != want
+    for k in (2, 3):
+        _put(d, f"events_{k}.parquet", files[k], k)
+    assert sorted(map(tuple, _alerts(spark, d, base).collect())) == want
+    table = sj.EpochTable(spark, f"{base}/scores", [])
+    assert table.epochs() == [0, 1, 2, 3]
+    oldest = min(r[1] for r in late)
+    assert table.epoch(2).agg(F.min("TIMESTAMP")).first()[0] == oldest          # from the late reading on, not before
+    assert 3 * len(files[3]) <= table.epoch(3).count() <= 3 * (len(files[3]) + 3)      # its own readings, and others of its first minute
+    assert sorted(map(tuple, _alerts(spark, d, base).collect())) == want and table.epochs() == [0, 1, 2, 3]
+    assert len(sj.EpochTable(spark, f"{base}/history", []).epochs()) <= 2
+
+
+def test_alert_job_broken_off_repeats_its_batch(spark):
+    """The job dies after the scores, or after scores and history, of its second batch; the next run
+    repeats the batch under the same epoch and the alerts equal those of an unbroken run."""
+    import pytest
+    from panelcast.streaming import tables
+    rows = _readings(240)
+    for after in (1, 2):
+        d, base = tempfile.mkdtemp(prefix="panelcast-broken-"), tempfile.mkdtemp(prefix="panelcast-job-")
+        for k in range(3):
+            _put(d, f"events_{k}.parquet", rows[80 * k:80 * k + 80], k)
+        want = sorted(map(tuple, _alerts(spark, d).collect()))
+        real, left = tables.EpochTable.write, [after]
+
+        def write(self, df, epoch):
+            real(self, df, epoch)
+            if epoch == 1:
+                left[0] -= 1
+                if left[0] == 0:
+                    raise RuntimeError("executor lost")
+
+        tables.EpochTable.write = write
+        try:
+            with pytest.raises(Exception):
+                _alerts(spark, d, base)
+        finally:
+            tables.EpochTable.write = real
+        assert sorted(map(tuple, _alerts(spark, d, base).collect())) == want
+        assert sj.EpochTable(spark, f"{base}/scores", []).epochs() == [0, 1, 2]
+
+
+def test_window_totals_go_on_after_a_restart(spark):
+    rows = _readings(300)
+    d, one, base = (tempfile.mkdtemp(prefix=f"panelcast-{n}-") for n in ("t2", "t2-whole", "t2-job"))
+    own = sj.stream_session(spark, 2)
+
+    def totals(folder, base=None):
+        out = sj.run_accumulation(_stream(own, folder, True), PROXY_SPEC, "t2-restart", base=base)
+        return sorted((r["window_len"], r["station"], str(r["window_start"]), round(r["rain_sum"] or 0, 6), r["n_readings"]) for r in out.collect())
+
+    for k in range(4):
+        _put(one, f"events_{k}.parquet", rows[75 * k:75 * k + 75], k)
+    for k in range(2):
+        _put(d, f"events_{k}.parquet", rows[75 * k:75 * k + 75], k)
+    totals(d, base)
+    for k in range(2, 4):
+        _put(d, f"events_{k}.parquet", rows[75 * k:75 * k + 75], k)
+    assert totals(d, base) == totals(one)
+
+
+def test_epoch_table_is_bounded_by_its_keys(spark):
+    """Many epochs that update few keys: compaction keeps the newest rows, in folders bounded by the keys."""
+    base = tempfile.mkdtemp(prefix="panelcast-epochs-")
+    t = sj.EpochTable(spark, base, ["k"], period=4)
+    want = {}
+    for e in range(30):
+        rows = [(k, e) for k in range(10) if (k + e) % 3]
+        want.update(rows)
+        t.write(spark.createDataFrame(rows, "k long, v long").coalesce(1), e)
+        t.compact(before=e)
+        assert t.rows().count() <= 2 * 10 + (4 + 1) * 7 + 7
+    assert dict(map(tuple, t.latest().collect())) == want
+    assert t.compacted() > 0 and len(t.epochs()) <= 9
+    # a compaction that died before it swept: what it replaced is not read twice
+    t.latest().write.parquet(f"{base}/compact/upto=29")
+    assert t.epochs() == [] and dict(map(tuple, t.latest().collect())) == want
+    t.latest(before=29).limit(0).write.parquet(f"{base}/compact/upto=99")
+    os.remove(f"{base}/compact/upto=99/_SUCCESS")                       # never finished: doesn't count
+    assert dict(map(tuple, t.latest().collect())) == want
+    t.sweep()
+    assert sorted(os.listdir(f"{base}/rows")) == [] or t._complete("rows") == []
+
+
+def test_alert_stream_without_readings(spark):
+    d = tempfile.mkdtemp(prefix="panelcast-empty-")
+    _put(d, "events_0.parquet", _readings(3)[:0] or [(1, None, 0, None, 1.0, "")], 0)
+    got = _alerts(spark, d)
+    assert got.count() == 0 and "level" in got.columns
