@@ -14,7 +14,7 @@
   rows, broadcast under that bound.
 * Logistic regression (M5) with the scikit-learn objective mapped to MLlib:
   regParam = 1 / (C · Σ weights), no standardisation, multinomial.
-* Random forest (M6): weighted, ``sqrt`` feature subsets, depth capped at 30.
+* Random forest (M6): :mod:`.forest`, class weights balanced per bag, trees kept as rows.
 * :func:`fit_and_evaluate` (M7-M9): one ``Pipeline`` per model, fitted once
   and reused for the metrics and the submission (no refit).
 """
@@ -24,13 +24,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .forest import ForestModel, ForestSpec, fit_forest
 
 SKETCH_ACCURACY = 10_000    # rank error of the sketch ≤ n / accuracy
 
@@ -208,34 +209,31 @@ def station_encoder(station: str = "station") -> list:
     ]
 
 
-def make_estimator(name: str, label: str, weight_col: str, n_train_weight: float | None = None,
-                   num_trees: int = 300, seed: int = 42, C: float = 1.0, max_iter: int = 2000,
-                   tol: float = 1e-6):
-    if name == "logreg":
-        reg = 1.0 / (C * n_train_weight) if n_train_weight else 0.0
-        return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight_col,
-                                  family="multinomial", regParam=reg, elasticNetParam=0.0,
-                                  standardization=False, maxIter=max_iter, tol=tol)
-    if name == "rf":
-        return RandomForestClassifier(featuresCol="features", labelCol=label, weightCol=weight_col,
-                                      numTrees=num_trees, maxDepth=30, seed=seed,
-                                      featureSubsetStrategy="sqrt", minInstancesPerNode=1,
-                                      # deep trees: keep node ids with the rows instead of re-walking
-                                      # every tree per level, and split more nodes per pass
-                                      cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=1024)
-    raise ValueError(name)
+def make_estimator(label: str, weight_col: str, n_train_weight: float | None = None, C: float = 1.0,
+                   max_iter: int = 2000, tol: float = 1e-6) -> LogisticRegression:
+    """M5: the balanced multinomial logistic regression."""
+    reg = 1.0 / (C * n_train_weight) if n_train_weight else 0.0
+    return LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight_col,
+                              family="multinomial", regParam=reg, elasticNetParam=0.0,
+                              standardization=False, maxIter=max_iter, tol=tol)
+
+
+def feature_stages(numeric: list[str], station: str = "station") -> list:
+    """M3: one-hot station; numeric columns, then station slots, as one vector."""
+    return [*station_encoder(station), VectorAssembler(inputCols=[*numeric, f"{station}_vec"], outputCol="features",
+                                                       handleInvalid="keep")]
 
 
 def build_pipeline(estimator, numeric: list[str], station: str = "station") -> Pipeline:
-    """M3 + M7: one-hot station, numeric columns then station slots, model."""
-    assembler = VectorAssembler(inputCols=[*numeric, f"{station}_vec"], outputCol="features",
-                                handleInvalid="keep")
-    return Pipeline(stages=[*station_encoder(station), assembler, estimator])
+    """M3 + M7: features and model."""
+    return Pipeline(stages=[*feature_stages(numeric, station), estimator])
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | ForestModel, df: DataFrame) -> DataFrame:
     """M8 + P12: predicted class, probability array, P(predicted class) and
     P(rain) = 1 − P(class 0)."""
+    if isinstance(model, ForestModel):
+        return model.predict(df)
     out = model.transform(df)
     probs = vector_to_array("probability")
     return (out.withColumn("probs", probs)
@@ -244,12 +242,50 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
             .withColumn("p_rain", F.lit(1.0) - F.element_at(F.col("probs"), 1)))
 
 
+def fit_model(name: str, train: DataFrame, label: str, numeric: list[str], total_weight: float, station: str = "station",
+              forest: ForestSpec = ForestSpec(), key: str | None = None) -> PipelineModel | ForestModel:
+    """One model on imputed rows with their balanced ``weight``. ``key``: the rows'
+    integer key, for a forest with exact bags."""
+    if name == "logreg":
+        return build_pipeline(make_estimator(label, "weight", total_weight), numeric, station).fit(train)
+    if name == "rf":
+        prep = Pipeline(stages=feature_stages(numeric, station)).fit(train)
+        return ForestModel(prep, fit_forest(prep.transform(train), label, forest, key, "weight"))
+    raise ValueError(name)
+
+
+def gradient_norm(model: PipelineModel, train: DataFrame, label: str, weight_col: str = "weight") -> tuple[float, float]:
+    """M5's optimality check: (largest component of the gradient, loss) of the penalised objective
+    ``sum_i w_i loss_i / sum_i w_i + reg / 2 |coefficients|^2`` at the fitted coefficients.
+
+    One aggregate: a row adds w (p_k - [y = k]) x_j to the sum of (class k, feature j) and,
+    as x_0 = 1, to the intercepts, which aren't penalised. Only those sums, classes x features of
+    them, reach the driver."""
+    fitted = model.stages[-1]
+    k, d = fitted.numClasses, fitted.numFeatures
+    rows = model.transform(train).select(
+        F.col(weight_col).cast("double").alias("w"), F.col(label).cast("int").alias("y"),
+        vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    x = F.concat(F.array(F.lit(1.0)), F.col("x"))
+    terms = rows.select("w", "y", "p", F.posexplode(x).alias("j", "v"))
+    sums = (terms.groupBy("j").agg(*[F.sum(F.col("w") * (F.col("p")[c] - (F.col("y") == c).cast("double")) * F.col("v")).alias(f"g{c}")
+                                     for c in range(k)]).collect())
+    total, loss = rows.agg(F.sum("w"), F.sum(-F.col("w") * F.log(F.greatest(F.col("p")[F.col("y")], F.lit(1e-300))))).first()
+    coef, reg = fitted.coefficientMatrix.toArray(), fitted.getRegParam()
+    worst = 0.0
+    for r in sums:
+        for c in range(k):
+            g = r[f"g{c}"] / total + (reg * coef[c, r["j"] - 1] if r["j"] else 0.0)
+            worst = max(worst, abs(g))
+    return worst, loss / total + reg / 2 * float((coef[:, :d] ** 2).sum())
+
+
 def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: list[str],
-                     models: Iterable[str] = ("logreg", "rf"), num_trees: int = 300,
-                     station: str = "station", medians: dict[str, float] | None = None,
-                     ) -> tuple[DataFrame, dict[str, PipelineModel], dict[str, DataFrame]]:
+                     models: Iterable[str] = ("logreg", "rf"), forest: ForestSpec = ForestSpec(),
+                     station: str = "station", medians: dict[str, float] | None = None, key: str | None = None,
+                     ) -> tuple[DataFrame, dict[str, PipelineModel | ForestModel], dict[str, DataFrame]]:
     """M9: fit every model on the same (imputed, weighted) split; return the
-    results table (U1), the fitted pipelines and their test predictions.
+    results table (U1), the fitted models and their test predictions.
     ``medians`` may be passed when the caller already has the training medians."""
     medians = exact_medians(train, numeric) if medians is None else medians
     usable = [c for c in numeric if c in medians]          # all-missing columns dropped
@@ -262,8 +298,7 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
     total_w = train_w.agg(F.sum("weight")).first()[0]
     results, fitted, preds = None, {}, {}
     for name in models:
-        est = make_estimator(name, label, "weight", total_w, num_trees=num_trees)
-        model = build_pipeline(est, usable, station).fit(train_w)
+        model = fit_model(name, train_w, label, usable, total_w, station, forest, key)
         p = predict(model, test)
         fitted[name], preds[name] = model, p
         # E7 on the model: macro-F1 on its own training rows (one scalar from
@@ -280,21 +315,20 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: lis
 
 
 def fit_one(train: DataFrame, label: str, numeric: list[str], name: str = "logreg",
-            num_trees: int = 300, station: str = "station",
-            medians: dict[str, float] | None = None) -> tuple[PipelineModel, dict[str, float], list[str]]:
+            forest: ForestSpec = ForestSpec(), station: str = "station", medians: dict[str, float] | None = None,
+            key: str | None = None) -> tuple[PipelineModel | ForestModel, dict[str, float], list[str]]:
     """Fit one model with the same imputation and weighting as
-    :func:`fit_and_evaluate`; return the pipeline, the training medians and
+    :func:`fit_and_evaluate`; return the model, the training medians and
     the numeric columns used, i.e. everything needed to score new rows."""
     medians = exact_medians(train, numeric) if medians is None else medians
     usable = [c for c in numeric if c in medians]
     tr = fill_medians(train, medians).withColumn(label, F.col(label).cast("double"))
     tr = with_class_weight(tr, class_weights(tr, label), label).cache()
     total_w = tr.agg(F.sum("weight")).first()[0]         # also fills the cache
-    est = make_estimator(name, label, "weight", total_w, num_trees=num_trees)
-    model = build_pipeline(est, usable, station).fit(tr)
+    model = fit_model(name, tr, label, usable, total_w, station, forest, key)
     tr.unpersist()
     return model, medians, usable
 
 
-def score(model: PipelineModel, medians: dict[str, float], df: DataFrame) -> DataFrame:
+def score(model: PipelineModel | ForestModel, medians: dict[str, float], df: DataFrame) -> DataFrame:
     return predict(model, fill_medians(df, medians))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as bs
 from ..operators import datasets as ds
+from ..operators.forest import ForestModel, ForestSpec
 from ..operators import modeling as MD
 from ..session import ensure_checkpoint_dir, get_session
 from ..sources.observations import read_observations_csv, read_observations_parquet
@@ -43,7 +44,7 @@ def label(spark: SparkSession, src: DataFrame, out: str, spec: PanelSpec = STATI
 
 
 def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizons=None,
-          num_trees: int = 300, submit_model: str | None = None, keep_split_flag: bool = False) -> None:
+          forest: ForestSpec = ForestSpec(), submit_model: str | None = None, keep_split_flag: bool = False) -> None:
     """``keep_split_flag=True`` keeps ``is_last_year`` among the features, as the
     reference's drop list does (constant within each split); dropped by default."""
     subs = None
@@ -56,12 +57,13 @@ def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizon
         _, nums = ds.feature_columns(d, drop=drop, label=label_col)
         train_df, test_df = ds.train_test_split(d)          # partition pruning on is_last_year
         medians = MD.exact_medians(train_df, nums)
-        res, fitted, preds = MD.fit_and_evaluate(train_df, test_df, label_col, nums, num_trees=num_trees,
-                                                 medians=medians)
+        res, fitted, preds = MD.fit_and_evaluate(train_df, test_df, label_col, nums, forest=forest, medians=medians,
+                                                 key=spec.tie)
         spark.createDataFrame(list(medians.items()), "column_name string, median double") \
             .write.mode("overwrite").parquet(f"{out}/models/{h.name}/medians")
         for name, model in fitted.items():                  # M7: reusable pipelines
-            model.write().overwrite().save(f"{out}/models/{h.name}/{name}")
+            place = f"{out}/models/{h.name}/{name}"
+            model.save(place) if isinstance(model, ForestModel) else model.write().overwrite().save(place)
         res = res.select(F.lit(h.name).alias("horizon"), "*")
         res.write.mode("overwrite").parquet(f"{out}/results/horizon={h.name}")
         best = submit_model or res.orderBy(F.desc("f1_macro"), "model").first()["model"]
@@ -86,18 +88,19 @@ def bootstrap(spark: SparkSession, out: str, B: int = 1000) -> None:
 def alerts(spark: SparkSession, out: str, stream_dir: str, spec: PanelSpec = STATION_SPEC,
            horizon: str = "1h", model: str = "logreg", fmt: str = "parquet") -> str:
     """T3 for the saved pipeline: score a directory of arriving reading files
-    (micro-batches, ``availableNow``); the path of the table of every reading's
-    newest alert is returned."""
+    (micro-batches, ``availableNow``). A second call reads the files that came since and
+    goes on from the kept history. The path of the table of every reading's newest
+    alert is returned; it is replaced as a whole."""
     from pyspark.ml import PipelineModel
 
     from ..streaming import jobs as sj
-    pipe = PipelineModel.load(f"{out}/models/{horizon}/{model}")
+    pipe = (ForestModel if model == "rf" else PipelineModel).load(f"{out}/models/{horizon}/{model}")
     medians = {r["column_name"]: r["median"] for r in spark.read.parquet(f"{out}/models/{horizon}/medians").collect()}
     schema = spark.read.parquet(f"{out}/master").select(
         spec.station, spec.ts, spec.rain, *([spec.tie] if spec.tie else [])).schema
     stream = spark.readStream.schema(schema).format(fmt).load(stream_dir)
     path = f"{out}/alerts_{horizon}_{model}"
-    (sj.model_alert_job(stream, spec, pipe, medians, f"alerts-{horizon}-{model}")
+    (sj.model_alert_job(stream, spec, pipe, medians, f"alerts-{horizon}-{model}", base=f"{path}-job")
      .write.mode("overwrite").parquet(path))
     return path
 
@@ -112,6 +115,9 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--horizon", action="append")
     ap.add_argument("--trees", type=int, default=300)
+    ap.add_argument("--depth", type=int, default=30)
+    ap.add_argument("--min-rows", type=int, default=1, help="rows of a leaf")
+    ap.add_argument("--exact-bags", action="store_true", help="a fit per bag, weights of each bag in the splits too")
     ap.add_argument("--B", type=int, default=1000)
     ap.add_argument("--keep-split-flag", action="store_true")
     ap.add_argument("--master")
@@ -123,7 +129,7 @@ def main(argv=None) -> None:
                else read_observations_parquet(spark, a.input))
         label(spark, src, a.out)
     elif a.step == "train":
-        train(spark, a.out, horizons=a.horizon, num_trees=a.trees, keep_split_flag=a.keep_split_flag)
+        train(spark, a.out, horizons=a.horizon, forest=ForestSpec(bags=a.trees, max_depth=a.depth, min_rows=a.min_rows, exact=a.exact_bags), keep_split_flag=a.keep_split_flag)
     elif a.step == "bootstrap":
         bootstrap(spark, a.out, a.B)
     else:

@@ -8,6 +8,8 @@ digits on both sides.
 
 from __future__ import annotations
 
+import math
+
 from ..sources.proxy import PANEL_SQL
 from ..spec import PROXY_SPEC
 
@@ -93,6 +95,25 @@ def hash_sql(b: str, j: str, n: str) -> str:
     return f"(({hi} * 2147483648 + {lo}) % {n})"
 
 
+def draws_sql(key: str, bag: str) -> str:
+    """Poisson(1) draws of a row in a bag of the forest (operators.forest.draws) in SQL."""
+    def mix(x: str, rounds) -> str:
+        for mul, add, shift in rounds:
+            x = f"(({x} * {mul} + {add}) % 2147483647)"
+            x = f"xor({x}, {x} >> {shift})"
+        return f"({x} % 2147483647)"
+    hi, lo = ((48271, 11, 16), (69621, 7, 13)), ((40692, 5, 15), (16807, 3, 12))
+    row = f"((CAST({key} AS BIGINT) % 2147483647 + (CAST({key} AS BIGINT) // 2147483647) % 2147483647 * 7) % 2147483647)"
+    own = f"((CAST({bag} AS BIGINT) * 2000003 + 1) % 2147483647)"
+    bounds, term, total = [], math.exp(-1), 0.0          # cumulative shares exp(-1) / k! of 2147483647
+    for k in range(12):
+        total += term / math.factorial(k)
+        bounds.append(int(2147483647 * total))
+    return (f"SELECT *, {' + '.join(f'CAST(u >= {b} AS BIGINT)' for b in bounds)} AS k FROM "
+            f"(SELECT *, {mix('(x * m % 2147483647)', lo)} AS u FROM "
+            f"(SELECT *, {mix(row, hi)} AS x, {mix(own, hi)} AS m FROM rows_and_bags))")
+
+
 def r6(expr: str) -> str:
     # "+ 0.0" turns a rounded -0.0 into 0.0 (Spark's round never yields -0.0)
     return f"(round({expr}, 6) + CAST(0.0 AS DOUBLE))"
@@ -419,6 +440,14 @@ ORACLE["class_weights"] = with_base(
     "FROM long_targets WHERE is_last_year = 0 AND obs_class IS NOT NULL GROUP BY ALL)", LONG_TARGETS)
 
 
+ORACLE["forest_bag_weights"] = with_base(f"""
+SELECT bag, obs_class, n_draws, {r6('sum(n_draws) OVER (PARTITION BY bag) / (count(*) OVER (PARTITION BY bag) * n_draws)')} AS weight
+FROM (SELECT bag, obs_class, CAST(sum(k) AS BIGINT) AS n_draws FROM drawn WHERE k > 0 GROUP BY bag, obs_class)""",
+    "rows_and_bags AS (SELECT event_id, obs_class_1h AS obs_class, CAST(bag AS INTEGER) AS bag FROM labelled, range(300) AS b(bag) "
+    "WHERE is_last_year = 0 AND obs_class_1h IS NOT NULL)",
+    "drawn AS (" + draws_sql("event_id", "bag") + ")")
+
+
 # --- dashboard products ---------------------------------------------------------------
 
 PRODUCT_SQL = [

@@ -19,6 +19,7 @@ from ..operators import baselines as bl
 from ..operators import bootstrap as bs
 from ..operators import datasets as ds
 from ..operators import features as ft
+from ..operators.forest import ForestSpec, bag_weights
 from ..operators import metrics as M
 from ..operators import modeling as MD
 from ..operators import products as PR
@@ -412,7 +413,7 @@ def q_bootstrap_multinomial(spark, sf_dir):
 # --- modelling -----------------------------------------------------------------------
 
 
-NUM_TREES = 300       # the reference's forest size
+FOREST = ForestSpec()       # 300 trees, as the original has
 
 
 @register("impute_median")
@@ -462,7 +463,7 @@ def _predict_query(spark, sf_dir, name):
     d, _, nums = feature_table(spark, sf_dir, "1h")
     d = d.checkpoint(eager=True)
     train, test = ds.train_test_split(d)
-    model, medians, _ = MD.fit_one(train, "obs_class_1h", nums, name, num_trees=NUM_TREES)
+    model, medians, _ = MD.fit_one(train, "obs_class_1h", nums, name, forest=FOREST)
     return MD.score(model, medians, test).select("event_id", "station", "pred_class", "pred_prob", "p_rain",
                                                  F.col("obs_class_1h").alias("obs_class"))
 
@@ -475,10 +476,33 @@ def q_logreg_predict(spark, sf_dir):
 
 @register("rf_predict")
 def q_rf_predict(spark, sf_dir):
-    """M6 + M7 + M8: weighted random forest (300 trees), 1 h."""
+    """M6 + M7 + M8: random forest balanced per bag (300 trees), 1 h."""
     return _predict_query(spark, sf_dir, "rf")
 
 
+@register("forest_bag_weights")
+def q_forest_bag_weights(spark, sf_dir):
+    """M6: draws and balanced weight of each class in each of the forest's bags, 1 h training rows."""
+    train = labelled(spark, sf_dir).filter(F.col("is_last_year") == 0)
+    w = bag_weights(train, "obs_class_1h", "event_id", FOREST.bags)
+    return w.select("bag", F.col("label").alias("obs_class"), "n_draws", r6("weight").alias("weight"))
+
+
+@register("logreg_optimality")
+def q_logreg_optimality(spark, sf_dir):
+    """M5: largest gradient component and value of the penalised loss at the fitted coefficients, per horizon."""
+    d, nums, medians = _training_table(spark, sf_dir)
+    rows = []
+    for h in SPEC.horizons:
+        label = f"obs_class_{h.name}"
+        train, _ = ds.train_test_split(ds.horizon_dataset(d, SPEC, h.name))
+        train = MD.with_class_weight(train, MD.class_weights(train, label), label)
+        model, _, _ = MD.fit_one(train.drop("weight"), label, nums, "logreg", medians=medians)
+        gradient, loss = MD.gradient_norm(model, MD.fill_medians(train, medians), label)
+        rows.append((h.name, gradient, loss))
+    return spark.createDataFrame(rows, "horizon string, gradient double, loss double")
+
+
 @register("model_results")
 def q_model_results(spark, sf_dir):
     """M9 + U1: both models on every horizon, one results table. The
@@ -488,7 +512,7 @@ def q_model_results(spark, sf_dir):
 
     def one(h):
         train, test = ds.train_test_split(ds.horizon_dataset(d, SPEC, h.name))
-        res, _, _ = MD.fit_and_evaluate(train, test, f"obs_class_{h.name}", nums, num_trees=NUM_TREES, medians=medians)
+        res, _, _ = MD.fit_and_evaluate(train, test, f"obs_class_{h.name}", nums, forest=FOREST, medians=medians)
         rows = res.collect()            # one row per model: materialise inside the thread
         return [(h.name, *[r[c] for c in RESULT_COLS]) for r in rows]
 

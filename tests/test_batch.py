@@ -2,7 +2,10 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL
+from panelcast.operators.forest import ForestSpec
 from panelcast.plans import batch
 from panelcast.sources import proxy
 from panelcast.spec import PROXY_SPEC
@@ -15,7 +18,7 @@ def test_label_train_bootstrap(spark):
     assert spark.read.parquet(f"{out}/master").count() == 664          # FIXTURES.md §D, sf0.001
     lines = [r["value"] for r in spark.read.text(f"{out}/summary_txt").collect()]
     assert "shape master rows=664" in " ".join(lines) and any(x.startswith("class_share 6h:2") for x in lines)
-    batch.train(spark, out, spec, horizons=["1h"], num_trees=10)
+    batch.train(spark, out, spec, horizons=["1h"], forest=ForestSpec(bags=10))
     sub = spark.read.option("header", True).csv(f"{out}/submission")
     assert sub.count() == 58
     batch.bootstrap(spark, out, B=50)
@@ -26,3 +29,13 @@ def test_label_train_bootstrap(spark):
     proxy.load_panel(spark, SF_SMALL, spec).write.mode("overwrite").parquet(src)
     alerts = spark.read.parquet(batch.alerts(spark, out, src, spec, horizon="1h", model="logreg"))
     assert alerts.count() == 1000 and set(r["level"] for r in alerts.select("level").distinct().collect()) <= {"bajo", "medio", "alto"}
+    # a second call reads the readings that came since, and only those
+    n_files = len(spark.read.parquet(f"{out}/alerts_1h_logreg-job/scores/rows/epoch=0").inputFiles())
+    later = proxy.load_panel(spark, SF_SMALL, spec).orderBy(F.desc("TIMESTAMP")).limit(5)
+    later.withColumns({"TIMESTAMP": F.expr("TIMESTAMP + INTERVAL 3 DAYS"), "event_id": F.col("event_id") + 1_000_000}) \
+        .coalesce(1).write.mode("append").parquet(src)
+    alerts = spark.read.parquet(batch.alerts(spark, out, src, spec, horizon="1h", model="logreg"))
+    assert alerts.count() == 1005 and n_files > 0
+    first_new = later.agg(F.min(F.expr("TIMESTAMP + INTERVAL 3 DAYS"))).first()[0]
+    assert spark.read.parquet(f"{out}/alerts_1h_logreg-job/scores/rows/epoch=1").agg(F.min("TIMESTAMP")).first()[0] == first_new
+    assert spark.read.parquet(batch.alerts(spark, out, src, spec, horizon="1h", model="rf")).count() == 1005

@@ -1,9 +1,16 @@
 """Imputation, one-hot, class weights and model fits."""
 
+import math
+
+import numpy as np
+import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
+from panelcast.operators import forest as FO
 from panelcast.operators import modeling as MD
+from panelcast.operators.forest import ForestSpec
 
 
 def test_exact_medians_match_median(spark):
@@ -49,7 +56,7 @@ def test_models_beat_majority_on_separable_data(spark):
     df = df.withColumn("f_sig", F.col("y").cast("double") * 3.0)
     train, test = df.filter(F.col("f0") >= -10), df
     res, fitted, preds = MD.fit_and_evaluate(train, test, "y", [f"f{i}" for i in range(k)] + ["f_sig"],
-                                             num_trees=20)
+                                             forest=ForestSpec(bags=20))
     r = {row["model"]: row["f1_macro"] for row in res.collect()}
     assert r["logreg"] > 0.9 and r["rf"] > 0.9
     sums = preds["logreg"].select(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x).alias("s"))
@@ -85,3 +92,118 @@ def test_exact_medians_two_ties_around_a_thin_middle(spark, monkeypatch):
     want = df.agg(F.median("x"), F.median("y"), F.median("z")).first()
     assert [med["x"], med["y"], med["z"]] == list(want)
     assert all(n <= 50 for n in seen)
+
+
+def _poisson(key, bag):
+    """The draw of a row, in plain integers."""
+    p = 2147483647
+
+    def mixed(x, rounds):
+        for mul, add, shift in rounds:
+            x = (x * mul + add) % p
+            x ^= x >> shift
+        return x % p
+    hi, lo = ((48271, 11, 16), (69621, 7, 13)), ((40692, 5, 15), (16807, 3, 12))
+    row = (key % p + key // p % p * 7) % p
+    u = mixed(mixed(row, hi) * mixed((bag * 2000003 + 1) % p, hi) % p, lo)
+    total, k = 0.0, 0
+    while k < 12:
+        total += math.exp(-1) / math.factorial(k)
+        if u < int(p * total):
+            break
+        k += 1
+    return k
+
+
+def test_bag_draws_are_poisson_and_weights_balance_each_bag(spark):
+    rows = [(k * 7919 + (k % 5) * 2**33, k % 7 % 3) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k long, y int")
+    got = {(r.bag, r.label): (r.n_draws, r.weight) for r in FO.bag_weights(df, "y", "k", 6).collect()}
+    for bag in range(6):
+        n = {c: sum(_poisson(k, bag) for k, y in rows if y == c) for c in range(3)}
+        for c in range(3):
+            assert got[bag, c][0] == n[c] and math.isclose(got[bag, c][1], sum(n.values()) / (3 * n[c]))
+    counts = np.bincount([_poisson(k, b) for k, _ in rows for b in range(6)], minlength=6) / 24000
+    assert np.allclose(counts[:5], [math.exp(-1) / math.factorial(k) for k in range(5)], atol=0.012)
+    pairs = np.array([[_poisson(k, b) for b in range(6)] for k, _ in rows])
+    assert np.abs(np.corrcoef(pairs.T) - np.eye(6)).max() < 0.06
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    r = np.random.default_rng(4)
+    y = np.repeat([0, 1, 2], [700, 200, 60])
+    x = r.normal(size=(len(y), 6))
+    x[:, 0] += 2.0 * y
+    x[:, 1] -= 1.5 * (y == 2)
+    order = r.permutation(len(y))
+    df = spark.createDataFrame([(int(i), int(y[i]), x[i].tolist()) for i in order], "k long, y int, f array<double>")
+    df = df.withColumn("features", array_to_vector("f"))
+    return MD.with_class_weight(df, MD.class_weights(df, "y"), "y").cache()
+
+
+@pytest.mark.parametrize("spec", [ForestSpec(bags=12, per_fit=5, max_depth=8), ForestSpec(bags=6, exact=True, max_depth=6, parallel=3)])
+def test_forest_is_a_table_of_trees_that_vote(spark, blobs, spec, tmp_path):
+    path = FO.fit_forest(blobs, "y", spec, "k", "weight", str(tmp_path / "forest"))
+    nodes = spark.read.parquet(path)
+    trees = {}
+    for r in nodes.collect():
+        trees.setdefault(r.bag, {})[r.id] = r
+    assert sorted(trees) == list(range(spec.bags))
+    for tree in trees.values():                           # the root's classes are balanced in every bag
+        assert np.allclose(tree[0].probs, [1 / 3] * 3) and all(abs(sum(n.probs) - 1) < 1e-9 for n in tree.values())
+
+    def vote(f):
+        total = np.zeros(3)
+        for tree in trees.values():
+            n = tree[0]
+            while n.left >= 0:
+                n = tree[n.left if f[n.feature] <= n.threshold else n.right]
+            total += n.probs
+        return total / len(trees)
+
+    whole = {r.k: r for r in FO.predict_forest(path, blobs).collect()}
+    parts = {r.k: r for r in FO.predict_forest(path, blobs.repartition(3), limit=30).collect()}      # a tree or so at a time
+    assert len(FO.tree_blocks(nodes, 30)) > 1 and len(whole) == 960
+    right = 0
+    for r in blobs.collect():
+        want = vote(r.f)
+        for got in (whole[r.k], parts[r.k]):
+            assert np.allclose(got.probs, want) and got.pred_class == int(np.argmax(got.probs))
+            assert math.isclose(got.pred_prob, max(want)) and math.isclose(got.p_rain, 1 - want[0], abs_tol=1e-12)
+        right += whole[r.k].pred_class == r.y
+    assert right > 860
+
+
+def test_exact_bags_use_their_own_draws(spark, blobs, tmp_path):
+    """A tree's root holds the bag's draws: with one level only, its children's weighted shares can be told by hand."""
+    spec = ForestSpec(bags=4, exact=True, max_depth=1, parallel=2)
+    path = FO.fit_forest(blobs, "y", spec, "k", None, str(tmp_path / "forest"))
+    rows = blobs.collect()
+    for bag in range(4):
+        tree = {r.id: r for r in spark.read.parquet(path).filter(F.col("bag") == bag).collect()}
+        n = {c: sum(_poisson(r.k, bag) for r in rows if r.y == c) for c in range(3)}
+        low = np.array([sum(_poisson(r.k, bag) for r in rows if r.y == c and r.f[tree[0].feature] <= tree[0].threshold) / n[c] for c in range(3)])
+        assert np.allclose(tree[tree[0].left].probs, low / low.sum())
+
+
+def test_forest_of_nothing(spark, blobs, tmp_path):
+    path = FO.fit_forest(blobs.limit(0), "y", ForestSpec(bags=3), None, "weight", str(tmp_path / "forest"))
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_logistic_regression_is_at_its_optimum(spark, blobs):
+    cols = [F.col("f")[i].alias(f"f{i}") for i in range(6)]
+    train = blobs.select("y", "weight", F.lit("s").alias("station"), *cols)
+    model, _, _ = MD.fit_one(train.drop("weight"), "y", [f"f{i}" for i in range(6)])
+    gradient, loss = MD.gradient_norm(model, train, "y")
+    assert 0.05 < loss < 1.2 and gradient < 1e-4 * loss
+    # by hand, and away from the optimum: the check sees what one step changes
+    rows = model.transform(train).collect()
+    w, p = np.array([r.weight for r in rows]), np.array([r.probability.toArray() for r in rows])
+    x = np.array([[1.0, *r.features.toArray()] for r in rows])
+    coef = np.column_stack((np.zeros(3), model.stages[-1].coefficientMatrix.toArray()))
+    g = ((p - np.eye(3)[[r.y for r in rows]]) * w[:, None]).T @ x / w.sum() + model.stages[-1].getRegParam() * coef
+    assert math.isclose(np.abs(g).max(), gradient, rel_tol=1e-6, abs_tol=1e-12)
+    early = MD.build_pipeline(MD.make_estimator("y", "weight", 960.0, max_iter=2), [f"f{i}" for i in range(6)]).fit(train)
+    assert MD.gradient_norm(early, train, "y")[0] > 10 * gradient
