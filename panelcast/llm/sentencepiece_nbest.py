@@ -55,6 +55,44 @@ LONG_WORD, CHUNK = 96, 1 << 21
 NEG = -1e18
 
 
+class _Ways:
+    """Ways from the end of a word. A way is a node: where its last piece starts, its score
+    and the node it goes on from; ``jump`` leads to an older node (skew-binary links)."""
+
+    def __init__(self, end: int):
+        self.at, self.done = array("i", [end]), array("d", [0.0])
+        self.up, self.depth, self.jump = array("i", [0]), array("i", [0]), array("i", [0])
+
+    def older(self, k: int) -> int:
+        """Where the nodes that go on from ``k`` jump to."""
+        far = self.jump[k]
+        return self.jump[far] if self.depth[k] - self.depth[far] == self.depth[far] - self.depth[self.jump[far]] else k
+
+    def lift(self, x: int, level: int) -> int:
+        while self.depth[x] > level:
+            x = self.jump[x] if self.depth[self.jump[x]] >= level else self.up[x]
+        return x
+
+
+class _Way:
+    """A node that among equal scores comes first if its pieces, from the end, are longer where
+    they first differ."""
+    __slots__ = ("ways", "node")
+
+    def __init__(self, ways: _Ways, node: int):
+        self.ways, self.node = ways, node
+
+    def __lt__(self, other: "_Way") -> bool:
+        w = self.ways
+        level = min(w.depth[self.node], w.depth[other.node])
+        x, y = w.lift(self.node, level), w.lift(other.node, level)
+        if x == y:
+            return w.depth[self.node] < w.depth[other.node]
+        while w.up[x] != w.up[y]:
+            x, y = (w.jump[x], w.jump[y]) if w.jump[x] != w.jump[y] else (w.up[x], w.up[y])
+        return w.at[x] < w.at[y]
+
+
 class Vocabulary:
     """Pieces, scores and byte pieces of a model, and the piece trie."""
 
@@ -132,69 +170,57 @@ class Vocabulary:
             elif start == end - 1:
                 yield start, self.unknown, self.char_ids(word[start])
 
-    def forward(self, word: str) -> array:
-        best = array("d", [0.0]) + array("d", [NEG]) * len(word)
-        for end in range(1, len(word) + 1):
-            best[end] = max(best[s] + sc for s, sc, _ in self.edges_to(word, end))
-        return best
+    def spans_to(self, word: str, end: int) -> list[tuple[int, float]]:
+        """(start, score) of the lattice edges into a position, longest first."""
+        get, out = self.piece.get, []
+        for start in range(max(0, end - self.longest), end):
+            hit = get(word[start:end])
+            if hit:
+                out.append((start, hit[1]))
+            elif start == end - 1:
+                out.append((start, self.unknown))
+        return out
 
     def nbest(self, word: str, n: int) -> list[tuple[float, list[int], list[int]]]:
         """The n best segmentations of a word, best first: (score, ids, starts of the
         pieces from the last one). A-star from the end with the forward scores as exact
-        heuristic. A way is a node: where its last piece starts, its score and the node it goes
-        on from; no more than n ways leave a position, since a worse one can't be among the n best."""
-        best = self.forward(word)
-        at, done = array("i", [len(word)]), array("d", [0.0])
-        up, depth, jump = array("i", [0]), array("i", [0]), array("i", [0])      # jump: an older node (skew-binary links)
-
-        def lift(x: int, level: int) -> int:
-            while depth[x] > level:
-                x = jump[x] if depth[jump[x]] >= level else up[x]
-            return x
-
-        class Way:
-            __slots__ = ("total", "node")
-
-            def __init__(self, total: float, node: int):
-                self.total, self.node = total, node
-
-            def __lt__(self, other: "Way") -> bool:
-                """Higher totals first; of equal ones that whose pieces, from the end, are longer where they first differ."""
-                if self.total != other.total:
-                    return self.total > other.total
-                level = min(depth[self.node], depth[other.node])
-                x, y = lift(self.node, level), lift(other.node, level)
-                if x == y:
-                    return depth[self.node] < depth[other.node]
-                while up[x] != up[y]:
-                    x, y = (jump[x], jump[y]) if jump[x] != jump[y] else (up[x], up[y])
-                return at[x] < at[y]
-
+        heuristic; no more than n ways leave a position, since a worse one can't be among
+        the n best."""
+        keep = len(word) <= LONG_WORD                    # the edges of longer words are looked up again
+        best, edges = array("d", [0.0]), [[]]
+        for end in range(1, len(word) + 1):
+            spans = self.spans_to(word, end)
+            best.append(max([best[s] + sc for s, sc in spans]))
+            if keep:
+                edges.append(spans)
+        ways = _Ways(len(word))
+        at, done, up, depth, push = ways.at, ways.done, ways.up, ways.depth, heapq.heappush
+        add_at, add_done, add_up, add_depth, add_jump = at.append, done.append, up.append, depth.append, ways.jump.append
         left = array("i", [0]) * (len(word) + 1)
-        heap, out = [Way(best[-1], 0)], []
+        heap, out = [(-best[-1], _Way(ways, 0))], []
         while heap and len(out) < n:
-            k = heapq.heappop(heap).node
+            k = heapq.heappop(heap)[1].node
             here = at[k]
             if left[here] == n:
                 continue
             left[here] += 1
             if here == 0:
-                cuts = []
-                score = done[k]
+                cuts, score = [], done[k]
                 while k:
                     cuts.append(at[k])
                     k = up[k]
                 out.append((score, self.ids_between(word, [*cuts, len(word)]), cuts[::-1]))
                 continue
-            far = jump[k]
-            older = jump[far] if depth[k] - depth[far] == depth[far] - depth[jump[far]] else k
-            for s, sc, _ in self.edges_to(word, here):
-                at.append(s)
-                done.append(sc + done[k])
-                up.append(k)
-                depth.append(depth[k] + 1)
-                jump.append(older)
-                heapq.heappush(heap, Way(best[s] + sc + done[k], len(at) - 1))
+            so_far, level, older = done[k], depth[k] + 1, ways.older(k)
+            for s, sc in edges[here] if keep else self.spans_to(word, here):
+                if left[s] == n:
+                    continue
+                add_at(s)
+                add_done(sc + so_far)
+                add_up(k)
+                add_depth(level)
+                add_jump(older)
+                push(heap, (-(best[s] + sc + so_far), _Way(ways, len(at) - 1)))
         return out
 
     def best_long(self, word: str) -> tuple[float, float, list[int]]:
@@ -202,7 +228,7 @@ class Vocabulary:
         first, second, back = array("d", [0.0]), array("d", [NEG]), array("q", [0])
         for end in range(1, len(word) + 1):
             a, b, via = NEG, NEG, 0
-            for s, sc, _ in self.edges_to(word, end):
+            for s, sc in self.spans_to(word, end):
                 x, y = first[s] + sc, second[s] + sc
                 if x > a:
                     a, b, via = x, max(a, y, b), s
