@@ -103,17 +103,33 @@ def cross_station(panel: DataFrame, spec: PanelSpec, bucket: str = "bucket_ts")
 CROSS_NAMES = [f"rain_allstations_{s}_t" for s in CROSS_STATS] + ["rain_otherstations_mean_t"]
 
 
+def context_bound(panel: DataFrame, spec: PanelSpec) -> float:
+    """The most rows the context grid can have, from one narrow aggregate: no more than the panel,
+    and on a resampled one no more than stations (with 30 % for the sketch's error) times steps."""
+    span = (F.max(spec.ts) - F.min(spec.ts)).cast("interval second").cast("bigint")
+    row = panel.agg(F.count(F.lit(1)).alias("n"), span.alias("seconds"), F.approx_count_distinct(spec.station).alias("stations")).first()
+    if not spec.resample:
+        return row["n"]
+    n, unit = spec.resample.split()
+    step = int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+    return min(row["n"], 1.3 * (row["stations"] + 1) * ((row["seconds"] or 0) / step + 2))
+
+
 def with_cross_station(df: DataFrame, spec: PanelSpec, source: DataFrame | None = None) -> DataFrame:
     """Attach cross-station context (computed from ``source``, default ``df``)
     to every row of ``df``. On a regular grid the step at t is used; on a
     resampled panel the last *completed* bucket before t, since the bucket
-    holding t also holds later readings."""
-    cs = cross_station(df if source is None else source, spec).drop(spec.rain)
+    holding t also holds later readings. A grid of few rows (checked) is broadcast, so
+    the rows aren't shuffled for it; a larger one is joined by shuffles."""
+    source = df if source is None else source
+    cs = cross_station(source, spec).drop(spec.rain)
     key = bucket_col(spec)
     if spec.resample:
         key = key - F.expr(f"INTERVAL {spec.resample}")
     left = df.withColumn("_ctx_bucket", key)
     right = cs.withColumnRenamed("bucket_ts", "_ctx_rbucket").withColumnRenamed(spec.station, "_ctx_station")
+    if context_bound(source, spec) <= seq.BROADCAST_ROWS:
+        right = F.broadcast(right)
     cond = (F.col(spec.station) == F.col("_ctx_station")) & (F.col("_ctx_bucket") == F.col("_ctx_rbucket"))
     return left.join(right, cond, "left").drop("_ctx_bucket", "_ctx_rbucket", "_ctx_station")
 

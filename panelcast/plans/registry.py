@@ -188,7 +188,7 @@ def q_csv_roundtrip(spark, sf_dir):
 @register("sorted_panel")
 def q_sorted_panel(spark, sf_dir):
     """O1: position of every row in (station, TIMESTAMP missing last, tie) order."""
-    out = seq.with_global_index(panel(spark, sf_dir), seq.order_columns(SPEC), "row_index", SPEC.index_partitions)
+    out = seq.with_global_index(panel(spark, sf_dir), SPEC, "row_index")
     return out.select("row_index", "event_id", "station", "TIMESTAMP")
 
 

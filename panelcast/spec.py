@@ -45,8 +45,6 @@ class PanelSpec:
     rolls: tuple[int, ...] = DEFAULT_ROLLS
     # Rows per window chunk (see operators.sequence). Must exceed the largest halo.
     chunk_rows: int = 1 << 20
-    # Range partitions for the global row index; None = spark.sql.shuffle.partitions.
-    index_partitions: int | None = None
     # Cross-station resampling step for irregular panels (None = use TIMESTAMP as is).
     resample: str | None = None
     extra: dict = field(default_factory=dict)

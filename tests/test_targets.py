@@ -91,7 +91,7 @@ def test_full_grid_row_arithmetic(spark, end, per_station):
         F.expr(f"timestamp_ntz'{start}' + make_dt_interval(0, 0, id * 15)").alias("TIMESTAMP"),
         F.explode(stations).alias("station"))
         .withColumn("Rain_mm_Tot", F.lit(0.0)))
-    lab = tg.label_panel(grid, STATION_SPEC.with_(index_partitions=8))
+    lab = tg.label_panel(grid, STATION_SPEC)
     counts = {r["is_last_year"]: r["count"] for r in lab.groupBy("is_last_year").count().collect()}
     assert counts[1] == per_station * 4
 
