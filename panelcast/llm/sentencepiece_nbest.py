@@ -52,6 +52,8 @@ MARK, LITERAL = "▁", "\ud800"          # the second stands for a literal U+258
 #: Words above this length have their Viterbi scores found one by one, not in the batch's table;
 #: characters encoded at a time.
 LONG_WORD, CHUNK = 96, 1 << 21
+#: Words whose n best a worker remembers (about 1 KB each) before it starts again.
+KNOWN = 30_000
 NEG = -1e18
 
 
@@ -181,7 +183,7 @@ class Vocabulary:
                 out.append((start, self.unknown))
         return out
 
-    def nbest(self, word: str, n: int) -> list[tuple[float, list[int], list[int]]]:
+    def nbest(self, word: str, n: int) -> list[tuple[float, array, array]]:
         """The n best segmentations of a word, best first: (score, ids, starts of the
         pieces from the last one). A-star from the end with the forward scores as exact
         heuristic; no more than n ways leave a position, since a worse one can't be among
@@ -209,7 +211,7 @@ class Vocabulary:
                 while k:
                     cuts.append(at[k])
                     k = up[k]
-                out.append((score, self.ids_between(word, [*cuts, len(word)]), cuts[::-1]))
+                out.append((score, array("i", self.ids_between(word, [*cuts, len(word)])), array("i", cuts[::-1])))
                 continue
             so_far, level, older = done[k], depth[k] + 1, ways.older(k)
             for s, sc in edges[here] if keep else self.spans_to(word, here):
@@ -385,7 +387,7 @@ def gather(values: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[n
     return values[index], start
 
 
-def combine(lists: list[list[tuple[float, list[int], list[int]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+def combine(lists: list[list[tuple[float, array, array]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
     """The n best ways to take one segmentation from each word's list, best first; equal scores
     by the pieces from the end of the last word."""
     ranks = [{c: k for k, c in enumerate(sorted(range(len(own)), key=lambda c: own[c][2]))} for own in lists]
@@ -428,7 +430,7 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
     ids, word_off, best, gap = vocab.encode_words(words)
     all_ids, starts = gather(ids, word_off, flat)
     cache = vocab.known
-    if len(cache) > 100_000:
+    if len(cache) > KNOWN:
         cache.clear()
     for k in range(len(texts)):
         lo, hi = off[k], off[k + 1]
@@ -451,7 +453,7 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
             base = sum(own[0][0] for own in lists)
             for value, pick in combine(lists, n)[1:]:
                 alternatives.append((score + value - base,
-                                     [(int(starts[lo + w] - first), int(starts[lo + w + 1] - first), own[c][1])
+                                     [(int(starts[lo + w] - first), int(starts[lo + w + 1] - first), own[c][1].tolist())
                                       for w, own, c in zip(near, lists, pick) if c]))
         yield all_ids[first:starts[hi]], score, alternatives
 
