@@ -1,10 +1,8 @@
 """Model fitting and prediction (A9, A10, M1-M9) with MLlib.
 
 * Imputation (M1 / A9): exact median per numeric column, fitted on the
-  training rows. A global exact ``percentile`` would merge every distinct
-  value into one task; instead a bounded quantile sketch brackets the median
-  in a narrow rank band, and only the (value, count) pairs inside that band
-  are aggregated to find the exact middle rank(s). Columns that are all
+  training rows, by radix selection on the ordered bits of the values: 16 bits a
+  pass, at most 65,536 counters a column, whatever the values are. Columns that are all
   missing are left as they are (scikit-learn drops them from X).
 * Most frequent value (A10), ties → smallest value.
 * One-hot station (M2): ``StringIndexer(alphabetAsc, keep)`` +
@@ -21,8 +19,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -33,142 +33,79 @@ from pyspark.sql import functions as F
 from . import metrics as M
 from .forest import ForestModel, ForestSpec, fit_forest
 
-SKETCH_ACCURACY = 10_000    # rank error of the sketch ≤ n / accuracy
-
-
-def exact_medians(df: DataFrame, cols: list[str], accuracy: int = SKETCH_ACCURACY,
-                  max_cells: int = 200_000) -> dict[str, float]:
-    """Exact medians (mean of the two middle values for even n) with every
-    step bounded, however large or high-cardinality a column is:
-
-    1. one pass: non-missing count and a quantile sketch bracketing the
-       middle ranks in a band [lo, hi];
-    2. one pass: rows below the band and inside it;
-    3. the rows on the band's two ends are counted apart (two values, however
-       often they repeat), so only the open interior matters: one of at most
-       ``max_cells`` rows is resolved exactly from its (value, count) pairs; a
-       larger one is re-sketched inside itself (the rank error shrinks by the
-       sketch accuracy each round) and step 2 repeats. A band that missed the
-       middle ranks is widened to that side.
-    At most ``max_cells`` pairs a column are collected.
-    Columns without any value are skipped (scikit-learn drops them)."""
-    if not cols:
-        return {}
-    eps = 2.0 / accuracy
-    x = {c: F.col(c).cast("double") for c in cols}
-
-    def sketch(conds: dict, ranks: dict) -> dict:
-        aggs = [F.percentile_approx(F.when(conds[c], x[c]), F.array(F.lit(lo), F.lit(hi)), accuracy).alias(c)
-                for c, (lo, hi) in ranks.items()]
-        row = df.agg(*aggs).first()
-        return {c: (float(row[c][0]), float(row[c][1])) for c in ranks if row[c] is not None}
-
-    def resolve(st: dict, cells: list) -> float | None:
-        vals = []
-        for target in ((st["n"] - 1) // 2, st["n"] // 2):
-            pos = st["below"]
-            for v, k in sorted(cells):
-                if pos + k > target:
-                    vals.append(v)
+DIGIT = 16                  # bits of a value settled by a pass over the rows
+
+
+def ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order (zeros of both signs are one value)."""
+    bits = (values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def from_ordered_bits(bits: int) -> float:
+    raw = bits & ~(1 << 63) if bits >> 63 else ~bits & (1 << 64) - 1
+    return float(np.uint64(raw).view(np.float64))
+
+
+def digit_counts(df: DataFrame, prefixes: dict[str, int], shift: int) -> DataFrame:
+    """(col, digit, n): of the values of each column whose higher bits are ``prefixes``, how many
+    have each digit at ``shift``. A task counts its rows in one array of 2^16 per column and sends
+    the counters that aren't zero."""
+    cols, wanted = list(prefixes), list(prefixes.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(cols), 1 << DIGIT), np.int64)
+        for b in batches:
+            for k, high in enumerate(wanted):
+                values = b.column(k).drop_null().to_numpy(zero_copy_only=False)
+                values = values[~np.isnan(values)]
+                sign = (values + 0.0).view(np.uint64)
+                bits = np.where(sign >> np.uint64(63), ~sign, sign | np.uint64(1 << 63))
+                if shift + DIGIT < 64:
+                    bits = bits[bits >> np.uint64(shift + DIGIT) == np.uint64(high)]
+                digits = (bits >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)
+                counts[k] += np.bincount(digits.astype(np.int64), minlength=1 << DIGIT)
+        col, digit = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(col, pa.int32()), pa.array(digit, pa.int32()), pa.array(counts[col, digit])],
+                                         names=["col", "digit", "n"])
+
+    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    return narrow.mapInArrow(run, "col int, digit int, n long").groupBy("col", "digit").agg(F.sum("n").alias("n"))
+
+
+def exact_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Exact medians (mean of the two middle values for even n). NULL and NaN are missing;
+    columns without any value are skipped (scikit-learn drops them).
+
+    Four passes settle 16 bits each of the lower middle value; where the upper one is
+    another value, it is the smallest above, one more aggregate. Per column and pass at
+    most 2^16 counters reach the driver. ``df`` is read by every pass: written or cheap rows."""
+    state = {c: {"prefix": 0, "below": 0, "n": None} for c in cols}
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        names = list(state)
+        counts: dict[str, list] = {}
+        for r in digit_counts(df, {c: s["prefix"] for c, s in state.items()}, shift).collect() if names else []:
+            counts.setdefault(names[r["col"]], []).append((r["digit"], r["n"]))
+        for c in names:
+            st, found = state[c], sorted(counts.get(c, []))
+            if st["n"] is None:
+                st["n"] = sum(n for _, n in found)
+                if not st["n"]:
+                    del state[c]
+                    continue
+            for digit, n in found:
+                if st["below"] + n > (st["n"] - 1) // 2:
+                    st["prefix"], st["count"] = st["prefix"] << DIGIT | digit, n
                     break
-                pos += k
-        return (vals[0] + vals[1]) / 2.0 if len(vals) == 2 else None
-
-    band_ranks = (max(0.0, 0.5 - eps), min(1.0, 0.5 + eps))
-    head = df.agg(*[F.count(x[c]).alias(f"n__{c}") for c in cols],
-                  *[F.percentile_approx(x[c], F.array(F.lit(band_ranks[0]), F.lit(band_ranks[1])), accuracy)
-                    .alias(f"q__{c}") for c in cols]).first()
-    state = {c: {"n": int(head[f"n__{c}"]), "lo": float(head[f"q__{c}"][0]), "hi": float(head[f"q__{c}"][1])}
-             for c in cols if head[f"n__{c}"]}
-    out: dict[str, float] = {}
-    # Fast path: the sketch's rank guarantee bounds the band to about
-    # 6·n / accuracy rows, hence at most that many distinct values. Below that
-    # cap one pass returns the below-band count (NULL key) and the band's cells.
-    fast = [c for c, st in state.items() if 6 * st["n"] / accuracy <= max_cells]
-    if fast:
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("name"), x[c].alias("v")) for c in fast])).alias("_x")).select("_x.*")
-        keep, inside = None, None
-        for c in fast:
-            k = (F.col("name") == c) & (F.col("v") <= state[c]["hi"])
-            i = (F.col("name") == c) & (F.col("v") >= state[c]["lo"])
-            keep = k if keep is None else keep | k
-            inside = i if inside is None else inside | i
-        cells: dict[str, list] = {}
-        below: dict[str, int] = {}
-        for r in (long.filter(keep).groupBy("name", F.when(inside, F.col("v")).alias("v"))
-                  .agg(F.count(F.lit(1)).alias("k")).collect()):
-            if r["v"] is None:
-                below[r["name"]] = r["k"]
-            else:
-                cells.setdefault(r["name"], []).append((r["v"], r["k"]))
-        for c in fast:
-            state[c]["below"] = below.get(c, 0)
-            m = resolve(state[c], cells.get(c, []))
-            if m is not None:
-                out[c] = m
-                state.pop(c)
-    while state:
-        aggs = []
-        for c, st in state.items():
-            lo, hi = F.lit(st["lo"]), F.lit(st["hi"])
-            aggs += [F.count_if(x[c] < lo).alias(f"b__{c}"), F.count_if(x[c] == lo).alias(f"l__{c}"),
-                     F.count_if((x[c] > lo) & (x[c] < hi)).alias(f"i__{c}"),
-                     F.count_if((x[c] == hi) & (hi > lo)).alias(f"h__{c}")]
-        row = df.agg(*aggs).first()
-        small, big = [], []
-        for c, st in state.items():
-            st["below"], at_lo, inner, at_hi = (int(row[f"{k}__{c}"]) for k in "blih")
-            st["ends"] = [(v, k) for v, k in ((st["lo"], at_lo), (st["hi"], at_hi)) if k]
-            st["first"], st["inner"] = st["below"] + at_lo, inner
-            lo_rank, hi_rank = (st["n"] - 1) // 2, st["n"] // 2
-            if lo_rank < st["below"]:                       # band above the middle: widen down
-                st.update(lo=float("-inf"), eps=4 * st.get("eps", eps))
-            elif hi_rank >= st["first"] + inner + at_hi:    # band below the middle: widen up
-                st.update(hi=float("inf"), eps=4 * st.get("eps", eps))
-            elif inner <= max_cells:
-                small.append(c)
-            elif hi_rank < st["first"] or lo_rank >= st["first"] + inner:
-                v = st["lo"] if hi_rank < st["first"] else st["hi"]      # both ranks on one end
-                out[c] = (v + v) / 2.0
-            else:
-                big.append(c)
-        state = {c: st for c, st in state.items() if c not in out}
-        if small:
-            cells = interior_cells(df, {c: (x[c], state[c]["lo"], state[c]["hi"]) for c in small})
-            for c in small:
-                st = state.pop(c)
-                out[c] = resolve(st, st["ends"] + cells.get(c, []))
-        if big:
-            conds, ranks = {}, {}
-            for c in big:
-                st = state[c]
-                conds[c] = (x[c] > st["lo"]) & (x[c] < st["hi"])
-                e = st.get("eps", eps)
-                t_lo = ((st["n"] - 1) // 2 - st["first"]) / st["inner"]
-                t_hi = (st["n"] // 2 - st["first"]) / st["inner"]
-                ranks[c] = (min(1.0, max(0.0, t_lo - e)), max(0.0, min(1.0, t_hi + e)))
-            for c, (lo, hi) in sketch(conds, ranks).items():
-                st = state[c]
-                # a middle rank on an end stays inside the band
-                lo = st["lo"] if (st["n"] - 1) // 2 < st["first"] else lo
-                hi = st["hi"] if st["n"] // 2 >= st["first"] + st["inner"] else hi
-                st.update(lo=lo, hi=hi)
-    return out
-
-
-def interior_cells(df: DataFrame, bands: dict) -> dict[str, list]:
-    """(value, count) pairs strictly inside each band; ``bands``: column ->
-    (expression, lo, hi). The caller has counted the rows inside."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("name"), v.alias("v")) for c, (v, _, _) in bands.items()])).alias("_x")).select("_x.*")
-    keep = F.lit(False)
-    for c, (_, lo, hi) in bands.items():
-        keep = keep | ((F.col("name") == c) & (F.col("v") > lo) & (F.col("v") < hi))
-    cells: dict[str, list] = {}
-    for r in long.filter(keep).groupBy("name", "v").agg(F.count(F.lit(1)).alias("k")).collect():
-        cells.setdefault(r["name"], []).append((r["v"], r["k"]))
-    return cells
+                st["below"] += n
+    low = {c: from_ordered_bits(st["prefix"]) for c, st in state.items()}
+    pairs = [c for c, st in state.items() if st["n"] // 2 >= st["below"] + st["count"]]
+    high = dict(low)
+    if pairs:
+        x = {c: F.col(c).cast("double") for c in pairs}
+        row = df.agg(*[F.min(F.when((x[c] > F.lit(low[c])) & ~F.isnan(x[c]), x[c])).alias(f"v{k}") for k, c in enumerate(pairs)]).first()
+        high.update({c: row[f"v{k}"] for k, c in enumerate(pairs)})
+    return {c: (low[c] + high[c]) / 2.0 for c in cols if c in low}
 
 
 def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -264,9 +264,10 @@ _FEATURE_NUMS = (["Rain_mm_Tot", "year"] + [f"trail_{h.name}" for h in SPEC.hori
                  + [f"Rain_mm_Tot_{s}_{n}" for n in SPEC.rolls for s in ("rollmean", "rollstd")]
                  + ["hour", "day_of_week", "month", "hour_sin", "hour_cos"] + CROSS_COLS)
 _INTS = {"year", "is_last_year", "hour", "day_of_week", "month"}
-ORACLE["feature_matrix"] = with_base(
-    "SELECT event_id, station, " + ", ".join(c if c in _INTS else f"{r6(c)} AS {c}" for c in _FEATURE_NUMS)
-    + ", obs_class_1h FROM feat", CROSS_SQL, FEATURES_SQL)
+for _key, _h in (("feature_matrix", "1h"), ("feature_matrix_3h", "3h"), ("feature_matrix_6h", "6h")):
+    ORACLE[_key] = with_base(
+        "SELECT event_id, station, " + ", ".join(c if c in _INTS else f"{r6(c)} AS {c}" for c in _FEATURE_NUMS)
+        + f", obs_class_{_h} FROM feat", CROSS_SQL, FEATURES_SQL)
 
 
 # --- baselines, submission, metrics -----------------------------------------------
@@ -419,10 +420,24 @@ ORACLE["bootstrap_ci"] = with_base(
 # --- modelling ------------------------------------------------------------------------
 
 _MED_NUMS = [c for c in _FEATURE_NUMS]
-ORACLE["impute_median"] = with_base(
-    "SELECT column_name, " + r6("median") + " AS median FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST(median({c}) AS DOUBLE) AS median FROM feat WHERE is_last_year = 0"
-        for c in _MED_NUMS) + ") WHERE median IS NOT NULL", CROSS_SQL, FEATURES_SQL)
+for _key in ("impute_median", "impute_median_3h", "impute_median_6h"):       # the features don't depend on the horizon
+    ORACLE[_key] = with_base(
+        "SELECT column_name, " + r6("median") + " AS median FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, CAST(median({c}) AS DOUBLE) AS median FROM feat WHERE is_last_year = 0"
+            for c in _MED_NUMS) + ") WHERE median IS NOT NULL", CROSS_SQL, FEATURES_SQL)
+
+# the vector's slots: numeric columns by name that have a training median, then the training stations by name
+ORACLE["assembled_vector"] = with_base(
+    "SELECT event_id, CAST(slot AS INTEGER) AS slot, " + r6("v") + " AS value FROM ("
+    "SELECT event_id, (SELECT count(*) FROM med m WHERE m.median IS NOT NULL AND m.c < n.c) AS slot, coalesce(v, median) AS v FROM ("
+    + " UNION ALL ".join(f"SELECT event_id, '{c}' AS c, CAST({c} AS DOUBLE) AS v FROM feat WHERE is_last_year = 1" for c in sorted(_MED_NUMS))
+    + ") n JOIN med USING (c) WHERE median IS NOT NULL UNION ALL "
+    "SELECT event_id, (SELECT count(*) FROM med WHERE median IS NOT NULL) + k.nth, CAST(f.station IS NOT DISTINCT FROM k.station AS DOUBLE) "
+    "FROM feat f, known k WHERE is_last_year = 1)", CROSS_SQL, FEATURES_SQL,
+    "med AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS c, CAST(median({c}) AS DOUBLE) AS median FROM feat WHERE is_last_year = 0" for c in _MED_NUMS) + ")",
+    "known AS (SELECT station, row_number() OVER (ORDER BY station) - 1 AS nth FROM (SELECT DISTINCT station FROM feat "
+    "WHERE is_last_year = 0 AND station IS NOT NULL))")
 
 ORACLE["impute_mode"] = with_base(
     "SELECT station, count(*) AS n FROM labelled WHERE is_last_year = 0 AND station IS NOT NULL "

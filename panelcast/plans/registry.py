@@ -258,14 +258,26 @@ def feature_table(spark, sf_dir, horizon="1h"):
     return d, cats, nums
 
 
-@register("feature_matrix")
-def q_feature_matrix(spark, sf_dir):
-    """P7 + P8: drop-if-exists list, categorical / numeric split; the table
-    handed to the vector assembler (with the row key and label)."""
-    d, cats, nums = feature_table(spark, sf_dir)
-    floats = {f.name for f in d.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return d.select("event_id", *cats, *[r6(c).alias(c) if c in floats else F.col(c) for c in nums],
-                    "obs_class_1h")
+# P7 + P8: drop-if-exists list, categorical / numeric split; the table handed to the vector
+# assembler (with the row key and label).
+for _key, _h in (("feature_matrix", "1h"), ("feature_matrix_3h", "3h"), ("feature_matrix_6h", "6h")):
+    def _q_features(spark, sf_dir, _h=_h):
+        d, cats, nums = feature_table(spark, sf_dir, _h)
+        floats = {f.name for f in d.schema.fields if f.dataType.typeName() in ("double", "float")}
+        return d.select("event_id", *cats, *[r6(c).alias(c) if c in floats else F.col(c) for c in nums], f"obs_class_{_h}")
+    register(_key)(_q_features)
+
+
+@register("assembled_vector")
+def q_assembled_vector(spark, sf_dir):
+    """M3: the vector handed to the models, 1 h hold-out rows: imputed numeric columns, then station slots."""
+    d, _, nums = feature_table(spark, sf_dir)
+    d = d.checkpoint(eager=True)
+    train, test = ds.train_test_split(d)
+    medians = MD.exact_medians(train, nums)
+    stages = Pipeline(stages=MD.feature_stages(sorted(medians))).fit(MD.fill_medians(train, medians))
+    out = stages.transform(MD.fill_medians(test, medians)).select("event_id", F.posexplode(vector_to_array("features")).alias("slot", "v"))
+    return out.select("event_id", "slot", r6("v").alias("value"))
 
 
 # --- baselines, submission, metrics ----------------------------------------------
@@ -416,14 +428,14 @@ def q_bootstrap_multinomial(spark, sf_dir):
 FOREST = ForestSpec()       # 300 trees, as the original has
 
 
-@register("impute_median")
-def q_impute_median(spark, sf_dir):
-    """Exact training-split median of every numeric feature."""
-    d, _, nums = feature_table(spark, sf_dir)
-    med = MD.exact_medians(d.filter(F.col("is_last_year") == 0), nums)
-    rows = [(c, float(v)) for c, v in med.items()]
-    out = spark.createDataFrame(rows, "column_name string, median double")
-    return out.select("column_name", r6("median").alias("median"))
+# Exact training-split median of every numeric feature of a horizon's data set.
+for _key, _h in (("impute_median", "1h"), ("impute_median_3h", "3h"), ("impute_median_6h", "6h")):
+    def _q_median(spark, sf_dir, _h=_h):
+        d, _, nums = feature_table(spark, sf_dir, _h)
+        train = d.filter(F.col("is_last_year") == 0).select(*nums).checkpoint(eager=True)       # read by every pass
+        rows = [(c, float(v)) for c, v in MD.exact_medians(train, nums).items()]
+        return spark.createDataFrame(rows, "column_name string, median double").select("column_name", r6("median").alias("median"))
+    register(_key)(_q_median)
 
 
 @register("impute_mode")

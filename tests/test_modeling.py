@@ -15,7 +15,7 @@ from panelcast.operators.forest import ForestSpec
 
 def test_exact_medians_match_median(spark):
     df = spark.createDataFrame([(1.0, None), (2.0, 5.0), (4.0, 5.0), (10.0, None), (None, 7.0)], "a double, b double")
-    med = MD.exact_medians(df, ["a", "b"], accuracy=100)
+    med = MD.exact_medians(df, ["a", "b"])
     assert med == {"a": 3.0, "b": 5.0}
     big = spark.range(0, 20001).select((F.col("id") % 997).cast("double").alias("x"))
     assert MD.exact_medians(big, ["x"])["x"] == big.agg(F.median("x")).first()[0]
@@ -63,35 +63,34 @@ def test_models_beat_majority_on_separable_data(spark):
     assert sums.filter(F.abs(F.col("s") - 1.0) > 1e-9).count() == 0
 
 
-def test_exact_medians_narrow_large_bands(spark):
-    """With a tiny cell cap the band is re-sketched until it fits; the
-    result stays exact, including a heavy tie at the median."""
-    df = spark.range(0, 50001).select((F.sin(F.col("id")) * 1000).alias("cont"),
-                                      F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") % 97).cast("double").alias("tied"))
-    med = MD.exact_medians(df, ["cont", "tied"], accuracy=200, max_cells=50)
-    want = df.agg(F.median("cont"), F.median("tied")).first()
-    assert med["cont"] == want[0] and med["tied"] == want[1]
-
-
-def test_exact_medians_two_ties_around_a_thin_middle(spark, monkeypatch):
-    """Two heavy ties at the band's ends never pull its interior to the driver:
-    at most ``max_cells`` pairs a column are collected."""
-    df = spark.range(0, 52001).select(F.when(F.col("id") < 25000, F.lit(0.0)).when(F.col("id") < 27001, F.col("id") / 27001.0)
-                                      .otherwise(F.lit(1.0)).alias("x"),
-                                      F.when(F.col("id") < 26000, F.lit(-1.0)).otherwise(F.lit(4.0)).alias("y"),
-                                      F.when(F.col("id") % 2 == 0, F.lit(float("-inf"))).otherwise(F.lit(2.0)).alias("z"))
-    seen = []
-    cells = MD.interior_cells
-
-    def spy(d, bands):
-        got = cells(d, bands)
-        seen.extend(len(v) for v in got.values())
-        return got
-    monkeypatch.setattr(MD, "interior_cells", spy)
-    med = MD.exact_medians(df, ["x", "y", "z"], accuracy=100, max_cells=50)
-    want = df.agg(F.median("x"), F.median("y"), F.median("z")).first()
-    assert [med["x"], med["y"], med["z"]] == list(want)
-    assert all(n <= 50 for n in seen)
+def test_exact_medians_of_many_kinds_of_values(spark, monkeypatch):
+    """Ties, signs, zeros of both signs, infinities, subnormals, even and odd counts, missing values of
+    both kinds; no pass brings more than 2^16 counters a column, and no values, to the driver."""
+    inf, nan = float("inf"), float("nan")
+    df = spark.range(0, 52001).select(
+        (F.sin(F.col("id")) * 1000).alias("cont"),
+        F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") % 97).cast("double").alias("tied"),
+        F.when(F.col("id") < 25000, F.lit(0.0)).when(F.col("id") < 27001, F.col("id") / 27001.0).otherwise(F.lit(1.0)).alias("thin"),
+        F.when(F.col("id") < 26000, F.lit(-1.0)).when(F.col("id") < 52000, F.lit(4.0)).alias("two"),
+        F.when(F.col("id") % 2 == 0, F.lit(-inf)).otherwise(F.lit(2.0)).alias("low"),
+        F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("zero"),
+        (F.col("id") * 5e-324).alias("tiny"), F.col("id").cast("int").alias("whole"),
+        F.when(F.col("id") % 5 < 2, F.lit(nan)).when(F.col("id") % 5 == 2, F.col("id").cast("double")).alias("gaps"),
+        F.lit(None).cast("double").alias("none"), F.lit(nan).alias("nan")).repartition(5)
+    seen, real = [], MD.digit_counts
+    monkeypatch.setattr(MD, "digit_counts", lambda *a: seen.append(real(*a)) or seen[-1])
+    med = MD.exact_medians(df, df.columns)
+    want = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in df.columns]).agg(
+        *[F.median(c).alias(c) for c in df.columns]).first()
+    assert med == {c: want[c] for c in df.columns if c not in ("none", "nan")} and med["two"] == 1.5
+    assert len(seen) == 4 and all(d.columns == ["col", "digit", "n"] and d.groupBy("col").count().agg(F.max("count")).first()[0] <= 65536 for d in seen)
+    assert MD.exact_medians(df.limit(0), ["cont"]) == {} and MD.exact_medians(df, []) == {}
+
+
+def test_ordered_bits_keep_the_order():
+    values = np.array([float("-inf"), -1e300, -2.5, -5e-324, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, float("inf")])
+    bits = MD.ordered_bits(values)
+    assert (bits[1:] > bits[:-1]).all() and [MD.from_ordered_bits(int(b)) for b in bits] == values.tolist()
 
 
 def _poisson(key, bag):
