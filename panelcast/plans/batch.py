@@ -6,8 +6,9 @@ in a shared folder, and the alert stream scored with a saved pipeline.
     python -m panelcast.plans.batch bootstrap --out DIR [--B 1000]
     python -m panelcast.plans.batch alerts    --out DIR --stream-dir DIR2 [--horizon 1h]
 
-``label`` writes the master (partitioned by the hold-out flag, so training and
-scoring read only their split), per-horizon data sets and the summary. ``train``
+``label`` writes the master once (partitioned by the hold-out flag, so training and
+scoring read only their split), the summary and, of a CSV, the fields that can't be
+read; a horizon's data set is a projection of the master's columns. ``train``
 fits both models per horizon on the same split, saves the pipelines, writes
 the results table and the chosen model's submission (one folder per horizon).
 ``bootstrap`` reads the submissions as one dataset. ``alerts`` scores arriving
@@ -26,7 +27,7 @@ from ..operators import datasets as ds
 from ..operators.forest import ForestModel, ForestSpec
 from ..operators import modeling as MD
 from ..session import ensure_checkpoint_dir, get_session
-from ..sources.observations import read_observations_csv, read_observations_parquet
+from ..sources.observations import csv_rejects, read_observations_csv, read_observations_parquet
 from ..spec import STATION_SPEC, PanelSpec
 from . import jobs
 
@@ -35,14 +36,16 @@ def label(spark: SparkSession, src: DataFrame, out: str, spec: PanelSpec = STATI
     lf = jobs.labelled_features(src, spec)
     (lf.write.mode("overwrite").partitionBy("is_last_year").parquet(f"{out}/master"))
     master = spark.read.parquet(f"{out}/master")
-    for h in spec.horizons:
-        ds.horizon_dataset(master, spec, h.name).write.mode("overwrite").partitionBy("is_last_year") \
-            .parquet(f"{out}/dataset_{h.name}")
     summary = ds.dataset_summary(master, spec)
     summary.write.mode("overwrite").parquet(f"{out}/summary")
     ds.summary_lines(spark.read.parquet(f"{out}/summary")).write.mode("overwrite").text(f"{out}/summary_txt")
 
 
+def horizon_dataset(spark: SparkSession, out: str, horizon: str, spec: PanelSpec = STATION_SPEC) -> DataFrame:
+    """A horizon's data set: the master without the other horizons' targets; the scan reads no other column."""
+    return ds.horizon_dataset(spark.read.parquet(f"{out}/master"), spec, horizon)
+
+
 def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizons=None,
           forest: ForestSpec = ForestSpec(), submit_model: str | None = None, keep_split_flag: bool = False) -> None:
     """``keep_split_flag=True`` keeps ``is_last_year`` among the features, as the
@@ -51,7 +54,7 @@ def train(spark: SparkSession, out: str, spec: PanelSpec = STATION_SPEC, horizon
     for h in spec.horizons:
         if horizons and h.name not in horizons:
             continue
-        d = spark.read.parquet(f"{out}/dataset_{h.name}")
+        d = horizon_dataset(spark, out, h.name, spec)
         label_col = f"obs_class_{h.name}"
         drop = [*ds.TRAINING_DROP, *([] if keep_split_flag else ["is_last_year"]), *([spec.tie] if spec.tie else [])]
         _, nums = ds.feature_columns(d, drop=drop, label=label_col)
@@ -127,6 +130,9 @@ def main(argv=None) -> None:
     if a.step == "label":
         src = (read_observations_csv(spark, a.input, STATION_SPEC, strings=a.text_cols) if a.format == "csv"
                else read_observations_parquet(spark, a.input))
+        if a.format == "csv":
+            csv_rejects(spark, a.input, STATION_SPEC, strings=a.text_cols).write.mode("overwrite").parquet(f"{a.out}/rejects")
+            print(f"unreadable fields: {spark.read.parquet(f'{a.out}/rejects').count()}")
         label(spark, src, a.out)
     elif a.step == "train":
         train(spark, a.out, horizons=a.horizon, forest=ForestSpec(bags=a.trees, max_depth=a.depth, min_rows=a.min_rows, exact=a.exact_bags), keep_split_flag=a.keep_split_flag)

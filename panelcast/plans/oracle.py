@@ -127,6 +127,10 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["scan_observations"] = f"WITH {PANEL_SQL}\nSELECT station, \"TIMESTAMP\", Rain_mm_Tot, event_id FROM panel"
 
+ORACLE["csv_rejects"] = (
+    "SELECT 'TIMESTAMP' AS column_name, event_id || 'h' AS value FROM events WHERE event_id % 211 = 0 UNION ALL "
+    "SELECT 'Rain_mm_Tot', event_id || 'x' FROM events WHERE event_id % 50 = 0")
+
 ORACLE["holdout_flag"] = with_base(
     'SELECT event_id, station, "TIMESTAMP", year, is_last_year FROM flagged')
 

@@ -27,7 +27,7 @@ from ..operators import sequence as seq
 from ..operators import targets as tg
 from ..session import shared_path
 from ..sources import proxy
-from ..sources.observations import TS_FORMAT, read_observations_csv
+from ..sources.observations import TS_FORMAT, csv_rejects, read_observations_csv
 from ..spec import PROXY_SPEC
 from ..streaming import jobs as sj
 from . import jobs
@@ -185,6 +185,22 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select("station", "TIMESTAMP", "Rain_mm_Tot", "event_id")
 
 
+@register("csv_rejects")
+def q_csv_rejects(spark, sf_dir):
+    """Fields that can't be read, in a CSV of the panel where every 50th reading and every 211th
+    time is no number or time; missing readings aren't among them."""
+    path = shared_path(spark, "damaged_csv")
+    text = F.col("event_id").cast("string")
+    (panel(spark, sf_dir).select(
+        F.when(F.col("event_id") % 211 == 0, F.concat(text, F.lit("h"))).otherwise(F.date_format("TIMESTAMP", TS_FORMAT)).alias("TIMESTAMP"),
+        "station", F.when(F.col("event_id") % 50 == 0, F.concat(text, F.lit("x"))).when(F.col("Rain_mm_Tot").isNull(), F.lit("NA"))
+        .otherwise(F.col("Rain_mm_Tot").cast("string")).alias("Rain_mm_Tot"), "event_id")
+     .write.mode("overwrite").option("header", True).csv(path))
+    schema = T.StructType([T.StructField("TIMESTAMP", T.StringType()), T.StructField("station", T.StringType()),
+                           T.StructField("Rain_mm_Tot", T.DoubleType()), T.StructField("event_id", T.LongType())])
+    return csv_rejects(spark, path, SPEC, schema=schema, ts_format=TS_FORMAT).select("column_name", "value")
+
+
 @register("sorted_panel")
 def q_sorted_panel(spark, sf_dir):
     """O1: position of every row in (station, TIMESTAMP missing last, tie) order."""
