@@ -421,6 +421,57 @@ ORACLE["bootstrap_ci"] = with_base(
     BASELINE_SQL, *BOOT_SQL)
 
 
+def _mix_sql(x: str, rounds) -> str:
+    for mul, add, shift in rounds:
+        x = f"(({x} * {mul} + {add}) % 2147483647)"
+        x = f"xor({x}, {x} >> {shift})"
+    return f"({x} % 2147483647)"
+
+
+_HI, _LO = ((48271, 11, 16), (69621, 7, 13)), ((40692, 5, 15), (16807, 3, 12))
+
+
+def uniform_sql(m: str, j: str) -> str:
+    """The j-th uniform number of a replicate (operators.bootstrap.uniform)."""
+    own = _mix_sql(f"((CAST({j} AS BIGINT) * 2000003 + 1) % 2147483647)", _HI)
+    y = f"(({m} * {own}) % 2147483647)"
+    return f"(({_mix_sql(y, _LO)} + CAST(0.5 AS DOUBLE)) / CAST(2147483647 AS DOUBLE))"
+
+
+# Binomial(n, p) of the rows (n, p, u, v), as operators.bootstrap.binomial draws it.
+BINOMIAL_SQL = """CASE WHEN p >= 1 THEN n WHEN n * least(p, q) < 30 THEN CASE WHEN p <= q THEN least(x, n) ELSE n - least(x, n) END
+  ELSE greatest(0, least(n, CAST(floor(n * p + sqrt(n * p * q) * z + ((q - p) / 6) * (z * z - 1) + CAST(0.5 AS DOUBLE)) AS BIGINT))) END"""
+_INVERSION = """list_reduce(list_prepend({'k': CAST(0 AS DOUBLE), 'pmf': pmf0, 'cdf': pmf0, 'x': CAST(0 AS BIGINT)},
+  list_transform(range(1, 121), lambda k: {'k': CAST(k AS DOUBLE), 'pmf': CAST(0 AS DOUBLE), 'cdf': CAST(0 AS DOUBLE), 'x': CAST(0 AS BIGINT)})),
+  lambda acc, e: {'k': e.k, 'pmf': acc.pmf * (n - e.k + 1) / e.k * ratio, 'cdf': acc.cdf + acc.pmf * (n - e.k + 1) / e.k * ratio,
+                  'x': acc.x + CAST(acc.cdf < u AS BIGINT)}).x"""
+MULTINOMIAL_SQL = [
+    BOOT_SQL[0],
+    "ordered AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY label, pred) - 1 AS idx, dense_rank() OVER (ORDER BY horizon) - 1 "
+    "AS nth, CAST(sum(c) OVER (PARTITION BY horizon ORDER BY label DESC, pred DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS remaining FROM bcells)",
+    f"uniforms AS (SELECT o.*, CAST(c AS DOUBLE) / remaining AS p, r.b, m, {uniform_sql('m', '2 * (64 * nth + idx)')} AS u, "
+    f"{uniform_sql('m', '2 * (64 * nth + idx) + 1')} AS v FROM ordered o, (SELECT b, {_mix_sql('((b + 1) % 2147483647)', _HI)} AS m "
+    f"FROM range({B_REPLICATES}) AS t(b)) r)",
+    "drawn_cells AS (SELECT horizon, CAST(-1 AS BIGINT) AS idx, b, CAST(0 AS INTEGER) AS label, CAST(0 AS INTEGER) AS pred, "
+    "CAST(0 AS BIGINT) AS k, max(remaining) AS rest FROM uniforms GROUP BY horizon, b UNION ALL "
+    "SELECT horizon, idx, b, label, pred, k, n - k AS rest FROM (SELECT horizon, idx, b, label, pred, n, " + BINOMIAL_SQL + " AS k FROM ("
+    "SELECT *, " + _INVERSION + " AS x FROM (SELECT *, exp(n * ln(1 - least(p, q))) AS pmf0, least(p, q) / (1 - least(p, q)) AS ratio, "
+    "sqrt(CAST(-2 AS DOUBLE) * ln(u)) * cos(2 * pi() * v) AS z FROM ("
+    "SELECT d.horizon, w.idx, d.b, w.label, w.pred, d.rest AS n, w.p, CAST(1 AS DOUBLE) - w.p AS q, w.u, w.v "
+    "FROM drawn_cells d JOIN uniforms w ON w.horizon = d.horizon AND w.b = d.b AND w.idx = d.idx + 1)))))",
+]
+ORACLE["bootstrap_cells"] = with_base("SELECT horizon, b, label, pred, k AS n FROM drawn_cells WHERE idx >= 0", BASELINE_SQL,
+                                      *MULTINOMIAL_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["bootstrap_multinomial"] = with_base(
+    f"SELECT horizon, {r6('avg(f1_macro)')} AS macro_f1_mean, {r6('quantile_cont(f1_macro, 0.025)')} AS ci_2_5, "
+    f"{r6('quantile_cont(f1_macro, 0.975)')} AS ci_97_5, count(*) AS B, max(n_test) AS n_test FROM ("
+    "SELECT horizon, b, avg(f1) AS f1_macro, CAST(sum(t) AS BIGINT) AS n_test FROM (SELECT horizon, b, cls, sum(t) AS t, "
+    "2 * CAST(sum(tp) AS DOUBLE) / (sum(t) + sum(p)) AS f1 FROM ("
+    "SELECT horizon, b, label AS cls, k AS t, 0 AS p, CASE WHEN label = pred THEN k ELSE 0 END AS tp FROM drawn_cells WHERE idx >= 0 AND k > 0 "
+    "UNION ALL SELECT horizon, b, pred, 0, k, 0 FROM drawn_cells WHERE idx >= 0 AND k > 0) GROUP BY horizon, b, cls) GROUP BY horizon, b) "
+    "GROUP BY horizon", BASELINE_SQL, *MULTINOMIAL_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # --- modelling ------------------------------------------------------------------------
 
 _MED_NUMS = [c for c in _FEATURE_NUMS]

@@ -435,7 +435,14 @@ def q_bootstrap_multinomial(spark, sf_dir):
     t = _persistence_cells(spark, sf_dir)
     reps = bs.bootstrap_multinomial(t, ["horizon"], B_REPLICATES)
     n_test = t.groupBy("horizon").agg(F.sum("_n_rows").alias("n_test"))
-    return bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
+    ci = bs.bootstrap_ci(reps, ["horizon"], n_test=n_test)
+    return ci.select("horizon", *[r6(c).alias(c) for c in ("macro_f1_mean", "ci_2_5", "ci_97_5")], "B", "n_test")
+
+
+@register("bootstrap_cells")
+def q_bootstrap_cells(spark, sf_dir):
+    """The confusion cells of every multinomial replicate."""
+    return bs.multinomial_cells(_persistence_cells(spark, sf_dir), ["horizon"], B_REPLICATES)
 
 
 # --- modelling -----------------------------------------------------------------------

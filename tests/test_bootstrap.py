@@ -40,3 +40,34 @@ def test_hash_reaches_beyond_31_bits(spark):
     n = 1 << 40
     mx = spark.range(0, 20000).select(bs.hash_index(F.lit(3), F.col("id"), F.lit(n)).alias("p")).agg(F.max("p")).first()[0]
     assert mx > (1 << 39)
+
+
+def test_cells_add_up_and_follow_the_multinomial(spark):
+    """Every replicate has n draws; means, variances and covariances of the cells are the multinomial's, for
+    cells drawn by inversion (few) and by the normal quantile (many) alike."""
+    import numpy as np
+    share = {(0, 0): 60000, (0, 1): 2000, (1, 0): 900, (1, 1): 400, (1, 2): 12, (2, 1): 3, (2, 2): 1}
+    rows = [("g", c, p, n) for (c, p), n in share.items()] + [("one", 2, 2, 5)]
+    df = spark.createDataFrame(rows, "horizon string, obs_class int, pred_class int, _n_rows long")
+    got = {}
+    for r in bs.multinomial_cells(df, ["horizon"], 6000).collect():
+        got.setdefault((r.horizon, r.b), {})[r.label, r.pred] = r.n
+    total = sum(share.values())
+    assert len(got) == 12000 and all(v == {(2, 2): 5} for (h, _), v in got.items() if h == "one")
+    draws = np.array([[v[c] for c in share] for (h, _), v in got.items() if h == "g"], float)
+    assert (draws.sum(axis=1) == total).all() and (draws >= 0).all()
+    p = np.array(list(share.values())) / total
+    cov = total * (np.diag(p) - np.outer(p, p))
+    spread = np.sqrt(np.diag(cov))
+    assert (np.abs(draws.mean(axis=0) - total * p) < 5 * spread / np.sqrt(6000)).all()
+    assert np.allclose(draws.std(axis=0) / spread, 1, atol=0.06)
+    assert np.abs(np.cov(draws.T) / np.outer(spread, spread) - cov / np.outer(spread, spread)).max() < 0.06
+    few = draws[:, 5]                                                # three expected: the whole distribution
+    want = [np.exp(-3) * 3 ** k / [1, 1, 2, 6, 24, 120][k] for k in range(6)]
+    assert np.allclose([(few == k).mean() for k in range(6)], want, atol=0.03)
+
+
+def test_multinomial_runs_no_python(spark):
+    from test_plans import plan
+    text = plan(bs.bootstrap_multinomial(_pairs(spark), ["horizon"], 50))
+    assert "Python" not in text and "MapIn" not in text
