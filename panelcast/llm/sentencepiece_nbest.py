@@ -37,6 +37,7 @@ import itertools
 import re
 from array import array
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ MARK, LITERAL = "▁", "\ud800"          # the second stands for a literal U+258
 #: characters encoded at a time.
 LONG_WORD, CHUNK = 96, 1 << 21
 #: Words whose n best a worker remembers (about 1 KB each) before it starts again.
-KNOWN = 30_000
+KNOWN = 80_000
 NEG = -1e18
 
 
@@ -199,6 +200,8 @@ class Vocabulary:
         at, done, up, depth, push = ways.at, ways.done, ways.up, ways.depth, heapq.heappush
         add_at, add_done, add_up, add_depth, add_jump = at.append, done.append, up.append, depth.append, ways.jump.append
         left = array("i", [0]) * (len(word) + 1)
+        # the exact totals of the n best ways so far, no two of them parts of one: a way below them all is never needed
+        tops, floor = [best[-1]], -inf
         heap, out = [(-best[-1], _Way(ways, 0))], []
         while heap and len(out) < n:
             k = heapq.heappop(heap)[1].node
@@ -214,15 +217,26 @@ class Vocabulary:
                 out.append((score, array("i", self.ids_between(word, [*cuts, len(word)])), array("i", cuts[::-1])))
                 continue
             so_far, level, older = done[k], depth[k] + 1, ways.older(k)
-            for s, sc in edges[here] if keep else self.spans_to(word, here):
-                if left[s] == n:
+            spans = edges[here] if keep else self.spans_to(word, here)
+            totals = [best[s] + sc + so_far for s, sc in spans]
+            most = max(totals)                               # goes on with the way's own best
+            for (s, sc), total in zip(spans, totals):
+                if total < floor or left[s] == n:
                     continue
+                if total == most:
+                    most = None
+                elif len(tops) < n:
+                    heapq.heappush(tops, total)
+                elif total > tops[0]:
+                    heapq.heapreplace(tops, total)
+                if len(tops) == n:
+                    floor = tops[0] - 1e-9 * abs(tops[0])
                 add_at(s)
                 add_done(sc + so_far)
                 add_up(k)
                 add_depth(level)
                 add_jump(older)
-                push(heap, (-(best[s] + sc + so_far), _Way(ways, len(at) - 1)))
+                push(heap, (-total, _Way(ways, len(at) - 1)))
         return out
 
     def best_long(self, word: str) -> tuple[float, float, list[int]]:
@@ -258,9 +272,10 @@ class Vocabulary:
 
     # --- all distinct words of a batch ----------------------------------------------
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, offsets, best, gap): the best ids of each word in a row, its score and
-        what its second-best way costs more (inf if there is one way only)."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, best, gap, longer): the best ids of each word in a row, its score,
+        what its second-best way costs more (inf if there is one way only), and whether that way
+        has the longer piece where the two first differ from the end."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         long = np.flatnonzero(size > LONG_WORD)
         by_hand = {int(k): self.best_long(words[k]) for k in long}
@@ -273,6 +288,7 @@ class Vocabulary:
         base = np.cumsum(n_chars + 1) - (n_chars + 1)                    # where its positions start
         total = int((n_chars + 1).sum())
         a1, a2 = np.full(total, NEG), np.full(total, NEG)
+        second_back, longer = np.zeros(total, np.int16), np.zeros(total, bool)
         back, ident, n_ids = np.zeros(total, np.int16), np.full(total, -1, np.int32), np.zeros(total, np.int32)
         a1[base] = 0.0
         utf8 = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
@@ -281,15 +297,26 @@ class Vocabulary:
             x, y = a1[src] + score, a2[src] + score
             old = a1[dst]
             better = x > old
-            a2[dst] = np.maximum(np.maximum(np.minimum(x, old), a2[dst]), y)
+            # the second-best way: the one before, the loser of the two best, or the second-best way to src;
+            # of equal ones that with the longer last piece
+            two, piece2 = a2[dst], second_back[dst]
+            for value, size in ((np.where(better, old, x), np.where(better, back[dst], length)), (y, length)):
+                take = (value > two) | (value == two) & (size > piece2)
+                two, piece2 = np.where(take, value, two), np.where(take, size, piece2)
+            a2[dst], second_back[dst] = two, piece2
             to = dst[better]
             a1[to] = x[better]
             back[to], ident[to], n_ids[to] = length, piece[better], (n_ids[src] + count)[better]
 
         top = int(n_chars[0]) if len(n_chars) else 0
         alive = np.searchsorted(-n_chars, -np.arange(1, top + 1), side="right")
+        def settle(at):
+            """Positions with all their edges: do their last pieces differ, or those before?"""
+            longer[at] = np.where(second_back[at] != back[at], second_back[at] > back[at], longer[at - back[at]])
+
         for s in range(top):
             who = np.arange(alive[s])
+            settle(base[who] + s)
             node = np.zeros(len(who), np.int64)
             for length in range(1, self.longest + 1):
                 node = self.step(node, cls[text_at[who] + s + length - 1])
@@ -312,14 +339,19 @@ class Vocabulary:
                 if not len(who):
                     break
         end = base + n_chars
+        settle(end)
         count = np.zeros(len(words), np.int64)
         count[order] = n_ids[end]
         best, gap = np.zeros(len(words)), np.full(len(words), np.inf)
         best[order] = a1[end]
         second = a2[end]
         gap[order] = np.where(second > NEG / 2, a1[end] - second, np.inf)
+        last = np.zeros(len(words), bool)
+        last[order] = longer[end]
         for k, (one, two, ids) in by_hand.items():
             count[k], best[k], gap[k] = len(ids), one, one - two if two > NEG / 2 else np.inf
+            ways = self.nbest(words[k], 2)
+            last[k] = len(ways) == 2 and ways[1][2] < ways[0][2]
         offsets = np.concatenate(([0], np.cumsum(count)))
         ids = np.zeros(offsets[-1], np.int32)
         at, put = end.copy(), offsets[1:][order]                         # walk back, filling from the end
@@ -346,7 +378,7 @@ class Vocabulary:
             who = who[at[who] > base[who]]
         for k, (_, _, own) in by_hand.items():
             ids[offsets[k]:offsets[k + 1]] = own
-        return ids, offsets, best, gap
+        return ids, offsets, best, gap, last
 
 
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
@@ -396,25 +428,18 @@ def combine(lists: list[list[tuple[float, array, array]]], n: int) -> list[tuple
     return sorted(ways, key=lambda w: (-w[0], [r[c] for r, c in zip(ranks[::-1], w[1][::-1])]))[:n]
 
 
-def nearest_words(costs: np.ndarray, n: int, ways) -> list[int]:
+def nearest_words(costs: np.ndarray, longer: np.ndarray, n: int) -> list[int]:
     """The n words (ascending) whose second-best way costs least. Among equal costs a word whose
-    second way has the longer pieces (``ways(word)``) comes first, the last such word before
-    the others; then words whose best way has them, the first one first: so the texts that change
-    one of the words come in the order of equal scores."""
-    costs = np.where(np.isfinite(costs), costs, np.inf)
+    second way has the longer pieces comes first, the last such word before the others; then words
+    whose best way has them, the first one first: so the texts that change one of the words come in
+    the order of equal scores."""
     if len(costs) > n:
-        bound = np.partition(costs, n - 1)[n - 1]
+        near = np.flatnonzero(costs <= np.partition(costs, n - 1)[n - 1])
     else:
-        bound = costs.max(initial=-np.inf)
-    near = np.flatnonzero((costs <= bound) & np.isfinite(costs))
-    if len(near) <= n:
-        return near.tolist()
-
-    def place(w: int):
-        own = ways(w)
-        return (costs[w], 0, -w) if own[1][2] < own[0][2] else (costs[w], 1, w)
-
-    return sorted(sorted(near.tolist(), key=place)[:n])
+        near = np.arange(len(costs))
+    near = near[np.isfinite(costs[near])]
+    place = np.lexsort((np.where(longer[near], -near, near), ~longer[near], costs[near]))
+    return sorted(near[place[:n]].tolist())
 
 
 def decode(ids, vocab: Vocabulary) -> str:
@@ -427,7 +452,7 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
     an edit (first, last, ids) replaces the best ids [first, last)."""
     texts = [t or "" for t in texts]
     words, flat, off = text_words(texts)
-    ids, word_off, best, gap = vocab.encode_words(words)
+    ids, word_off, best, gap, longer = vocab.encode_words(words)
     all_ids, starts = gather(ids, word_off, flat)
     cache = vocab.known
     if len(cache) > KNOWN:
@@ -448,7 +473,7 @@ def encode(texts: list[str | None], vocab: Vocabulary, n: int) -> Iterator[tuple
                     known[word, n] = vocab.nbest(word, n)
                 return known[word, n]
 
-            near = nearest_words(gap[mine], n - 1, ways)
+            near = nearest_words(gap[mine], longer[mine], n - 1)
             lists = [ways(w) for w in near]
             base = sum(own[0][0] for own in lists)
             for value, pick in combine(lists, n)[1:]:
