@@ -65,14 +65,15 @@ def alert_level(cls, p_rain) -> Column:
 
 
 def alert_message(level, horizon_minutes) -> Column:
-    """C4 message text: level word plus the horizon in hours (the sentence is a
-    fixed output value of the dashboard's data)."""
+    """C4 message text: level word plus the horizon in hours (the sentences are
+    fixed output values of the dashboard's data)."""
     hours = (_c(horizon_minutes) / 60).cast("int")
     lead = (F.when(_c(level) == ALERT_HIGH, F.lit("Alta"))
             .when(_c(level) == ALERT_MEDIUM, F.lit("Moderada"))
             .otherwise(F.lit("Baja")))
-    return F.concat(lead, F.lit(" probabilidad de precipitación en las próximas "),
-                    hours.cast("string"), F.lit(" h."))
+    when = F.when(hours == 1, F.lit("en la próxima hora.")).otherwise(
+        F.concat(F.lit("en las próximas "), hours.cast("string"), F.lit(" horas.")))
+    return F.concat(lead, F.lit(" probabilidad de precipitación "), when)
 
 
 # --- time features (P1-P3) ---------------------------------------------------

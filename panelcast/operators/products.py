@@ -211,20 +211,28 @@ def alerts(card: DataFrame) -> DataFrame:
         S.alert_message(level, F.col("horizon_minutes")).alias("message"))
 
 
+# Fixed sentences of the dashboard's alerts.
+ALL_STABLE = "Condiciones estables en todas las estaciones."
+ROUTINE = "Continuar monitoreo de rutina."
+
+
 def dashboard_bundle(card: DataFrame, stations: DataFrame, series: DataFrame, histogram: DataFrame,
-                     alert_rows: DataFrame, metrics_card: DataFrame, horizons: list[str]) -> DataFrame:
+                     alert_rows: DataFrame, metrics_card: DataFrame, horizons: list[str],
+                     names: dict[str, str] | None = None) -> DataFrame:
     """The dashboard's nested per-horizon document as one row per horizon:
-    ``prediction`` struct, ``stations`` / ``time_series`` / ``bootstrap``
+    ``prediction`` struct (``intensityMmH``: the active stations' mean reading as a rate per hour), ``stations`` / ``time_series`` / ``bootstrap``
     arrays of structs, ``alerts`` and ``metrics`` structs, plus its JSON text.
     Every collected list is bounded (stations, HISTORY_STEPS + forecast
     steps, BINS), so no group grows with the data."""
-    st = stations.groupBy("horizon").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("station_id").alias("id"), "status", "trend", F.col("last_reading").alias("lastReading"),
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    name = F.coalesce(F.try_element_at(known, F.col("station_id")), F.col("station_id")) if names else F.col("station_id")
+    rate = F.avg(F.when(F.col("status") == "active", F.col("last_reading"))) * (60 / STEP_MINUTES)
+    st = stations.groupBy("horizon").agg(rate.alias("_rate"), F.sort_array(F.collect_list(F.struct(
+        F.col("station_id").alias("id"), name.alias("name"), "status", "trend", F.col("last_reading").alias("lastReading"),
         "probability", F.col("recent_mm_x1000").alias("recentReadings")))).alias("stations"),
         F.first("n_active").alias("_n_active"), F.first("n_stations").alias("_n_stations"))
     # history steps are shared by all horizons: fan them out over the horizon list
-    names = F.array(*[F.lit(h) for h in horizons])
-    past = series.filter(F.col("horizon").isNull()).withColumn("horizon", F.explode(names))
+    past = series.filter(F.col("horizon").isNull()).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     ts = past.unionByName(series.filter(F.col("horizon").isNotNull())).groupBy("horizon").agg(
         F.sort_array(F.collect_list(F.struct("offset_min", "time", "avg", "q10", "q90", "forecast"))).alias("_ts"))
     ts = ts.select("horizon", F.transform("_ts", lambda x: x.dropFields("offset_min")).alias("time_series"))
@@ -232,17 +240,46 @@ def dashboard_bundle(card: DataFrame, stations: DataFrame, series: DataFrame, hi
         "bin", F.col("label").alias("bin_label"), "count", "in_ci"))).alias("bootstrap"))
     out = (card.join(st, "horizon", "left").join(ts, "horizon", "left").join(hb, "horizon", "left")
            .join(alert_rows, "horizon", "left").join(metrics_card, "horizon", "left"))
-    station_msg = F.format_string("%d de %d estaciones activas.", F.col("_n_active"), F.col("_n_stations"))
+    calm = F.col("level") == S.ALERT_LOW
+    station_msg = F.when(calm & (F.col("_n_active") == F.col("_n_stations")), F.lit(ALL_STABLE)).otherwise(
+        F.format_string("%d de %d estaciones activas.", F.col("_n_active"), F.col("_n_stations")))
     doc = out.select(
         "horizon",
-        F.struct("timestamp", F.col("will_rain").alias("willRain"), "probability", "intensity", "ci_lower",
-                 "ci_upper", "ci_level", F.col("horizon_minutes").alias("horizon"),
+        F.struct("timestamp", F.col("will_rain").alias("willRain"), "probability", "intensity", F.col("_rate").alias("intensityMmH"),
+                 "ci_lower", "ci_upper", "ci_level", F.col("horizon_minutes").alias("horizon"), F.col("horizon").alias("horizonLabel"),
                  F.col("n_stations").alias("nStations"), F.col("model_version").alias("modelVersion")).alias("prediction"),
         "stations", "time_series", "bootstrap",
         F.struct(F.col("level").alias("current"),
-                 F.array(F.struct(F.col("level"), F.col("message").alias("text")),
-                         F.struct(F.col("level"), station_msg.alias("text"))).alias("messages")).alias("alerts"),
+                 F.array_compact(F.array(
+                     F.struct(F.col("level"), F.col("message").alias("text")),
+                     F.struct(F.col("level"), station_msg.alias("text")),
+                     F.when(calm, F.struct(F.col("level"), F.lit(ROUTINE).alias("text"))))).alias("messages")).alias("alerts"),
         F.struct("accuracy", "f1_weighted", "f1_macro", "best_model", "test_rows").alias("metrics"),
     )
     return doc.withColumn("json", F.to_json(F.struct("prediction", "stations", "time_series", "bootstrap",
                                                        "alerts", "metrics")))
+
+
+def bundle_fields(bundle: DataFrame) -> DataFrame:
+    """(horizon, section, item, field, value): the document of :func:`dashboard_bundle` field by field, as
+    text (numbers with 6 digits); fields without a value are left out."""
+    def text(c, kind: str):
+        return F.format_string("%.6f", F.round(c, 6) + F.lit(0.0)) if kind == "double" else c.cast("string")
+
+    def rows(section: str, item, struct, schema):
+        return [F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"), F.lit(f.name).alias("field"),
+                         F.when(struct[f.name].isNotNull(), text(struct[f.name], f.dataType.typeName())).alias("value"))
+                for f in schema.fields if f.name not in ("id", "time", "bin", "bin_label", "level", "messages")]
+
+    kinds = {f.name: f.dataType for f in bundle.schema.fields}
+    all_ = [F.array(*rows(s, F.lit(""), F.col(s), kinds[s])) for s in ("prediction", "alerts", "metrics")]
+
+    def each(section: str, key: str):
+        return F.flatten(F.transform(F.col(section), lambda x: F.array(*rows(section, x[key], x, kinds[section].elementType))))
+
+    all_ += [each("stations", "id"), each("time_series", "time"), each("bootstrap", "bin_label")]
+    messages = kinds["alerts"]["messages"].dataType.elementType
+    all_.append(F.flatten(F.transform(F.col("alerts.messages"), lambda x, i: F.array(*rows("alerts", i + 1, x, messages)))))
+    out = bundle.select("horizon", F.explode(F.concat(*[F.coalesce(a, F.array().cast(
+        "array<struct<section:string,item:string,field:string,value:string>>")) for a in all_])).alias("r"))
+    return out.select("horizon", "r.*").filter("value IS NOT NULL")

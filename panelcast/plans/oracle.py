@@ -612,12 +612,49 @@ SELECT horizon, lvl AS level,
        CASE WHEN probability >= CAST(0.7 AS DOUBLE) THEN 'high' WHEN probability >= CAST(0.4 AS DOUBLE) THEN 'medium'
             ELSE 'low' END AS band,
        (CASE WHEN lvl = 'alto' THEN 'Alta' WHEN lvl = 'medio' THEN 'Moderada' ELSE 'Baja' END)
-       || ' probabilidad de precipitación en las próximas ' || CAST(CAST(horizon_minutes / 60 AS INTEGER) AS VARCHAR)
-       || ' h.' AS message
+       || ' probabilidad de precipitación ' || CASE WHEN horizon_minutes = 60 THEN 'en la próxima hora.' ELSE
+          'en las próximas ' || CAST(CAST(horizon_minutes / 60 AS INTEGER) AS VARCHAR) || ' horas.' END AS message
 FROM (SELECT *, CASE WHEN pred_class = 2 AND probability >= CAST(0.7 AS DOUBLE) THEN 'alto'
                      WHEN probability >= CAST(0.4 AS DOUBLE) THEN 'medio' ELSE 'bajo' END AS lvl FROM card)""")
 
 
+def _fields(section: str, item: str, fields: dict[str, str], src: str, where: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT horizon, '{section}' AS section, CAST({item} AS VARCHAR) AS item, '{name}' AS field, "
+                              f"CAST({value} AS VARCHAR) AS value FROM {src} {where}" for name, value in fields.items())
+
+
+def _six(c: str) -> str:
+    return f"printf('%.6f', {c})"
+
+
+_HORIZON_LIST = "(SELECT unnest([" + ", ".join(f"'{h.name}'" for h in SPEC.horizons) + "]) AS hz)"
+_NETWORK = "(SELECT horizon, max(n_active) AS a, max(n_stations) AS t, avg(CASE WHEN status = 'active' THEN last_reading END) * 4 AS rate FROM st GROUP BY horizon)"
+ORACLE["dashboard_fields"] = (
+    f"WITH card AS ({ORACLE['horizon_card']}), st AS ({ORACLE['station_panel']}), ns AS ({ORACLE['network_series']}), "
+    f"hb AS ({ORACLE['prob_histogram']}), al AS ({ORACLE['alert_level']}), mc AS ({ORACLE['metric_card']}), "
+    "series AS (SELECT hz AS horizon, time, avg, q10, q90, forecast FROM ns, " + _HORIZON_LIST + " WHERE horizon IS NULL "
+    "UNION ALL SELECT horizon, time, avg, q10, q90, forecast FROM ns WHERE horizon IS NOT NULL) SELECT * FROM ("
+    + " UNION ALL ".join([
+        _fields("prediction", "''", {
+            "timestamp": "timestamp", "willRain": "will_rain", "probability": _six("probability"), "intensity": "intensity",
+            "ci_lower": _six("ci_lower"), "ci_upper": _six("ci_upper"), "ci_level": _six("ci_level"), "horizon": "horizon_minutes",
+            "horizonLabel": "horizon", "nStations": "n_stations", "modelVersion": "model_version"}, "card"),
+        _fields("prediction", "''", {"intensityMmH": _six(r6("rate"))}, _NETWORK),
+        _fields("stations", "station_id", {
+            "name": "station_id", "status": "status", "trend": "trend", "lastReading": _six("last_reading"),
+            "probability": _six("probability"), "recentReadings": "recent_mm_x1000"}, "st"),
+        _fields("time_series", "time", {"avg": _six("avg"), "q10": _six("q10"), "q90": _six("q90"), "forecast": "forecast"}, "series"),
+        _fields("bootstrap", "label", {"count": "count", "in_ci": "in_ci"}, "hb"),
+        _fields("alerts", "''", {"current": "level"}, "al"),
+        _fields("alerts", "1", {"text": "message"}, "al"),
+        _fields("alerts", "2", {"text": "CASE WHEN level = 'bajo' AND a = t THEN 'Condiciones estables en todas las estaciones.' "
+                                        "ELSE a || ' de ' || t || ' estaciones activas.' END"}, "al JOIN " + _NETWORK + " USING (horizon)"),
+        _fields("alerts", "3", {"text": "'Continuar monitoreo de rutina.'"}, "al", "WHERE level = 'bajo'"),
+        _fields("metrics", "''", {"accuracy": _six("accuracy"), "f1_weighted": _six("f1_weighted"), "f1_macro": _six("f1_macro"),
+                                  "best_model": "best_model", "test_rows": "test_rows"}, "mc"),
+    ]) + ") WHERE value IS NOT NULL")
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 ORACLE["stream_ingest"] = (f"WITH {PANEL_SQL}\nSELECT station, \"TIMESTAMP\", Rain_mm_Tot, event_id FROM panel "

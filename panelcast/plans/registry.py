@@ -643,8 +643,7 @@ def q_alert_level(spark, sf_dir):
     return PR.alerts(_card(spark, sf_dir))
 
 
-@register("dashboard_bundle")
-def q_dashboard_bundle(spark, sf_dir):
+def _bundle(spark, sf_dir):
     """The nested per-horizon dashboard document (all products together); the
     class counts are taken once and shared by every product."""
     p = panel(spark, sf_dir)
@@ -657,10 +656,21 @@ def q_dashboard_bundle(spark, sf_dir):
     mcard = M.rounded(best_models(M.evaluate(test, ["model", "horizon"])).select(
         "horizon", "accuracy", "f1_weighted", "f1_macro", "best_model", F.col("n_rows").alias("test_rows")),
         ["accuracy", "f1_weighted", "f1_macro"])
-    bundle = PR.dashboard_bundle(card, PR.station_panel(p, now, SPEC), PR.network_series(p, card, SPEC),
-                                 PR.prob_histogram(pers, "pred_prob", ["horizon"], card),
-                                 PR.alerts(card), mcard, [h.name for h in SPEC.horizons])
-    return bundle.select("horizon", "json")
+    return PR.dashboard_bundle(card, PR.station_panel(p, now, SPEC), PR.network_series(p, card, SPEC),
+                               PR.prob_histogram(pers, "pred_prob", ["horizon"], card),
+                               PR.alerts(card), mcard, [h.name for h in SPEC.horizons])
+
+
+@register("dashboard_bundle")
+def q_dashboard_bundle(spark, sf_dir):
+    """The dashboard document as JSON, one row per horizon."""
+    return _bundle(spark, sf_dir).select("horizon", "json")
+
+
+@register("dashboard_fields")
+def q_dashboard_fields(spark, sf_dir):
+    """The dashboard document field by field."""
+    return PR.bundle_fields(_bundle(spark, sf_dir))
 
 
 # --- streaming -----------------------------------------------------------------------
