@@ -29,11 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker process (workers are
-    reused between tasks, unpickled functions are not)."""
-    home = sys.modules.setdefault("_panelcast_worker_cache", types.ModuleType("_panelcast_worker_cache"))
-    return home.__dict__.setdefault("cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker process (workers are reused between tasks,
+    unpickled functions are not), or until another operator's functions ask for theirs: a worker
+    that serves one pipeline stage after the other holds the tables of one."""
+    home = sys.modules.setdefault("_panelcast_worker_cache", types.ModuleType("_panelcast_worker_cache")).__dict__
+    if home.get("owner") != owner:
+        home["owner"], home["cache"] = owner, {}
+    return home["cache"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -57,7 +57,7 @@ def _mod(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each base its powers and inverse powers, at least n of them."""
-    cache = worker_cache()
+    cache = worker_cache("fingerprint")
     have = cache.get("powers")
     if have is None or len(have[0][0]) < n:
         size = 1 << max(12, (n - 1).bit_length())

@@ -249,7 +249,7 @@ class CrossParser:
 def _parser(texts: list[tuple[str, str]]) -> CrossParser:
     """The automata, built once per worker process (the sample is small and
     travels with the function; the tables don't)."""
-    cache, key = worker_cache(), hash(tuple(texts))
+    cache, key = worker_cache("langid"), hash(tuple(texts))
     if cache.get("langid", (None,))[0] != key:
         cache["langid"] = (key, CrossParser(texts))
     return cache["langid"][1]

@@ -54,7 +54,7 @@ MARK, LITERAL = "▁", "\ud800"          # the second stands for a literal U+258
 #: characters encoded at a time.
 LONG_WORD, CHUNK = 96, 1 << 21
 #: Words whose n best a worker remembers (about 1 KB each) before it starts again.
-KNOWN = 80_000
+KNOWN = 20_000
 NEG = -1e18
 
 
@@ -494,7 +494,7 @@ def read_model(path: str = MODEL) -> tuple[list[tuple[str, float, int]], list[in
 
 
 def vocabulary(model: tuple, name: str) -> Vocabulary:
-    cache = worker_cache()
+    cache = worker_cache("sentencepiece_nbest")
     if cache.get("vocabulary", (None,))[0] != name:
         cache["vocabulary"] = (name, Vocabulary(*model))
     return cache["vocabulary"][1]

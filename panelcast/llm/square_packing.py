@@ -59,7 +59,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def _tokenizer(path: str):
-    cache = worker_cache()
+    cache = worker_cache("square_packing")
     if ("tokenizer", path) not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

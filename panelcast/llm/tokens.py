@@ -26,7 +26,7 @@ def read_ranks(path: str = RANKS) -> dict[bytes, int]:
 
 
 def _encoding(ranks: dict[bytes, int]):
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if "encoding" not in cache:
         import tiktoken
         cache["encoding"] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
