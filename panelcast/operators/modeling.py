@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -193,7 +194,9 @@ def fit_model(name: str, train: DataFrame, label: str, numeric: list[str], total
 
 def gradient_norm(model: PipelineModel, train: DataFrame, label: str, weight_col: str = "weight") -> tuple[float, float]:
     """M5's optimality check: (largest component of the gradient, loss) of the penalised objective
-    ``sum_i w_i loss_i / sum_i w_i + reg / 2 |coefficients|^2`` at the fitted coefficients.
+    ``sum_i w_i loss_i / sum_i w_i + reg / 2 |coefficients|^2`` at the fitted coefficients. A
+    feature's components are taken per unit of its weighted root mean square, if that is above 1
+    (a year's are some 2,000 times those of a flag).
 
     One aggregate: a row adds w (p_k - [y = k]) x_j to the sum of (class k, feature j) and,
     as x_0 = 1, to the intercepts, which aren't penalised. Only those sums, classes x features of
@@ -206,15 +209,15 @@ def gradient_norm(model: PipelineModel, train: DataFrame, label: str, weight_col
     x = F.concat(F.array(F.lit(1.0)), F.col("x"))
     terms = rows.select("w", "y", "p", F.posexplode(x).alias("j", "v"))
     sums = (terms.groupBy("j").agg(*[F.sum(F.col("w") * (F.col("p")[c] - (F.col("y") == c).cast("double")) * F.col("v")).alias(f"g{c}")
-                                     for c in range(k)]).collect())
+                                     for c in range(k)], F.sum(F.col("w") * F.col("v") * F.col("v")).alias("sq")).collect())
     total, loss = rows.agg(F.sum("w"), F.sum(-F.col("w") * F.log(F.greatest(F.col("p")[F.col("y")], F.lit(1e-300))))).first()
     coef, reg = fitted.coefficientMatrix.toArray(), fitted.getRegParam()
     worst = 0.0
     for r in sums:
         for c in range(k):
             g = r[f"g{c}"] / total + (reg * coef[c, r["j"] - 1] if r["j"] else 0.0)
-            worst = max(worst, abs(g))
-    return worst, loss / total + reg / 2 * float((coef[:, :d] ** 2).sum())
+            worst = max(worst, abs(g) / max(1.0, math.sqrt(r["sq"] / total)))
+    return float(worst), float(loss / total + reg / 2 * (coef[:, :d] ** 2).sum())
 
 
 def fit_and_evaluate(train: DataFrame, test: DataFrame, label: str, numeric: list[str],

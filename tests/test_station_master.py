@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import targets as tg
 from panelcast.plans import batch, jobs
 from panelcast.sources.observations import read_observations_csv
+from panelcast.operators.forest import ForestSpec
 from panelcast.spec import STATION_SPEC
 
 SPEC = STATION_SPEC.with_(holdout="1 DAY", chunk_rows=100)
@@ -55,7 +56,7 @@ def test_station_master_end_to_end(spark):
     batch.label(spark, src, out, SPEC)
     master = spark.read.parquet(f"{out}/master")
     assert master.count() == tg.label_panel(src, SPEC).count()
-    batch.train(spark, out, SPEC, horizons=["1h"], num_trees=10)
+    batch.train(spark, out, SPEC, horizons=["1h"], forest=ForestSpec(bags=10))
     sub = spark.read.option("header", True).csv(f"{out}/submission")
     assert sub.count() == master.filter(F.col("is_last_year") == 1).count()
     batch.bootstrap(spark, out, B=40)

@@ -340,6 +340,6 @@ def test_epoch_table_is_bounded_by_its_keys(spark):
 
 def test_alert_stream_without_readings(spark):
     d = tempfile.mkdtemp(prefix="panelcast-empty-")
-    _put(d, "events_0.parquet", _readings(3)[:0] or [(1, None, 0, None, 1.0, "")], 0)
+    _put(d, "events_0.parquet", [(1, pd.NaT, 0, "a", 1.0, "")], 0)
     got = _alerts(spark, d)
     assert got.count() == 0 and "level" in got.columns
