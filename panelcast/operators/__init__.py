@@ -1 +1,8 @@
+"""Operators on the panel. Their tasks' functions are shipped to Python workers by value, so
+workers need no copy of the package on their path."""
 
+import sys
+
+from pyspark.cloudpickle import register_pickle_by_value
+
+register_pickle_by_value(sys.modules[__name__])

@@ -207,3 +207,63 @@ def test_logistic_regression_is_at_its_optimum(spark, blobs):
     assert math.isclose(np.abs(g).max(), gradient, rel_tol=1e-6, abs_tol=1e-12)
     early = MD.build_pipeline(MD.make_estimator("y", "weight", 960.0, max_iter=2), [f"f{i}" for i in range(6)]).fit(train)
     assert MD.gradient_norm(early, train, "y")[0] > 10 * gradient
+
+
+def _jobs(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_large_nodes_are_split_by_passes_and_small_ones_grow_in_tasks(spark, blobs, tmp_path, monkeypatch):
+    """Few jobs, whatever the depth, ids without gaps, leaves of one class, and the same forest in a second run."""
+    monkeypatch.setattr(FO, "TASK_ROWS", 100)
+    path = str(tmp_path / "forest")
+    assert _jobs(spark, "forest", lambda: FO.fit_forest(blobs, "y", ForestSpec(bags=8), None, "weight", path)) < 120
+    trees = {}
+    for r in spark.read.parquet(path).collect():
+        trees.setdefault(r.bag, {})[r.id] = r
+    assert sorted(trees) == list(range(8))
+    for tree in trees.values():
+        assert sorted(tree) == list(range(len(tree)))               # ids without gaps
+        inner = [n for n in tree.values() if n.left >= 0]
+        assert sorted([0] + [c for n in inner for c in (n.left, n.right)]) == sorted(tree)
+        pure = [max(n.probs) > 1 - 1e-9 for n in tree.values() if n.left < 0]
+        assert np.mean(pure) > 0.98                                 # only rows alike in all their bins stay together
+    again = str(tmp_path / "again")
+    FO.fit_forest(blobs, "y", ForestSpec(bags=8), None, "weight", again)
+    assert sorted(map(str, spark.read.parquet(again).collect())) == sorted(map(str, spark.read.parquet(path).collect()))
+    right = FO.predict_forest(path, blobs).filter("pred_class = y").count()
+    assert right > 900
+
+
+def test_subtree_matches_a_plain_search():
+    """Each split is the best of its features by a plain search over all thresholds, in the subtree and by histogram alike."""
+    r = np.random.default_rng(3)
+    x, y, k = r.integers(0, 5, size=(60, 1)), r.integers(0, 3, 60), r.integers(1, 4, 60)
+    weights = [np.where(y == c, k * (c + 1.0), 0.0) for c in range(3)]
+    feature, split, left, right, held = FO.grow_subtree(x, weights, k, 0, ForestSpec(max_bins=5), r)
+
+    def gini(rows):
+        w = np.array([c[rows].sum() for c in weights])
+        return w.sum(), (1 - ((w / w.sum()) ** 2).sum()) if w.sum() else 0.0
+
+    def check(node, rows):
+        assert np.allclose(held[node], [c[rows].sum() for c in weights])
+        n, whole = gini(rows)
+        gains = {}
+        for b in range(4):
+            lower, upper = rows[x[rows, 0] <= b], rows[x[rows, 0] > b]
+            if len(lower) and len(upper):
+                gains[b] = whole - sum(g * m for m, g in map(gini, (lower, upper))) / n
+        if left[node] < 0:
+            assert max(gains.values(), default=0.0) < 1e-8
+            return
+        assert feature[node] == 0 and math.isclose(gains[split[node]], max(gains.values()), abs_tol=1e-8)
+        check(left[node], rows[x[rows, 0] <= split[node]])
+        check(right[node], rows[x[rows, 0] > split[node]])
+
+    check(0, np.arange(60))
