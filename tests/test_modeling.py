@@ -218,6 +218,31 @@ def _jobs(spark, group, run):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_logistic_regression_takes_few_passes(spark, tmp_path):
+    """Nearly collinear features in units far apart, a constant one and a class without rows: few jobs, the
+    optimum, and a model that can be kept."""
+    from pyspark.ml import PipelineModel
+    r = np.random.default_rng(1)
+    a = r.normal(size=(3000, 3))
+    x = np.column_stack((a, a @ [1, 1, 1] + 1e-3 * r.normal(size=3000), 1e4 * a[:, 0] + a[:, 1], np.full(3000, 2024.0)))
+    y = np.digitize(a[:, 0] + 0.5 * r.normal(size=3000), [0.5, 1.5])
+    y[y == 1] = 3
+    df = spark.createDataFrame([(int(y[i]), 1.0 + i % 3, *x[i].tolist(), "ab"[i % 2]) for i in range(3000)],
+                               "y int, weight double, " + ", ".join(f"f{j} double" for j in range(6)) + ", station string").cache()
+    fitted = []
+    pipe = MD.build_pipeline(MD.make_estimator("y", "weight", 6000.0), [f"f{j}" for j in range(6)])
+    assert _jobs(spark, "newton", lambda: fitted.append(pipe.fit(df))) < 60
+    gradient, loss = MD.gradient_norm(fitted[0], df, "y")
+    assert gradient < 1e-9
+    lr = fitted[0].stages[-1]
+    assert lr.coefficientMatrix.toArray()[:, 5].tolist() == [0.0] * 4 and lr.numClasses == 4
+    fitted[0].write().save(str(tmp_path / "model"))
+    got, kept = (MD.predict(m, df).select("probs").toPandas()["probs"].tolist() for m in (fitted[0], PipelineModel.load(str(tmp_path / "model"))))
+    assert np.array_equal(np.array(got), np.array(kept))
+    one = pipe.fit(df.filter("y = 0"))
+    assert {(r.pred_class, r.pred_prob) for r in MD.predict(one, df).select("pred_class", "pred_prob").collect()} == {(0, 1.0)}
+
+
 def test_large_nodes_are_split_by_passes_and_small_ones_grow_in_tasks(spark, blobs, tmp_path, monkeypatch):
     """Few jobs, whatever the depth, ids without gaps, leaves of one class, and the same forest in a second run."""
     monkeypatch.setattr(FO, "TASK_ROWS", 100)
