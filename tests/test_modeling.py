@@ -292,3 +292,51 @@ def test_subtree_matches_a_plain_search():
         check(right[node], rows[x[rows, 0] > split[node]])
 
     check(0, np.arange(60))
+
+
+@pytest.mark.parametrize("min_rows", [1, 4])
+def test_subtree_is_the_same_in_groups_of_any_size(monkeypatch, min_rows):
+    """Histograms of a few rows, nodes and lanes at a time give the splits and class weights of one big group."""
+    r = np.random.default_rng(8)
+    x, y, k = r.integers(0, 9, size=(900, 5)), r.integers(0, 3, 900), r.integers(1, 4, 900)
+    weights = [np.where(y == c, k * (c + 1.0), 0.0) for c in range(3)]
+
+    def grown():
+        return FO.grow_subtree(x, weights, k, 0, ForestSpec(max_bins=9, min_rows=min_rows), np.random.default_rng(5))
+
+    whole = grown()
+    assert len(whole[0]) > 200
+    for rows, nodes, lanes in ((7, 2, 3), (64, 1, 1), (1, 1000, 4)):
+        for name, value in (("GROUP_ROWS", rows), ("GROUP_NODES", nodes), ("LANES", lanes)):
+            monkeypatch.setattr(FO, name, value)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, grown()))
+    # every inner node's weights are its children's, every row is in the leaf that its bins lead to
+    feature, split, left, right, held = whole
+    inner = np.flatnonzero(left >= 0)
+    assert np.array_equal(held[inner], held[left[inner]] + held[right[inner]])
+    at = np.zeros(900, int)
+    while (left[at] >= 0).any():
+        at = np.where(left[at] < 0, at, np.where(x[np.arange(900), feature[at]] <= split[at], left[at], right[at]))
+    assert all(np.array_equal(np.bincount(at, w, len(left))[left < 0], held[left < 0, c]) for c, w in enumerate(weights))
+    assert np.bincount(at, k, len(left))[left < 0].min() >= min_rows
+
+
+def test_trees_of_many_rows_grow_in_their_tasks(spark, monkeypatch, tmp_path):
+    """A bag of 190,000 rows needs no pass but that for its class sums, and its rows go there with a byte a bin."""
+    df = spark.range(300000).select("id", (F.col("id") % 3).cast("int").alias("y"), F.lit(1.0).alias("weight"),
+                                    array_to_vector(F.array(*[(F.hash("id", F.lit(j)) % 20).cast("double") for j in range(3)])).alias("features"))
+    passes, binned, sums, bins = [], [], FO.task_sums, FO.with_bins
+    monkeypatch.setattr(FO, "task_sums", lambda *a: passes.append(1) or sums(*a))
+    monkeypatch.setattr(FO, "with_bins", lambda *a: binned.append(bins(*a)) or binned[-1])
+    path = FO.fit_forest(df, "y", ForestSpec(bags=2, max_depth=4), None, "weight", str(tmp_path / "forest"))
+    assert len(passes) == 1 and binned[0].select(F.max(F.length("x"))).first()[0] == 3
+    assert spark.read.parquet(path).select("bag").distinct().count() == 2
+
+
+def test_bins_of_sliced_batches():
+    import pyarrow as pa
+
+    from panelcast.operators.sums import columns_of
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([b"ab", b"cd", b"ef"], pa.binary())], names=["n", "x"])
+    n, x = columns_of(batch.slice(1))
+    assert n.tolist() == [2, 3] and x.tolist() == [list(b"cd"), list(b"ef")]
